@@ -10,7 +10,7 @@ the driver; its distinct group sizes cannot exceed sqrt(2 * rows).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -125,8 +125,9 @@ def inner_folds(df: DataFrame, group: str, outer: str, folds: list[int], n_split
 def leave_fold_out_mean(df: DataFrame, fold: str, value: str) -> DataFrame:
     """Training mean for each held-out fold from per-fold sums: (S - S_k) / (N - N_k)."""
     per_fold = df.groupBy(fold).agg(F.sum(value).alias("__s"), F.count(value).alias("__n"))
-    totals = per_fold.agg(F.sum("__s").alias("__ts"), F.sum("__n").alias("__tn"))
-    # totals is exactly one row
-    joined = per_fold.join(F.broadcast(totals))
-    mean: Column = F.try_divide(F.col("__ts") - F.col("__s"), F.col("__tn") - F.col("__n"))
-    return joined.select(fold, mean.alias("training_mean"))
+    # one row per fold by now, so an unpartitioned window is a handful of rows
+    every = Window.partitionBy(F.lit(0))
+    rest: Column = F.try_divide(
+        F.sum("__s").over(every) - F.col("__s"), F.sum("__n").over(every) - F.col("__n")
+    )
+    return per_fold.select(fold, rest.alias("training_mean"))
