@@ -150,7 +150,8 @@ def draw_index(block: Column, replicate: Column, draw: Column, clusters: Column)
     A function of its arguments alone: no dependence on partitioning or retries.
     """
     digest = F.md5(F.concat_ws("|", block, replicate.cast("string"), draw.cast("string")).cast("binary"))
-    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint") % clusters
+    # never NULL, and saying so keeps the digest from being evaluated twice in a join
+    return F.coalesce(F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint") % clusters, F.lit(0))
 
 
 def cluster_bootstrap(

@@ -54,7 +54,7 @@ def range_join(
     span = F.col(stop) - F.col(start)
     level = F.greatest(F.ceil(F.log2(span.cast("double"))), F.lit(0)).cast("int")
     filed = ranges.where(span > 0).withColumn("__level", level)
-    size = F.shiftleft(F.lit(1).cast("bigint"), F.col("__level"))
+    size = F.expr("shiftleft(1L, __level)")
     filed = filed.withColumn(
         "__block",
         F.explode(F.array_distinct(F.array(F.floor(F.col(start) / size), F.floor((F.col(stop) - 1) / size)))),

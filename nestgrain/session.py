@@ -24,6 +24,7 @@ def build_session(app: str = "nestgrain", master: str | None = None, cores: int
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
     )
     if master:
         builder = builder.master(master).config("spark.sql.shuffle.partitions", str(cores))
