@@ -21,7 +21,7 @@ def project_to_segment(px: Column, py: Column, ax: Column, ay: Column, bx: Colum
     return F.when(
         raw.isNotNull(),
         F.struct(
-            raw.alias("t_raw"), t.alias("t"), ~raw.between(0.0, 1.0).alias("clipped"),
+            raw.alias("t_raw"), t.alias("t"), (~raw.between(0.0, 1.0)).alias("clipped"),
             fx.alias("foot_x"), fy.alias("foot_y"), F.hypot(px - fx, py - fy).alias("distance"),
         ),
     )

@@ -124,7 +124,11 @@ def long_vector_pool(df: DataFrame, unit: list[str], middle: str | None, vector:
         parts = ["a", "b", "c"]
     # one entry per vector position: bounded by the vector length, not by the data
     ordered = F.array_sort(F.collect_list(F.struct("pos", *parts)))
-    blocks = [F.transform(F.col("__o"), lambda e, p=p: e[p]) for p in parts]
+
+    def block(part: str) -> Column:
+        return F.transform(F.col("__o"), lambda entry: entry[part])
+
+    blocks = [block(part) for part in parts]
     return pooled.groupBy(*unit).agg(ordered.alias("__o")).select(*unit, F.concat(*blocks).alias("representation"))
 
 

@@ -62,7 +62,7 @@ def interval_thickness(spark, sf_dir):
     curves = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
         F.array((F.col("l_quantity") - 2), F.col("l_quantity") + F.col("l_linenumber") - 3, F.col("l_quantity") * 1.5,
-                F.when(F.col("l_tax") > 0, F.col("l_quantity") * 2), F.col("l_quantity") * 2.5 - 30).alias("rows_px"))
+                F.when(F.col("l_tax") > 0, F.col("l_quantity") * 2), F.col("l_quantity") * 2.5 - 10).alias("rows_px"))
     thickness, reason = po.interval_thickness(F.col("rows_px"), F.lit(3.87), F.lit(90.0))
     wide = curves.select(reason.alias("reason"), thickness.alias("t"))
     out = wide.groupBy("reason").agg(
@@ -71,7 +71,7 @@ def interval_thickness(spark, sf_dir):
     return out
 
 
-_ROWS = ["l_quantity - 2", "l_quantity + l_linenumber - 3", "l_quantity * 1.5", "CASE WHEN l_tax > 0 THEN l_quantity * 2 END", "l_quantity * 2.5 - 30"]
+_ROWS = ["l_quantity - 2", "l_quantity + l_linenumber - 3", "l_quantity * 1.5", "CASE WHEN l_tax > 0 THEN l_quantity * 2 END", "l_quantity * 2.5 - 10"]
 _OK = [f"coalesce(b{i} >= 0 AND b{i} < 90, false)" for i in range(5)]
 _VALID = [f"({_OK[i]} AND {_OK[i + 1]} AND b{i + 1} - b{i} >= 0)" for i in range(4)]
 THICKNESS_SQL = f"""WITH b AS (SELECT {', '.join(f'{e} AS b{i}' for i, e in enumerate(_ROWS))} FROM lineitem),
