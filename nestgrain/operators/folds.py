@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import materialise
 from .contracts import GateError
 from .ordered import rank_within
 
@@ -112,7 +113,7 @@ def fold_summary(assigned: DataFrame, fold: str, loads: list[str]) -> DataFrame:
 
 def inner_folds(df: DataFrame, group: str, outer: str, folds: list[int], n_splits: int = 4) -> DataFrame:
     """(group, outer, inner array): for each outer fold the group's inner fold, NULL where it is held out."""
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n_rows"), F.min(outer).alias(outer))
+    sizes = materialise(df.groupBy(group).agg(F.count(F.lit(1)).alias("n_rows"), F.min(outer).alias(outer)))
     out = sizes.select(group, outer)
     for held in folds:
         train = sizes.where(F.col(outer) != held)
