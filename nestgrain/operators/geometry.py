@@ -192,3 +192,11 @@ def recommend(similarity_score: Column, affine_score: Column, affine_plausible:
 
 def reject_landmarks(median_error: Column, determinant: Column, limit: float = 50.0) -> Column:
     return F.coalesce((median_error > limit) | (determinant <= 0), F.lit(True))
+
+
+def map_on_grid(
+    joined: DataFrame, x: str, y: str, moving_size: tuple[Column, Column], fixed_size: tuple[Column, Column], grid: float = 512.0
+) -> DataFrame:
+    """Scale to a common square grid, apply the joined transform, scale to the target's native size."""
+    u, v = apply_transform(F.col(x) * grid / moving_size[0], F.col(y) * grid / moving_size[1])
+    return joined.withColumn("mapped_x", u * fixed_size[0] / grid).withColumn("mapped_y", v * fixed_size[1] / grid)

@@ -5,7 +5,7 @@ they travel as one short array per case and each point sorts that array in place
 Cases beyond the bound use a pyramid of grids: a level's cells hold the segments
 that touch them, each point looks at its 3 x 3 neighbourhood, and it is settled
 once its k-th distance cannot be beaten from outside. Unsettled points retry at the
-next, twice coarser level. Both forms give the same exact answer.
+next, four times coarser level. Both forms give the same exact answer.
 """
 
 from __future__ import annotations
@@ -23,18 +23,26 @@ def _ranked(hits: Column, k: int) -> Column:
     return F.slice(F.array_sort(hits), 1, k)
 
 
-def _emit(df: DataFrame, columns: list[str], index: str) -> DataFrame:
+def _emit(df: DataFrame, columns: list[str], xy: tuple[str, str], index: str) -> DataFrame:
+    """One row per chosen segment; only these few are projected in full."""
     spread = df.select(*columns, F.posexplode("__best").alias("__pos", "__hit"))
+    full = project_to_segment(F.col(xy[0]), F.col(xy[1]), *[F.col(f"__hit.e{n}") for n in range(4)])
     return spread.select(
-        *columns, (F.col("__pos") + 1).cast("bigint").alias("rank"), F.col("__hit.index").alias(index),
-        *[F.col(f"__hit.hit.{name}").alias(name) for name in ("t_raw", "t", "clipped", "foot_x", "foot_y", "distance")],
-    )
+        *columns, (F.col("__pos") + 1).cast("bigint").alias("rank"), F.col("__hit.index").alias(index), full.alias("__full")
+    ).select(*columns, "rank", index, "__full.*")
+
+
+def _gap(px: Column, py: Column, index: Column, ends: list[Column], raw: Column) -> Column:
+    """Sortable as (distance, index), with the segment's ends along for the ride."""
+    ax, ay, bx, by = ends
+    t = F.least(F.greatest(raw, F.lit(0.0)), F.lit(1.0))
+    distance = F.hypot(px - (ax + t * (bx - ax)), py - (ay + t * (by - ay)))
+    return F.struct(distance.alias("distance"), index.alias("index"), *[e.alias(f"e{n}") for n, e in enumerate(ends)])
 
 
-def _hit(px: Column, py: Column, index: Column, ends: list[Column]) -> Column:
-    """Sortable as (distance, index); the rest rides along."""
-    hit = project_to_segment(px, py, *ends)
-    return F.struct(hit["distance"].alias("distance"), index.alias("index"), hit.alias("hit"))
+def _along(px: Column, py: Column, ends: list[Column]) -> Column:
+    ax, ay, bx, by = ends
+    return F.try_divide((px - ax) * (bx - ax) + (py - ay) * (by - ay), (bx - ax) * (bx - ax) + (by - ay) * (by - ay))
 
 
 def nearest_segments(
@@ -49,22 +57,27 @@ def nearest_segments(
     columns = points.columns
     per_case = segments.groupBy(*case).agg(F.count(F.lit(1)).alias("__n"))
     if largest_group(segments, case) <= array_limit:
-        return _emit(_by_array(points, segments, case, xy, index, ends, k), columns, index)
+        return _emit(_by_array(points, segments, case, xy, index, ends, k), columns, xy, index)
     crowded = per_case.where(F.col("__n") > array_limit).select(*case)
     few = segments.join(crowded, case, "left_anti")
     many = segments.join(crowded, case, "left_semi")
     quiet = _by_array(points.join(crowded, case, "left_anti"), few, case, xy, index, ends, k)
     dense = _by_grid(points.join(crowded, case, "left_semi"), many, case, point_id, xy, index, ends, k)
-    return _emit(quiet.select(*columns, "__best").unionByName(dense.select(*columns, "__best")), columns, index)
+    return _emit(quiet.select(*columns, "__best").unionByName(dense.select(*columns, "__best")), columns, xy, index)
 
 
 def _by_array(points, segments, case, xy, index, ends, k) -> DataFrame:
     item = F.struct(F.col(index).alias("i"), *[F.col(e).alias(f"e{n}") for n, e in enumerate(ends)])
     # at most array_limit entries per case, measured by the caller
     lines = segments.groupBy(*case).agg(F.collect_list(item).alias("__lines"))
-    hits = F.transform(
-        F.col("__lines"), lambda s: _hit(F.col(xy[0]), F.col(xy[1]), s["i"], [s[f"e{n}"] for n in range(4)])
-    )
+    px, py = F.col(xy[0]), F.col(xy[1])
+
+    def parts(entry: Column) -> list[Column]:
+        return [entry[f"e{n}"] for n in range(4)]
+
+    # two passes bind the foot position once instead of repeating its expression
+    feet = F.transform(F.col("__lines"), lambda s: F.struct(_along(px, py, parts(s)).alias("raw"), s.alias("s")))
+    hits = F.transform(feet, lambda f: _gap(px, py, f["s"]["i"], parts(f["s"]), f["raw"]))
     return points.join(lines, case).withColumn("__best", _ranked(hits, k)).drop("__lines")
 
 
@@ -84,7 +97,7 @@ def _by_grid(points, segments, case, point_id, xy, index, ends, k) -> DataFrame:
     cell = F.greatest(width / F.sqrt("__n"), F.col("__len") / 16, F.lit(1e-9))
     frame = frame.select(
         *case, cell.alias("__cell"), F.least("__x0", "__px0").alias("__ox"), F.least("__y0", "__py0").alias("__oy"),
-        (F.ceil(F.log2(F.greatest(width / cell, F.lit(1.0)))) + 1).alias("__levels"),
+        (F.ceil(F.log2(F.greatest(width / cell, F.lit(1.0))) / 2) + 1).alias("__levels"),
     )
     frame = materialise(frame)
     top = int(frame.agg(F.max("__levels")).first()[0] or 0)
@@ -92,7 +105,7 @@ def _by_grid(points, segments, case, point_id, xy, index, ends, k) -> DataFrame:
     lines = segments.join(frame.select(*case, "__cell", "__ox", "__oy"), case)
     settled: DataFrame | None = None
     for level in range(top + 1):
-        size = F.col("__cell") * F.lit(float(2 ** level))
+        size = F.col("__cell") * F.lit(float(4 ** level))
         # conservative cover: every cell of the segment's column span, by its row span in that column
         col0, col1 = F.floor((F.least(ax, bx) - F.col("__ox")) / size), F.floor((F.greatest(ax, bx) - F.col("__ox")) / size)
         covered = lines.withColumn("__size", size).withColumn("__cx", F.explode(F.sequence(col0, col1)))
@@ -118,15 +131,18 @@ def _by_grid(points, segments, case, point_id, xy, index, ends, k) -> DataFrame:
         once = met.groupBy(*case, *point_id, "__index").agg(
             *[F.first(c).alias(c) for c in (*xy, "__size", *ends)]
         )
-        hits = once.select(*case, *point_id, "__size", _hit(F.col(xy[0]), F.col(xy[1]), F.col("__index"), [F.col(e) for e in ends]).alias("__h"))
+        px, py, corners = F.col(xy[0]), F.col(xy[1]), [F.col(e) for e in ends]
+        placed = once.withColumn("__raw", _along(px, py, corners))
+        hits = placed.select(*case, *point_id, "__size", _gap(px, py, F.col("__index"), corners, F.col("__raw")).alias("__h"))
         best = _top_hits(hits, [*case, *point_id], k)
         sure = (F.size("__best") >= k) & (F.element_at("__best", -1)["distance"] < F.col("__size"))
         if level == top:
             sure = F.lit(True)  # the neighbourhood now spans the whole case
-        done = best.where(sure).select(*case, *point_id, "__best")
-        found = materialise(pending.join(done, [*case, *point_id]))
+        marked = best.select(*case, *point_id, "__best", sure.alias("__sure"))
+        state = materialise(pending.join(marked, [*case, *point_id], "left"))
+        found = state.where(F.col("__sure")).drop("__sure")
         settled = found if settled is None else settled.unionByName(found)
-        pending = materialise(pending.join(done.select(*case, *point_id), [*case, *point_id], "left_anti"))
+        pending = state.where(~F.coalesce(F.col("__sure"), F.lit(False))).drop("__sure", "__best")
         if pending.isEmpty():
             break
     return settled
