@@ -1,13 +1,24 @@
-"""Array (vector / raster) expressions built from higher-order functions."""
+"""Array (vector / raster) expressions built from higher-order functions.
+
+A lambda body is evaluated once per element, so anything that does not depend on
+the element is bound outside it with ``let``.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it in ``body`` (a one-element transform)."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def as_doubles(values: Column) -> Column:
-    return F.transform(values, lambda v: v.cast("double"))
+    return values.cast("array<double>")
 
 
 def total(values: Column) -> Column:
@@ -19,7 +30,7 @@ def dot(left: Column, right: Column) -> Column:
 
 
 def norm(values: Column) -> Column:
-    return F.sqrt(dot(values, values))
+    return F.sqrt(F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v * v))
 
 
 def mean(values: Column) -> Column:
@@ -27,26 +38,36 @@ def mean(values: Column) -> Column:
 
 
 def population_sd(values: Column) -> Column:
-    centre = mean(values)
-    return F.sqrt(F.try_divide(total(F.transform(values, lambda v: (v - centre) * (v - centre))), F.size(values)))
+    def spread(centre: Column) -> Column:
+        squares = F.aggregate(values, F.lit(0.0), lambda acc, v: acc + (v - centre) * (v - centre))
+        return F.sqrt(F.try_divide(squares, F.size(values)))
+
+    return let(mean(values), spread)
 
 
 def standardise(values: Column) -> Column:
     """Z-scores with the population SD; a flat input becomes all zeros."""
-    centre, spread = mean(values), population_sd(values)
-    return F.when(spread > 0, F.transform(values, lambda v: (v - centre) / spread)).otherwise(
-        F.transform(values, lambda v: F.lit(0.0))
-    )
+    def scaled(bound: Column) -> Column:
+        return F.transform(
+            bound["v"], lambda v: F.when(bound["sd"] > 0, (v - bound["mean"]) / bound["sd"]).otherwise(F.lit(0.0)))
+
+    def with_moments(v: Column) -> Column:
+        return let(F.struct(v.alias("v"), mean(v).alias("mean"), population_sd(v).alias("sd")), scaled)
+
+    return let(values, with_moments)
 
 
 def unit(values: Column) -> Column:
-    length = norm(values)
-    return F.when(length > 0, F.transform(values, lambda v: v / length)).otherwise(values)
+    """Scaled to length one; a zero vector is left as it is."""
+    def scaled(bound: Column) -> Column:
+        return F.transform(bound["v"], lambda v: F.when(bound["n"] > 0, v / bound["n"]).otherwise(v))
+
+    return let(values, lambda v: let(F.struct(v.alias("v"), norm(v).alias("n")), scaled))
 
 
 def stride_sample(flat: Column, width: int, stride: int) -> Column:
     """Every ``stride``-th row and column of a row-major flattened raster."""
-    def kept(value, index):
+    def kept(value: Column, index: Column) -> Column:
         row, col = F.floor(index / F.lit(width)), index % F.lit(width)
         return (row % F.lit(stride) == 0) & (col % F.lit(stride) == 0)
 
@@ -60,25 +81,31 @@ def fingerprint(flat: Column, width: int, stride: int) -> Column:
 
 def adjacent_gaps(values: Column) -> Column:
     """values[i+1] - values[i]; empty for fewer than two entries."""
-    return F.zip_with(
-        F.slice(values, 2, F.greatest(F.size(values) - 1, F.lit(0))),
-        F.slice(values, 1, F.greatest(F.size(values) - 1, F.lit(0))),
-        lambda after, before: after - before,
-    )
+    count = F.greatest(F.size(values) - 1, F.lit(0))
+    return F.zip_with(F.slice(values, 2, count), F.slice(values, 1, count), lambda after, before: after - before)
 
 
-def array_percentile(values: Column, q: float) -> Column:
-    """Linear-interpolated percentile of one array (a bounded vector, not a column of rows)."""
-    ordered = F.array_sort(values)
-    position = F.lit(q) * (F.size(values) - 1)
+def _at(ordered: Column, q: float) -> Column:
+    position = F.lit(q) * (F.size(ordered) - 1)
     low = F.floor(position).cast("int")
-    high = F.ceil(position).cast("int")
-    below, above = F.get(ordered, low), F.get(ordered, high)
+    below, above = F.get(ordered, low), F.get(ordered, F.ceil(position).cast("int"))
     return below + (above - below) * (position - low)
 
 
+def array_percentile(values: Column, q: float) -> Column:
+    """Linear-interpolated percentile of one array (a bounded vector, not a column of rows)."""
+    return let(F.array_sort(values), lambda ordered: _at(ordered, q))
+
+
 def percentile_scale(values: Column, low_q: float, high_q: float, floor: float = 1.0) -> Column:
     """Clip-and-scale to [0, 1] between two percentiles; the span is at least ``floor``."""
-    low, high = array_percentile(values, low_q), array_percentile(values, high_q)
-    span = F.greatest(high - low, F.lit(floor))
-    return F.transform(values, lambda v: F.least(F.greatest((v - low) / span, F.lit(0.0)), F.lit(1.0)))
+    def scaled(bound: Column) -> Column:
+        span = F.greatest(bound["high"] - bound["low"], F.lit(floor))
+        return let(span, lambda s: F.transform(
+            bound["v"], lambda v: F.least(F.greatest((v - bound["low"]) / s, F.lit(0.0)), F.lit(1.0))))
+
+    def with_limits(v: Column) -> Column:
+        limits = let(F.array_sort(v), lambda o: F.struct(v.alias("v"), _at(o, low_q).alias("low"), _at(o, high_q).alias("high")))
+        return let(limits, scaled)
+
+    return let(values, with_limits)

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from ..session import materialise
 from .contracts import GateError
-from .ordered import rank_within
+from .ordered import rank_within, running_sum
 
 MAX_SIGNATURES = 1_000_000
 
@@ -112,15 +112,45 @@ def fold_summary(assigned: DataFrame, fold: str, loads: list[str]) -> DataFrame:
 
 
 def inner_folds(df: DataFrame, group: str, outer: str, folds: list[int], n_splits: int = 4) -> DataFrame:
-    """(group, outer, inner array): for each outer fold the group's inner fold, NULL where it is held out."""
+    """(group, outer, inner array): for each outer fold the group's inner fold, NULL where it is held out.
+
+    All outer folds share one sort: a group's rank among equally sized groups that
+    stay in training is a running count, kept per outer fold.
+    """
     sizes = materialise(df.groupBy(group).agg(F.count(F.lit(1)).alias("n_rows"), F.min(outer).alias(outer)))
-    out = sizes.select(group, outer)
+    runs = sizes.groupBy("n_rows", outer).agg(F.count(F.lit(1)).alias("__m")).limit(MAX_SIGNATURES + 1).collect()
+    if len(runs) > MAX_SIGNATURES:
+        raise GateError("too many distinct group sizes to balance exactly")
+    patterns: dict[int, dict[int, tuple[list[int], list[int]]]] = {}
+    largest: dict[int, int] = {}
+    for row in runs:
+        largest[row["n_rows"]] = largest.get(row["n_rows"], 0) + row["__m"]
     for held in folds:
-        train = sizes.where(F.col(outer) != held)
-        splits = min(n_splits, train.limit(n_splits).count())
-        inner = balanced_folds(train, group, ["n_rows"], splits, False, f"__in{held}").select(group, f"__in{held}")
-        out = out.join(inner, group, "left")
-    return out.select(group, outer, F.array(*[F.col(f"__in{held}") for held in folds]).alias("inner"))
+        kept: dict[int, int] = {}
+        for row in runs:
+            if row[outer] != held:
+                kept[row["n_rows"]] = kept.get(row["n_rows"], 0) + row["__m"]
+        ordered = [((n,), kept[n]) for n in sorted(kept, reverse=True)]
+        splits = min(n_splits, sum(kept.values()))
+        for (n,), lead, cycle in _place_runs(ordered, splits, False):
+            patterns.setdefault(n, {})[held] = ([f + 1 for f in lead], [f + 1 for f in cycle])
+    rows = [
+        (n, [found.get(h, ([], []))[0] for h in folds], [found.get(h, ([], []))[1] for h in folds])
+        for n, found in patterns.items()
+    ]
+    table = df.sparkSession.createDataFrame(rows, "n_rows bigint, __lead array<array<int>>, __cycle array<array<int>>")
+    stays = [f"__stay{h}" for h in folds]
+    marked = sizes.withColumns({s: (F.col(outer) != h).cast("int") for s, h in zip(stays, folds)})
+    ranks = [f"__rank{h}" for h in folds]
+    ranked = running_sum(marked, ["n_rows"], [group], stays, ranks, max(largest.values()))
+    joined = ranked.join(table if len(rows) > 100_000 else F.broadcast(table), "n_rows", "left")
+
+    def fold_of(i: int, held: int) -> Column:
+        lead, cycle, at = F.get("__lead", F.lit(i)), F.get("__cycle", F.lit(i)), F.col(f"__rank{held}") - 1
+        later = F.get(cycle, F.try_mod(at - F.size(lead), F.size(cycle)).cast("int"))
+        return F.when(F.col(outer) != held, F.when(at < F.size(lead), F.get(lead, at.cast("int"))).otherwise(later))
+
+    return joined.select(group, outer, F.array(*[fold_of(i, h) for i, h in enumerate(folds)]).alias("inner"))
 
 
 def leave_fold_out_mean(df: DataFrame, fold: str, value: str) -> DataFrame:

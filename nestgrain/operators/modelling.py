@@ -32,6 +32,7 @@ from .ordered import exact_percentiles
 
 MAX_FEATURES = 4096
 FAN_IN = 256
+BLOCK_VALUES = 65536
 
 
 @dataclass(frozen=True)
@@ -86,10 +87,12 @@ class Moments:
 
 def _dense(vectors: pd.Series, features: int) -> np.ndarray:
     """(rows, features) matrix with NaN for missing elements."""
-    out = np.full((len(vectors), features), np.nan)
-    for row, values in enumerate(vectors):
-        out[row] = np.asarray(values, dtype=np.float64)
-    return out
+    return np.vstack(vectors.to_numpy()).astype(np.float64).reshape(len(vectors), features)
+
+
+def _inner(folds: pd.Series) -> np.ndarray:
+    """(rows, outer folds) inner fold numbers with 0 where a row is held out."""
+    return np.nan_to_num(np.vstack(folds.to_numpy()).astype(np.float64)).astype(int)
 
 
 def _sum_arrays(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -131,6 +134,7 @@ def cell_moments(
 ) -> dict[tuple[int, int], Moments]:
     """Moments for each (outer position, inner fold) cell; ``inner`` holds a row's fold for every outer fold."""
     width = features + len(gaps) + 2
+    step = max(1, BLOCK_VALUES // width)  # matrix rows per shuffled record
 
     def run(batches):
         sums: dict[tuple[int, int], np.ndarray] = {}
@@ -140,7 +144,7 @@ def cell_moments(
             m = _dense(pdf[x], features) - shift
             holes = np.isnan(m[:, gaps]).astype(float)
             z = np.column_stack([np.ones(len(m)), np.nan_to_num(m), holes, pdf[y].to_numpy(float) - y_shift])
-            inner = np.stack([np.array([-1 if v is None or v != v else int(v) for v in row]) for row in pdf["inner"]])
+            inner = _inner(pdf["inner"])
             for o in range(len(outer)):
                 for i in np.unique(inner[:, o]):
                     if i > 0:
@@ -149,12 +153,15 @@ def cell_moments(
                         cell += part.T @ part
         task = TaskContext.get().partitionId()
         for (o, i), cell in sums.items():
-            yield pd.DataFrame({"part": task, "o": o, "i": i, "r": np.arange(width), "values": list(cell)})
+            blocks = [cell[at:at + step].ravel() for at in range(0, width, step)]
+            yield pd.DataFrame({"part": task, "o": o, "i": i, "b": np.arange(len(blocks)), "values": blocks})
 
-    partial = df.select(x, y, "inner").mapInPandas(run, "part int, o int, i int, r int, values array<double>")
+    partial = df.select(x, y, "inner").mapInPandas(run, "part int, o int, i int, b int, values array<double>")
     cells: dict[tuple[int, int], np.ndarray] = {}
-    for row in _sum_arrays(partial, ["o", "i", "r"]).collect():
-        cells.setdefault((row["o"], row["i"]), np.zeros((width, width)))[row["r"]] = row["values"]
+    for row in _sum_arrays(partial, ["o", "i", "b"]).collect():
+        block = np.asarray(row["values"]).reshape(-1, width)
+        at = row["b"] * step
+        cells.setdefault((row["o"], row["i"]), np.zeros((width, width)))[at:at + len(block)] = block
     return {key: Moments(value, features, gaps) for key, value in cells.items()}
 
 
@@ -309,7 +316,7 @@ def nested_ladder(
                     continue
                 m = _dense(pdf["__x"], features)
                 target = pdf["__y"].to_numpy(float)
-                folds = np.stack([np.array([-1 if v is None or v != v else int(v) for v in row]) for row in pdf["inner"]])
+                folds = _inner(pdf["inner"])
                 for (o, i), table in coefficients.items():
                     mask = folds[:, o] == i
                     if mask.any():

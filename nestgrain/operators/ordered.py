@@ -69,20 +69,23 @@ def rank_within(
 
 
 def running_sum(
-    df: DataFrame, group: list[str], order: list, value: str, name: str, largest: int | None = None
+    df: DataFrame, group: list[str], order: list, value: str | list[str], name: str | list[str], largest: int | None = None
 ) -> DataFrame:
-    """Inclusive running total of ``value`` along ``order``."""
+    """Inclusive running total of one or several columns along ``order``, in one pass."""
+    values, names = ([value], [name]) if isinstance(value, str) else (value, name)
     per_task = rows_per_task(df.sparkSession)
     keyed, keys = (df, group) if group else (df.withColumn("__all", F.lit(0)), ["__all"])
     if (largest if largest is not None else largest_group(df, group)) <= per_task:
-        window = Window.partitionBy(*keys).orderBy(*_order_columns(order))
-        out = keyed.withColumn(name, F.sum(value).over(window.rowsBetween(Window.unboundedPreceding, 0)))
+        frame = Window.partitionBy(*keys).orderBy(*_order_columns(order)).rowsBetween(Window.unboundedPreceding, 0)
+        out = keyed.withColumns({n: F.sum(v).over(frame) for v, n in zip(values, names)})
     else:
         sliced = slice_by_range(keyed, keys, order, per_task)
-        window = Window.partitionBy(*keys, SLICE).orderBy(*_order_columns(order))
-        out = sliced.withColumn(name, F.sum(value).over(window.rowsBetween(Window.unboundedPreceding, 0)))
-        out = _add_carry(out, _carry(sliced, keys, F.sum(value), "__before"), keys, "__before")
-        out = out.withColumn(name, F.col(name) + F.coalesce(F.col("__before"), F.lit(0))).drop("__before", SLICE)
+        frame = Window.partitionBy(*keys, SLICE).orderBy(*_order_columns(order)).rowsBetween(Window.unboundedPreceding, 0)
+        out = sliced.withColumns({n: F.sum(v).over(frame) for v, n in zip(values, names)})
+        for v, n in zip(values, names):
+            out = _add_carry(out, _carry(sliced, keys, F.sum(v), "__before"), keys, "__before")
+            out = out.withColumn(n, F.col(n) + F.coalesce(F.col("__before"), F.lit(0))).drop("__before")
+        out = out.drop(SLICE)
     return out if group else out.drop("__all")
 
 

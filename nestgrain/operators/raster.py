@@ -253,7 +253,7 @@ def prepare_patches(df: DataFrame, keys: list[str], pixels: str = "pixels") -> D
         for pdf in batches:
             out = []
             for row in pdf.to_dict("records"):
-                record = {k: row[k] for k in keys}
+                record = {k: row[k] for k in keys} | {"error": None}
                 try:
                     record |= prepare_patch(_image(row[pixels], row["height"], row["width"]))[1]
                 except ValueError as problem:

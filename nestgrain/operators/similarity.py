@@ -13,7 +13,7 @@ from .contracts import GateError
 from .ordered import running_sum, top_within
 
 TILE = 2048
-PIVOTS = 64
+MAX_PIVOTS = 1024
 SCORE_DIGITS = 10
 
 
@@ -23,12 +23,13 @@ def _matrix(vectors: pd.Series) -> np.ndarray:
 
 def top_k_similar(
     left: DataFrame, right: DataFrame, id_col: str, vector: str, k: int, block: list[str] | None = None,
-    exclude_same: bool = False, tile: int = TILE, pivots: int = PIVOTS,
+    exclude_same: bool = False, tile: int = TILE, pivots: int | None = None,
 ) -> DataFrame:
     """The k right vectors with the largest dot product for each left vector (exact; ties to the lower id).
 
     With ``block`` only vectors of the same block are compared. Otherwise the right
-    side is split into cells around a fixed number of pivot vectors. A left vector
+    side is split into cells around pivot vectors (about one per four tiles of data,
+    at most ``MAX_PIVOTS``). A left vector
     first searches its nearest pivot's cell; then only cells whose best conceivable
     score (pivot score plus cell radius) still reaches its k-th score are searched.
     Cells of any size are cut into tiles, so no task holds more than about two
@@ -41,8 +42,10 @@ def top_k_similar(
     if keys:
         return _search(a, b.withColumn("__cell", F.lit(0)), a.withColumn("__cell", F.lit(0)), keys, k, exclude_same, tile)
 
-    centres = [row[0] for row in b.orderBy(F.xxhash64("sid"), "sid").limit(pivots).select("sv").collect()]
-    if not centres:
+    if pivots is None:
+        pivots = min(MAX_PIVOTS, b.count() // (4 * tile))
+    centres = [row[0] for row in b.orderBy(F.xxhash64("sid"), "sid").limit(pivots).select("sv").collect()] if pivots > 1 else []
+    if len(centres) < 2:
         return _search(a.withColumn("__cell", F.lit(0)), b.withColumn("__cell", F.lit(0)), a.withColumn("__cell", F.lit(0)), [], k, exclude_same, tile)
     shared = spark.sparkContext.broadcast(np.asarray(centres, dtype=np.float64))
 
