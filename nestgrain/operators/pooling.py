@@ -114,16 +114,17 @@ def vector_pool(df: DataFrame, unit: list[str], vector: str, dimension: int) ->
 
 def long_vector_pool(df: DataFrame, unit: list[str], middle: str | None, vector: str) -> DataFrame:
     """Vector pooling for wide vectors via element rows: mean, between SD and, with ``middle``, mean within SD."""
-    elements = df.select(*unit, *([middle] if middle else []), F.posexplode(vector).alias("pos", "v"))
+    elements = df.select(*unit, *([middle] if middle else []), F.posexplode(vector).alias("__pos", "__v"))
     if middle is None:
-        pooled = elements.groupBy(*unit, "pos").agg(F.avg("v").alias("a"), F.stddev_pop("v").alias("b"))
-        parts = ["a", "b"]
+        pooled = elements.groupBy(*unit, "__pos").agg(F.avg("__v").alias("__a"), F.stddev_pop("__v").alias("__b"))
+        parts = ["__a", "__b"]
     else:
-        scans = elements.groupBy(*unit, middle, "pos").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"))
-        pooled = scans.groupBy(*unit, "pos").agg(F.avg("m").alias("a"), F.stddev_pop("m").alias("b"), F.avg("s").alias("c"))
-        parts = ["a", "b", "c"]
+        scans = elements.groupBy(*unit, middle, "__pos").agg(F.avg("__v").alias("__m"), F.stddev_pop("__v").alias("__s"))
+        pooled = scans.groupBy(*unit, "__pos").agg(
+            F.avg("__m").alias("__a"), F.stddev_pop("__m").alias("__b"), F.avg("__s").alias("__c"))
+        parts = ["__a", "__b", "__c"]
     # one entry per vector position: bounded by the vector length, not by the data
-    ordered = F.array_sort(F.collect_list(F.struct("pos", *parts)))
+    ordered = F.array_sort(F.collect_list(F.struct("__pos", *parts)))
 
     def block(part: str) -> Column:
         return F.transform(F.col("__o"), lambda entry: entry[part])
