@@ -20,12 +20,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import small
+from ..session import small, spread_small
 from .contracts import GateError, require_empty, split_groups
 from .folds import inner_folds
 from .ordered import exact_percentiles
@@ -85,14 +86,26 @@ class Moments:
 
 # ---- passes over the data -----------------------------------------------------------
 
-def _dense(vectors: pd.Series, features: int) -> np.ndarray:
-    """(rows, features) matrix with NaN for missing elements."""
-    return np.vstack(vectors.to_numpy()).astype(np.float64).reshape(len(vectors), features)
+def _dense(column: pa.Array, features: int) -> np.ndarray:
+    """(rows, features) matrix straight from the Arrow buffer, NaN for missing elements."""
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return np.asarray(flat, dtype=np.float64).reshape(len(column), features)
 
 
-def _inner(folds: pd.Series) -> np.ndarray:
+def _inner(column: pa.Array, outer_folds: int) -> np.ndarray:
     """(rows, outer folds) inner fold numbers with 0 where a row is held out."""
-    return np.nan_to_num(np.vstack(folds.to_numpy()).astype(np.float64)).astype(int)
+    return np.nan_to_num(_dense(column, outer_folds)).astype(int)
+
+
+def _numbers(column: pa.Array) -> np.ndarray:
+    return np.asarray(column.to_numpy(zero_copy_only=False), dtype=np.float64)
+
+
+def _sums_batch(keys: dict[str, list], values: list[np.ndarray]) -> pa.RecordBatch:
+    """Partial sums of this task: int key columns, the task number and one value array per row."""
+    ints = {**keys, "part": [TaskContext.get().partitionId()] * len(values)}
+    columns = [pa.array(v, pa.int32()) for v in ints.values()]
+    return pa.RecordBatch.from_arrays([*columns, pa.array([v.tolist() for v in values], pa.list_(pa.float64()))], [*ints, "values"])
 
 
 def _sum_arrays(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -112,15 +125,14 @@ def feature_sums(df: DataFrame, x: str, y: str, features: int) -> tuple[np.ndarr
     """Shift (approximate centre) for features and target, and the columns that have gaps."""
     def run(batches):
         total = np.zeros(2 * features + 2)
-        for pdf in batches:
-            if len(pdf):
-                m = _dense(pdf[x], features)
-                total[:features] += np.nansum(m, axis=0)
-                total[features:2 * features] += np.isnan(m).sum(axis=0)
-                total[-2:] += (pdf[y].astype(float).sum(), len(pdf))
-        yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "key": [0], "values": [total]})
-
-    partial = df.select(x, y).mapInPandas(run, "part int, key int, values array<double>")
+        for batch in batches:
+            m = _dense(batch.column(0), features)
+            total[:features] += np.nansum(m, axis=0)
+            total[features:2 * features] += np.isnan(m).sum(axis=0)
+            total[-2:] += (_numbers(batch.column(1)).sum(), len(m))
+        yield _sums_batch({"key": [0]}, [total])
+
+    partial = df.select(x, y).mapInArrow(run, "key int, part int, values array<double>")
     total = np.asarray(_sum_arrays(partial, ["key"]).first()["values"])
     rows = total[-1]
     if rows == 0:
@@ -138,25 +150,22 @@ def cell_moments(
 
     def run(batches):
         sums: dict[tuple[int, int], np.ndarray] = {}
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            m = _dense(pdf[x], features) - shift
+        for batch in batches:
+            m = _dense(batch.column(0), features) - shift
             holes = np.isnan(m[:, gaps]).astype(float)
-            z = np.column_stack([np.ones(len(m)), np.nan_to_num(m), holes, pdf[y].to_numpy(float) - y_shift])
-            inner = _inner(pdf["inner"])
+            z = np.column_stack([np.ones(len(m)), np.nan_to_num(m), holes, _numbers(batch.column(1)) - y_shift])
+            inner = _inner(batch.column(2), len(outer))
             for o in range(len(outer)):
                 for i in np.unique(inner[:, o]):
                     if i > 0:
                         part = z[inner[:, o] == i]
                         cell = sums.setdefault((o, int(i)), np.zeros((width, width)))
                         cell += part.T @ part
-        task = TaskContext.get().partitionId()
         for (o, i), cell in sums.items():
             blocks = [cell[at:at + step].ravel() for at in range(0, width, step)]
-            yield pd.DataFrame({"part": task, "o": o, "i": i, "b": np.arange(len(blocks)), "values": blocks})
+            yield _sums_batch({"o": [o] * len(blocks), "i": [i] * len(blocks), "b": list(range(len(blocks)))}, blocks)
 
-    partial = df.select(x, y, "inner").mapInPandas(run, "part int, o int, i int, b int, values array<double>")
+    partial = df.select(x, y, "inner").mapInArrow(run, "o int, i int, b int, part int, values array<double>")
     cells: dict[tuple[int, int], np.ndarray] = {}
     for row in _sum_arrays(partial, ["o", "i", "b"]).collect():
         block = np.asarray(row["values"]).reshape(-1, width)
@@ -277,7 +286,8 @@ def nested_ladder(
     require_empty(split_groups(df, group, outer), "group split across outer folds")
     outer_values = sorted(int(r[0]) for r in df.select(outer).distinct().collect())
     assigned = inner_folds(df, group, outer, outer_values, inner).select(group, "inner")
-    rows = df.select(*keys, group, outer, F.col(x).alias("__x"), F.col(y).cast("double").alias("__y")).join(small(assigned), group)
+    rows = df.select(*keys, group, outer, F.col(x).alias("__x"), F.col(y).cast("double").alias("__y"))
+    rows = spread_small(rows).join(small(assigned), group)
     shift, y_shift, gaps = feature_sums(rows, "__x", "__y", features)
     cells = cell_moments(rows, "__x", "__y", features, outer_values, shift, y_shift, gaps)
     medians = training_medians(rows, "__x", gaps, outer_values, inner)
@@ -311,24 +321,19 @@ def nested_ladder(
         def errors(batches):
             coefficients, filling = shared.value
             total = {cell: np.zeros(len(labels) + 1) for cell in coefficients}
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                m = _dense(pdf["__x"], features)
-                target = pdf["__y"].to_numpy(float)
-                folds = _inner(pdf["inner"])
+            for batch in batches:
+                m, target = _dense(batch.column(0), features), _numbers(batch.column(1))
+                folds = _inner(batch.column(2), len(outer_values))
                 for (o, i), table in coefficients.items():
                     mask = folds[:, o] == i
                     if mask.any():
-                        part = _filled(m[mask].copy(), filling[(o, i)])
+                        part = _filled(m[mask], filling[(o, i)])
                         gap = np.abs(part @ table[:, 1:].T + table[:, 0] - target[mask][:, None])
                         total[(o, i)][:-1] += gap.sum(0)
                         total[(o, i)][-1] += mask.sum()
-            task = TaskContext.get().partitionId()
-            yield pd.DataFrame({
-                "part": task, "o": [o for o, _ in total], "i": [i for _, i in total], "values": list(total.values())})
+            yield _sums_batch({"o": [o for o, _ in total], "i": [i for _, i in total]}, list(total.values()))
 
-        partial = rows.select("__x", "__y", "inner").mapInPandas(errors, "part int, o int, i int, values array<double>")
+        partial = rows.select("__x", "__y", "inner").mapInArrow(errors, "o int, i int, part int, values array<double>")
         for row in _sum_arrays(partial, ["o", "i"]).collect():
             values = np.asarray(row["values"])
             for label, value in zip(labels, values[:-1] / values[-1]):
@@ -368,22 +373,23 @@ def nested_ladder(
     chosen = spark.sparkContext.broadcast(final)
 
     def predict(batches):
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            m = _dense(pdf["__x"], features)
-            out = np.empty((len(pdf), len(models)))
-            held = pdf[outer].to_numpy()
+        for batch in batches:
+            m = _dense(batch.column("__x"), features)
+            out = np.empty((len(m), len(models)))
+            held = _numbers(batch.column(outer))
             for fold, (table, fill) in chosen.value.items():
                 mask = held == fold
                 if mask.any():
-                    out[mask] = _filled(m[mask].copy(), fill) @ table[:, 1:].T + table[:, 0]
-            yield pdf.drop(columns=["__x"]).assign(__p=list(out))
+                    out[mask] = _filled(m[mask], fill) @ table[:, 1:].T + table[:, 0]
+            offsets = pa.array(np.arange(len(m) + 1, dtype=np.int32) * len(models))
+            guesses = pa.ListArray.from_arrays(offsets, pa.array(out.ravel()))
+            passed = [name for name in batch.schema.names if name != "__x"]
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in passed], guesses], [*passed, "__p"])
 
     kept = [*keys, group, outer, "__y"]
     kept = list(dict.fromkeys(kept))
     schema = T.StructType([rows.schema[name] for name in kept] + [T.StructField("__p", T.ArrayType(T.DoubleType()))])
-    wide = rows.select(*kept, "__x").mapInPandas(predict, schema)
+    wide = rows.select(*kept, "__x").mapInArrow(predict, schema)
     names = F.array(*[F.lit(m.name) for m in models])
     long = wide.select(*kept, F.posexplode("__p").alias("__pos", "prediction"))
     predictions = long.select(

@@ -83,18 +83,18 @@ def interval_thickness(values: Column, scale_um: Column, height: Column) -> tupl
     A boundary is usable when present, non-negative and inside the image. A gap is
     kept when both its boundaries are usable and it is not negative.
     """
-    usable = F.transform(values, lambda v: F.coalesce(~F.isnan(v) & (v >= 0) & (v < height), F.lit(False)))
-    count = F.size(values) - 1
-    upper, lower = F.slice(values, 1, count), F.slice(values, 2, count)
-    ok_upper, ok_lower = F.slice(usable, 1, count), F.slice(usable, 2, count)
-    gaps = F.zip_with(lower, upper, lambda b, a: b - a)
-    both = F.zip_with(ok_upper, ok_lower, lambda a, b: a & b)
-    valid = F.zip_with(both, gaps, lambda ok, gap: ok & (gap >= 0))
-    thickness = F.zip_with(valid, gaps, lambda ok, gap: F.when(ok, gap * scale_um))
+    def in_image(v: Column) -> Column:
+        return F.coalesce(~F.isnan(v) & (v >= 0) & (v < height), F.lit(False))
+
+    def pairs(v: Column) -> Column:
+        return F.arrays_zip(F.slice(v, 1, F.size(v) - 1).alias("a"), F.slice(v, 2, F.size(v) - 1).alias("b"))
+
+    thickness = F.transform(
+        pairs(values), lambda p: F.when(in_image(p["a"]) & in_image(p["b"]) & (p["b"] >= p["a"]), (p["b"] - p["a"]) * scale_um))
     reason = (
-        F.when(F.forall(valid, lambda v: v), F.lit(""))
-        .when(~F.forall(usable, lambda v: v), F.lit("negative_or_missing_boundary_sentinel"))
-        .otherwise(F.lit("locally_crossed_boundary_pair"))
+        F.when(~F.forall(values, in_image), F.lit("negative_or_missing_boundary_sentinel"))
+        .when(F.exists(pairs(values), lambda p: p["b"] < p["a"]), F.lit("locally_crossed_boundary_pair"))
+        .otherwise(F.lit(""))
     )
     return thickness, reason
 

@@ -253,13 +253,14 @@ def prepare_patches(df: DataFrame, keys: list[str], pixels: str = "pixels") -> D
         for pdf in batches:
             out = []
             for row in pdf.to_dict("records"):
-                record = {k: row[k] for k in keys} | {"error": None}
+                record = dict.fromkeys(names) | {k: row[k] for k in keys}
                 try:
                     record |= prepare_patch(_image(row[pixels], row["height"], row["width"]))[1]
                 except ValueError as problem:
                     record["error"] = str(problem)
                 out.append(record)
-            yield pd.DataFrame(out, columns=names)
+            # object columns keep a missing integer a NULL instead of turning the column into floats
+            yield pd.DataFrame({name: pd.Series([r[name] for r in out], dtype=object) for name in names})
 
     return df.select(*dict.fromkeys([*keys, "height", "width", pixels])).mapInPandas(run, T.StructType(fields))
 

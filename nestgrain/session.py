@@ -77,3 +77,14 @@ def is_at_most(df: DataFrame, rows: int) -> bool:
 def small(df: DataFrame) -> DataFrame:
     """Mark ``df`` for broadcast when its measured size allows, else leave the choice to Spark."""
     return F.broadcast(df) if is_at_most(df, broadcast_rows(df.sparkSession)) else df
+
+
+def spread_small(df: DataFrame, rows: int = 2_000_000) -> DataFrame:
+    """Give a small input one partition per core before heavy per-row work.
+
+    A small table sits in one or two file splits and would run on as many cores. A
+    larger one has splits enough and is returned as it is, without a shuffle.
+    """
+    if not is_at_most(df, rows):
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)

@@ -111,7 +111,7 @@ def test_grid_fit(spark):
     df = spark.createDataFrame([("c", float(x), float(y)) for x, y in noisy], "case_id string, x double, y double")
     fit = ra.fit_marker_grids(df, ["case_id"]).first()
     assert abs(fit["centre_x"] - cx) <= 0.5 and abs(fit["centre_y"] - cy) <= 0.5 and abs(fit["outer_radius"] - r) <= 0.5
-    assert abs(math.remainder(fit["base_angle"] - 0.2, math.pi / 6)) < 0.02 and abs(fit["base_angle"] + math.pi / 2) <= math.pi / 12 + 1e-9
+    assert abs(math.remainder(fit["base_angle"] - 0.2, math.pi / 6)) < 0.02 and abs(math.remainder(fit["base_angle"] + math.pi / 2, 2 * math.pi)) <= math.pi / 12 + 1e-9
     assert ra.grid_locations(ra.fit_marker_grids(df, ["case_id"]), ["case_id"]).count() == 37
     with pytest.raises(ct.GateError):
         ra.fit_marker_grids(df, ["case_id"], limit=5)
