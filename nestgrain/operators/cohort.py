@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import case_identifier
-from ..session import small
+from ..session import materialise, small
 from .contracts import key_set_difference, require_empty, require_unique
-from .ordered import first_per_group
+from .ordered import first_per_group, rank_within
 
 
 # ---- rule cascades ---------------------------------------------------------------
@@ -127,6 +127,35 @@ def review_queue(audits: DataFrame, found: DataFrame, key: str, strata: list[str
     return flagged.unionByName(first.select(*audits.columns, F.lit("unflagged_sample").alias("review_reason"), F.lit("").alias("issues")))
 
 
+def review_scans(volumes: DataFrame, scans: DataFrame, group: str, narrow: Column, score: str, index: str, count: int, target: int = 24) -> DataFrame:
+    """Volumes worth a look and, in each, the scan nearest to index ``target``.
+
+    Narrow volumes come first, then the three lowest and two highest scores, then
+    volumes evenly spaced in ``group`` order. The first reason that lists a volume
+    counts, and the first ``count`` volumes are kept. Ties go to the smaller key.
+    """
+    ranked = materialise(rank_within(volumes, [], [group], "__at"))
+    total = ranked.count()
+    spaced = sorted({(int(k * (total - 1) / (count - 1)) if count > 1 else 0, k) for k in range(count)} if total else set())
+    places = ranked.sparkSession.createDataFrame(spaced or [(-1, 0)], "__pos bigint, __k bigint")
+
+    def listed(df: DataFrame, step: int, order: Column) -> DataFrame:
+        return df.select(*volumes.columns, F.struct(F.lit(step).alias("step"), order.cast("double").alias("at")).alias("__p"))
+
+    # scores ascend within each block; equal scores keep group order
+    low = ranked.orderBy(score, group).limit(3)
+    high = ranked.orderBy(F.col(score).desc(), F.col(group).desc()).limit(2)
+    even = ranked.join(F.broadcast(places), F.col("__at") - 1 == F.col("__pos"))
+    candidates = (
+        listed(ranked.where(narrow), 0, F.col("__at")).unionByName(listed(low, 1, F.col(score)))
+        .unionByName(listed(high, 2, F.col(score))).unionByName(listed(even, 3, F.col("__k"))))
+    once = candidates.groupBy(*volumes.columns).agg(F.min("__p").alias("__p"))
+    kept = once.orderBy("__p", group).limit(count)
+    nearest = scans.join(F.broadcast(kept.select(group)), group, "left_semi").groupBy(group).agg(
+        F.min_by(F.col(index), F.struct(F.abs(F.col(index) - target), F.col(index))).alias(index))
+    return kept.drop("__p").join(nearest, group)
+
+
 # ---- expected sources ---------------------------------------------------------------
 
 def source_audit(cases: DataFrame, key: str, templates: dict[str, Column], listing: DataFrame, path: str = "path") -> DataFrame:

@@ -17,10 +17,11 @@ def tolerance_join(
     Returns one row per left row: the match count and, when it is unique, the
     match. Equal tuples are collapsed on both sides before the join, so a hot tuple
     costs one row per side instead of all its pairs. Each near field is cut into
-    cells far wider than the tolerance and joined on cell equality; the left tuple
-    also probes a neighbouring cell when it lies within reach of the edge.
+    cells a few tolerances wide and joined on cell equality; the left tuple also
+    probes a neighbouring cell when it lies within reach of the edge. Narrow cells
+    keep the candidates close to the true matches however the values cluster.
     """
-    width = max(tolerance * 1e4, 1e-9)
+    width = max(tolerance * 8, 1e-9)
     lookup = right.groupBy(*exact, *near).agg(F.count(F.lit(1)).alias("__rn"), F.min(right_id).alias("__rid"))
     probes = left.select(*exact, *near).distinct()
     for field in near:

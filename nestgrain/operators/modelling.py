@@ -181,12 +181,14 @@ def training_medians(df: DataFrame, x: str, gaps: list[int], outer: list[int], i
     sets = F.flatten(F.array(*[
         _training_sets(o, inner) for o in range(len(outer))
     ]))
-    cells = df.select(sets.alias("sets"), F.explode(F.array(*[
+    # equal values of rows with equal fold membership are counted before they are multiplied out
+    cells = df.select("inner", F.explode(F.array(*[
         F.struct(F.lit(c).alias("c"), F.get(x, F.lit(c)).alias("v")) for c in gaps
     ])).alias("e")).where(F.col("e.v").isNotNull())
-    long = cells.select(F.explode("sets").alias("s"), F.col("e.c").alias("c"), F.col("e.v").alias("v"))
-    long = long.select(F.col("s.o").alias("o"), F.col("s.j").alias("j"), "c", "v")
-    medians = exact_percentiles(long, ["o", "j", "c"], "v", {"m": 0.5})
+    counted = cells.groupBy("inner", F.col("e.c").alias("c"), F.col("e.v").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    long = counted.select(F.explode(sets).alias("s"), "c", "v", "n")
+    long = long.select(F.col("s.o").alias("o"), F.col("s.j").alias("j"), "c", "v", "n")
+    medians = exact_percentiles(long, ["o", "j", "c"], "v", {"m": 0.5}, weight="n")
     return {(r["o"], r["j"], r["c"]): r["m"] for r in medians.collect()}
 
 
@@ -287,7 +289,7 @@ def nested_ladder(
     outer_values = sorted(int(r[0]) for r in df.select(outer).distinct().collect())
     assigned = inner_folds(df, group, outer, outer_values, inner).select(group, "inner")
     rows = df.select(*keys, group, outer, F.col(x).alias("__x"), F.col(y).cast("double").alias("__y"))
-    rows = spread_small(rows).join(small(assigned), group)
+    rows = spread_small(rows.join(small(assigned), group))
     shift, y_shift, gaps = feature_sums(rows, "__x", "__y", features)
     cells = cell_moments(rows, "__x", "__y", features, outer_values, shift, y_shift, gaps)
     medians = training_medians(rows, "__x", gaps, outer_values, inner)

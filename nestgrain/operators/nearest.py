@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import largest_group, materialise, spread_small
+from ..session import broadcast_rows, is_at_most, largest_group, materialise, spread_small
 from .geometry import project_to_segment
 
 ARRAY_SEGMENTS = 512
@@ -71,6 +71,8 @@ def _by_array(points, segments, case, xy, index, ends, k) -> DataFrame:
     item = F.struct(F.col(index).alias("i"), *[F.col(e).alias(f"e{n}") for n, e in enumerate(ends)])
     # at most array_limit entries per case, measured by the caller
     lines = segments.groupBy(*case).agg(F.collect_list(item).alias("__lines"))
+    if is_at_most(segments, broadcast_rows(points.sparkSession)):
+        lines = F.broadcast(lines)  # bounded by segments, not by cases
     px, py = F.col(xy[0]), F.col(xy[1])
 
     def parts(entry: Column) -> list[Column]:

@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import largest_group, materialise, rows_per_task
+from ..session import largest_group, materialise, rows_per_task, small
 
 SLICE = "__slice"
 
@@ -112,26 +112,30 @@ def previous_value(
 
 
 def exact_percentiles(
-    df: DataFrame, group: list[str], value: str, quantiles: dict[str, float], largest: int | None = None
+    df: DataFrame, group: list[str], value: str, quantiles: dict[str, float], largest: int | None = None,
+    weight: str | None = None,
 ) -> DataFrame:
     """Exact linearly interpolated percentiles per group, NULLs skipped.
 
+    ``weight`` is a whole number of copies of each row, for pre-aggregated input.
+
     Spark's ``percentile`` buffers every distinct value of a group in one task, so
     oversized groups are pre-aggregated to (value, count), range-partitioned and
     read off their running counts instead.
     """
-    present = df.where(F.col(value).isNotNull()).select(*group, F.col(value).cast("double").alias("__v"))
+    copies = F.lit(1).cast("bigint") if weight is None else F.col(weight).cast("bigint")
+    present = df.where(F.col(value).isNotNull()).select(*group, F.col(value).cast("double").alias("__v"), copies.alias("__w"))
     per_task = rows_per_task(df.sparkSession)
     if (largest if largest is not None else largest_group(present, group)) <= per_task:
-        aggs = [F.percentile("__v", F.lit(q)).alias(name) for name, q in quantiles.items()]
+        aggs = [F.percentile("__v", F.lit(q), F.col("__w")).alias(name) for name, q in quantiles.items()]
         return present.groupBy(*group).agg(*aggs) if group else present.agg(*aggs)
     keys = group or ["__all"]
     if not group:
         present = present.withColumn("__all", F.lit(0))
-    counts = present.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__c"))
+    counts = present.groupBy(*keys, "__v").agg(F.sum("__w").alias("__c"))
     cumulative = running_sum(counts, keys, ["__v"], "__c", "__cum")
     totals = counts.groupBy(*keys).agg(F.sum("__c").alias("__n"))
-    joined = cumulative.join(totals, keys)
+    joined = cumulative.join(small(totals), keys)
     aggs, finals = [], []
     for name, q in quantiles.items():
         position = F.lit(q) * (F.col("__n") - 1)
@@ -151,7 +155,7 @@ def evenly_spaced(
     """``count`` rows per group at positions rint(k * (n - 1) / (count - 1)), half-even."""
     ranked = rank_within(df, group, order, "__rn", largest)
     sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"))
-    joined = ranked.join(sizes, group)
+    joined = ranked.join(small(sizes), group)
     step = (F.col("__n") - 1) / F.lit(float(count - 1))
     slots = F.array(*[F.struct(F.lit(k + 1).alias("k"), (F.rint(step * k) + 1).cast("bigint").alias("at")) for k in range(count)])
     chosen = F.filter(slots, lambda s: s["at"] == F.col("__rn"))

@@ -162,7 +162,24 @@ def event_properties(spark, sf_dir):
     return e.groupBy("event_type").agg(F.sum(whole(k)).alias("total"), F.count(k).alias("n"))
 
 
+def review_scans(spark, sf_dir):
+    volumes = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
+    scans = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("s_suppkey"), (F.col("l_quantity") + F.col("l_linenumber")).cast("bigint").alias("scan_index"))
+    out = co.review_scans(volumes, scans, "s_suppkey", F.col("s_nationkey") == 3, "s_acctbal", "scan_index", 12)
+    return out.select("s_suppkey", "scan_index")
+
+
+REVIEW_SCANS_SQL = """WITH v AS (SELECT *, row_number() OVER (ORDER BY s_suppkey) - 1 AS at, count(*) OVER () AS n FROM supplier),
+c AS (SELECT s_suppkey, 0 AS step, at::DOUBLE AS o FROM v WHERE s_nationkey = 3
+  UNION ALL (SELECT s_suppkey, 1, s_acctbal FROM v ORDER BY s_acctbal, s_suppkey LIMIT 3) UNION ALL (SELECT s_suppkey, 2, s_acctbal FROM v ORDER BY s_acctbal DESC, s_suppkey DESC LIMIT 2)
+  UNION ALL SELECT s_suppkey, 3, k FROM v, range(0, 12) t(k) WHERE at = (k * (n - 1)) // 11),
+f AS (SELECT s_suppkey FROM (SELECT s_suppkey, min({'step': step, 'o': o}) AS p FROM c GROUP BY 1) ORDER BY p, s_suppkey LIMIT 12),
+i AS (SELECT l_suppkey AS s_suppkey, CAST(l_quantity + l_linenumber AS BIGINT) AS scan_index FROM lineitem)
+SELECT s_suppkey, arg_min(scan_index, {'d': abs(scan_index - 24), 's': scan_index}) AS scan_index FROM f JOIN i USING (s_suppkey) GROUP BY 1"""
+
+
 QUERIES = {
+    "review_scans": (review_scans, REVIEW_SCANS_SQL),
     "reconcile_manifest": (reconcile_manifest, f"""WITH {MANIFEST_SQL} SELECT o_orderkey, CASE WHEN timepoint = 'M06' THEN 'functional_only' WHEN dup THEN 'cross_visit_only'
         WHEN reason IS NULL THEN 'primary_candidate' ELSE 'excluded' END AS disposition, reason AS exclusion_reason, reason IS NULL AS included,
         CASE WHEN reason IS NULL THEN study_id || '__' || eye || '__' || timepoint || '__' || visit END AS case_id FROM r"""),

@@ -80,11 +80,11 @@ def small(df: DataFrame) -> DataFrame:
 
 
 def spread_small(df: DataFrame, rows: int = 2_000_000) -> DataFrame:
-    """Give a small input one partition per core before heavy per-row work.
+    """Give a small input one partition per core, once, before repeated heavy per-row work.
 
     A small table sits in one or two file splits and would run on as many cores. A
-    larger one has splits enough and is returned as it is, without a shuffle.
+    larger one has splits enough and is returned as it is, without shuffle or copy.
     """
     if not is_at_most(df, rows):
         return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    return materialise(df.repartition(df.sparkSession.sparkContext.defaultParallelism))

@@ -159,3 +159,16 @@ def safe_extract(archive: str | Path, destination: str | Path) -> list[str]:
 
 def read_registry(path: str | Path) -> dict:
     return json.loads(Path(path).read_text(encoding="utf-8"))
+
+
+def first_difference(left: str | Path, right: str | Path, block: int = 1 << 22) -> int | None:
+    """Offset of the first differing byte of two control files, or None when they are identical."""
+    at = 0
+    with open(left, "rb") as a, open(right, "rb") as b:
+        while True:
+            x, y = a.read(block), b.read(block)
+            if x != y:
+                return at + next((i for i, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
+            if not x:
+                return None
+            at += len(x)

@@ -66,6 +66,13 @@ def test_notebook_and_scan(spark, tmp_path):
     assert [tuple(r) for r in tables.release_scan(docs, "id", "t", {"email": r"\S+@\S+\.\w+"}).collect()] == [(1, "email")]
 
 
+def test_first_difference(tmp_path):
+    for name, body in (("a", b"abcd"), ("b", b"abXd"), ("c", b"ab")):
+        (tmp_path / name).write_bytes(body)
+    at = lambda x, y: tables.first_difference(tmp_path / x, tmp_path / y, 2)
+    assert (at("a", "b"), at("a", "c"), at("a", "a")) == (2, 2, None)
+
+
 def test_archive_guard(tmp_path):
     with zipfile.ZipFile(tmp_path / "ok.zip", "w") as z:
         z.writestr("d/a.txt", "1")
