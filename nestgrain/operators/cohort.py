@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -136,8 +137,8 @@ def review_scans(volumes: DataFrame, scans: DataFrame, group: str, narrow: Colum
     """
     ranked = materialise(rank_within(volumes, [], [group], "__at"))
     total = ranked.count()
-    spaced = sorted({(int(k * (total - 1) / (count - 1)) if count > 1 else 0, k) for k in range(count)} if total else set())
-    places = ranked.sparkSession.createDataFrame(spaced or [(-1, 0)], "__pos bigint, __k bigint")
+    spaced = [(int(at), k) for k, at in enumerate(np.linspace(0, max(total - 1, 0), count, dtype=int))]
+    places = ranked.sparkSession.createDataFrame(spaced, "__pos bigint, __k bigint")
 
     def listed(df: DataFrame, step: int, order: Column) -> DataFrame:
         return df.select(*volumes.columns, F.struct(F.lit(step).alias("step"), order.cast("double").alias("at")).alias("__p"))

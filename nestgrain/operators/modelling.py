@@ -108,20 +108,26 @@ def _sums_batch(keys: dict[str, list], values: list[np.ndarray]) -> pa.RecordBat
     return pa.RecordBatch.from_arrays([*columns, pa.array([v.tolist() for v in values], pa.list_(pa.float64()))], [*ints, "values"])
 
 
-def _sum_arrays(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Elementwise sum of array column ``values`` in two levels, so no task meets more than a bounded fan-in."""
+def _sum_arrays(df: DataFrame, keys: list[str], few: bool) -> DataFrame:
+    """Elementwise sum of array column ``values``.
+
+    Each task of the input adds one row per key. Unless those tasks are known to be
+    few, they are summed in two levels so that no group grows with the task count.
+    """
     schema = T.StructType([*[df.schema[k] for k in keys], T.StructField("part", T.IntegerType()), df.schema["values"]])
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.sum(np.stack([np.asarray(v, dtype=np.float64) for v in pdf["values"]]), axis=0)
         return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "part": [0], "values": [total]})
 
+    if few:
+        return df.select(*schema.fieldNames()).groupBy(*keys).applyInPandas(add, schema).drop("part")
     bucketed = df.withColumn("part", F.pmod("part", F.lit(FAN_IN)).cast("int")).select(*schema.fieldNames())
     once = bucketed.groupBy(*keys, "part").applyInPandas(lambda pdf: add(pdf).assign(part=pdf["part"].iloc[0]), schema)
     return once.groupBy(*keys).applyInPandas(add, schema).drop("part")
 
 
-def feature_sums(df: DataFrame, x: str, y: str, features: int) -> tuple[np.ndarray, float, list[int]]:
+def feature_sums(df: DataFrame, x: str, y: str, features: int, few: bool = False) -> tuple[np.ndarray, float, list[int]]:
     """Shift (approximate centre) for features and target, and the columns that have gaps."""
     def run(batches):
         total = np.zeros(2 * features + 2)
@@ -133,7 +139,7 @@ def feature_sums(df: DataFrame, x: str, y: str, features: int) -> tuple[np.ndarr
         yield _sums_batch({"key": [0]}, [total])
 
     partial = df.select(x, y).mapInArrow(run, "key int, part int, values array<double>")
-    total = np.asarray(_sum_arrays(partial, ["key"]).first()["values"])
+    total = np.asarray(_sum_arrays(partial, ["key"], few).first()["values"])
     rows = total[-1]
     if rows == 0:
         raise GateError("no rows to model")
@@ -142,7 +148,8 @@ def feature_sums(df: DataFrame, x: str, y: str, features: int) -> tuple[np.ndarr
 
 
 def cell_moments(
-    df: DataFrame, x: str, y: str, features: int, outer: list[int], shift: np.ndarray, y_shift: float, gaps: list[int]
+    df: DataFrame, x: str, y: str, features: int, outer: list[int], shift: np.ndarray, y_shift: float, gaps: list[int],
+    few: bool = False,
 ) -> dict[tuple[int, int], Moments]:
     """Moments for each (outer position, inner fold) cell; ``inner`` holds a row's fold for every outer fold."""
     width = features + len(gaps) + 2
@@ -167,7 +174,7 @@ def cell_moments(
 
     partial = df.select(x, y, "inner").mapInArrow(run, "o int, i int, b int, part int, values array<double>")
     cells: dict[tuple[int, int], np.ndarray] = {}
-    for row in _sum_arrays(partial, ["o", "i", "b"]).collect():
+    for row in _sum_arrays(partial, ["o", "i", "b"], few).collect():
         block = np.asarray(row["values"]).reshape(-1, width)
         at = row["b"] * step
         cells.setdefault((row["o"], row["i"]), np.zeros((width, width)))[at:at + len(block)] = block
@@ -289,9 +296,9 @@ def nested_ladder(
     outer_values = sorted(int(r[0]) for r in df.select(outer).distinct().collect())
     assigned = inner_folds(df, group, outer, outer_values, inner).select(group, "inner")
     rows = df.select(*keys, group, outer, F.col(x).alias("__x"), F.col(y).cast("double").alias("__y"))
-    rows = spread_small(rows.join(small(assigned), group))
-    shift, y_shift, gaps = feature_sums(rows, "__x", "__y", features)
-    cells = cell_moments(rows, "__x", "__y", features, outer_values, shift, y_shift, gaps)
+    rows, few = spread_small(rows.join(small(assigned), group))
+    shift, y_shift, gaps = feature_sums(rows, "__x", "__y", features, few)
+    cells = cell_moments(rows, "__x", "__y", features, outer_values, shift, y_shift, gaps, few)
     medians = training_medians(rows, "__x", gaps, outer_values, inner)
 
     def training(o: int, left_out: int) -> Moments:
@@ -336,7 +343,7 @@ def nested_ladder(
             yield _sums_batch({"o": [o for o, _ in total], "i": [i for _, i in total]}, list(total.values()))
 
         partial = rows.select("__x", "__y", "inner").mapInArrow(errors, "o int, i int, part int, values array<double>")
-        for row in _sum_arrays(partial, ["o", "i"]).collect():
+        for row in _sum_arrays(partial, ["o", "i"], few).collect():
             values = np.asarray(row["values"])
             for label, value in zip(labels, values[:-1] / values[-1]):
                 scores.setdefault((row["o"], *label), {})[row["i"]] = float(value)

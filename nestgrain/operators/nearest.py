@@ -55,7 +55,7 @@ def nearest_segments(
     fewer than k segments yields all of them; one without any yields no rows.
     """
     columns = points.columns
-    points = spread_small(points)
+    points, _ = spread_small(points)
     per_case = segments.groupBy(*case).agg(F.count(F.lit(1)).alias("__n"))
     if largest_group(segments, case) <= array_limit:
         return _emit(_by_array(points, segments, case, xy, index, ends, k), columns, xy, index)

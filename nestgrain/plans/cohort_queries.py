@@ -169,10 +169,10 @@ def review_scans(spark, sf_dir):
     return out.select("s_suppkey", "scan_index")
 
 
-REVIEW_SCANS_SQL = """WITH v AS (SELECT *, row_number() OVER (ORDER BY s_suppkey) - 1 AS at, count(*) OVER () AS n FROM supplier),
-c AS (SELECT s_suppkey, 0 AS step, at::DOUBLE AS o FROM v WHERE s_nationkey = 3
+REVIEW_SCANS_SQL = """WITH v AS (SELECT *, row_number() OVER (ORDER BY s_suppkey) - 1 AS place, count(*) OVER () AS n FROM supplier),
+c AS (SELECT s_suppkey, 0 AS step, CAST(place AS DOUBLE) AS o FROM v WHERE s_nationkey = 3
   UNION ALL (SELECT s_suppkey, 1, s_acctbal FROM v ORDER BY s_acctbal, s_suppkey LIMIT 3) UNION ALL (SELECT s_suppkey, 2, s_acctbal FROM v ORDER BY s_acctbal DESC, s_suppkey DESC LIMIT 2)
-  UNION ALL SELECT s_suppkey, 3, k FROM v, range(0, 12) t(k) WHERE at = (k * (n - 1)) // 11),
+  UNION ALL SELECT s_suppkey, 3, k FROM v, range(0, 12) t(k) WHERE place = (k * (n - 1)) // 11),
 f AS (SELECT s_suppkey FROM (SELECT s_suppkey, min({'step': step, 'o': o}) AS p FROM c GROUP BY 1) ORDER BY p, s_suppkey LIMIT 12),
 i AS (SELECT l_suppkey AS s_suppkey, CAST(l_quantity + l_linenumber AS BIGINT) AS scan_index FROM lineitem)
 SELECT s_suppkey, arg_min(scan_index, {'d': abs(scan_index - 24), 's': scan_index}) AS scan_index FROM f JOIN i USING (s_suppkey) GROUP BY 1"""

@@ -79,12 +79,13 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if is_at_most(df, broadcast_rows(df.sparkSession)) else df
 
 
-def spread_small(df: DataFrame, rows: int = 2_000_000) -> DataFrame:
+def spread_small(df: DataFrame, rows: int = 2_000_000) -> tuple[DataFrame, bool]:
     """Give a small input one partition per core, once, before repeated heavy per-row work.
 
     A small table sits in one or two file splits and would run on as many cores. A
     larger one has splits enough and is returned as it is, without shuffle or copy.
+    The flag says which it was.
     """
     if not is_at_most(df, rows):
-        return df
-    return materialise(df.repartition(df.sparkSession.sparkContext.defaultParallelism))
+        return df, False
+    return materialise(df.repartition(df.sparkSession.sparkContext.defaultParallelism)), True

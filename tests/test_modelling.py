@@ -130,3 +130,15 @@ def test_forest(spark, data):
     assert (got.predicted - got.observed).abs().mean() < null
     tuned = mo.tune_forest(full.where("outer <> 1"), "who", "x", "y", [(2, 5), (6, 5)], trees=5, inner=2).toPandas()
     assert tuned.selected.sum() == 1 and tuned.loc[tuned.selected, "mean_inner_mae"].iloc[0] == tuned.mean_inner_mae.min()
+
+
+def test_two_level_sums_agree(spark, data):
+    frame, x, df = data
+    inner = folds.inner_folds(df, "who", "outer", [1, 2, 3, 4, 5])
+    rows = df.join(inner.select("who", "inner"), "who").repartition(7)
+    for few in (True, False):
+        shift, y_shift, gaps = mo.feature_sums(rows, "x", "y", FEATURES, few)
+        assert np.allclose(shift, np.nanmean(x, axis=0)) and np.isclose(y_shift, frame.y.mean()) and gaps == [2]
+        cells = mo.cell_moments(rows, "x", "y", FEATURES, [1, 2, 3, 4, 5], shift, y_shift, gaps, few)
+        train = sum(c.n for (o, _), c in cells.items() if o == 0)
+        assert train == (frame.outer != 1).sum() and len(cells) == 20
