@@ -69,7 +69,7 @@ def volume_scores(spark, sf_dir):
 def point_numbering(spark, sf_dir):
     """Number grid locations by the least-mismatch assignment to labelled points, per eye."""
     e = table(spark, sf_dir, "events").select(
-        F.col("event_type").alias("eye"), F.dayofyear("ts").alias("case_id"), (F.col("user_id") % 12).alias("location"), F.col("value"))
+        F.col("event_type").alias("eye"), F.floor(F.col("event_id") / 333).alias("case_id"), (F.col("user_id") % 12).alias("location"), F.col("value"))
     seen = e.groupBy("eye", "case_id", "location").agg(F.floor(F.round(F.sum("value"), 2)).alias("value"))
     labels = seen.select("eye", "case_id", ((F.col("location") * 5 + 3) % 12).alias("point"), "value")
     cost = si.value_mismatches(seen, labels, ["eye"], "case_id", "location", "point", "value")
@@ -144,8 +144,8 @@ QUERIES = {
     "scan_assignment": (scan_assignment, None),
     "volume_scores": (volume_scores, None),
     "point_numbering": (point_numbering, """
-        WITH c AS (SELECT event_type, count(DISTINCT dayofyear(ts)) AS n FROM events GROUP BY 1)
-        SELECT event_type AS eye, user_id % 12 AS location, (user_id % 12 * 5 + 3) % 12 AS point, (any_value(n) - count(DISTINCT dayofyear(ts)))::DOUBLE AS mismatches
+        WITH c AS (SELECT event_type, count(DISTINCT event_id // 333) AS n FROM events GROUP BY 1)
+        SELECT event_type AS eye, user_id % 12 AS location, (user_id % 12 * 5 + 3) % 12 AS point, (any_value(n) - count(DISTINCT event_id // 333))::DOUBLE AS mismatches
         FROM events JOIN c USING (event_type) GROUP BY 1, 2, 3"""),
     "omission_scores": (omission_scores, f"""WITH {_EVIDENCE_SQL} SELECT s_suppkey AS omitted_index,
         count(*) FILTER (idx = CASE WHEN grp < s_suppkey THEN grp ELSE grp + 1 END) AS matches FROM supplier, ev GROUP BY 1"""),

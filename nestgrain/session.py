@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Rows one task may sort or buffer for a single group before an operator
 # switches to its range-partitioned form. Override per session with
 # spark.conf.set("nestgrain.rowsPerTask", ...).
 ROWS_PER_TASK = 2_000_000
 
-# Rows (of a few scalar columns) that may be broadcast to every executor.
+# What may be broadcast to every executor: both limits hold, and both are measured.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def build_session(app: str = "nestgrain", master: str | None = None, cores: int = 8) -> SparkSession:
@@ -74,9 +76,33 @@ def is_at_most(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def _row_bytes(df: DataFrame) -> Column:
+    """Approximate size of one row: text by its bytes, arrays by their length, nested values by their JSON."""
+    width = F.lit(0).cast("bigint")
+    for field in df.schema:
+        column, kind = F.col(f"`{field.name}`"), field.dataType
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            part = F.octet_length(column)
+        elif isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.NumericType):
+            part = F.size(column) * 8
+        elif isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+            part = F.octet_length(F.to_json(F.struct(column)))
+        else:
+            part = F.lit(8)
+        width = width + F.greatest(F.coalesce(part, F.lit(0)), F.lit(0))
+    return width
+
+
+def fits_broadcast(df: DataFrame) -> bool:
+    """Measured rows and bytes within the broadcast limits; stops reading once the rows are exceeded."""
+    rows = broadcast_rows(df.sparkSession)
+    found = df.limit(rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(_row_bytes(df)).alias("b")).first()
+    return found["n"] <= rows and (found["b"] or 0) <= BROADCAST_BYTES
+
+
 def small(df: DataFrame) -> DataFrame:
     """Mark ``df`` for broadcast when its measured size allows, else leave the choice to Spark."""
-    return F.broadcast(df) if is_at_most(df, broadcast_rows(df.sparkSession)) else df
+    return F.broadcast(df) if fits_broadcast(df) else df
 
 
 def spread_small(df: DataFrame, rows: int = 2_000_000) -> tuple[DataFrame, bool]:
