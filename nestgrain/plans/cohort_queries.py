@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..functions.numeric import stable
 from ..operators import cohort as co
-from .common import sql_stable, table, whole
+from .common import table, whole
 
 VISITS = {"BL": ("SCAN_V1", "v1"), "Y01": ("SCAN_V2", "v2")}
 
