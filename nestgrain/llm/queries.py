@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-GROUPS = ("minhash", "packing", "decontamination", "quality")
+GROUPS = ("minhash", "packing", "decontamination", "secrets", "quality")
 
 QUERIES: dict = {}
 for _group in GROUPS:

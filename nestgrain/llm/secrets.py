@@ -1,0 +1,299 @@
+"""Secret scan: fixed patterns, and formats learned from them by grammar inference.
+
+The fixed patterns label credentials. From a bounded sample of them (``MAX_TRAIN_VALUES``
+distinct values per kind, smallest hashes) one probabilistic automaton per kind is inferred:
+a prefix tree of the values is folded up by merging states whose outgoing and ending
+frequencies are statistically compatible (Hoeffding bound). The remaining candidates of every
+document, unbroken runs in the credential alphabet that mix letters and digits, are scored by
+how likely the automata emit them, per symbol and against the letter statistics of all texts.
+A candidate at least as likely as all but the weakest ``TAIL`` of an automaton's own training
+values, and likelier than the background, becomes a ``format`` span. Symbols are character
+classes, so a format is learned, not the values.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import math
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..session import materialise
+
+# The patterns of the contract, in the order in which kinds are listed.
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
+HEX = re.compile(r"[0-9a-f]{32,}")
+KINDS = ("assign", "access", "hex", "format")
+
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+MAX_TRAIN_VALUES, ALPHA, TAIL = 400, 0.05, 0.01
+# Symbol classes: digits, a-f, g-z, A-F, G-Z, the others of the credential alphabet, anything else.
+CLASS_SIZES = (10, 6, 20, 6, 20, 6, 188)
+
+
+def _class_table() -> np.ndarray:
+    table = np.full(256, 6, np.uint8)
+    for members, number in ((b"0123456789", 0), (b"abcdef", 1), (b"ghijklmnopqrstuvwxyz", 2), (b"ABCDEF", 3),
+                            (b"GHIJKLMNOPQRSTUVWXYZ", 4), (b"+/_.=-", 5)):
+        table[list(members)] = number
+    return table
+
+
+CLASSES = _class_table()
+
+
+def symbols(value: str) -> list[int]:
+    return CLASSES[np.frombuffer(value.encode(), np.uint8)].tolist()
+
+
+def base_spans(text: str) -> list[tuple[int, int, int, str]]:
+    """(start, kind, end, credential) of the fixed patterns, in order of start and then kind.
+
+    Runs below the minimum length of ``access`` and ``hex`` would be dropped whole, so asking
+    for that length in the pattern finds the same matches.
+    """
+    found = []
+    if ":" in text or "=" in text:
+        found += [(m.start(), 0, m.end(), m.group(2)) for m in ASSIGN.finditer(text) if len(m.group(2)) >= 8]
+    if "AKIA" in text:
+        found += [(m.start(), 1, m.end(), m.group()) for m in ACCESS.finditer(text)]
+    found += [(m.start(), 2, m.end(), m.group()) for m in HEX.finditer(text)]
+    return sorted(found)
+
+
+def candidate_spans(text: str, taken: list[tuple[int, int, int, str]]) -> list[tuple[int, int, str]]:
+    found = []
+    for m in CANDIDATE.finditer(text):
+        value = m.group()
+        if any("0" <= c <= "9" for c in value) and any(c.isalpha() for c in value):
+            if not any(start < m.end() and m.start() < end for start, _, end, _ in taken):
+                found.append((m.start(), m.end(), value))
+    return found
+
+
+SPAN = pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64()), ("value", pa.string())])
+CANDIDATES = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("value", pa.string())])
+
+
+def _scan_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for low in range(0, batch.num_rows, 512):
+            spans, rest, counts = [], [], []
+            part = batch.slice(low, 512)
+            for value in part.column(1):
+                text = value.as_py() or ""
+                found = base_spans(text)
+                spans.append([{"start": s, "kind": k, "end": e, "value": v} for s, k, e, v in found])
+                rest.append([{"start": s, "end": e, "value": v} for s, e, v in candidate_spans(text, found)])
+                counts.append(np.bincount(CLASSES[np.frombuffer(text.encode(), np.uint8)], minlength=len(CLASS_SIZES)).tolist())
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array(spans, pa.list_(SPAN)), pa.array(rest, pa.list_(CANDIDATES)), pa.array(counts, pa.list_(pa.int64()))],
+                ["doc_id", "base", "candidates", "classes"])
+
+
+class Automaton:
+    """Probabilistic automaton merged from a prefix tree: per state how often it ends and where symbols lead."""
+
+    def __init__(self, values: list[list[int]], alpha: float = ALPHA):
+        self.ends: list[int] = [0]
+        self.seen: list[int] = [0]
+        self.next: list[dict[int, int]] = [{}]
+        self.count: list[dict[int, int]] = [{}]
+        for value in values:
+            at = 0
+            self.seen[0] += 1
+            for s in value:
+                if s not in self.next[at]:
+                    self.next[at][s] = len(self.ends)
+                    self.ends.append(0), self.seen.append(0), self.next.append({}), self.count.append({})
+                self.count[at][s] = self.count[at].get(s, 0) + 1
+                at = self.next[at][s]
+                self.seen[at] += 1
+            self.ends[at] += 1
+        self.slack = math.sqrt(0.5 * math.log(2 / alpha))
+        self._merge_all()
+
+    def _differ(self, x: int, n: int, y: int, m: int) -> bool:
+        return n > 0 and m > 0 and abs(x / n - y / m) > self.slack * (n**-0.5 + m**-0.5)
+
+    def _compatible(self, red: int, blue: int) -> bool:
+        waiting = [(red, blue)]
+        while waiting:
+            a, b = waiting.pop()
+            n, m = self.seen[a], self.seen[b]
+            if self._differ(self.ends[a], n, self.ends[b], m):
+                return False
+            for s in self.next[a].keys() | self.next[b].keys():
+                if self._differ(self.count[a].get(s, 0), n, self.count[b].get(s, 0), m):
+                    return False
+                if s in self.next[a] and s in self.next[b]:
+                    waiting.append((self.next[a][s], self.next[b][s]))
+        return True
+
+    def _fold(self, red: int, blue: int) -> None:
+        """Add the tree below ``blue`` into ``red``."""
+        waiting = [(red, blue)]
+        while waiting:
+            a, b = waiting.pop()
+            self.ends[a] += self.ends[b]
+            self.seen[a] += self.seen[b]
+            for s, child in self.next[b].items():
+                self.count[a][s] = self.count[a].get(s, 0) + self.count[b][s]
+                if s in self.next[a]:
+                    waiting.append((self.next[a][s], child))
+                else:
+                    self.next[a][s] = child
+
+    def _merge_all(self) -> None:
+        red = [0]
+        known = {0}
+        while True:
+            edge = next(((r, s) for r in red for s in sorted(self.next[r]) if self.next[r][s] not in known), None)
+            if edge is None:
+                break
+            parent, s = edge
+            blue = self.next[parent][s]
+            for r in red:
+                if self._compatible(r, blue):
+                    self.next[parent][s] = r
+                    self._fold(r, blue)
+                    break
+            else:
+                red.append(blue)
+                known.add(blue)
+
+    def score(self, value: list[int]) -> float:
+        """Mean log2 likelihood of a symbol, classes spread evenly over their characters; -inf outside the language."""
+        at, total = 0, 0.0
+        for s in value:
+            if s not in self.next[at]:
+                return -math.inf
+            total += math.log2(self.count[at][s] / self.seen[at] / CLASS_SIZES[s])
+            at = self.next[at][s]
+        return total / len(value) if self.ends[at] else -math.inf
+
+
+class Formats:
+    """Automata of all kinds with their thresholds, and the background of all texts."""
+
+    def __init__(self, values: dict[int, list[str]], classes: list[int]):
+        self.models = []
+        for kind in sorted(values):
+            coded = [symbols(v) for v in values[kind]]
+            model = Automaton(coded)
+            scores = sorted(model.score(v) for v in coded)
+            self.models.append((model, scores[int(TAIL * len(scores))]))
+        total = sum(classes) + len(classes)
+        self.background = [math.log2((n + 1) / total / size) for n, size in zip(classes, CLASS_SIZES)]
+
+    def accepts(self, value: str) -> bool:
+        coded = symbols(value)
+        plain = sum(self.background[s] for s in coded) / len(coded)
+        return any(floor <= (score := model.score(coded)) and score > plain for model, floor in self.models)
+
+
+def _scanned(docs: DataFrame) -> DataFrame:
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return materialise(rows.mapInArrow(
+        _scan_rows,
+        "doc_id long, base array<struct<start: long, kind: int, end: long, value: string>>, "
+        "candidates array<struct<start: long, end: long, value: string>>, classes array<long>"))
+
+
+def _learned(found: DataFrame) -> Formats:
+    labelled = found.select(F.explode("base").alias("b")).select(F.col("b.kind").alias("kind"), F.col("b.value").alias("value")).distinct()
+    values: dict[int, list[str]] = {}
+    for kind in range(3):
+        sample = labelled.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(MAX_TRAIN_VALUES)
+        if picked := [r["value"] for r in sample.collect()]:
+            values[kind] = picked
+    sums = found.agg(*[F.sum(F.col("classes")[i]).alias(f"c{i}") for i in range(len(CLASS_SIZES))]).first()
+    return Formats(values, [int(x or 0) for x in sums])
+
+
+def scan(docs: DataFrame) -> DataFrame:
+    """(doc_id, base, spans): arrays of (start, kind, end) in code points, in order of start and then kind.
+
+    ``base`` are the fixed patterns, ``spans`` those and the learned formats. A null or empty
+    text has none; an empty table gives an empty result. Repeated rows are scanned each; a null
+    id is returned as null; other columns are ignored.
+    """
+    found = _scanned(docs)
+    formats = _learned(found)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = []
+            for base, candidates in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                own = [(b["start"], b["kind"], b["end"]) for b in base]
+                own += [(c["start"], 3, c["end"]) for c in candidates if formats.accepts(c["value"])]
+                spans.append([{"start": s, "kind": k, "end": e} for s, k, e in sorted(own)])
+            kind = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, kind)], ["doc_id", "spans"])
+
+    span = "array<struct<start: long, kind: int, end: long>>"
+    judged = found.select("doc_id", "base", "candidates").mapInArrow(judge, f"doc_id long, spans {span}")
+    return judged.select("doc_id", F.filter("spans", lambda x: x["kind"] < 3).alias("base"), "spans")
+
+
+def redact(text: str, formats: Formats, mark: str) -> str:
+    base = base_spans(text)
+    spans = [(s, e) for s, _, e, _ in base] + [(s, e) for s, e, v in candidate_spans(text, base) if formats.accepts(v)]
+    out, at = [], 0
+    for start, end in sorted(spans):
+        if start >= at:
+            out += [text[at:start], mark]
+        at = max(at, end)
+    return "".join([*out, text[at:]])
+
+
+def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
+    """``docs`` with every span of ``scan`` in ``text`` replaced by ``mark``, overlapping spans by one; all rows kept.
+
+    Same columns and types; ``n_chars``, where there is one, is the new length of a changed
+    text. The formats are learned from ``docs``; each text is then scanned where it stands, so
+    no text is moved and repeated or null ids make no difference. Null texts stay null.
+    """
+    formats = _learned(_scanned(docs))
+    names = docs.columns
+    at, size = names.index("text"), names.index("n_chars") if "n_chars" in names else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, 512):
+                part = batch.slice(low, 512)
+                texts = part.column(at).to_pylist()
+                clean = [None if t is None else redact(t, formats, mark) for t in texts]
+                columns = list(part.columns)
+                columns[at] = pa.array(clean, columns[at].type)
+                if size is not None:
+                    lengths = [n if c == t else len(c) for n, t, c in zip(columns[size].to_pylist(), texts, clean)]
+                    columns[size] = pa.array(lengths, columns[size].type)
+                yield pa.RecordBatch.from_arrays(columns, schema=part.schema)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def digest(rows: DataFrame) -> DataFrame:
+    """The counts and digests of ``scan``'s spans."""
+    names = F.array(*[F.lit(k) for k in KINDS])
+
+    def joined(column: str):
+        return F.array_join(F.transform(column, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"].cast("string"), x["end"].cast("string"))), ",")
+
+    counts = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)]
+    return rows.select("doc_id", *counts, F.sha2(joined("base").cast("binary"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
+def brute_force(text: str | None) -> str:
+    """Base spans read off the contract word by word, for tests."""
+    text, found = text or "", []
+    for k, (pattern, least, group) in enumerate(((ASSIGN, 8, 2), (re.compile("AKIA[A-Z0-9]+"), 16, 0), (re.compile("[0-9a-f]+"), 32, 0))):
+        found += [(m.start(), k, m.end()) for m in pattern.finditer(text) if len(m.group(group)) >= least]
+    return hashlib.sha256(",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(found)).encode()).hexdigest()
