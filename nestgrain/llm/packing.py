@@ -15,6 +15,8 @@ from __future__ import annotations
 import bisect
 import os
 import zlib
+from array import array
+from collections import ChainMap
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,44 +26,79 @@ from pyspark.sql import functions as F
 
 from ..session import materialise
 from .common import with_rank
+from .hashing import text_chunks
 
 CAPACITY, END_ID = 4096, 1
 CACHE_WORDS = 200_000
 
 
+class WordIds:
+    """Token ids of space-free runs as bytes, each distinct run encoded once while the cache has room.
+
+    The tokenizer drops white space and no token crosses it, so runs can be encoded alone. It
+    also parts letters from marks: where marks of ``MARKS`` surround a core that begins and
+    ends with an ASCII letter, the three parts are encoded alone too, the core in lower case
+    as the tokenizer does it. That leaves far fewer distinct cores than runs.
+    """
+
+    MARKS = '.,!|%$&*#"'
+
+    def __init__(self, tokenizer_path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        self.runs: dict[str, bytes] = {"": b""}
+        self.cores: dict[str, bytes] = {"": b""}
+
+    def _parts(self, run: str) -> tuple[str, str, str]:
+        core = run.strip(self.MARKS)
+        if not (core.isascii() and core[:1].isalpha() and core[-1:].isalpha()):
+            return "", run, ""
+        at = run.index(core)
+        return run[:at], core.lower(), run[at + len(core) :]
+
+    def of(self, words: list[str]) -> dict[str, bytes]:
+        """A table that holds at least all of ``words``."""
+        fresh = set(words).difference(self.runs)
+        if not fresh:
+            return self.runs
+        parts = {run: self._parts(run) for run in fresh}
+        new = list({p for three in parts.values() for p in three}.difference(self.cores))
+        codes = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
+        cores = {core: array("I", code.ids).tobytes() for core, code in zip(new, codes)}
+        if len(self.cores) < CACHE_WORDS:
+            self.cores |= cores
+            cores = self.cores
+        else:
+            cores = ChainMap(cores, self.cores)
+        runs = {run: cores[a] + cores[b] + cores[c] for run, (a, b, c) in parts.items()}
+        if len(self.runs) < CACHE_WORDS:
+            self.runs |= runs
+            return self.runs
+        return ChainMap(self.runs, runs)
+
+
 def _token_pieces(tokenizer_path: str, capacity: int, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(tokenizer_path)
-        known: dict[str, bytes] = {"": b""}
-        end = np.array([END_ID], "<u4").tobytes()
+        ids_of = WordIds(tokenizer_path)
+        end = array("I", [END_ID]).tobytes()
         for batch in batches:
-            column = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "ids")}
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                # The tokenizer drops white space and no token crosses it, so space-free runs are encoded alone, each once.
-                words = (text.as_py() or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-                fresh = [w for w in set(words) if w not in known]
-                if fresh:
-                    if len(known) + len(fresh) > CACHE_WORDS:
-                        known = {"": b""}
-                        fresh = [w for w in set(words) if w]
-                    for word, code in zip(fresh, tokenizer.encode_batch(fresh, add_special_tokens=False)):
-                        known[word] = np.array(code.ids, "<u4").tobytes()
-                ids = b"".join(map(known.__getitem__, words)) + end
-                for piece, low in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[low : low + 4 * capacity]
-                    column["doc_id"].append(doc_id)
-                    column["piece"].append(piece)
-                    column["start"].append(low // 4)
-                    column["length"].append(len(part) // 4)
-                    column["ids_crc32"].append(zlib.crc32(part))
-                    column["ids"].append(part if keep_ids else None)
-                if len(column["doc_id"]) >= 4096:
-                    yield _piece_batch(column)
-                    column = {k: [] for k in column}
-            yield _piece_batch(column)
+            for low, high, _, _ in text_chunks(batch.column(1)):
+                column = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "ids")}
+                texts = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in batch.column(1)[low:high].to_pylist()]
+                known = ids_of.of([word for words in texts for word in words])
+                for doc_id, words in zip(batch.column(0)[low:high].to_pylist(), texts):
+                    ids = b"".join(map(known.__getitem__, words)) + end
+                    for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
+                        part = ids[at : at + 4 * capacity]
+                        column["doc_id"].append(doc_id)
+                        column["piece"].append(piece)
+                        column["start"].append(at // 4)
+                        column["length"].append(len(part) // 4)
+                        column["ids_crc32"].append(zlib.crc32(part))
+                        column["ids"].append(part if keep_ids else None)
+                yield _piece_batch(column)
 
     return run
 
