@@ -16,8 +16,8 @@ import bisect
 import os
 import zlib
 from array import array
-from collections import ChainMap
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -29,16 +29,22 @@ from .common import with_rank
 from .hashing import text_chunks
 
 CAPACITY, END_ID = 4096, 1
-CACHE_WORDS = 200_000
+CACHE_WORDS = 250_000  # distinct runs, and distinct words, that a task remembers
+
+
+def _byte_letters() -> dict[int, str]:
+    """The printable letter that a byte-level vocabulary shows for each byte: itself, or the next one from U+0100 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in set(own))}
 
 
 class WordIds:
-    """Token ids of space-free runs as bytes, each distinct run encoded once while the cache has room.
+    """Token ids of space-free runs as bytes, each distinct run and word encoded once while the cache has room.
 
     The tokenizer drops white space and no token crosses it, so runs can be encoded alone. It
-    also parts letters from marks: where marks of ``MARKS`` surround a core that begins and
-    ends with an ASCII letter, the three parts are encoded alone too, the core in lower case
-    as the tokenizer does it. That leaves far fewer distinct cores than runs.
+    also parts letters from marks: a Latin word between marks of ``MARKS`` is encoded by the
+    model itself, in lower case and byte letters, and the marks on either side alone. Every
+    other run goes through the whole tokenizer.
     """
 
     MARKS = '.,!|%$&*#"'
@@ -47,35 +53,54 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
         self.runs: dict[str, bytes] = {"": b""}
-        self.cores: dict[str, bytes] = {"": b""}
-
-    def _parts(self, run: str) -> tuple[str, str, str]:
-        core = run.strip(self.MARKS)
-        if not (core.isascii() and core[:1].isalpha() and core[-1:].isalpha()):
-            return "", run, ""
-        at = run.index(core)
-        return run[:at], core.lower(), run[at + len(core) :]
+        self.words: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {"": b""}
+
+    def _word(self, word: str) -> bytes:
+        shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        ids = array("I", [token.id for token in self.model.tokenize(shown)]).tobytes()
+        if len(self.words) < CACHE_WORDS:
+            self.words[word] = ids
+        return ids
+
+    def _mark(self, mark: str) -> bytes:
+        if mark not in self.marks:
+            ids = array("I", self.tokenizer.encode(mark, add_special_tokens=False).ids).tobytes()
+            if len(self.marks) >= CACHE_WORDS:
+                return ids
+            self.marks[mark] = ids
+        return self.marks[mark]
+
+    def _encoded(self, runs: set[str]) -> dict[str, bytes]:
+        out, rest, known = {}, [], self.words.get
+        for run in runs:
+            core = run.strip(self.MARKS)
+            if core.isalpha() and (core.isascii() or (max(core) < "\u0250" and is_normalized("NFC", core) and len(core.lower()) == len(core))):
+                word = core.lower()
+                ids = known(word) or self._word(word)
+                if len(core) != len(run):
+                    at = run.index(core)
+                    ids = self._mark(run[:at]) + ids + self._mark(run[at + len(core) :])
+                out[run] = ids
+            else:
+                rest.append(run)
+        for run, code in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
+            out[run] = array("I", code.ids).tobytes()
+        return out
 
     def of(self, words: list[str]) -> dict[str, bytes]:
         """A table that holds at least all of ``words``."""
-        fresh = set(words).difference(self.runs)
-        if not fresh:
-            return self.runs
-        parts = {run: self._parts(run) for run in fresh}
-        new = list({p for three in parts.values() for p in three}.difference(self.cores))
-        codes = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        cores = {core: array("I", code.ids).tobytes() for core, code in zip(new, codes)}
-        if len(self.cores) < CACHE_WORDS:
-            self.cores |= cores
-            cores = self.cores
-        else:
-            cores = ChainMap(cores, self.cores)
-        runs = {run: cores[a] + cores[b] + cores[c] for run, (a, b, c) in parts.items()}
+        wanted = set(words)
+        coded = self._encoded(wanted.difference(self.runs))
         if len(self.runs) < CACHE_WORDS:
-            self.runs |= runs
+            self.runs |= coded
             return self.runs
-        return ChainMap(self.runs, runs)
+        old = list(wanted.intersection(self.runs))
+        coded |= zip(old, map(self.runs.__getitem__, old))
+        return coded
 
 
 def _token_pieces(tokenizer_path: str, capacity: int, keep_ids: bool):
