@@ -14,7 +14,7 @@ from nestgrain.llm.minhash import near_duplicates
 from nestgrain.llm.packing_query import pack_documents
 from nestgrain.llm.quality import THRESHOLD, quality_scores
 from nestgrain.llm.quality_query import trained
-from nestgrain.llm.secrets import redacted
+from nestgrain.llm.credentials import redacted
 from nestgrain.session import ensure_checkpoint_dir, materialise
 
 

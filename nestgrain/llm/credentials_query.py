@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
-from .secrets import digest, scan
+from .credentials import digest, scan
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-GROUPS = ("minhash", "packing", "decontamination", "secrets", "quality")
+GROUPS = ("warc", "minhash", "suffix", "packing", "decontamination", "credentials", "vectors", "languages", "licenses", "quality")
 
 QUERIES: dict = {}
 for _group in GROUPS:
