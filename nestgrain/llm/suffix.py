@@ -301,7 +301,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     placed = rows.where("doc_id IS NOT NULL AND octet_length(text) > 0")
     # Whole copies of an earlier text are repeats as a whole, and whatever they hold the first of them holds earlier.
     marked = materialise(placed.select("doc_id", F.unhex(F.md5("text")).alias("md5"), F.octet_length("text").alias("n")))
-    classes = marked.groupBy("md5", "n").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last").select("md5", "n", "first")
+    classes = marked.groupBy("md5", "n").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last")
+    classes = materialise(classes.select("md5", "n", "first"))  # apart from the join, so that Spark can split a text with very many copies
     copies = materialise(marked.join(classes, ["md5", "n"]).where("doc_id <> first").select(F.col("doc_id").alias("copy_id")))
     copies = sent_if_small(copies, 16)
     originals = placed.join(copies, F.col("doc_id") == F.col("copy_id"), "left_anti")
