@@ -7,6 +7,7 @@ aggregation of the predictions.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -19,28 +20,38 @@ METRICS = (
     "mae", "rmse", "bias", "lower_loa", "upper_loa", "calibration_intercept", "calibration_slope", "r_squared",
 )
 SUMS = ("n", "abs_d", "d", "dd", "o", "oo", "p", "pp", "op")
-RELATIVE_ZERO = 1e-9
+# Kept beside the sums: ranges (a constant is where they close) and the points that squares and products are taken around.
+BOUNDS = {"lo_o": F.min, "hi_o": F.max, "lo_p": F.min, "hi_p": F.max, "at_o": F.min, "at_p": F.min}
 
 
 def agreement_sums(
     df: DataFrame, keys: list[str], observed: str = "observed", predicted: str = "predicted", weight: str | None = None
 ) -> DataFrame:
-    """The nine (weighted) sums per key. Rows with weight <= 0 do not count."""
-    o, p = F.col(observed), F.col(predicted)
-    d = p - o
+    """The nine (weighted) sums per key, and ranges. Rows with weight <= 0 do not count.
+
+    Squares and products are taken around the overall means, which one small aggregate finds
+    first: around zero they would cancel when values vary little compared with their size.
+    """
     if weight is not None:
         df = df.where(F.col(weight) > 0)
+    at = df.agg(F.avg(observed).alias("o"), F.avg(predicted).alias("p")).first()
+    at_o, at_p = (F.lit(float(x) if x is not None and math.isfinite(x) else 0.0) for x in at)
+    raw_o, raw_p = F.col(observed), F.col(predicted)
+    d, o, p = raw_p - raw_o, raw_o - at_o, raw_p - at_p
     w = F.lit(1.0) if weight is None else F.col(weight)
     terms = {
         "n": w, "abs_d": w * F.abs(d), "d": w * d, "dd": w * d * d,
         "o": w * o, "oo": w * o * o, "p": w * p, "pp": w * p * p, "op": w * o * p,
     }
     aggs = [F.sum(term).alias(f"s_{name}") for name, term in terms.items()]
+    kept = {"lo_o": raw_o, "hi_o": raw_o, "lo_p": raw_p, "hi_p": raw_p, "at_o": at_o, "at_p": at_p}
+    aggs += [BOUNDS[name](column).alias(f"s_{name}") for name, column in kept.items()]
     return df.groupBy(*keys).agg(*aggs) if keys else df.agg(*aggs)
 
 
 def add_up(sums: DataFrame, keys: list[str], extra: list[Column] | None = None) -> DataFrame:
-    aggs = [F.sum(f"s_{name}").alias(f"s_{name}") for name in SUMS] + (extra or [])
+    aggs = [F.sum(f"s_{name}").alias(f"s_{name}") for name in SUMS]
+    aggs += [how(f"s_{name}").alias(f"s_{name}") for name, how in BOUNDS.items()] + (extra or [])
     return sums.groupBy(*keys).agg(*aggs) if keys else sums.agg(*aggs)
 
 
@@ -59,8 +70,8 @@ def metrics_from_sums(sums: DataFrame, unweighted_sd: bool = False) -> DataFrame
     if unweighted_sd:
         spread = F.when(n > 1, spread)
     cpp, cop = spp - sp * sp / n, sop - so * sp / n
-    flat = cpp <= RELATIVE_ZERO * F.greatest(spp, F.lit(1.0))
-    mean_o, mean_p = so / n, sp / n
+    flat = F.col("s_lo_p") == F.col("s_hi_p")
+    mean_o, mean_p = F.col("s_at_o") + so / n, F.col("s_at_p") + sp / n
     shrink = 1 + mean_p * mean_p
     slope = F.when(flat, mean_p * mean_o / shrink).otherwise(F.try_divide(cop, cpp))
     intercept = F.when(flat, mean_o / shrink).otherwise(mean_o - F.try_divide(cop, cpp) * mean_p)
@@ -69,9 +80,9 @@ def metrics_from_sums(sums: DataFrame, unweighted_sd: bool = False) -> DataFrame
         "mae": sa / n, "rmse": F.sqrt(sdd / n), "bias": bias,
         "lower_loa": bias - 1.96 * spread, "upper_loa": bias + 1.96 * spread,
         "calibration_intercept": intercept, "calibration_slope": slope,
-        "r_squared": F.when(sst > RELATIVE_ZERO * F.greatest(soo, F.lit(1.0)), 1 - F.try_divide(sdd, sst)),
+        "r_squared": F.when(F.col("s_lo_o") < F.col("s_hi_o"), 1 - F.try_divide(sdd, sst)),
     }
-    kept = [c for c in sums.columns if c not in {f"s_{k}" for k in SUMS}]
+    kept = [c for c in sums.columns if c not in {f"s_{k}" for k in (*SUMS, *BOUNDS)}]
     return sums.select(*kept, *[values[name].alias(name) for name in METRICS])
 
 

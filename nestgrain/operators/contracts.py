@@ -135,8 +135,8 @@ def border_audit(borders: DataFrame, index: str, start: str, stop: str) -> DataF
 # ---- gates --------------------------------------------------------------------
 
 def check_row(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
-    """One-row table of boolean aggregates; an empty input counts as passed for bool_and forms."""
-    return df.agg(*[F.coalesce(column, F.lit(True)).alias(name) for name, column in checks.items()])
+    """One-row table of boolean aggregates that fails closed: NULL counts as failed, also on an empty input."""
+    return df.agg(*[F.coalesce(column, F.lit(False)).alias(name) for name, column in checks.items()])
 
 
 def require_checks(checks: dict[str, bool] | DataFrame, stage: str) -> dict[str, bool]:

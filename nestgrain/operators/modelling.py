@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import small, spread_small
+from ..session import small, spread
 from .contracts import GateError, require_empty, split_groups
 from .folds import inner_folds
 from .ordered import exact_percentiles
@@ -296,7 +296,8 @@ def nested_ladder(
     outer_values = sorted(int(r[0]) for r in df.select(outer).distinct().collect())
     assigned = inner_folds(df, group, outer, outer_values, inner).select(group, "inner")
     rows = df.select(*keys, group, outer, F.col(x).alias("__x"), F.col(y).cast("double").alias("__y"))
-    rows, few = spread_small(rows.join(small(assigned), group))
+    rows, tasks = spread(rows.join(small(assigned), group))
+    few = tasks <= 256  # partial sums that one task can add up
     shift, y_shift, gaps = feature_sums(rows, "__x", "__y", features, few)
     cells = cell_moments(rows, "__x", "__y", features, outer_values, shift, y_shift, gaps, few)
     medians = training_medians(rows, "__x", gaps, outer_values, inner)

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import broadcast_rows, is_at_most, largest_group, materialise, spread_small
+from ..session import broadcast_rows, is_at_most, largest_group, materialise, spread
 from .geometry import project_to_segment
 
 ARRAY_SEGMENTS = 512
@@ -55,7 +55,7 @@ def nearest_segments(
     fewer than k segments yields all of them; one without any yields no rows.
     """
     columns = points.columns
-    points, _ = spread_small(points)
+    points, _ = spread(points)
     per_case = segments.groupBy(*case).agg(F.count(F.lit(1)).alias("__n"))
     if largest_group(segments, case) <= array_limit:
         return _emit(_by_array(points, segments, case, xy, index, ends, k), columns, xy, index)

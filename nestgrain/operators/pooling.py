@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numeric import is_finite
 from .contracts import contract_join, non_finite_rows, numeric_features, require_empty, require_label_blind, wrong_cardinality
 from .ordered import exact_percentiles
 
@@ -43,7 +44,8 @@ def pool_features(
 
 
 def masked_summary(df: DataFrame, group: list[str], value: str, prefix: str, largest: int | None = None) -> DataFrame:
-    """Counts, valid share, mean, population SD, median, p10 and p90 over non-NULL values."""
+    """Counts, valid share, mean, population SD, median, p10 and p90 over finite values; NULL, NaN and infinity are not valid."""
+    df = df.withColumn(value, F.when(is_finite(F.col(value)), F.col(value)))
     basic = df.groupBy(*group).agg(
         F.count(value).alias(f"{prefix}_valid_count"),
         F.count(F.lit(1)).alias(f"{prefix}_total_count"),
@@ -56,7 +58,8 @@ def masked_summary(df: DataFrame, group: list[str], value: str, prefix: str, lar
 
 
 def distribution_summary(df: DataFrame, group: list[str], value: str, largest: int | None = None) -> DataFrame:
-    """Minimum, p05, median, mean, p95, maximum, zero share of non-NULL, non-NULL share."""
+    """Minimum, p05, median, mean, p95, maximum and zero share of finite values, and their share of all."""
+    df = df.withColumn(value, F.when(is_finite(F.col(value)), F.col(value)))
     basic = df.groupBy(*group).agg(
         F.min(value).alias("minimum"), F.avg(value).alias("mean"), F.max(value).alias("maximum"),
         F.try_divide(F.count_if(F.col(value) == 0), F.count(value)).alias("zero_fraction"),

@@ -1,4 +1,4 @@
-"""Raster preparation: palette rules, marker grids, patch normalisation, model tensors.
+"""Raster rules: palette ranges and marker grids.
 
 Spark partitions the rasters; each row's pixels are handled by small numpy helpers
 inside ``mapInPandas``. Rasters travel as (height, width, array<double>) rows.
@@ -6,7 +6,6 @@ inside ``mapInPandas``. Rasters travel as (height, width, array<double>) rows.
 
 from __future__ import annotations
 
-import hashlib
 import math
 
 import numpy as np
@@ -18,7 +17,7 @@ from pyspark.sql import types as T
 from ..session import largest_group
 from .contracts import GateError
 
-# Three-ring test grid, marker thresholds and model input format.
+# Three-ring test grid, marker thresholds.
 RING_SCALES = (0.2, 0.6, 1.0)
 MARKERS_PER_RING = 12
 OUTER_RADIUS_RANGE = (132.0, 148.0)
@@ -28,12 +27,6 @@ RETAINED_MINIMUM = 20
 MARKER_DIFFERENCE = 40
 MARKER_AREA = (8, 25)
 MARKER_BOX = 5
-MODEL_SIZE = 224
-CROP_HEIGHT = 192
-ANCHOR_FROM_TOP = 144
-DETECTION_PERCENTILES = (1.0, 99.5)
-MODEL_PERCENTILES = (1.0, 99.0)
-PROFILE_SIGMA = 3.0
 
 
 def palette_range(red: Column, green: Column, blue: Column) -> tuple[Column, Column]:
@@ -145,126 +138,12 @@ def grid_phase(points: np.ndarray, cx: float, cy: float, radius: float) -> float
     return float(spokes[offset.argmin()])
 
 
-def resample_matrix(size: int, target: int, kind: str) -> np.ndarray:
-    """Row-normalised separable resampling weights; the filter widens when shrinking."""
-    support = {"bilinear": 1.0, "lanczos": 3.0}[kind]
-    scale = size / target
-    stretch = max(scale, 1.0)
-    centre = (np.arange(target) + 0.5) * scale
-    offset = (np.arange(size)[None, :] + 0.5 - centre[:, None]) / stretch
-    if kind == "bilinear":
-        weights = np.maximum(1.0 - np.abs(offset), 0.0)
-    else:
-        weights = np.where(np.abs(offset) < support, np.sinc(offset) * np.sinc(offset / support), 0.0)
-    return weights / weights.sum(axis=1, keepdims=True)
-
-
-def resize_u8(image: np.ndarray, height: int, width: int, kind: str) -> np.ndarray:
-    """Separable 8-bit resize: horizontal pass, then vertical, each rounded and clipped."""
-    def settle(values: np.ndarray) -> np.ndarray:
-        return np.clip(np.floor(values + 0.5), 0, 255)
-
-    across = settle(image.astype(float) @ resample_matrix(image.shape[1], width, kind).T)
-    return settle(resample_matrix(image.shape[0], height, kind) @ across).astype(np.uint8)
-
-
-def smooth(profile: np.ndarray, sigma: float = PROFILE_SIGMA) -> np.ndarray:
-    """Gaussian smoothing truncated at four sigma, ends mirrored including the edge sample."""
-    reach = int(4.0 * sigma + 0.5)
-    kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
-    index = np.arange(-reach, len(profile) + reach) % (2 * len(profile))
-    mirrored = profile[np.where(index < len(profile), index, 2 * len(profile) - 1 - index)]
-    return np.convolve(mirrored, kernel / kernel.sum(), mode="valid")
-
-
-def scale_between(values: np.ndarray, low_q: float, high_q: float) -> tuple[np.ndarray, float, float]:
-    low, high = np.percentile(values, [low_q, high_q])
-    return np.clip((values - low) / max(float(high - low), 1.0), 0.0, 1.0), float(low), float(high)
-
-
-def prepare_patch(raw: np.ndarray) -> tuple[np.ndarray, dict]:
-    """Anchor on the brightest smoothed row, crop around it, normalise, resize, letterbox."""
-    bright, low, high = scale_between(raw, *DETECTION_PERCENTILES)
-    anchor = int(np.argmax(smooth(np.median(bright, axis=1))))
-    top = int(np.clip(anchor - ANCHOR_FROM_TOP, 0, max(raw.shape[0] - CROP_HEIGHT, 0)))
-    crop = raw[top:top + CROP_HEIGHT]
-    scaled, crop_low, crop_high = scale_between(crop, *MODEL_PERCENTILES)
-    grey = np.rint(scaled * 255.0).astype(np.uint8)
-    width = min(MODEL_SIZE, int(round(grey.shape[1] * MODEL_SIZE / grey.shape[0])))
-    canvas = np.zeros((MODEL_SIZE, MODEL_SIZE), dtype=np.uint8)
-    left = (MODEL_SIZE - width) // 2
-    canvas[:, left:left + width] = resize_u8(grey, MODEL_SIZE, width, "lanczos")
-    facts = {
-        "anchor_row": anchor, "crop_y0": top, "crop_y1": top + crop.shape[0], "detection_low": low, "detection_high": high,
-        "crop_low": crop_low, "crop_high": crop_high, "resized_width": width, "pad_left": left,
-        "pixel_sha256": hashlib.sha256(np.ascontiguousarray(canvas).tobytes()).hexdigest(),
-    }
-    return canvas, facts
-
-
-def aligned_tile(
-    image: np.ndarray, x: float, top_row: float, bottom_row: float, scale_x: float, scale_z: float, context: float, margin: float
-) -> np.ndarray:
-    """Physical-size crop between two boundaries around a column, fitted into a z-scored square tile."""
-    column = int(round(x))
-    half = max(1, int(round(context / scale_x / 2)))
-    top = math.floor(top_row - margin / scale_z)
-    bottom = math.ceil(bottom_row + margin / scale_z)
-    left, right = column - half, column + half + 1
-    height, width = image.shape
-    crop = np.zeros((max(bottom - top, 0), right - left))
-    ys, xs = slice(max(0, top), min(height, bottom)), slice(max(0, left), min(width, right))
-    block = image[ys, xs]
-    if block.size == 0 or min(crop.shape) < 2:
-        raise ValueError("crop lies outside the image")
-    crop[ys.start - top:ys.start - top + block.shape[0], xs.start - left:xs.start - left + block.shape[1]] = block
-    low, high = np.percentile(crop, [1, 99])
-    if high <= low:
-        raise ValueError("crop has no intensity range")
-    crop = np.clip((crop - low) / (high - low), 0, 1)
-    tall, wide = crop.shape[0] * scale_z, crop.shape[1] * scale_x
-    zoom = min(MODEL_SIZE / max(wide, 1e-9), MODEL_SIZE / max(tall, 1e-9))
-    out_w = max(1, min(MODEL_SIZE, int(round(wide * zoom))))
-    out_h = max(1, min(MODEL_SIZE, int(round(tall * zoom))))
-    canvas = np.zeros((MODEL_SIZE, MODEL_SIZE))
-    y0, x0 = (MODEL_SIZE - out_h) // 2, (MODEL_SIZE - out_w) // 2
-    canvas[y0:y0 + out_h, x0:x0 + out_w] = resize_u8((crop * 255).astype(np.uint8), out_h, out_w, "bilinear") / 255.0
-    if canvas.std() <= 1e-8:
-        raise ValueError("tile has no contrast")
-    return (canvas - canvas.mean()) / canvas.std()
-
-
 # ---- Spark operators -----------------------------------------------------------------
 
 def _image(row_pixels, height: int, width: int) -> np.ndarray:
     return np.asarray(row_pixels, dtype=float).reshape(int(height), int(width))
 
 
-def prepare_patches(df: DataFrame, keys: list[str], pixels: str = "pixels") -> DataFrame:
-    """Model-ready patch facts per raster row (columns height, width, ``pixels``); failures become an error text."""
-    fields = [df.schema[k] for k in keys] + [
-        T.StructField("anchor_row", T.IntegerType()), T.StructField("crop_y0", T.IntegerType()), T.StructField("crop_y1", T.IntegerType()),
-        *[T.StructField(n, T.DoubleType()) for n in ("detection_low", "detection_high", "crop_low", "crop_high")],
-        T.StructField("resized_width", T.IntegerType()), T.StructField("pad_left", T.IntegerType()),
-        T.StructField("pixel_sha256", T.StringType()), T.StructField("error", T.StringType())]
-    names = [f.name for f in fields]
-
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for row in pdf.to_dict("records"):
-                record = dict.fromkeys(names) | {k: row[k] for k in keys}
-                try:
-                    record |= prepare_patch(_image(row[pixels], row["height"], row["width"]))[1]
-                except ValueError as problem:
-                    record["error"] = str(problem)
-                out.append(record)
-            # object columns keep a missing integer a NULL instead of turning the column into floats
-            yield pd.DataFrame({name: pd.Series([r[name] for r in out], dtype=object) for name in names})
-
-    return df.select(*dict.fromkeys([*keys, "height", "width", pixels])).mapInPandas(run, T.StructType(fields))
-
-
 def detect_markers(df: DataFrame, keys: list[str], clean: str = "clean", overlay: str = "overlay") -> DataFrame:
     """One row per marker candidate (x, y) found in the clean/overlay difference of each raster pair."""
     schema = T.StructType([df.schema[k] for k in keys] + [T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])

@@ -11,7 +11,7 @@ from .common import (
 )
 
 M = list(ag.METRICS)
-REPLICATES = 1000
+REPLICATES = 5000
 
 
 def visit_strata():
@@ -59,6 +59,20 @@ raw AS (SELECT row_number() OVER (ORDER BY s_a / s_n, model) AS mae_rank, * FROM
 {metrics_select('mae_rank, model', 'SELECT * FROM raw', M)}"""
 
 
+def metric_low_spread(spark, sf_dir):
+    """Values that vary by a few units around a million: calibration and R squared must not lose them."""
+    p = table(spark, sf_dir, "lineitem").select(
+        F.col("l_returnflag").alias("model"), (F.col("l_quantity") * 2 + F.col("l_discount") + 1e6).alias("observed"), (F.col("l_quantity") + 1e6).alias("predicted"))
+    return rounded(ag.agreement_metrics(p, ["model"]), ["model"], M[5:], 3)
+
+
+METRIC_LOW_SPREAD_SQL = f"""WITH p AS (
+  SELECT l_returnflag AS model, l_quantity * 2 + l_discount AS o, l_quantity AS p FROM lineitem)
+SELECT model, {sql_stable('1e6 + regr_intercept(o, p) - regr_slope(o, p) * 1e6', 3)} AS calibration_intercept,
+  {sql_stable('regr_slope(o, p)', 3)} AS calibration_slope,
+  {sql_stable('1 - sum((p - o) * (p - o)) / (var_pop(o) * count(*))', 3)} AS r_squared FROM p GROUP BY model"""
+
+
 def metric_strata(spark, sf_dir):
     sums = ag.stratum_sums(predictions(spark, sf_dir), ["model"], visit_strata())
     return rounded(ag.metrics_from_sums(sums), ["model", "stratum"], M)
@@ -211,6 +225,7 @@ def circular_phase(spark, sf_dir):
 
 
 QUERIES = {
+    "metric_low_spread": (metric_low_spread, METRIC_LOW_SPREAD_SQL),
     "metric_summary": (metric_summary, METRIC_SUMMARY_SQL),
     "metric_strata": (metric_strata, _strata_sql(VISIT_STRATA_SQL, False)),
     "sensitivity_strata": (sensitivity_strata, _strata_sql(VALUE_STRATA_SQL, True)),

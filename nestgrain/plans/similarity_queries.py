@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays as ar
 from ..functions.numeric import stable
-from ..operators import raster as ra
 from ..operators import similarity as si
 from .common import sql_stable, table
 
@@ -116,24 +115,6 @@ def channel_zscores(spark, sf_dir):
     return e.select("vec_id", stable(F.array_max("z"), 5).alias("highest"), stable(F.array_min("z"), 5).alias("lowest"))
 
 
-def prepared_patches(spark, sf_dir):
-    r = table(spark, sf_dir, "embeddings").select(
-        "vec_id", F.lit(SIDE).alias("height"), F.lit(SIDE).alias("width"), F.transform("embedding", lambda x: (x.cast("double") + 1) * 100).alias("pixels"))
-    return ra.prepare_patches(r, ["vec_id"])
-
-
-def marker_grids(spark, sf_dir):
-    """Grids of 36 jittered markers, one per run of customers."""
-    c = table(spark, sf_dir, "customer")
-    k = F.col("c_custkey") % 36
-    radius = F.element_at(F.array(F.lit(28.0), F.lit(84.0), F.lit(140.0)), (F.floor(k / 12) + 1).cast("int"))
-    angle = (k % 12) * (3.141592653589793 / 6) + 0.1
-    m = c.select(F.floor(F.col("c_custkey") / 36).alias("case_id"), (400 + radius * F.cos(angle) + F.col("c_acctbal") / 20000).alias("x"), (380 + radius * F.sin(angle)).alias("y"))
-    whole_cases = m.groupBy("case_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == 36)
-    fits = ra.fit_marker_grids(m.join(whole_cases, "case_id", "left_semi"), ["case_id"])
-    return ra.grid_locations(fits, ["case_id"])
-
-
 QUERIES = {
     "cosine_top3": (cosine_top3, f"""WITH {_PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, s) AS rank FROM p)
         SELECT q AS vec_id, rank, s AS neighbour, {sql_stable('score', 6)} AS score FROM r WHERE rank <= 3"""),
@@ -156,6 +137,4 @@ QUERIES = {
     "percentile_scaled": (percentile_scaled, SCALED_SQL),
     "channel_zscores": (channel_zscores, f"""WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x FROM embeddings)
         SELECT vec_id, {sql_stable('(max(x) - avg(x)) / stddev_pop(x)', 5)} AS highest, {sql_stable('(min(x) - avg(x)) / stddev_pop(x)', 5)} AS lowest FROM e GROUP BY 1"""),
-    "prepared_patches": (prepared_patches, None),
-    "marker_grids": (marker_grids, None),
 }

@@ -72,8 +72,8 @@ def largest_group(df: DataFrame, keys: list[str]) -> int:
 
 
 def is_at_most(df: DataFrame, rows: int) -> bool:
-    """True when ``df`` has no more than ``rows`` rows; stops reading once that is exceeded."""
-    return df.limit(rows + 1).count() <= rows
+    """True when ``df`` has no more than ``rows`` rows: one plain count, combined before the shuffle."""
+    return df.count() <= rows
 
 
 def _row_bytes(df: DataFrame) -> Column:
@@ -94,10 +94,9 @@ def _row_bytes(df: DataFrame) -> Column:
 
 
 def fits_broadcast(df: DataFrame) -> bool:
-    """Measured rows and bytes within the broadcast limits; stops reading once the rows are exceeded."""
-    rows = broadcast_rows(df.sparkSession)
-    found = df.limit(rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(_row_bytes(df)).alias("b")).first()
-    return found["n"] <= rows and (found["b"] or 0) <= BROADCAST_BYTES
+    """Measured rows and bytes within the broadcast limits: one aggregate, one small row per partition in the shuffle."""
+    found = df.agg(F.count(F.lit(1)).alias("n"), F.sum(_row_bytes(df)).alias("b")).first()
+    return found["n"] <= broadcast_rows(df.sparkSession) and (found["b"] or 0) <= BROADCAST_BYTES
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -105,13 +104,12 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if fits_broadcast(df) else df
 
 
-def spread_small(df: DataFrame, rows: int = 2_000_000) -> tuple[DataFrame, bool]:
-    """Give a small input one partition per core, once, before repeated heavy per-row work.
+def spread(df: DataFrame) -> tuple[DataFrame, int]:
+    """Store ``df`` once, spread evenly, before several passes of heavy per-row work, whatever its size.
 
-    A small table sits in one or two file splits and would run on as many cores. A
-    larger one has splits enough and is returned as it is, without shuffle or copy.
-    The flag says which it was.
+    Left to itself every pass would run everything upstream again, and a small table sits in one
+    or two file splits and would run on as many cores. Round-robin over the shuffle partitions,
+    whose number comes back too.
     """
-    if not is_at_most(df, rows):
-        return df, False
-    return materialise(df.repartition(df.sparkSession.sparkContext.defaultParallelism)), True
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return materialise(df.repartition(tasks)), tasks

@@ -180,28 +180,32 @@ def object_stream_audit(spark: SparkSession, root: str, pattern: str) -> DataFra
     return list_files(spark, root, pattern).select("path").mapInPandas(run, "path string, kind string, item string, n bigint")
 
 
-def scalar_value(raw: bytes) -> float:
-    """Eight bytes that may hold a float or an integer: the float when plausible, else a small integer."""
-    as_float = float(np.frombuffer(raw, "<f8")[0])
-    if math.isfinite(as_float) and abs(as_float) <= 10000 and (as_float == 0 or abs(as_float) >= 1e-100):
-        return as_float
-    as_integer = int(np.frombuffer(raw, "<i8")[0])
-    return float(as_integer) if abs(as_integer) <= 10000 else as_float
+# Bounds of a plausible curve value, shared by both readings.
+LARGEST, SMALLEST = 10000, 1e-100
 
 
-def _scans(handle) -> Iterator[tuple[int, tuple[int, int], bytes, list[float]]]:
+def scalar_values(payloads: list[bytes]) -> np.ndarray:
+    """All eight-byte payloads of a scan at once: read as floats, but as integers where only those are plausible."""
+    raw = b"".join(payloads)
+    floats, integers = np.frombuffer(raw, "<f8"), np.frombuffer(raw, "<i8")
+    size = np.abs(floats)
+    plausible = (size <= LARGEST) & ((size >= SMALLEST) | (size == 0))
+    return np.where(~plausible & (integers >= -LARGEST) & (integers <= LARGEST), integers, floats)
+
+
+def _scans(handle) -> Iterator[tuple[int, tuple[int, int], bytes, np.ndarray]]:
     """(index, shape, image bytes, scalar values that follow it) per scan, one scan in memory at a time."""
     current, values = None, []
     index = -1
     for name, argument, shape in _payload_events(handle):
         if shape:
             if current:
-                yield index, *current, values
+                yield index, *current, scalar_values(values)
             index, current, values = index + 1, (shape, argument), []
         elif current and name == "SHORT_BINBYTES" and len(argument) == 8:
-            values.append(scalar_value(argument))
+            values.append(argument)
     if current:
-        yield index, *current, values
+        yield index, *current, scalar_values(values)
 
 
 def read_curves(spark: SparkSession, root: str, pattern: str) -> DataFrame:
@@ -237,14 +241,16 @@ def read_image_fingerprints(spark: SparkSession, root: str, pattern: str, stride
 
 
 def read_images(spark: SparkSession, root: str, pattern: str = "*.png") -> DataFrame:
-    """(path, height, width, pixels) greyscale rasters decoded by Spark's image source."""
-    images = spark.read.format("image").option("dropInvalid", "true").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(root)
+    """(path, height, width, pixels) greyscale rasters decoded by Spark's image source; a file that is no image is an error."""
+    images = spark.read.format("image").option("dropInvalid", "false").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(root)
     grey = images.select("image.origin", "image.height", "image.width", "image.nChannels", "image.data")
 
     def run(batches):
         for pdf in batches:
             out = []
             for row in pdf.itertuples(index=False):
+                if row.height <= 0 or row.width <= 0:
+                    raise GateError(f"{row.origin} is not an image that can be decoded")
                 data = np.frombuffer(row.data, np.uint8).reshape(row.height, row.width, row.nChannels).astype(float)
                 # stored blue-green-red; luma weights 299/587/114 in whole numbers
                 level = data[..., 0] if row.nChannels == 1 else np.floor((data[..., 2] * 299 + data[..., 1] * 587 + data[..., 0] * 114) / 1000 + 0.5)

@@ -17,15 +17,18 @@ ByteOrderMark = "﻿"
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """Typed CSV with a header. The schema is declared, never inferred; NaN and blank become NULL."""
-    df = spark.read.schema(schema).csv(path, header=True, enforceSchema=False, nullValue="")
+    """Typed CSV with a header. The schema is declared, never inferred; NaN and blank become NULL, a cell of another type or a short line is an error."""
+    df = spark.read.schema(schema).csv(path, header=True, enforceSchema=False, nullValue="", mode="FAILFAST", escape='"')
     doubles = {f.name: nan_to_null(F.col(f.name)) for f in df.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
     return df.withColumns(doubles) if doubles else df
 
 
-def read_text_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Every column as a string, in file order; a byte-order mark on the header is dropped."""
-    df = spark.read.csv(path, header=True, inferSchema=False)
+def read_text_csv(spark: SparkSession, path: str, line_breaks: bool = False) -> DataFrame:
+    """Every column as a string, in file order; a byte-order mark on the header is dropped. Doubled quotes stand for one.
+
+    With ``line_breaks`` a quoted cell may hold line breaks; the file can then not be split between tasks.
+    """
+    df = spark.read.csv(path, header=True, inferSchema=False, escape='"', multiLine=line_breaks)
     first = df.columns[0]
     return df.withColumnRenamed(first, first.lstrip(ByteOrderMark)) if first.startswith(ByteOrderMark) else df
 

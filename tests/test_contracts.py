@@ -43,6 +43,7 @@ def test_gates(spark):
     with pytest.raises(ct.GateError, match="bad"):
         ct.require_checks({"good": True, "bad": False}, "stage")
     assert ct.require_checks(ct.check_row(df, {"ok": F.bool_and(F.col("f") > 0)}), "stage") == {"ok": True}
+    assert ct.check_row(df.where("false"), {"all": F.bool_and(F.col("f") > 0), "any": F.bool_or(F.col("f") > 0)}).first() == (False, False)
     assert [r["g"] for r in ct.split_groups(df, "g", "f").collect()] == [1]
     assert [r["g"] for r in ct.wrong_member_set(df, ["g"], "f", [1, 2]).collect()] == [2]
     assert ct.numeric_features(df, ["g"]) == ["f"] and ct.prefixed(df, "m") == ["m"]

@@ -117,25 +117,10 @@ def test_grid_fit(spark):
         ra.fit_marker_grids(df, ["case_id"], limit=5)
 
 
-def test_patches_and_tiles(spark):
-    rng = np.random.default_rng(0)
-    raw = rng.uniform(0, 60, (496, 128))
-    raw[300:320] += 150
-    canvas, facts = ra.prepare_patch(raw)
-    assert canvas.shape == (224, 224) and 300 <= facts["anchor_row"] < 320 and facts["crop_y0"] == facts["anchor_row"] - 144
-    assert facts["crop_y1"] - facts["crop_y0"] == 192 and facts["resized_width"] == round(128 * 224 / 192)
-    df = spark.createDataFrame([(1, 496, 128, raw.ravel().tolist()), (2, 2, 3, [1.0])], "id int, height int, width int, pixels array<double>")
-    got = {r["id"]: r for r in ra.prepare_patches(df, ["id"]).collect()}
-    assert got[1]["pixel_sha256"] == facts["pixel_sha256"] and got[1]["error"] is None and got[2]["error"]
-    tile = ra.aligned_tile(raw, 60.0, 290.0, 330.0, 0.01, 0.004, 0.4, 0.05)
-    assert tile.shape == (224, 224) and abs(tile.mean()) < 1e-9 and abs(tile.std() - 1) < 1e-9
-    with pytest.raises(ValueError):
-        ra.aligned_tile(raw, 60.0, 900.0, 930.0, 0.01, 0.004, 0.4, 0.05)
-    with pytest.raises(ValueError):
-        ra.aligned_tile(np.zeros((50, 50)), 25.0, 10.0, 30.0, 0.01, 0.004, 0.2, 0.02)
-    flat = np.full((10, 12), 7, np.uint8)
-    assert (ra.resize_u8(flat, 5, 20, "lanczos") == 7).all() and (ra.resize_u8(flat, 15, 6, "bilinear") == 7).all()
-    assert np.allclose(ra.smooth(np.full(40, 3.0)), 3.0)
+def test_summaries_take_finite_values_only(spark):
+    df = spark.createDataFrame([("a", x) for x in (1.0, 3.0, math.nan, math.inf, None)], "g string, v double")
+    row = po.masked_summary(df, ["g"], "v", "v").first()
+    assert (row["v_valid_count"], row["v_total_count"], row["v_mean"], row["v_median"]) == (2, 5, 2.0, 2.0)
 
 
 def test_crop_columns(spark):

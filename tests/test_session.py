@@ -30,7 +30,12 @@ def test_sizes(spark):
     df = spark.createDataFrame([("a",), ("a",), ("b",)], "g string")
     assert session.largest_group(df, ["g"]) == 2 and session.largest_group(df, []) == 3
     assert session.is_at_most(df, 3) and not session.is_at_most(df, 2)
-    spread, few = session.spread_small(df)
-    assert few and spread.count() == 3
-    same, few = session.spread_small(df, rows=1)
-    assert not few and same is df
+    spread, tasks = session.spread(df)
+    assert tasks >= 8 and spread.count() == 3
+
+
+def test_size_checks_use_no_limit(spark):
+    """A limit under an aggregate would send rows to one task."""
+    import inspect
+
+    assert ".limit(" not in inspect.getsource(session)

@@ -135,10 +135,21 @@ def test_object_stream(spark, tmp_path):
 
 
 def test_scalar_decoding():
-    assert binary.scalar_value(np.float64(12.5).tobytes()) == 12.5
-    assert binary.scalar_value(np.int64(-5).tobytes()) == -5.0
-    assert binary.scalar_value(np.int64(300).tobytes()) == 300.0
-    assert np.isnan(binary.scalar_value(np.float64("nan").tobytes()))
+    payloads = [np.float64(12.5).tobytes(), np.int64(-5).tobytes(), np.int64(300).tobytes(), np.float64("nan").tobytes(), np.float64(0).tobytes()]
+    got = binary.scalar_values(payloads)
+    assert got[:3].tolist() == [12.5, -5.0, 300.0] and np.isnan(got[3]) and got[4] == 0 and len(binary.scalar_values([])) == 0
+
+
+def test_broken_files_are_errors(spark, tmp_path):
+    (tmp_path / "broken.png").write_bytes(b"no image")
+    with pytest.raises(Exception, match="broken.png"):
+        binary.read_images(spark, str(tmp_path)).collect()
+    for name, text in (("type.csv", "x,y\n1,2\n2,oops\n"), ("short.csv", "x,y\n1,2\n3\n")):
+        (tmp_path / name).write_text(text)
+        with pytest.raises(Exception):
+            tables.read_csv(spark, str(tmp_path / name), "x int, y int").collect()
+    (tmp_path / "quoted.csv").write_text('x,y\n"a ""b"" c",1\n"two\nlines",2\n')
+    assert [r["x"] for r in tables.read_text_csv(spark, str(tmp_path / "quoted.csv"), line_breaks=True).collect()] == ['a "b" c', "two\nlines"]
 
 
 def test_images(spark, tmp_path):
