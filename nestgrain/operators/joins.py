@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import small
+from .contracts import require_unique
 
 
 def tolerance_join(
@@ -78,9 +79,13 @@ def enumerate_range(df: DataFrame, start: str, stop_inclusive: str, name: str) -
 
 
 def first_match(df: DataFrame, sources: list[tuple[DataFrame, str]], keys: list[str], columns: list[str]) -> DataFrame:
-    """Take ``columns`` from the first source that has the key; ``matched_in`` names it or is 'none'."""
+    """Take ``columns`` from the first source that has the key; ``matched_in`` names it or is 'none'.
+
+    A key that a source holds twice is an error: it would multiply rows.
+    """
     out = df
     for position, (source, label) in enumerate(sources):
+        require_unique(source, keys, f"source {label}")
         picked = source.select(*keys, *[F.col(c).alias(f"__{position}_{c}") for c in columns], F.lit(label).alias(f"__{position}_hit"))
         out = out.join(small(picked), keys, "left")
     found = F.coalesce(*[F.col(f"__{i}_hit") for i in range(len(sources))], F.lit("none"))
@@ -95,7 +100,8 @@ def first_match(df: DataFrame, sources: list[tuple[DataFrame, str]], keys: list[
 
 
 def patch_rows(df: DataFrame, overrides: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """Override listed columns for listed keys, leaving every other row as it is."""
+    """Override listed columns for listed keys, leaving every other row as it is; a key listed twice is an error."""
+    require_unique(overrides, keys, "overrides")
     patch = overrides.select(*keys, *[F.col(c).alias(f"__new_{c}") for c in columns])
     joined = df.join(small(patch), keys, "left")
     kept = [F.coalesce(F.col(f"__new_{c}"), F.col(c)).alias(c) if c in columns else F.col(c) for c in df.columns]

@@ -71,10 +71,12 @@ def list_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
 
 
 def file_manifest(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """(name, bytes, sha256) of every file, hashed by the tasks that read them."""
+    """(name, bytes, sha256) of every file, named by its path below ``root`` and hashed by the tasks that read them."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(root)
+    below = root.split("://")[-1].rstrip("/") + "/"
+    name = F.expr(f"substring(path, instr(path, '{below}') + {len(below)})")
     return files.select(
-        F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+        name.alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
 def verify_manifest(found: DataFrame, expected: DataFrame) -> DataFrame:

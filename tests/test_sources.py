@@ -53,6 +53,12 @@ def test_listing_and_manifest(spark, tmp_path):
         tables.locate_one(spark, str(tmp_path), "*.npy")
     want = spark.createDataFrame([("z.txt", 5, hashlib.sha256(b"z.txt").hexdigest()), ("gone", 1, "x")], "name string, bytes bigint, sha256 string")
     assert [r["name"] for r in tables.verify_manifest(tables.file_manifest(spark, str(tmp_path)), want).collect()] == ["gone"]
+    for folder in ("one", "two"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "part.bin").write_bytes(folder.encode())
+    found = tables.file_manifest(spark, str(tmp_path))
+    assert {"one/part.bin", "two/part.bin"} <= {r["name"] for r in found.collect()}
+    assert tables.verify_manifest(found, found).count() == 0
 
 
 def test_notebook_and_scan(spark, tmp_path):
