@@ -2,54 +2,82 @@
 
 Groups are placed largest first into the lightest fold. Placement depends on a
 group's load signature (its counts) and, inside a signature, only on its rank by
-id. So the sequential part runs over distinct signatures, not over groups: a run
-of equal groups settles into a repeating cycle of folds after a few placements and
-the rest of the run follows it. The signature table is the only data that reaches
-the driver; its distinct group sizes cannot exceed sqrt(2 * rows).
+id. So the sequential part runs over distinct signatures, not over groups. Inside a
+run of equal groups the lightest fold is filled until it meets the next one, then
+these two take turns until they meet the third, and so on: at most one segment per
+fold, each worked out by division, however long the run or uneven the folds. The
+signature table is the only data that reaches the driver, streamed; distinct group
+sizes cannot exceed sqrt(2 * rows), signatures of three loads about rows ** (3/4).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterable, Iterator
+
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..session import materialise
+from ..session import materialise, small
 from .contracts import GateError
 from .ordered import rank_within, running_sum
 
-MAX_SIGNATURES = 1_000_000
+SEGMENTS = "array<struct<start:bigint, cycle:array<int>>>"
 
 
-def _place_runs(runs: list[tuple[tuple[int, ...], int]], n_folds: int, count_after_first: bool) -> list[tuple]:
-    """Fold pattern per signature: (signature, lead-in folds, repeating cycle)."""
-    width = len(runs[0][0]) if runs else 0
-    loads = [[0] * (width + 1) for _ in range(n_folds)]  # first load, group count, remaining loads
-    out = []
+def _turns_before(level: tuple[int, ...], other: tuple[int, ...], step: tuple[int, ...]) -> int | None:
+    """How many of level, level + step, level + 2 * step, ... come before ``other``; None when all do."""
+    for at, (mine, theirs, add) in enumerate(zip(level, other, step)):
+        if add:
+            turns = max(-(-(theirs - mine) // add), 0)
+            reached = tuple(m + turns * s for m, s in zip(level, step))
+            return turns + (reached[at] == theirs and reached < other)
+        if mine != theirs:
+            return None if mine < theirs else 0
+    return 0
 
-    def weight(fold: int) -> tuple:
-        first, groups, *rest = loads[fold]
-        return (first, groups, *rest, fold) if count_after_first else (first, *rest, fold)
 
-    def add(fold: int, signature: tuple[int, ...], times: int = 1) -> None:
-        for position, amount in enumerate((signature[0], 1, *signature[1:])):
-            loads[fold][position] += amount * times
+def _place_runs(runs: Iterable[tuple[tuple[int, ...], int]], n_folds: int, count_after_first: bool) -> Iterator[tuple]:
+    """(signature, segments) per run of equal groups; a segment is its first position and the folds that take turns.
 
+    A fold's level is (first load, other loads, fold), with the group count second where it counts.
+    """
+    levels: list[tuple[int, ...]] = []
     for signature, size in runs:
-        placed: list[int] = []
-        while len(placed) < size:
-            recent = placed[-n_folds:]
-            if len(set(recent)) == n_folds:
-                break
-            fold = min(range(n_folds), key=weight)
-            add(fold, signature)
-            placed.append(fold)
-        cycle = placed[-n_folds:] if len(placed) >= n_folds else placed
-        for position, fold in enumerate(cycle):
-            left = size - len(placed)
-            add(fold, signature, left // len(cycle) + (1 if position < left % len(cycle) else 0))
-        out.append((signature, placed, cycle))
-    return out
+        if min(signature) < 0:
+            raise GateError(f"negative load in {signature}")
+        step = (signature[0], *([1] if count_after_first else []), *signature[1:], 0)
+        if not levels:
+            levels = [(0,) * (len(step) - 1) + (fold,) for fold in range(n_folds)]
+        waiting, active, segments, done = sorted(levels), [], [], 0
+        while done < size:
+            active = sorted([*active, waiting.pop(0)])
+            left = size - done
+            taken = [_turns_before(level, waiting[0], step) for level in active] if waiting else [None] * len(active)
+            if None in taken or sum(taken) > left:  # the run ends before the next fold is met
+                # folds without a step never fill up: the lightest keeps its turn
+                cycle = active if any(step) else active[:1]
+                taken = [left // len(cycle) + (at < left % len(cycle)) for at in range(len(cycle))]
+                taken += [0] * (len(active) - len(cycle))
+            else:
+                cycle = active
+            if sum(taken):
+                segments.append((done, [level[-1] + 1 for level in cycle]))
+            done += sum(taken)
+            active = [tuple(v + t * s for v, s in zip(level, step)) for level, t in zip(active, taken)]
+        levels = active + waiting
+        yield signature, segments
+
+
+def _signatures(groups: DataFrame, columns: list[str]) -> Iterator[Row]:
+    """Distinct signatures with their number of groups, largest first, a partition at a time."""
+    counted = groups.groupBy(*columns).agg(F.count(F.lit(1)).alias("__m"))
+    return counted.orderBy(*[F.col(name).desc() for name in columns]).toLocalIterator()
+
+
+def _turn(segments: Column, position: Column) -> Column:
+    """The fold at a position of a run: the last segment that has begun, and its turn there."""
+    segment = F.get(F.filter(segments, lambda s: s["start"] <= position), F.size(F.filter(segments, lambda s: s["start"] <= position)) - 1)
+    return F.get(segment["cycle"], F.try_mod(position - segment["start"], F.size(segment["cycle"])).cast("int"))
 
 
 def balanced_folds(
@@ -63,32 +91,21 @@ def balanced_folds(
     """
     if n_folds < 2:
         raise ValueError("at least two folds are required")
-    order = [F.col(name).desc() for name in loads]
-    runs_df = groups.groupBy(*loads).agg(F.count(F.lit(1)).alias("__m"))
-    collected = runs_df.orderBy(*order).limit(MAX_SIGNATURES + 1).collect()
-    if len(collected) > MAX_SIGNATURES:
-        raise GateError("too many distinct load signatures to balance exactly")
-    if sum(row["__m"] for row in collected) < n_folds:
+    sizes: list[int] = []
+
+    def runs() -> Iterator[tuple[tuple[int, ...], int]]:
+        for row in _signatures(groups, loads):
+            sizes.append(row["__m"])
+            yield tuple(int(row[name]) for name in loads), row["__m"]
+
+    placed = [(*signature, segments) for signature, segments in _place_runs(runs(), n_folds, count_after_first)]
+    if sum(sizes) < n_folds:
         raise GateError("more folds than groups")
-    runs = [(tuple(row[name] for name in loads), row["__m"]) for row in collected]
-    patterns = [
-        (*[int(v) for v in signature], [f + 1 for f in lead], [f + 1 for f in cycle])
-        for signature, lead, cycle in _place_runs(runs, n_folds, count_after_first)
-    ]
-    schema = T.StructType(
-        [T.StructField(name, T.LongType()) for name in loads]
-        + [T.StructField("__lead", T.ArrayType(T.IntegerType())), T.StructField("__cycle", T.ArrayType(T.IntegerType()))]
-    )
-    table = groups.sparkSession.createDataFrame(patterns, schema)
-    largest = max(size for _, size in runs)
-    ranked = rank_within(groups, loads, [group], "__rank", largest)
-    lead, cycle = F.size("__lead"), F.size("__cycle")
-    position = F.col("__rank") - 1
-    chosen = F.when(position < lead, F.get("__lead", position.cast("int"))).otherwise(
-        F.get("__cycle", ((position - lead) % cycle).cast("int"))
-    )
-    keyed = table if len(patterns) > 100_000 else F.broadcast(table)
-    return ranked.join(keyed, loads).withColumn(fold, chosen).select(*groups.columns, fold)
+    schema = ", ".join([*[f"`{name}` bigint" for name in loads], f"__segments {SEGMENTS}"])
+    table = groups.sparkSession.createDataFrame(placed, schema)
+    ranked = rank_within(groups, loads, [group], "__rank", max(sizes))
+    chosen = _turn(F.col("__segments"), F.col("__rank") - 1)
+    return ranked.join(small(table), loads).withColumn(fold, chosen).select(*groups.columns, fold)
 
 
 def visit_folds(cases: DataFrame, participant: str, timepoint: str, baseline: str, year_one: str, n_folds: int = 5) -> DataFrame:
@@ -118,37 +135,29 @@ def inner_folds(df: DataFrame, group: str, outer: str, folds: list[int], n_split
     stay in training is a running count, kept per outer fold.
     """
     sizes = materialise(df.groupBy(group).agg(F.count(F.lit(1)).alias("n_rows"), F.min(outer).alias(outer)))
-    runs = sizes.groupBy("n_rows", outer).agg(F.count(F.lit(1)).alias("__m")).limit(MAX_SIGNATURES + 1).collect()
-    if len(runs) > MAX_SIGNATURES:
-        raise GateError("too many distinct group sizes to balance exactly")
-    patterns: dict[int, dict[int, tuple[list[int], list[int]]]] = {}
-    largest: dict[int, int] = {}
-    for row in runs:
-        largest[row["n_rows"]] = largest.get(row["n_rows"], 0) + row["__m"]
+    runs = [(row["n_rows"], row[outer], row["__m"]) for row in _signatures(sizes, ["n_rows", outer])]
+    totals: dict[int, int] = {}
+    for n, _, groups in runs:
+        totals[n] = totals.get(n, 0) + groups
+    placed: dict[int, dict[int, list]] = {}
     for held in folds:
         kept: dict[int, int] = {}
-        for row in runs:
-            if row[outer] != held:
-                kept[row["n_rows"]] = kept.get(row["n_rows"], 0) + row["__m"]
-        ordered = [((n,), kept[n]) for n in sorted(kept, reverse=True)]
+        for n, own, groups in runs:
+            if own != held:
+                kept[n] = kept.get(n, 0) + groups
         splits = min(n_splits, sum(kept.values()))
-        for (n,), lead, cycle in _place_runs(ordered, splits, False):
-            patterns.setdefault(n, {})[held] = ([f + 1 for f in lead], [f + 1 for f in cycle])
-    rows = [
-        (n, [found.get(h, ([], []))[0] for h in folds], [found.get(h, ([], []))[1] for h in folds])
-        for n, found in patterns.items()
-    ]
-    table = df.sparkSession.createDataFrame(rows, "n_rows bigint, __lead array<array<int>>, __cycle array<array<int>>")
+        for (n,), segments in _place_runs((((n,), m) for n, m in kept.items()), splits, False):
+            placed.setdefault(n, {})[held] = segments
+    rows = [(n, [found.get(h, []) for h in folds]) for n, found in placed.items()]
+    table = df.sparkSession.createDataFrame(rows, f"n_rows bigint, __segments array<{SEGMENTS}>")
     stays = [f"__stay{h}" for h in folds]
     marked = sizes.withColumns({s: (F.col(outer) != h).cast("int") for s, h in zip(stays, folds)})
     ranks = [f"__rank{h}" for h in folds]
-    ranked = running_sum(marked, ["n_rows"], [group], stays, ranks, max(largest.values()))
-    joined = ranked.join(table if len(rows) > 100_000 else F.broadcast(table), "n_rows", "left")
+    ranked = running_sum(marked, ["n_rows"], [group], stays, ranks, max(totals.values(), default=0))
+    joined = ranked.join(small(table), "n_rows", "left")
 
     def fold_of(i: int, held: int) -> Column:
-        lead, cycle, at = F.get("__lead", F.lit(i)), F.get("__cycle", F.lit(i)), F.col(f"__rank{held}") - 1
-        later = F.get(cycle, F.try_mod(at - F.size(lead), F.size(cycle)).cast("int"))
-        return F.when(F.col(outer) != held, F.when(at < F.size(lead), F.get(lead, at.cast("int"))).otherwise(later))
+        return F.when(F.col(outer) != held, _turn(F.get("__segments", F.lit(i)), F.col(f"__rank{held}") - 1))
 
     return joined.select(group, outer, F.array(*[fold_of(i, h) for i, h in enumerate(folds)]).alias("inner"))
 
