@@ -139,6 +139,28 @@ def check_row(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
     return df.agg(*[F.coalesce(column, F.lit(False)).alias(name) for name, column in checks.items()])
 
 
+def artefact_checks(
+    artefact: DataFrame, recomputed: DataFrame, keys: list[str], measures: list[str], rules: dict[str, Column]
+) -> DataFrame:
+    """One row that re-validates a stored table against its sources, read once each.
+
+    Keys unique, the same keys on both sides, measures equal (null-safe) and each row rule
+    true everywhere. Like every gate it fails closed: NULL, and an empty table, do not pass.
+    """
+    stored = artefact.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("__rows"), *[F.min(m).alias(f"__stored_{m}") for m in measures],
+        *[F.bool_and(F.coalesce(rule, F.lit(False))).alias(f"__rule_{name}") for name, rule in rules.items()])
+    fresh = recomputed.select(*keys, F.lit(True).alias("__fresh"), *[F.col(m).alias(f"__fresh_{m}") for m in measures])
+    both = stored.join(fresh, keys, "full_outer")
+    equal = [F.col(f"__stored_{m}").eqNullSafe(F.col(f"__fresh_{m}")) for m in measures]
+    return check_row(both, {
+        "unique_keys": F.bool_and(F.col("__rows") == 1),
+        "same_keys": F.bool_and(F.col("__rows").isNotNull() & F.col("__fresh").isNotNull()),
+        "same_measures": F.bool_and(reduce(lambda a, b: a & b, equal, F.lit(True))),
+        **{name: F.bool_and(F.col(f"__rule_{name}")) for name in rules},
+    })
+
+
 def require_checks(checks: dict[str, bool] | DataFrame, stage: str) -> dict[str, bool]:
     values = checks.first().asDict() if isinstance(checks, DataFrame) else dict(checks)
     failed = [name for name, passed in values.items() if not passed]

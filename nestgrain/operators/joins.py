@@ -11,7 +11,7 @@ from .contracts import require_unique
 
 def tolerance_join(
     left: DataFrame, right: DataFrame, exact: list[str], near: list[str], left_id: str, right_id: str,
-    tolerance: float = 1e-10,
+    tolerance: float = 1e-10, bands: int = 2,
 ) -> DataFrame:
     """Match rows equal on ``exact`` and within ``tolerance`` on every ``near`` field.
 
@@ -20,17 +20,19 @@ def tolerance_join(
     costs one row per side instead of all its pairs. Each near field is cut into
     cells a few tolerances wide and joined on cell equality; the left tuple also
     probes a neighbouring cell when it lies within reach of the edge. Narrow cells
-    keep the candidates close to the true matches however the values cluster.
+    keep the candidates close to the true matches however the values cluster. Only the
+    first ``bands`` near fields are cut into cells, so name the most selective ones
+    first; the others are compared on the candidates, as each cell field can double them.
     """
     width = max(tolerance * 8, 1e-9)
     lookup = right.groupBy(*exact, *near).agg(F.count(F.lit(1)).alias("__rn"), F.min(right_id).alias("__rid"))
     probes = left.select(*exact, *near).distinct()
-    for field in near:
+    for field in near[:bands]:
         low = F.floor((F.col(field) - tolerance) / width)
         high = F.floor((F.col(field) + tolerance) / width)
         probes = probes.withColumn(f"__c_{field}", F.explode(F.array_distinct(F.array(low, high))))
         lookup = lookup.withColumn(f"__c_{field}", F.floor(F.col(field) / width))
-    cells = [f"__c_{field}" for field in near]
+    cells = [f"__c_{field}" for field in near[:bands]]
     renamed = lookup.select(*exact, *cells, "__rn", "__rid", *[F.col(f).alias(f"__r_{f}") for f in near])
     hits = probes.join(renamed, exact + cells)
     for field in near:

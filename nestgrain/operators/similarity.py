@@ -303,3 +303,13 @@ def infer_omission(evidence: DataFrame, names: DataFrame, group: str, index: str
         F.when((F.count(F.lit(1)) == 1) & (F.lit(best) == F.lit(total)), F.min("omitted_index")).alias("omitted_index"),
     )
 
+
+def correlation_gate(pairs: DataFrame, correlation: str, least: float = 0.99999) -> DataFrame:
+    """One row: matched pairs, the weakest correlation, pairs below ``least`` (or undefined), and whether all pass.
+
+    No pairs at all do not pass.
+    """
+    failing = ~F.coalesce(F.col(correlation) >= least, F.lit(False)) | F.isnan(correlation)
+    return pairs.agg(
+        F.count(F.lit(1)).alias("pairs"), F.min(correlation).alias("weakest"), F.count_if(failing).alias("n_below"),
+    ).withColumn("passed", (F.col("pairs") > 0) & (F.col("n_below") == 0))

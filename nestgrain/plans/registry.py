@@ -6,7 +6,7 @@ import importlib
 
 GROUPS = (
     "agreement_queries", "contract_queries", "pooling_queries", "geometry_queries", "cohort_queries",
-    "similarity_queries", "modelling_queries", "source_queries",
+    "similarity_queries", "modelling_queries", "source_queries", "keyed_queries",
 )
 
 

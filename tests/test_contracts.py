@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from nestgrain.functions import numeric as nu, text as tx
-from nestgrain.operators import cohort as co, contracts as ct, joins as jn
+from nestgrain.operators import cohort as co, contracts as ct, joins as jn, similarity as si
 
 
 def make(spark, rows, schema):
@@ -127,3 +127,42 @@ def test_common_indices(spark):
 def test_enumerate_never_counts_down(spark):
     df = make(spark, [(1, 3), (5, 4)], "a int, b int")
     assert [r["n"] for r in jn.enumerate_range(df, "a", "b", "n").collect()] == [1, 2, 3]
+
+
+def test_artefact_checks(spark):
+    source = spark.createDataFrame([("a", 2), ("b", None)], "k string, n int")
+    rules = {"small": F.coalesce(F.col("n"), F.lit(0)) < 5}
+
+    def found(rows):
+        table = spark.createDataFrame(rows, "k string, n int")
+        return ct.artefact_checks(table, source, ["k"], ["n"], rules).first().asDict()
+
+    good = {"unique_keys": True, "same_keys": True, "same_measures": True, "small": True}
+    assert found([("a", 2), ("b", None)]) == good
+    assert found([("a", 2), ("a", 2), ("b", None)]) == good | {"unique_keys": False}
+    assert found([("a", 9), ("b", None)]) == good | {"same_measures": False, "small": False}
+    assert not found([("a", 2)])["same_keys"]
+    assert not found([("a", 2), ("b", None), ("c", 1)])["same_keys"]
+    assert not any(found([])[name] for name in ("unique_keys", "same_keys", "small"))
+
+
+def test_correlation_gate(spark):
+    def found(values):
+        return si.correlation_gate(spark.createDataFrame([(v,) for v in values], "r double"), "r").first()
+
+    assert tuple(found([1.0, 0.99999])) == (2, 0.99999, 0, True)
+    assert tuple(found([1.0, 0.5, None, float("nan")])) == (4, 0.5, 3, False)
+    assert tuple(found([])) == (0, None, 0, False)
+
+
+def test_tolerance_join_bands(spark):
+    fields = [f"f{i}" for i in range(7)]
+    schema = "id long, " + ", ".join(f"{f} double" for f in fields)
+    rows = [(i, *[float((i * (j + 3)) % 11) for j in range(7)]) for i in range(40)]
+    moved = [(i + 100, *[v + 5e-11 for v in values]) for i, *values in rows]
+    far = [(i + 200, *values[:6], values[6] + 1e-6) for i, *values in rows]
+    left = spark.createDataFrame(rows, schema)
+    right = spark.createDataFrame(moved + far, schema).withColumnRenamed("id", "other")
+    got = [jn.tolerance_join(left, right, [], fields, "id", "other", bands=b).toPandas().set_index("id")["match_count"].to_dict() for b in (1, 2, 7)]
+    want = {i: sum(values == other for _, *other in rows) for i, *values in rows}
+    assert got == [want] * 3

@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -41,12 +43,31 @@ def test_one_hot_signature_in_slices(spark, tiny_tasks):
     assert got == greedy(frame, ["v"], 5, True)
 
 
+def test_one_giant_group_costs_no_more(spark):
+    start = time.perf_counter()
+    placed = list(folds._place_runs([((10**7,), 1), ((1,), 10**8)], 5, False))
+    assert time.perf_counter() - start < 1
+    assert all(len(segments) <= 5 for _, segments in placed)
+    frame = pd.DataFrame({"who": [f"p{i:04d}" for i in range(400)], "v": [120, 40, 40] + [1] * 397})
+    got = folds.balanced_folds(spark.createDataFrame(frame), "who", ["v"], 5, False).toPandas()
+    assert got.set_index("who")["fold"].to_dict() == greedy(frame, ["v"], 5, False)
+
+
+def test_groups_without_load(spark):
+    frame = pd.DataFrame({"who": [f"p{i:02d}" for i in range(12)], "v": [3, 1] + [0] * 10})
+    for counted in (True, False):
+        got = folds.balanced_folds(spark.createDataFrame(frame), "who", ["v"], 3, counted).toPandas()
+        assert got.set_index("who")["fold"].to_dict() == greedy(frame, ["v"], 3, counted)
+
+
 def test_errors(spark):
     df = spark.createDataFrame([("a", 1), ("b", 2)], "who string, v int")
     with pytest.raises(contracts.GateError):
         folds.balanced_folds(df, "who", ["v"], 5)
     with pytest.raises(ValueError):
         folds.balanced_folds(df, "who", ["v"], 1)
+    with pytest.raises(contracts.GateError):
+        folds.balanced_folds(spark.createDataFrame([("a", -1), ("b", 2)], "who string, v int"), "who", ["v"], 2)
 
 
 def test_inner_folds_and_leave_out(spark):
