@@ -2,21 +2,24 @@
 
 A stage's data live in a parquet folder; this module only decides on the driver
 whether they may be reused. The sidecar binds a fingerprint of inputs and
-parameters to the file listing that was published.
+parameters to the file listing and the row contents that were published. Folders and
+sidecars go through the Hadoop file system, so the root may be any URI that Spark reads.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import warnings
 from collections.abc import Callable
 from pathlib import Path
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.contracts import GateError
-from ..sources.sinks import write_manifest
 from ..sources.tables import list_files
 
 MODES = ("auto", "reuse", "rebuild")
@@ -45,31 +48,64 @@ def listing_digest(spark: SparkSession, path: str) -> str:
     return f"{total['n']}:{total['s']}"
 
 
+def content_digest(df: DataFrame) -> str:
+    """Order-free digest of all rows: their number and the exact sum of their 64-bit hashes."""
+    columns = [F.to_json(f"`{name}`") if "map<" in kind else F.col(f"`{name}`") for name, kind in df.dtypes]
+    found = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*columns).cast("decimal(38,0)")).alias("s")).first()
+    return f"{found['n']}:{found['s']}"
+
+
 class StageStore:
-    """Run a stage once per fingerprint: ``auto`` reuses or builds, ``reuse`` must find it, ``rebuild`` always builds."""
+    """Run a stage once per fingerprint: ``auto`` reuses or builds, ``reuse`` must find it, ``rebuild`` always builds.
+
+    ``root`` is a URI, or a ``Path`` for a folder on this machine.
+    """
 
     def __init__(self, spark: SparkSession, root: str | Path, mode: str = "auto"):
         if mode not in MODES:
             raise ValueError(f"mode must be one of {MODES}")
-        self.spark, self.root, self.mode = spark, Path(root), mode
-        self.root.mkdir(parents=True, exist_ok=True)
+        self.spark, self.given, self.mode = spark, root, mode
+        self.root = root.resolve().as_uri() if isinstance(root, Path) else root.rstrip("/")
         self.records: list[dict] = []
 
-    def _sidecar(self, stage: str) -> Path:
-        return self.root / f"{stage}.json"
+    def _at(self, name: str):
+        """The Hadoop file system and path of a name below the root."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def _write_control(self, name: str, fields: dict) -> None:
+        """A small JSON file; a torn write leaves no readable JSON and so nothing to reuse."""
+        system, path = self._at(name)
+        stream = system.create(path, True)
+        stream.write(bytearray(json.dumps(fields, indent=2, sort_keys=True, default=str) + "\n", "utf-8"))
+        stream.close()
+
+    def _read_control(self, name: str) -> dict | None:
+        system, path = self._at(name)
+        if not system.exists(path):
+            return None
+        row = self.spark.read.text(f"{self.root}/{name}", wholetext=True).first()
+        try:
+            found = json.loads(row[0]) if row else None
+        except ValueError:
+            return None
+        return found if isinstance(found, dict) else None
 
     def restore(self, stage: str, mark: str) -> DataFrame | None:
-        """The stored table when id, fingerprint and file listing all agree, else None."""
-        sidecar = self._sidecar(stage)
-        if not sidecar.is_file():
+        """The stored table when id, fingerprint, file listing and row contents all agree, else None."""
+        saved = self._read_control(f"{stage}.json")
+        if saved is None or saved.get("stage") != stage or saved.get("fingerprint") != mark or not saved.get("folder"):
             return None
-        saved = json.loads(sidecar.read_text(encoding="utf-8"))
-        folder = self.root / saved.get("folder", "")
-        if saved.get("stage") != stage or saved.get("fingerprint") != mark or not folder.is_dir():
+        system, path = self._at(saved["folder"])
+        folder = f"{self.root}/{saved['folder']}"
+        if not system.exists(path) or listing_digest(self.spark, folder) != saved.get("listing"):
             return None
-        if listing_digest(self.spark, str(folder)) != saved.get("listing"):
+        try:
+            df = self.spark.read.parquet(folder)
+            return df if content_digest(df) == saved.get("content") else None
+        except (PySparkException, Py4JJavaError) as error:  # a damaged file: say so and build anew
+            warnings.warn(f"stage {stage} cannot be read back: {str(error)[:200]}", stacklevel=2)
             return None
-        return self.spark.read.parquet(str(folder))
 
     def run(self, stage: str, mark: str, build: Callable[[], DataFrame], gate: Callable[[DataFrame], dict[str, bool]] | None = None) -> DataFrame:
         if self.mode != "rebuild":
@@ -81,18 +117,19 @@ class StageStore:
                 raise GateError(f"stage {stage} has no reusable output for this fingerprint")
         # a folder per fingerprint: readers of an older version are never disturbed
         folder = f"{stage}-{mark[:16]}"
-        build().write.mode("overwrite").parquet(str(self.root / folder))
-        df = self.spark.read.parquet(str(self.root / folder))
+        build().write.mode("overwrite").parquet(f"{self.root}/{folder}")
+        df = self.spark.read.parquet(f"{self.root}/{folder}")
         checks = gate(df) if gate else {}
         failed = [name for name, passed in checks.items() if not passed]
         if failed:
             raise GateError(f"{stage} failed: {failed}")
-        write_manifest(self._sidecar(stage), {
-            "stage": stage, "fingerprint": mark, "folder": folder, "listing": listing_digest(self.spark, str(self.root / folder)), "checks": checks})
+        self._write_control(f"{stage}.json", {
+            "stage": stage, "fingerprint": mark, "folder": folder, "listing": listing_digest(self.spark, f"{self.root}/{folder}"),
+            "content": content_digest(df), "checks": checks})
         self.records.append({"stage": stage, "action": "built", "fingerprint": mark, "checks": checks})
         return df
 
-    def finish(self) -> Path:
-        path = self.root / "run_manifest.json"
-        write_manifest(path, {"stages": self.records, "mode": self.mode})
-        return path
+    def finish(self) -> str | Path:
+        """Write the run's records; returns where, in the form the root was given in."""
+        self._write_control("run_manifest.json", {"stages": self.records, "mode": self.mode})
+        return self.given / "run_manifest.json" if isinstance(self.given, Path) else f"{self.root}/run_manifest.json"

@@ -225,3 +225,27 @@ def test_stage_policy(spark, tmp_path):
     assert json.loads(store.finish().read_text())["stages"][0]["action"] == "built"
     with pytest.raises(ValueError):
         stage.StageStore(spark, tmp_path, "never")
+
+
+def test_stage_contents_and_uris(spark, tmp_path):
+    root = (tmp_path / "far").as_uri()
+    store = stage.StageStore(spark, root)
+    rows = spark.createDataFrame([(1, {"a": 1}, [1.5]), (2, None, None)], "k int, m map<string,int>, v array<double>")
+    assert store.run("one", "f" * 20, lambda: rows).count() == 2
+    assert store.restore("one", "f" * 20).count() == 2
+    data = next(p for p in (tmp_path / "far").glob("one-*/*.parquet"))
+    data.write_bytes(b"\0" * data.stat().st_size)  # same name and size, other contents
+    (data.parent / f".{data.name}.crc").unlink()
+    with pytest.warns(UserWarning):
+        assert store.restore("one", "f" * 20) is None
+    (tmp_path / "far" / ".one.json.crc").unlink()
+    (tmp_path / "far" / "one.json").write_text("{")
+    assert store.restore("one", "f" * 20) is None
+    assert store.finish() == f"{root}/run_manifest.json" and (tmp_path / "far" / "run_manifest.json").is_file()
+
+
+def test_content_digest_sees_values_not_order(spark):
+    a = spark.createDataFrame([(1, "x"), (2, None)], "k int, t string")
+    assert stage.content_digest(a) == stage.content_digest(a.orderBy("k", ascending=False))
+    assert stage.content_digest(a) != stage.content_digest(a.withColumn("k", F.col("k") + 1))
+    assert stage.content_digest(a) != stage.content_digest(a.union(a))
