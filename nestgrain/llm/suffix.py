@@ -9,12 +9,16 @@ have equal anchors, so only segments under the same gram can hold equal strings.
 * Segments that are equal as a whole need no sort: all but the first are repeats. That is
   settled in each task before the shuffle (so a line that a third of all texts share is one
   row per task) and then per gram in one sorted stream.
-* Grams with different segments, at the ends of repeats, go to the sorter in buckets of bounded
-  size. Multikey sorting, eight bytes at a time, runs to ``SHALLOW`` bytes. Groups that still
-  tie are ordered by blind tries: each group is laid along one member, branching depth and
-  branching word alone decide the subtree, and only the leaf comparison reads all bytes.
-
-Only text positions are shuffled for segments; their bytes follow for the undecided ones.
+* Grams with different segments, at the ends of repeats, go to the sorter in buckets of about
+  ``BUCKET_SEGMENTS``. Multikey sorting, eight bytes at a time, runs to ``SHALLOW`` bytes. Groups
+  that still tie are ordered by blind tries: each group is laid along one member, branching depth
+  and branching word alone decide the subtree, and only the leaf comparison reads all bytes.
+* A gram with more different segments than that (a short line that many texts share, each with
+  other neighbours) is taken apart: its 100-byte strings are dealt by their own 128-bit hash. Each
+  task passes on the first place of a string only; its later ones are repeats already.
+
+Only text positions are shuffled for segments; their bytes follow for the undecided ones, hashes
+instead of bytes for the strings of a gram that is taken apart.
 """
 
 from __future__ import annotations
@@ -24,12 +28,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
 from .common import sent_if_small
-from .hashing import LETTERS, STEP, STEP_BACK, U64, mix, powers, text_chunks
+from .hashing import LETTERS, STEP, STEP_BACK, U64, mix, powers, seeds, text_chunks
 
 LENGTH, GRAM = 100, 20
 SPAN = LENGTH - GRAM + 1  # grams in a string
@@ -40,6 +45,8 @@ BUCKET_SEGMENTS = 10_000
 
 # Letter values without case folding; the first are those of ``hashing`` in another order.
 BYTES = mix(LETTERS + np.arange(256, dtype=U64))
+# Letter values and step of the second hash of a string.
+BYTES_2, STEP_2 = seeds(256, 11), int(seeds(1, 12)[0])
 
 
 def segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -94,6 +101,16 @@ def _row_batch(gram, whole, doc, start, count, repeat) -> pa.RecordBatch:
         ["gram", "whole", "doc_id", "start", "strings", "repeat"])
 
 
+def _in_order(first: np.ndarray, second: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order by both hashes and place; in that order, which rows open a pair of hashes and which repeat an earlier place of theirs."""
+    order = np.lexsort((start, doc, second, first))
+    first, second, doc, start = (c[order] for c in (first, second, doc, start))
+    same = np.zeros(len(doc), bool)
+    same[1:] = (first[1:] == first[:-1]) & (second[1:] == second[:-1])
+    lead = np.maximum.accumulate(np.where(same, 0, np.arange(len(doc))))
+    return order, ~same, same & ((doc != doc[lead]) | (start != start[lead]))
+
+
 def _segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Segments of all texts; those that come later than an equal one among the task's own are marked as repeats."""
     held: list[tuple] = []
@@ -101,12 +118,8 @@ def _segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
     def flushed() -> Iterator[pa.RecordBatch]:
         doc, start, count, gram, whole = (np.concatenate(c) for c in zip(*held))
-        order = np.lexsort((start, doc, whole, gram))
+        order, _, repeat = _in_order(gram, whole, doc, start)
         doc, start, count, gram, whole = (c[order] for c in (doc, start, count, gram, whole))
-        same = np.zeros(len(doc), bool)
-        same[1:] = (gram[1:] == gram[:-1]) & (whole[1:] == whole[:-1])
-        first = np.maximum.accumulate(np.where(same, 0, np.arange(len(doc))))
-        repeat = same & ((doc != doc[first]) | (start != start[first]))
         # A repeat is decided; it needs no company of its gram any more and is spread over the tasks.
         gram = np.where(repeat, mix(whole + start.astype(U64) + mix(doc.astype(U64))), gram)
         for low in range(0, len(doc), 1 << 16):
@@ -162,23 +175,88 @@ def _decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["gram", "whole", "doc_id", "start", "strings", "repeat"])
 
 
+CUT_ROWS = ROWS + ", bytes binary"
+
+
+def string_hashes(cut: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(segment, step, hash, second hash) of every 100-byte string of some segments."""
+    size = np.array([len(c) for c in cut], np.int64)
+    strings = size - LENGTH + 1
+    segment = np.repeat(np.arange(len(cut)), strings)
+    step = np.arange(len(segment)) - np.repeat(np.cumsum(strings) - strings, strings)
+    at = (np.cumsum(size) - size)[segment] + step
+    data = np.frombuffer(b"".join(cut), np.uint8)
+    hashes = []
+    for letters, base in ((BYTES, STEP), (BYTES_2, STEP_2)):
+        total = np.zeros(len(data) + 1, U64)
+        np.cumsum(letters[data] * powers(base, len(data)), out=total[1:])
+        hashes.append(mix((total[at + LENGTH] - total[at]) * powers(pow(base, -1, 1 << 64), len(data))[at]))
+    return segment, step, *hashes
+
+
+def joined_runs(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(doc_id, start, strings) of runs of neighbouring string starts."""
+    order = np.lexsort((start, doc))
+    doc, start = doc[order], start[order]
+    begins = np.ones(len(doc), bool)
+    begins[1:] = (doc[1:] != doc[:-1]) | (np.diff(start) != 1)
+    return doc[begins], start[begins], np.diff(np.append(np.flatnonzero(begins), len(doc)))
+
+
 def _bytes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Cut the undecided segments out of their texts."""
+    """Cut the undecided segments out of their texts.
+
+    A segment of a gram that is taken apart leaves hashed strings without bytes instead: those
+    that are first in the task, and runs of repeats for the rest.
+    """
+    held: list[tuple] = []
+    size = 0
+
+    def flushed() -> Iterator[pa.RecordBatch]:
+        doc, start, one, two = (np.concatenate(c) for c in zip(*held))
+        order, opens, repeat = _in_order(one, two, doc, start)
+        doc, start, one, two = (c[order] for c in (doc, start, one, two))
+        again, again_start, strings = joined_runs(doc[repeat], start[repeat])
+        spread = mix(again_start.astype(U64) + mix(again.astype(U64)))
+        columns = [np.concatenate(c) for c in (
+            (one[opens], spread), (two[opens], spread), (doc[opens], again), (start[opens], again_start),
+            (np.ones(opens.sum(), np.int64), strings), (np.zeros(opens.sum(), bool), np.ones(len(again), bool)))]
+        for low in range(0, len(columns[0]), 1 << 16):
+            batch = _row_batch(*(c[low : low + (1 << 16)] for c in columns))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.nulls(batch.num_rows, pa.binary())], [*batch.schema.names, "bytes"])
+
     for batch in batches:
         for low, high, data, offsets in text_chunks(batch.column(1), PIECE):
             gram, doc, start, count, cut = [], [], [], [], []
+            apart: list[tuple] = []
             for k, wanted in enumerate(batch.column(2)[low:high].to_pylist()):
                 text = data[offsets[k] : offsets[k + 1]]
                 doc_id = batch.column(0)[low + k].as_py()
                 for w in wanted:
+                    part = text[w["start"] : w["start"] + w["strings"] + LENGTH - 1].tobytes()
+                    if w["apart"]:
+                        apart.append((doc_id, w["start"], part))
+                        continue
                     gram.append(w["gram"])
                     doc.append(doc_id)
                     start.append(w["start"])
                     count.append(w["strings"])
-                    cut.append(text[w["start"] : w["start"] + w["strings"] + LENGTH - 1].tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(gram, pa.int64()), pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(count, pa.int32()), pa.array(cut, pa.binary())],
-                ["gram", "doc_id", "start", "strings", "bytes"])
+                    cut.append(part)
+            if cut:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(gram, pa.int64()), pa.array(gram, pa.int64()), pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(count, pa.int32()),
+                     pa.array([False] * len(cut)), pa.array(cut, pa.binary())],
+                    ["gram", "whole", "doc_id", "start", "strings", "repeat", "bytes"])
+            if apart:
+                ids, starts, parts = zip(*apart)
+                segment, step, one, two = string_hashes(parts)
+                held.append((np.array(ids, np.int64)[segment], np.array(starts, np.int64)[segment] + step, one, two))
+                size += len(segment)
+            if size >= FLUSH:
+                yield from flushed()
+                held, size = [], 0
+    if size:
+        yield from flushed()
 
 
 def equal_classes(data: np.ndarray, at: np.ndarray, group: np.ndarray) -> np.ndarray:
@@ -226,6 +304,22 @@ def equal_classes(data: np.ndarray, at: np.ndarray, group: np.ndarray) -> np.nda
     return label
 
 
+RUNS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("strings", pa.int32())])
+
+
+def _bucket_repeats(table: pa.Table) -> pa.Table:
+    """Runs of strings (doc_id, start, strings) of a bucket that have an earlier place: decided ones, of hashed strings, of segments."""
+    decided = table.filter(table["repeat"]).select(RUNS.names)
+    table = table.filter(pc.invert(table["repeat"]))
+    hashed = table.filter(pc.is_null(table["bytes"]))
+    one, two, doc, start = (hashed[c].to_numpy() for c in ("gram", "whole", "doc_id", "start"))
+    order, _, repeat = _in_order(one, two, doc, start)
+    later = order[repeat]
+    runs = pa.table([pa.array(c, k) for c, k in zip(joined_runs(doc[later], start[later]), RUNS.types)], schema=RUNS)
+    segments = table.filter(pc.is_valid(table["bytes"]))
+    return pa.concat_tables([decided.cast(RUNS), runs, *([_sorted_repeats(segments)] if segments.num_rows else [])])
+
+
 def _sorted_repeats(table: pa.Table) -> pa.Table:
     """Runs of strings (doc_id, start, strings) that another segment of the bucket has at an earlier place."""
     table = table.combine_chunks()
@@ -250,9 +344,7 @@ def _sorted_repeats(table: pa.Table) -> pa.Table:
     begins[1:] = (np.diff(later) != 1) | (segment[later[1:]] != segment[later[:-1]])
     head = later[begins]
     size = np.diff(np.append(np.flatnonzero(begins), len(later)))
-    return pa.table({
-        "doc_id": pa.array(doc[segment[head]], pa.int64()), "start": pa.array(start[segment[head]] + step[head], pa.int64()),
-        "strings": pa.array(size, pa.int32())})
+    return pa.table([pa.array(c, k) for c, k in zip((doc[segment[head]], start[segment[head]] + step[head], size), RUNS.types)], schema=RUNS)
 
 
 def removed_spans(intervals: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -309,11 +401,13 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     dealt = originals.mapInArrow(_segment_rows, ROWS).repartition("gram").sortWithinPartitions("gram", "whole", "doc_id", "start")
     decided = materialise(dealt.mapInArrow(_decided, ROWS))
     undecided = decided.where("NOT repeat")
-    wanted = undecided.groupBy("doc_id").agg(F.collect_list(F.struct("gram", "start", "strings")).alias("wanted"))
-    cut = rows.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(
-        _bytes_of, "gram long, doc_id long, start long, strings int, bytes binary")
+    crowded = undecided.groupBy("gram").agg(F.count(F.lit(1)).alias("segments")).where(F.col("segments") > BUCKET_SEGMENTS)
+    crowded = sent_if_small(materialise(crowded.select("gram", F.lit(True).alias("apart"))), 16)
+    marked_segments = undecided.join(crowded, "gram", "left").withColumn("apart", F.coalesce("apart", F.lit(False)))
+    wanted = marked_segments.groupBy("doc_id").agg(F.collect_list(F.struct("gram", "start", "strings", "apart")).alias("wanted"))
+    cut = rows.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_bytes_of, CUT_ROWS)
     buckets = max(1, undecided.count() // BUCKET_SEGMENTS)
-    bucketed = cut.withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(buckets))).groupBy("bucket").applyInArrow(_sorted_repeats, "doc_id long, start long, strings int")
+    bucketed = cut.withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(buckets))).groupBy("bucket").applyInArrow(_bucket_repeats, "doc_id long, start long, strings int")
     runs = decided.where("repeat").select("doc_id", "start", "strings").unionByName(bucketed)
     per_doc = runs.groupBy("doc_id").agg(F.collect_list(F.struct("start", "strings")).alias("runs"))
     final = rows.join(per_doc, "doc_id", "left").join(copies, F.col("doc_id") == F.col("copy_id"), "left")

@@ -102,6 +102,29 @@ def test_suffix_repeats(docs_of, seed, monkeypatch):
     assert got == want
 
 
+def test_suffix_shared_short_line(docs_of, monkeypatch):
+    """A line shorter than a string, in other surroundings each time, with copies of some surroundings: no bucket gets the whole gram."""
+    rng = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyz "
+    line = "".join(rng.choices(letters, k=60))
+    near = [("".join(rng.choices(letters, k=60)), "".join(rng.choices(letters, k=60))) for _ in range(400)]
+    for k in range(30):  # the last 45 letters before and the first 45 after the line are those of another text
+        near[k] = (near[k][0][:15] + near[k + 50][0][15:], near[k + 50][1][:45] + near[k][1][45:])
+    rows = [(i, a + line + b) for i, (a, b) in enumerate(near)] + [(800, None), (801, near[0][0] + line), (3, near[3][0] + line + near[3][1])]
+    want = suffix.brute_force({i: (t or "").encode() for i, t in rows})
+    monkeypatch.setattr(suffix, "BUCKET_SEGMENTS", 20)
+    step = "_bucket_repeats" if hasattr(suffix, "_bucket_repeats") else "_sorted_repeats"
+    whole = getattr(suffix, step)
+
+    def bounded(table):
+        assert sum(table["strings"].to_pylist()) < 6000, "a whole gram in one task"
+        return whole(table)
+
+    monkeypatch.setattr(suffix, step, bounded)
+    got = {r[0]: tuple(r)[1:] for r in suffix.digest(suffix.without_repeats(docs_of(rows))).collect()}
+    assert got == want and sum(w[1] > 0 for w in want.values()) >= 30
+
+
 def test_equal_classes_deep_groups():
     """Strings that part only after the shallow depth, at every later depth."""
     rng = np.random.default_rng(5)
