@@ -167,14 +167,19 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def _links(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Enough verified links (a, b) between class representatives to connect every component."""
-    banded = classes.select(F.col("rep").alias("id"), F.explode("bands").alias("key"))
+def _buckets(banded: DataFrame) -> DataFrame:
+    """(lead, members, s1, s2, key) of every set of at least two ids (id, key) that some key brings together."""
     mark = F.xxhash64("id")
     buckets = banded.groupBy("key").agg(
-        F.min("id").alias("lead"), F.count(F.lit(1)).alias("members"), F.sum(F.shiftrightunsigned(mark, 20)).alias("s1"), F.bit_xor(mark).alias("s2"))
+        F.min("id").alias("lead"), F.count(F.lit(1)).alias("members"), F.sum(mark.cast("decimal(38,0)")).alias("s1"), F.bit_xor(mark).alias("s2"))
     # Bands often bring the same members together again: one bucket of each member set is enough.
-    buckets = buckets.where("members > 1").groupBy("lead", "members", "s1", "s2").agg(F.min("key").alias("key"))
+    return buckets.where("members > 1").groupBy("lead", "members", "s1", "s2").agg(F.min("key").alias("key"))
+
+
+def _links(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Enough verified links (a, b) between class representatives to connect every component."""
+    banded = classes.select(F.col("rep").alias("id"), F.explode("bands").alias("key"))
+    buckets = _buckets(banded)
     members = materialise(banded.join(buckets.select("key", "lead", "members"), "key"))
     needed = materialise(members.select("id").distinct())
     texts = rows.where(F.col("doc_id").isNotNull()).join(sent_if_small(needed, 16), F.col("doc_id") == F.col("id"), "left_semi")

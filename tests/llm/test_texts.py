@@ -82,6 +82,13 @@ def test_near_duplicates_large_bucket(docs_of, monkeypatch):
     assert got == label
 
 
+def test_bucket_of_more_than_a_million(spark):
+    """The member sums of a key with 1.2 million ids, and of a second key with the same ones."""
+    banded = spark.range(1_200_000).selectExpr("id", "explode(array(7L, 5L)) AS key").union(spark.sql("SELECT 1L, 9L UNION ALL SELECT 2L, 9L"))
+    got = sorted((r["lead"], r["members"], r["key"]) for r in minhash._buckets(banded).collect())
+    assert got == [(0, 1_200_000, 5), (1, 2, 9)]
+
+
 def test_null_ids_and_empty_table(docs_of):
     rows = [(None, "a b c d e f"), (1, "a b c d e f"), (None, None)]
     got = sorted((r.doc_id or -1, r.component_id or -1, r.kept) for r in minhash.near_duplicates(docs_of(rows)).collect())
