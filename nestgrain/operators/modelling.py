@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import small, spread
+from ..session import materialise, small, spread
 from .contracts import GateError, require_empty, split_groups
 from .folds import inner_folds
 from .ordered import exact_percentiles
@@ -428,19 +428,50 @@ def _forest(trees: int, depth: int | None, leaf: int, features: str, seed: int):
         minInstancesPerNode=leaf, featureSubsetStrategy=features, seed=seed)
 
 
+def gap_columns(df: DataFrame, x: str) -> list[int]:
+    """Positions of array ``x`` that are NULL somewhere."""
+    found = df.select(F.posexplode(x).alias("c", "v")).where(F.col("v").isNull()).select("c").distinct()
+    return sorted(r["c"] for r in found.collect())
+
+
+def _vectors(train: DataFrame, held: DataFrame, x: str, gaps: list[int]) -> tuple[DataFrame, DataFrame]:
+    """Both sets with vector ``__v``, gaps filled with the exact medians of ``train``.
+
+    A column without any value in ``train`` is filled with 0 and no tree can split on it.
+    """
+    from pyspark.ml.functions import array_to_vector
+
+    column = F.col(x)
+    if gaps:
+        cells = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.get(x, F.lit(c)).alias("v")) for c in gaps])).alias("e")
+        known = train.select(cells).select("e.c", "e.v").where("v IS NOT NULL")
+        medians = {r["c"]: r["m"] for r in exact_percentiles(known, ["c"], "v", {"m": 0.5}).collect()}
+        fill = F.create_map(*[F.lit(k) for c in gaps for k in (c, float(medians.get(c, 0.0)))])
+        column = F.transform(x, lambda v, i: F.coalesce(v, F.element_at(fill, i)))
+    return tuple(materialise(part.withColumn("__v", array_to_vector(column))) for part in (train, held))
+
+
 def forest_predictions(
     df: DataFrame, keys: list[str], group: str, outer: str, x: str, y: str, trees: int = 250, leaf: int = 8,
     feature_share: str = "0.8", depth: int | None = None, seed: int = 42,
+    candidates: list[tuple[int | None, int]] | None = None, tune_trees: int = 500,
 ) -> DataFrame:
-    """Outer-fold predictions of one random forest; groups never straddle train and test."""
-    from pyspark.ml.functions import array_to_vector
+    """Outer-fold predictions of one random forest; groups never straddle train and test.
 
+    NULL features are filled with the medians of the training folds. With ``candidates`` the
+    (depth, leaf) of each outer fold come from ``tune_forest`` on its training rows.
+    """
     require_empty(split_groups(df, group, outer), "group split across outer folds")
-    rows = df.select(*dict.fromkeys([*keys, group, outer]), array_to_vector(F.col(x)).alias("__v"), F.col(y).cast("double").alias("__y"))
+    gaps = gap_columns(df, x)
+    rows = df.select(*dict.fromkeys([*keys, group, outer]), F.col(x).alias("__x"), F.col(y).cast("double").alias("__y"))
     parts = []
     for fold in sorted(int(r[0]) for r in df.select(outer).distinct().collect()):
-        model = _forest(trees, depth, leaf, feature_share, seed).fit(rows.where(F.col(outer) != fold))
-        parts.append(model.transform(rows.where(F.col(outer) == fold)))
+        train, held = _vectors(rows.where(F.col(outer) != fold), rows.where(F.col(outer) == fold), "__x", gaps)
+        if candidates:
+            tuned = tune_forest(train, group, "__x", "__y", candidates, tune_trees, seed=seed + 100 * fold, feature_share=feature_share)
+            depth, leaf = tuned.where("selected").select("max_depth", "min_leaf").first()
+        model = _forest(trees, depth, leaf, feature_share, seed + 100 * fold if candidates else seed).fit(train)
+        parts.append(model.transform(held))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -451,21 +482,24 @@ def tune_forest(
     df: DataFrame, group: str, x: str, y: str, candidates: list[tuple[int | None, int]], trees: int, inner: int = 4, seed: int = 42,
     feature_share: str = "sqrt",
 ) -> DataFrame:
-    """Mean grouped inner MAE of each (depth, leaf) candidate; ties go to the sorted JSON of its parameters."""
-    from pyspark.ml.functions import array_to_vector
+    """Mean grouped inner MAE of each (depth, leaf) candidate; ties go to the sorted JSON of its parameters.
 
+    NULL features are filled with the medians of the inner training folds.
+    """
     from .folds import group_kfold
 
     splits = min(inner, df.select(group).distinct().limit(inner).count())
     folds = group_kfold(df, group, splits, "__fold")
-    rows = df.select(group, array_to_vector(F.col(x)).alias("__v"), F.col(y).cast("double").alias("__y")).join(small(folds), group)
-    found = []
-    for position, (depth, leaf) in enumerate(candidates):
-        per_fold = []
-        for fold in range(1, splits + 1):
-            model = _forest(trees, depth, leaf, feature_share, seed).fit(rows.where(F.col("__fold") != fold))
-            scored = model.transform(rows.where(F.col("__fold") == fold))
+    rows = df.select(group, F.col(x).alias("__x"), F.col(y).cast("double").alias("__y")).join(small(folds), group)
+    gaps = gap_columns(df, x)
+    errors = [[] for _ in candidates]
+    for fold in range(1, splits + 1):
+        train, held = _vectors(rows.where(F.col("__fold") != fold), rows.where(F.col("__fold") == fold), "__x", gaps)
+        for per_fold, (depth, leaf) in zip(errors, candidates):
+            scored = _forest(trees, depth, leaf, feature_share, seed).fit(train).transform(held)
             per_fold.append(scored.agg(F.avg(F.abs(F.col("predicted") - F.col("__y")))).first()[0])
+    found = []
+    for position, ((depth, leaf), per_fold) in enumerate(zip(candidates, errors)):
         text = '{"max_depth": %s, "min_samples_leaf": %d}' % ("null" if depth is None else depth, leaf)
         found.append((position, depth, leaf, float(np.mean(per_fold)), text))
     table = df.sparkSession.createDataFrame(found, "candidate int, max_depth int, min_leaf int, mean_inner_mae double, parameters string")

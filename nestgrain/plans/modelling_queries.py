@@ -11,7 +11,8 @@ from ..operators import modelling as mo
 from .common import metric_sql, rounded, sql_stable, sums_sql, table
 
 LOCATION = (0, 1, 2)
-TABULAR = (0, 1, 2, 3, 4)
+BOUNDARY = (3, 4)
+TABULAR = LOCATION + BOUNDARY
 IMAGE = tuple(range(5, 69))
 FEATURES = 69
 
@@ -28,12 +29,20 @@ PRIMARY = [
     mo.Ladder("image_ridge", "ridge", (), IMAGE, PRIMARY_COMPONENTS, PRIMARY_ALPHAS),
     mo.Ladder("location_image_ridge", "ridge", LOCATION, IMAGE, PRIMARY_COMPONENTS, PRIMARY_ALPHAS),
 ]
+# The forest of the secondary ladder stands at FOREST_POSITION among these.
 SECONDARY = [
-    mo.Ladder("boundary_linear", "linear", TABULAR),
-    mo.Ladder("boundary_ridge", "ridge", TABULAR, alphas=SECONDARY_ALPHAS),
+    mo.Ladder("null_training_mean", "mean"),
+    mo.Ladder("null_minus_1_reference", "fixed"),
+    mo.Ladder("location_ridge", "ridge", LOCATION, alphas=SECONDARY_ALPHAS),
+    mo.Ladder("boundary_linear", "linear", BOUNDARY),
+    mo.Ladder("boundary_ridge", "ridge", BOUNDARY, alphas=SECONDARY_ALPHAS),
+    mo.Ladder("location_boundary_ridge", "ridge", TABULAR, alphas=SECONDARY_ALPHAS),
     mo.Ladder("aligned_image_ridge", "ridge", (), IMAGE, SECONDARY_COMPONENTS, SECONDARY_ALPHAS, whiten=False),
-    mo.Ladder("boundary_image_ridge", "ridge", TABULAR, IMAGE, SECONDARY_COMPONENTS, SECONDARY_ALPHAS, whiten=False),
+    mo.Ladder("location_boundary_image_ridge", "ridge", TABULAR, IMAGE, SECONDARY_COMPONENTS, SECONDARY_ALPHAS, whiten=False),
 ]
+FOREST_NAME, FOREST_POSITION = "location_boundary_random_forest", 7
+FOREST_CANDIDATES = [(depth, leaf) for depth in (4, 8, None) for leaf in (5, 15)]
+TUNE_TREES, FOREST_TREES = 500, 1000
 
 
 def _points(spark, sf_dir):
@@ -64,15 +73,25 @@ def component_diagnostics(spark, sf_dir):
     return _run(spark, sf_dir, PRIMARY).components
 
 
+def _forest(rows):
+    return mo.forest_predictions(
+        rows, ["vec_id"], "participant", "fold", "x", "y", trees=FOREST_TREES, feature_share="sqrt",
+        candidates=FOREST_CANDIDATES, tune_trees=TUNE_TREES)
+
+
 def secondary_ladder(spark, sf_dir):
-    metrics = ag.agreement_metrics(_run(spark, sf_dir, SECONDARY).predictions, ["model", "model_position"])
+    linear = _run(spark, sf_dir, SECONDARY).predictions
+    place = F.col("model_position")
+    linear = linear.withColumn("model_position", F.when(place >= FOREST_POSITION, place + 1).otherwise(place))
+    forest = _forest(_points(spark, sf_dir).withColumn("x", F.slice("x", 1, len(TABULAR))))
+    forest = forest.withColumns({"model": F.lit(FOREST_NAME), "model_position": F.lit(FOREST_POSITION)})
+    columns = ["model", "model_position", "participant", "fold", "observed", "predicted"]
+    metrics = ag.agreement_metrics(linear.select(*columns).unionByName(forest.select(*columns)), ["model", "model_position"])
     return rounded(metrics, ["model", "model_position"], list(ag.METRICS), 5)
 
 
 def forest_ladder(spark, sf_dir):
-    rows = _points(spark, sf_dir).withColumn("x", F.slice("x", 6, 64))
-    out = mo.forest_predictions(rows, ["vec_id"], "participant", "fold", "x", "y", trees=25)
-    return ag.agreement_metrics(out, [])
+    return ag.agreement_metrics(_forest(_points(spark, sf_dir)), [])
 
 
 def _lines(spark, sf_dir):

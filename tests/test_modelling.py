@@ -132,6 +132,35 @@ def test_forest(spark, data):
     assert tuned.selected.sum() == 1 and tuned.loc[tuned.selected, "mean_inner_mae"].iloc[0] == tuned.mean_inner_mae.min()
 
 
+def test_forest_fills_gaps_and_tunes(spark, data):
+    """Gaps are filled by training medians, and each outer fold has the depth and leaf its own training rows choose."""
+    frame, x, df = data
+    train, held = mo._vectors(df.where("outer <> 1"), df.where("outer = 1"), "x", mo.gap_columns(df, "x"))
+    median = np.nanmedian(x[frame.outer != 1, 2])
+    for r in held.select("id", "__v").collect():
+        assert np.allclose(r["__v"].toArray(), np.where(np.isnan(x[r["id"]]), median, x[r["id"]]))
+    part = df.where("outer <= 2")
+    got = mo.forest_predictions(part, ["id"], "who", "outer", "x", "y", trees=3, feature_share="sqrt", candidates=[(2, 5)], tune_trees=2).toPandas()
+    assert len(got) == (frame.outer <= 2).sum() and got.predicted.notna().all()
+
+
+def test_forest_queries_are_whole(spark, sf_dir, monkeypatch):
+    """What the two queries ask of the forest, which is replaced here because 500 and 1,000 trees take long."""
+    from nestgrain.plans import modelling_queries as mq
+
+    seen = []
+
+    def asked(rows, *names, trees, feature_share, candidates, tune_trees):
+        seen.append((rows.selectExpr("max(size(x))").first()[0], trees, feature_share, len(candidates), tune_trees))
+        return rows.select("vec_id", "participant", "fold", F.col("y").alias("observed"), F.lit(0.5).alias("predicted"))
+
+    monkeypatch.setattr(mo, "forest_predictions", asked)
+    got = mq.secondary_ladder(spark, sf_dir).collect()
+    assert sorted(r["model_position"] for r in got) == list(range(1, 10)) and len({r["model"] for r in got}) == 9
+    assert mq.forest_ladder(spark, sf_dir).count() == 1
+    assert seen == [(5, 1000, "sqrt", 6, 500), (69, 1000, "sqrt", 6, 500)]
+
+
 def test_two_level_sums_agree(spark, data):
     frame, x, df = data
     inner = folds.inner_folds(df, "who", "outer", [1, 2, 3, 4, 5])
