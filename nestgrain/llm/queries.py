@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import importlib
 
-GROUPS = ("warc", "minhash", "suffix", "packing", "decontamination", "credentials", "vectors", "languages", "licenses", "quality")
+GROUPS = ("warc", "minhash", "suffix", "packing", "decontamination", "credentials", "vectors", "languages", "licenses", "quality",
+          "pieces")
 
 QUERIES: dict = {}
 for _group in GROUPS:
