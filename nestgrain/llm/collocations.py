@@ -237,7 +237,7 @@ def collocations(docs: DataFrame, max_words: int = 3, min_count: int = 10, top:
         'k', k, 'l', element_at(starts, k), 'r', element_at(rests, size(words) - k)))""")
     kept = stream.join(inside, ["lang", "words"], "left_anti").withColumn("cut", F.array_min(cuts))
     kept = materialise(kept.select("lang", F.array_join("words", " ").alias("phrase"), F.col("f").alias("a"), "cut.l", "cut.r", "cut.score"))
-    ranked = materialise(with_rank(kept.withColumn("__down", -F.col("score")).withColumn("__few", -F.col("a")), ["lang", "__down", "__few", "phrase"], "__at"))
-    starts = materialise(ranked.groupBy("lang").agg(F.min("__at").alias("__first")).join(totals, "lang"))
-    best = ranked.join(sent_if_small(starts, 64), "lang").withColumn("rank", F.col("__at") - F.col("__first") + 1).where(F.col("rank") <= top)
+    ranked = materialise(with_rank(kept.withColumn("__down", -F.col("score")).withColumn("__few", -F.col("a")), ["lang", "__down", "__few", "phrase"], "__rank"))
+    starts = materialise(ranked.groupBy("lang").agg(F.min("__rank").alias("__first")).join(totals, "lang"))
+    best = ranked.join(sent_if_small(starts, 64), "lang").withColumn("rank", F.col("__rank") - F.col("__first") + 1).where(F.col("rank") <= top)
     return best.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from ..session import ensure_checkpoint_dir
 
 MARKER = "▁"
-BLOCK_BYTES = 2 << 20  # text bytes numbered together; one longer text is a block of its own
+BLOCK_BYTES = 16 << 20  # text numbered together; a longer text is a block of its own
 OWNED_BYTES = 64 << 20  # text bytes for each task that segments chunks
 PARTS = "block long, owner int, doc_id long, codes binary, chunks string"
 
@@ -70,14 +70,27 @@ def chunk_keys(text: str) -> list[str]:
     return keys
 
 
-def _packed(numbers, top: int) -> bytes:
-    return np.asarray(numbers, np.uint16 if top <= 65535 else np.uint32).tobytes()
+def _packed(ids, top: int) -> bytes:
+    return np.asarray(ids, np.uint16 if top <= 65535 else np.uint32).tobytes()
 
 
 def _numbers(packed: bytes, top: int) -> np.ndarray:
     return np.frombuffer(packed, np.uint16 if top <= 65535 else np.uint32)
 
 
+def _short(numbers: np.ndarray) -> bytes:
+    """Numbers in few bytes where they are small: as characters in UTF-8, or plainly if one is no character."""
+    plain = numbers.astype("<u4").tobytes()
+    if numbers.max(initial=0) > 0x10FFFF:
+        return b"w" + plain
+    return b"u" + plain.decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")
+
+
+def _long(short: bytes) -> np.ndarray:
+    plain = short[1:] if short[:1] == b"w" else short[1:].decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass")
+    return np.frombuffer(plain, "<u4")
+
+
 class _Numbered(dict):
     """Chunk to its number, in order of first sight."""
 
@@ -90,17 +103,21 @@ def _split(owners: int):
     """Rows of two kinds: a document as chunk numbers (owner null), and the chunks of a block that one owner segments."""
 
     def block_rows(block: int, ids: list, coded: list, known: _Numbered) -> pa.RecordBatch:
-        top = len(known)
+        codes = np.concatenate(coded).astype(np.int64)
+        order = np.argsort(-np.bincount(codes, minlength=len(known)), kind="stable")  # frequent chunks get small numbers
+        rank = np.empty(len(known), np.int64)
+        rank[order] = np.arange(len(known))
+        names = list(known)
         shares: dict[int, tuple[list, list]] = {}
-        for chunk, number in known.items():
-            numbers, chunks = shares.setdefault(xxhash.xxh3_64_intdigest(chunk) % owners, ([], []))
+        for number, at in enumerate(order.tolist()):
+            numbers, chunks = shares.setdefault(xxhash.xxh3_64_intdigest(names[at]) % owners, ([], []))
             numbers.append(number)
-            chunks.append(chunk)
-        codes = [_packed(c, top) for c in coded] + [_packed(n, top) for n, _ in shares.values()]
-        rows = len(codes)
+            chunks.append(names[at])
+        short = [_short(rank[c]) for c in coded] + [_short(np.diff(n, prepend=0)) for n, _ in shares.values()]
+        rows = len(short)
         return pa.RecordBatch.from_arrays([
             pa.array([block] * rows, pa.int64()), pa.array([None] * len(ids) + list(shares), pa.int32()),
-            pa.array(ids + [None] * len(shares), pa.int64()), pa.array([top.to_bytes(4, "little") + c for c in codes], pa.binary()),
+            pa.array(ids + [None] * len(shares), pa.int64()), pa.array(short, pa.binary()),
             pa.array([None] * len(ids) + [" ".join(c) for _, c in shares.values()], pa.string())],
             ["block", "owner", "doc_id", "codes", "chunks"])
 
@@ -141,7 +158,7 @@ def _segmented(model_path: str):
                 found = [known[k] for k in keys]
                 out["block"].append(block)
                 out["codes"].append(codes)
-                out["lengths"].append(np.array([len(f) for f in found], np.uint32).tobytes())
+                out["lengths"].append(_short(np.array([len(f) for f in found])))
                 out["ids"].append(b"".join(found))
             yield pa.RecordBatch.from_arrays([pa.array(out["block"], pa.int64())] + [pa.array(out[c], pa.binary()) for c in ("codes", "lengths", "ids")], list(out))
 
@@ -158,7 +175,7 @@ def _joined(model_path: str, keep: bool):
         ids_of: dict[int, bytes] = {}
         for codes, lengths, ids in zip(*(table.column(c).to_pylist() for c in ("codes", "lengths", "ids"))):
             at = 0
-            for code, length in zip(_numbers(codes[4:], int.from_bytes(codes[:4], "little")).tolist(), np.frombuffer(lengths, np.uint32).tolist()):
+            for code, length in zip(np.cumsum(_long(codes)).tolist(), _long(lengths).tolist()):
                 ids_of[code] = ids[at : at + length]
                 at += length
         guard = model.encode("a")  # a word in front, so that decoding keeps the chunk's first marker
@@ -168,7 +185,7 @@ def _joined(model_path: str, keep: bool):
         first, last = _packed([model.bos_id()], top), _packed([model.eos_id()], top)
         out = {k: [] for k in ("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded")}
         for doc_id, codes in zip(docs.column("doc_id").to_pylist(), docs.column("codes").to_pylist()):
-            numbers = _numbers(codes[4:], int.from_bytes(codes[:4], "little")).tolist()
+            numbers = _long(codes).tolist()
             ids = first + b"".join(map(ids_of.__getitem__, numbers)) + last
             full = np.frombuffer(ids, np.uint16 if wide == 2 else np.uint32).astype("<u4").tobytes()
             decoded = "".join(map(text_of.__getitem__, numbers))[1:]
