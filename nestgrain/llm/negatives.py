@@ -21,7 +21,6 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -241,22 +240,19 @@ def _index(rows: DataFrame) -> tuple[DataFrame, Shape]:
     shape = Shape(trees, {}, squares, sample)
     index = materialise(rows.mapInArrow(_leaves(shape), "vec_id long, label long, dim int, code binary, leaf long"))
     found = index.select("dim", "code").mapInArrow(_ranges(shape), "dim int, node long, i int, j int, low double, high double")
+    split = {(dim, node.key): len(node.points) for dim, tree in trees.items() for node in _nodes(tree)}
     for r in found.groupBy("dim", "node", "i", "j").agg(F.min("low").alias("low"), F.max("high").alias("high")).collect():
-        n = len(_node(trees[r["dim"]], r["node"]).points)
+        n = split[r["dim"], r["node"]]
         low, high = shape.ranges.setdefault(r["dim"], {}).setdefault(r["node"], (np.full((n, n), np.inf), np.full((n, n), -np.inf)))
         low[r["i"], r["j"]], high[r["i"], r["j"]] = r["low"], r["high"]
     return index, shape
 
 
-def _node(tree: Node, key: int) -> Node:
-    if tree.key == key:
-        return tree
-    return next(found for child in tree.children if child is not None and (found := _node(child, key)) is not None) if any(
-        child is not None and _holds(child, key) for child in tree.children) else None
-
-
-def _holds(tree: Node, key: int) -> bool:
-    return tree.key == key or any(child is not None and _holds(child, key) for child in tree.children)
+def _nodes(tree: Node | None) -> Iterator[Node]:
+    if tree is not None:
+        yield tree
+        for child in tree.children:
+            yield from _nodes(child)
 
 
 def _routed(shape: Shape, keep: int, windows: bool):
@@ -376,7 +372,7 @@ def hard_negatives(rows: DataFrame, is_anchor: Column, positives: int = 5, negat
     chosen = found.where("score >= 0").groupBy("anchor_id").agg(F.sort_array(F.collect_list(F.struct("rank", F.col("other_id").alias("positive_id"), F.col("score").alias("p")))).alias("chosen"))
     windows = anchors.join(chosen, F.col("vec_id") == F.col("anchor_id")).select(
         "vec_id", "label", "dim", "code",
-        F.expr(f"transform(chosen, c -> ({least} * c.p + 99) div 100)").alias("low"), F.expr(f"transform(chosen, c -> ({most} * c.p) div 100)").alias("high"))
+        F.expr(f"transform(chosen, c -> (CAST({least} AS DECIMAL(20, 0)) * c.p + 99) div 100)").alias("low"), F.expr(f"transform(chosen, c -> (CAST({most} AS DECIMAL(20, 0)) * c.p) div 100)").alias("high"))
     answers = _searched(index, shape, tile_rows, windows, blocks, negatives, True)
     pairs = chosen.select("anchor_id", F.posexplode("chosen").alias("place", "c")).select("anchor_id", "place", "c.positive_id", F.col("c.p").alias("positive_score"))
     return answers.join(pairs, ["anchor_id", "place"]).select(

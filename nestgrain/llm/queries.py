@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 GROUPS = ("warc", "minhash", "suffix", "packing", "decontamination", "credentials", "vectors", "languages", "licenses", "quality",
-          "pieces")
+          "collocations", "negatives", "pieces")
 
 QUERIES: dict = {}
 for _group in GROUPS:
