@@ -1,88 +1,108 @@
 """Error, calibration and agreement metrics, strata, ranking and the cluster bootstrap.
 
-Every metric is a function of nine sums that add up over rows, so overall values,
+Every metric is a function of a few moments that merge over groups, so overall values,
 strata, folds, participants and each bootstrap replicate all come from one
 aggregation of the predictions.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..session import materialise, small
+from ..session import largest_group, materialise, rows_per_task, small
 from .ordered import rank_within
 
 METRICS = (
     "mae", "rmse", "bias", "lower_loa", "upper_loa", "calibration_intercept", "calibration_slope", "r_squared",
 )
-SUMS = ("n", "abs_d", "d", "dd", "o", "oo", "p", "pp", "op")
-# Kept beside the sums: ranges (a constant is where they close) and the points that squares and products are taken around.
-BOUNDS = {"lo_o": F.min, "hi_o": F.max, "lo_p": F.min, "hi_p": F.max, "at_o": F.min, "at_p": F.min}
+# What is kept of a group: rows, sum of |d|, means, central sums of squares and products, and ranges
+# (a constant is where they close). Groups merge without leaving their own scale.
+MEANS = ("d", "o", "p")
+SQUARES = ("dd", "oo", "pp", "op")
+BOUNDS = {"lo_o": F.min, "hi_o": F.max, "lo_p": F.min, "hi_p": F.max}
+MOMENTS = ("s_n", "s_abs_d", *[f"m_{k}" for k in MEANS], *[f"c_{k}" for k in SQUARES], *BOUNDS)
 
 
 def agreement_sums(
     df: DataFrame, keys: list[str], observed: str = "observed", predicted: str = "predicted", weight: str | None = None
 ) -> DataFrame:
-    """The nine (weighted) sums per key, and ranges. Rows with weight <= 0 do not count.
+    """The (weighted) moments per key. Rows without both values, or with weight <= 0, do not count.
 
-    Squares and products are taken around the overall means, which one small aggregate finds
-    first: around zero they would cancel when values vary little compared with their size.
+    Squares and products are central per key, so neither small spreads nor a key of another
+    magnitude cost digits. Weights need the means first: they are joined back, one row a key.
     """
+    both = F.col(observed).isNotNull() & F.col(predicted).isNotNull()
     if weight is not None:
         df = df.where(F.col(weight) > 0)
-    at = df.agg(F.avg(observed).alias("o"), F.avg(predicted).alias("p")).first()
-    at_o, at_p = (F.lit(float(x) if x is not None and math.isfinite(x) else 0.0) for x in at)
-    raw_o, raw_p = F.col(observed), F.col(predicted)
-    d, o, p = raw_p - raw_o, raw_o - at_o, raw_p - at_p
-    w = F.lit(1.0) if weight is None else F.col(weight)
-    terms = {
-        "n": w, "abs_d": w * F.abs(d), "d": w * d, "dd": w * d * d,
-        "o": w * o, "oo": w * o * o, "p": w * p, "pp": w * p * p, "op": w * o * p,
-    }
-    aggs = [F.sum(term).alias(f"s_{name}") for name, term in terms.items()]
-    kept = {"lo_o": raw_o, "hi_o": raw_o, "lo_p": raw_p, "hi_p": raw_p, "at_o": at_o, "at_p": at_p}
-    aggs += [BOUNDS[name](column).alias(f"s_{name}") for name, column in kept.items()]
-    return df.groupBy(*keys).agg(*aggs) if keys else df.agg(*aggs)
+    kept = df.select(*keys, F.when(both, F.col(observed).cast("double")).alias("o"), F.when(both, F.col(predicted).cast("double")).alias("p"),
+                     (F.lit(1.0) if weight is None else F.col(weight).cast("double")).alias("w"))
+    kept = kept.withColumn("d", F.col("p") - F.col("o"))
+    bounds = [how(name[-1]).alias(name) for name, how in BOUNDS.items()]
+    if weight is None:
+        n = F.count("d").cast("double")
+        squares = [(n * (F.covar_pop(k[0], k[1]) if k[0] != k[1] else F.var_pop(k[0]))).alias(f"c_{k}") for k in SQUARES]
+        aggs = [n.alias("s_n"), F.sum(F.abs("d")).alias("s_abs_d"), *[F.avg(k).alias(f"m_{k}") for k in MEANS], *squares, *bounds]
+        return kept.groupBy(*keys).agg(*aggs)
+    kept = kept.where("d IS NOT NULL")
+    means = kept.groupBy(*keys).agg(*[(F.sum(F.col("w") * F.col(k)) / F.sum("w")).alias(f"m_{k}") for k in MEANS])
+    joined = _beside(kept, means, keys)
+    part = {k: F.col(k) - F.col(f"m_{k}") for k in MEANS}
+    squares = [F.sum(F.col("w") * part[k[0]] * part[k[1]]).alias(f"c_{k}") for k in SQUARES]
+    return joined.groupBy(*keys).agg(
+        F.sum("w").alias("s_n"), F.sum(F.col("w") * F.abs("d")).alias("s_abs_d"), *[F.first(f"m_{k}").alias(f"m_{k}") for k in MEANS], *squares, *bounds)
+
+
+def _beside(rows: DataFrame, per_key: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with the other columns of ``per_key``; NULL keys meet, and no key means one row for all."""
+    if not keys:
+        return rows.join(F.broadcast(per_key))
+    named = per_key.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in per_key.columns if c not in keys])
+    return rows.join(named, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])).drop(*[f"__{k}" for k in keys])
 
 
 def add_up(sums: DataFrame, keys: list[str], extra: list[Column] | None = None) -> DataFrame:
-    aggs = [F.sum(f"s_{name}").alias(f"s_{name}") for name in SUMS]
-    aggs += [how(f"s_{name}").alias(f"s_{name}") for name, how in BOUNDS.items()] + (extra or [])
-    return sums.groupBy(*keys).agg(*aggs) if keys else sums.agg(*aggs)
+    """Moments of the unions of groups: means first, then central sums around them."""
+    means = sums.groupBy(*keys).agg(*[(F.sum(F.col("s_n") * F.col(f"m_{k}")) / F.sum("s_n")).alias(f"__m_{k}") for k in MEANS])
+    joined = _beside(sums, means, keys)
+    away = {k: F.col(f"m_{k}") - F.col(f"__m_{k}") for k in MEANS}
+    aggs = [F.sum(name).alias(name) for name in ("s_n", "s_abs_d")]
+    aggs += [F.first(f"__m_{k}").alias(f"m_{k}") for k in MEANS]
+    aggs += [F.sum(F.col(f"c_{k}") + F.col("s_n") * away[k[0]] * away[k[1]]).alias(f"c_{k}") for k in SQUARES]
+    aggs += [how(name).alias(name) for name, how in BOUNDS.items()]
+    return joined.groupBy(*keys).agg(*aggs, *(extra or []))
 
 
 def metrics_from_sums(sums: DataFrame, unweighted_sd: bool = False) -> DataFrame:
-    """Replace the nine sums by the eight metrics (difference = predicted - observed).
+    """Replace the moments by the eight metrics (difference = predicted - observed).
 
     The limits of agreement use a frequency-weight SD with ``max(n - 1, 1)``; with
     ``unweighted_sd`` a single row has no SD and hence no limits. A constant
     predictor has no regression slope, so calibration takes the minimum-norm
     least-squares solution. R squared is NULL when the observations are constant.
     """
-    n, sa, sd, sdd = (F.col(f"s_{k}") for k in ("n", "abs_d", "d", "dd"))
-    so, soo, sp, spp, sop = (F.col(f"s_{k}") for k in ("o", "oo", "p", "pp", "op"))
-    bias = sd / n
-    spread = F.sqrt(F.greatest((sdd - sd * sd / n) / F.greatest(n - 1, F.lit(1.0)), F.lit(0.0)))
+    n, bias, mean_o, mean_p = (F.col(c) for c in ("s_n", "m_d", "m_o", "m_p"))
+    spread = F.sqrt(F.greatest(F.col("c_dd") / F.greatest(n - 1, F.lit(1.0)), F.lit(0.0)))
     if unweighted_sd:
         spread = F.when(n > 1, spread)
-    cpp, cop = spp - sp * sp / n, sop - so * sp / n
-    flat = F.col("s_lo_p") == F.col("s_hi_p")
-    mean_o, mean_p = F.col("s_at_o") + so / n, F.col("s_at_p") + sp / n
+    flat = F.col("lo_p") == F.col("hi_p")
     shrink = 1 + mean_p * mean_p
-    slope = F.when(flat, mean_p * mean_o / shrink).otherwise(F.try_divide(cop, cpp))
-    intercept = F.when(flat, mean_o / shrink).otherwise(mean_o - F.try_divide(cop, cpp) * mean_p)
-    sst = soo - so * so / n
+    slope = F.when(flat, mean_p * mean_o / shrink).otherwise(F.try_divide(F.col("c_op"), F.col("c_pp")))
+    intercept = F.when(flat, mean_o / shrink).otherwise(mean_o - slope * mean_p)
+    squared = F.col("c_dd") + n * bias * bias
     values = {
-        "mae": sa / n, "rmse": F.sqrt(sdd / n), "bias": bias,
+        "mae": F.try_divide(F.col("s_abs_d"), n), "rmse": F.sqrt(F.try_divide(squared, n)), "bias": bias,
         "lower_loa": bias - 1.96 * spread, "upper_loa": bias + 1.96 * spread,
         "calibration_intercept": intercept, "calibration_slope": slope,
-        "r_squared": F.when(F.col("s_lo_o") < F.col("s_hi_o"), 1 - F.try_divide(sdd, sst)),
+        "r_squared": F.when(F.col("lo_o") < F.col("hi_o"), 1 - F.try_divide(squared, F.col("c_oo"))),
     }
-    kept = [c for c in sums.columns if c not in {f"s_{k}" for k in (*SUMS, *BOUNDS)}]
+    kept = [c for c in sums.columns if c not in MOMENTS]
     return sums.select(*kept, *[values[name].alias(name) for name in METRICS])
 
 
@@ -155,14 +175,76 @@ def first_seen(df: DataFrame, value: str, position: str) -> DataFrame:
 
 # ---- cluster bootstrap ---------------------------------------------------------
 
-def draw_index(block: Column, replicate: Column, draw: Column, clusters: Column) -> Column:
-    """Deterministic draw in [0, clusters) from 60 bits of md5(block|replicate|draw).
-
-    A function of its arguments alone: no dependence on partitioning or retries.
-    """
-    digest = F.md5(F.concat_ws("|", block, replicate.cast("string"), draw.cast("string")).cast("binary"))
-    # never NULL, and saying so keeps the digest from being evaluated twice in a join
-    return F.coalesce(F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint") % clusters, F.lit(0))
+# Odd multipliers below 2**62, the size of the numbers they mix.
+DRAW_BITS = 62
+DRAW_STEPS = {"replicate": 2290263523571452713, "draw": 1498734592374650029, "first": 3202034522624059733, "second": 2685821657736338717}
+CLUSTERS_PER_TASK = 200_000
+DRAWS_AT_ONCE = 1 << 22
+
+
+def block_seed(keys: list[str]) -> Column:
+    """60 bits of md5 over the block's keys as text."""
+    digest = F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys]).cast("binary"))
+    return F.coalesce(F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint"), F.lit(0))
+
+
+def drawn_clusters(seed: int, replicates: np.ndarray, clusters: int, first: int = 0, last: int | None = None) -> np.ndarray:
+    """(replicates, draws) cluster numbers for draws first..last: a function of its arguments alone, whoever works it out."""
+    mask, step = np.uint64((1 << DRAW_BITS) - 1), {k: np.uint64(v) for k, v in DRAW_STEPS.items()}
+    draws = np.arange(first, clusters if last is None else last, dtype=np.uint64)
+    z = (np.uint64(seed) + replicates.astype(np.uint64)[:, None] * step["replicate"] + draws * step["draw"]) & mask
+    z = ((z ^ (z >> np.uint64(31))) * step["first"]) & mask
+    z = ((z ^ (z >> np.uint64(29))) * step["second"]) & mask
+    return ((z ^ (z >> np.uint64(32))) % np.uint64(clusters)).astype(np.int64)
+
+
+def _resampled(key_names: list[str], cluster: str, replicates: int, parts: int):
+    """Moments of this part's replicates of one block: multiplicities of the clusters times the clusters' sums."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by(cluster)
+        n, value = table.num_rows, {c: table.column(c).to_numpy() for c in MOMENTS}
+        part, seed = table.column("__part")[0].as_py(), table.column("__seed")[0].as_py()
+        mine = np.arange(1 + part, replicates + 1, parts)
+        weight = value["s_n"]
+        centre = {k: weight @ value[f"m_{k}"] / weight.sum() for k in MEANS}
+        away = {k: value[f"m_{k}"] - centre[k] for k in MEANS}
+        sums = np.column_stack([weight, value["s_abs_d"], *[weight * away[k] for k in MEANS],
+                                *[value[f"c_{k}"] + weight * away[k[0]] * away[k[1]] for k in SQUARES]])
+        out = {c: [] for c in ("__rep", *MOMENTS)}
+        for low in range(0, len(mine), max(1, DRAWS_AT_ONCE // n)):
+            some = mine[low : low + max(1, DRAWS_AT_ONCE // n)]
+            draws = drawn_clusters(seed, some, n)
+            times = np.bincount((np.arange(len(some))[:, None] * n + draws).ravel(), minlength=len(some) * n).reshape(len(some), n)
+            total = times @ sums
+            out["__rep"].append(some)
+            out["s_n"].append(total[:, 0])
+            out["s_abs_d"].append(total[:, 1])
+            shift = {k: total[:, 2 + i] / total[:, 0] for i, k in enumerate(MEANS)}
+            for k in MEANS:
+                out[f"m_{k}"].append(centre[k] + shift[k])
+            for i, k in enumerate(SQUARES):
+                out[f"c_{k}"].append(total[:, 5 + i] - total[:, 0] * shift[k[0]] * shift[k[1]])
+            for name in BOUNDS:  # over the drawn clusters only
+                drawn = np.take(value[name], draws)
+                out[name].append(drawn.min(axis=1) if name.startswith("lo") else drawn.max(axis=1))
+        columns = {c: np.concatenate(v) if v else np.zeros(0) for c, v in out.items()}
+        keys = {k: table.column(k).take(pa.array(np.zeros(len(columns["__rep"]), np.int64))) for k in key_names}
+        return pa.table({**keys, **{c: pa.array(v, pa.int64() if c == "__rep" else pa.float64()) for c, v in columns.items()}})
+
+    return run
+
+
+def _draws(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (…, __rep, __seed, __clusters) as one row a draw, with the number of the cluster drawn."""
+    for batch in batches:
+        at = {c: batch.column(c).to_pylist() for c in ("__rep", "__seed", "__clusters")}
+        for row in range(batch.num_rows):
+            for first in range(0, at["__clusters"][row], 100_000):
+                last = min(first + 100_000, at["__clusters"][row])
+                drawn = drawn_clusters(at["__seed"][row], np.array([at["__rep"][row]]), at["__clusters"][row], first, last)[0]
+                same = pa.array(np.full(len(drawn), row))
+                yield pa.RecordBatch.from_arrays([c.take(same) for c in batch.columns] + [pa.array(drawn)], [*batch.schema.names, "__i"])
 
 
 def cluster_bootstrap(
@@ -171,29 +253,32 @@ def cluster_bootstrap(
 ) -> DataFrame:
     """Point metrics with percentile 95 % limits from resampling whole clusters.
 
-    Clusters are reduced to nine sums first, so a replicate touches clusters, not
-    rows. Draws spread evenly over clusters, so the join has no hot key; the
-    cluster table is broadcast only when measured small.
+    Clusters are reduced to their moments first, so a replicate touches clusters, not rows. A
+    block's clusters go to a few tasks that each draw a share of its replicates as multiplicities.
+    A block of more clusters than a task may hold is drawn row by row and joined instead; draws
+    spread evenly over clusters, so that join has no hot key. Clusters are numbered in order.
     """
     keys = [*block, "stratum"] if strata else list(block)
     per_cluster = (
         stratum_sums(df, [*block, cluster], strata, observed, predicted)
         if strata else agreement_sums(df, [*block, cluster], observed, predicted)
     )
-    # reduced to clusters x nine sums, and read several times below: write it once
-    per_cluster = materialise(per_cluster)
-    indexed = rank_within(per_cluster, keys, [cluster], "__i").withColumn("__i", F.col("__i") - 1)
-    sizes = per_cluster.groupBy(*keys).agg(F.count(F.lit(1)).alias("__clusters"))
-    label = F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
-    spread = df.sparkSession.sparkContext.defaultParallelism
-    draws = (
-        sizes.withColumn("__rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-        .repartition(spread, *keys, "__rep")
-        .withColumn("__k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__clusters") - 1)))
-        .withColumn("__i", draw_index(label, F.col("__rep"), F.col("__k"), F.col("__clusters")))
-    )
-    sampled = draws.select(*keys, "__rep", "__i").join(small(indexed.drop(cluster)), [*keys, "__i"])
-    resampled = metrics_from_sums(add_up(sampled, [*keys, "__rep"]))
+    # reduced to clusters x moments, and read several times below: write it once
+    per_cluster = materialise(per_cluster.where("s_n > 0"))
+    session = df.sparkSession
+    if largest_group(per_cluster, keys) <= min(CLUSTERS_PER_TASK, rows_per_task(session)):
+        parts = min(replicates, session.sparkContext.defaultParallelism)
+        dealt = per_cluster.withColumn("__seed", block_seed(keys)).withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        schema = T.StructType([*[per_cluster.schema[k] for k in keys], T.StructField("__rep", T.LongType()), *[T.StructField(c, T.DoubleType()) for c in MOMENTS]])
+        replicated = dealt.groupBy(*keys, "__part").applyInArrow(_resampled(keys, cluster, replicates, parts), schema)
+    else:
+        indexed = rank_within(per_cluster, keys, [cluster], "__i").withColumn("__i", F.col("__i") - 1)
+        sizes = per_cluster.groupBy(*keys).agg(F.count(F.lit(1)).alias("__clusters")).withColumn("__seed", block_seed(keys))
+        sizes = sizes.withColumn("__rep", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(replicates).cast("bigint")))).repartition(*keys, "__rep")
+        draws = sizes.mapInArrow(_draws, T.StructType([*sizes.schema.fields, T.StructField("__i", T.LongType())]))
+        sampled = draws.select(*keys, "__rep", "__i").join(small(indexed.drop(cluster)), [*keys, "__i"])
+        replicated = add_up(sampled, [*keys, "__rep"])
+    resampled = metrics_from_sums(replicated)
     # percentile over exactly ``replicates`` values per block
     limits = resampled.groupBy(*keys).agg(
         *[F.percentile(m, F.array(F.lit(0.025), F.lit(0.975))).alias(f"__{m}") for m in METRICS]

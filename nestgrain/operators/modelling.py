@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialise, small, spread
+from . import forests as fo
 from .contracts import GateError, require_empty, split_groups
-from .folds import inner_folds
+from .folds import group_kfold, inner_folds
 from .ordered import exact_percentiles
 
 MAX_FEATURES = 4096
@@ -419,89 +420,113 @@ def nested_ladder(
 
 # ---- forests ------------------------------------------------------------------------------
 
-def _forest(trees: int, depth: int | None, leaf: int, features: str, seed: int):
-    from pyspark.ml.regression import RandomForestRegressor
-
-    # Spark grows trees to depth 30 at most, which stands in for "unlimited"
-    return RandomForestRegressor(
-        featuresCol="__v", labelCol="__y", predictionCol="predicted", numTrees=trees, maxDepth=30 if depth is None else depth,
-        minInstancesPerNode=leaf, featureSubsetStrategy=features, seed=seed)
-
-
 def gap_columns(df: DataFrame, x: str) -> list[int]:
     """Positions of array ``x`` that are NULL somewhere."""
     found = df.select(F.posexplode(x).alias("c", "v")).where(F.col("v").isNull()).select("c").distinct()
     return sorted(r["c"] for r in found.collect())
 
 
-def _vectors(train: DataFrame, held: DataFrame, x: str, gaps: list[int]) -> tuple[DataFrame, DataFrame]:
-    """Both sets with vector ``__v``, gaps filled with the exact medians of ``train``.
-
-    A column without any value in ``train`` is filled with 0 and no tree can split on it.
-    """
-    from pyspark.ml.functions import array_to_vector
+@dataclass
+class _Stored:
+    """Rows with binned features, written once, and what the forests on them share."""
 
-    column = F.col(x)
-    if gaps:
-        cells = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.get(x, F.lit(c)).alias("v")) for c in gaps])).alias("e")
-        known = train.select(cells).select("e.c", "e.v").where("v IS NOT NULL")
-        medians = {r["c"]: r["m"] for r in exact_percentiles(known, ["c"], "v", {"m": 0.5}).collect()}
-        fill = F.create_map(*[F.lit(k) for c in gaps for k in (c, float(medians.get(c, 0.0)))])
-        column = F.transform(x, lambda v, i: F.coalesce(v, F.element_at(fill, i)))
-    return tuple(materialise(part.withColumn("__v", array_to_vector(column))) for part in (train, held))
+    rows: DataFrame
+    features: int
+    tried: int
+    fills: dict
+    mean: float
+    folds: dict[int, list[int]]
+    few: bool
+
+    def means(self, forests: list[fo.Forest], cuts: tuple, node_rows: int) -> DataFrame:
+        shape = fo.Shape(self.features, self.tried, cuts, self.fills)
+        return fo.held_out_means(self.rows, forests, shape, lambda df, keys: _sum_arrays(df, keys, self.few), node_rows)
+
+
+def _stored(df: DataFrame, keys: list[str], x: str, y: str, n_outer: int, inner: int, feature_share: str) -> _Stored:
+    """``df`` has __outer (position) and __inner (a fold for every outer position) beside its own columns."""
+    rows = df.select(*keys, F.xxhash64(*keys).alias("__turn"), F.col("__outer").cast("int").alias("__outer"), F.col("__inner").cast("array<int>").alias("__inner"),
+                     F.col(y).cast("double").alias("__y"), F.col(x).cast("array<double>").alias("__x"))
+    rows, tasks = spread(rows)
+    found = rows.agg(F.max(F.size("__x")).alias("f"), F.avg("__y").alias("m")).first()
+    if found["f"] is None:
+        raise GateError("no rows to model")
+    features = found["f"]
+    edges = fo.bin_edges(rows, "__x", features)
+    gaps = gap_columns(rows, "__x")
+    medians = training_medians(rows.withColumnRenamed("__inner", "inner"), "__x", gaps, list(range(n_outer)), inner)
+    sets = rows.select(F.posexplode("__inner").alias("o", "i")).where("i IS NOT NULL").distinct().collect()
+    folds = {o: sorted(r["i"] for r in sets if r["o"] == o) for o in range(n_outer)}
+    fills = {(o, j): {c: int(np.searchsorted(edges[c], medians[o, j, c])) if (o, j, c) in medians else 0 for c in gaps}
+             for o in folds for j in (0, *folds[o])}
+    numbered = rows.withColumn("__y", F.col("__y") - F.lit(found["m"])).withColumn("__id", F.monotonically_increasing_id())
+    numbered = materialise(fo.binned(numbered, "__x", edges, [*keys, "__id", "__turn", "__outer", "__inner", "__y"]))
+    tried = int(features**0.5) if feature_share == "sqrt" else int(float(feature_share) * features)
+    return _Stored(numbered, features, min(features, max(1, tried)), fills, found["m"], folds, tasks <= FAN_IN)
+
+
+def _tuned(stored: _Stored, candidates: list[tuple[int | None, int]], trees: int, seeds: dict[int, int], node_rows: int) -> dict[int, list]:
+    """outer position -> (candidate, depth, leaf, mean inner MAE, parameters as JSON) with all limits of depth read off one forest."""
+    cuts = tuple(dict.fromkeys(depth for depth, _ in candidates))
+    leaves = list(dict.fromkeys(leaf for _, leaf in candidates))
+    sets = [(o, i, leaf) for o, folds in stored.folds.items() for i in folds for leaf in leaves]
+    forests = [fo.Forest(k, o, i, leaf, trees, seeds[o]) for k, (o, i, leaf) in enumerate(sets)]
+    means = stored.means(forests, cuts, node_rows).join(stored.rows.select("__id", "__y"), F.col("id") == F.col("__id"))
+    errors = means.groupBy("forest").agg(*[F.avg(F.abs(F.col(f"p{c}") - F.col("__y"))).alias(f"e{c}") for c in range(len(cuts))])
+    found: dict[tuple, list] = {}
+    for row in errors.collect():
+        o, _, leaf = sets[row["forest"]]
+        for c, cut in enumerate(cuts):
+            found.setdefault((o, cut, leaf), []).append(row[f"e{c}"])
+    return {o: [(k, depth, leaf, float(np.mean(sorted(found[o, depth, leaf]))),
+                 '{"max_depth": %s, "min_samples_leaf": %d}' % ("null" if depth is None else depth, leaf))
+                for k, (depth, leaf) in enumerate(candidates)] for o in stored.folds}
 
 
 def forest_predictions(
     df: DataFrame, keys: list[str], group: str, outer: str, x: str, y: str, trees: int = 250, leaf: int = 8,
     feature_share: str = "0.8", depth: int | None = None, seed: int = 42,
-    candidates: list[tuple[int | None, int]] | None = None, tune_trees: int = 500,
+    candidates: list[tuple[int | None, int]] | None = None, tune_trees: int = 500, inner: int = 4, node_rows: int = fo.NODE_ROWS,
 ) -> DataFrame:
     """Outer-fold predictions of one random forest; groups never straddle train and test.
 
     NULL features are filled with the medians of the training folds. With ``candidates`` the
-    (depth, leaf) of each outer fold come from ``tune_forest`` on its training rows.
+    (depth, leaf) of each outer fold are those with the least mean MAE over its grouped inner
+    folds; ties go to the sorted JSON of the parameters. A leaf holds at least ``leaf`` different
+    drawn rows. Splits fall between at most 64 quantile bins a feature. ``keys`` identify a row.
     """
     require_empty(split_groups(df, group, outer), "group split across outer folds")
-    gaps = gap_columns(df, x)
-    rows = df.select(*dict.fromkeys([*keys, group, outer]), F.col(x).alias("__x"), F.col(y).cast("double").alias("__y"))
-    parts = []
-    for fold in sorted(int(r[0]) for r in df.select(outer).distinct().collect()):
-        train, held = _vectors(rows.where(F.col(outer) != fold), rows.where(F.col(outer) == fold), "__x", gaps)
-        if candidates:
-            tuned = tune_forest(train, group, "__x", "__y", candidates, tune_trees, seed=seed + 100 * fold, feature_share=feature_share)
-            depth, leaf = tuned.where("selected").select("max_depth", "min_leaf").first()
-        model = _forest(trees, depth, leaf, feature_share, seed + 100 * fold if candidates else seed).fit(train)
-        parts.append(model.transform(held))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.select(*dict.fromkeys([*keys, group, outer]), F.col("__y").alias("observed"), "predicted")
+    values = sorted(int(r[0]) for r in df.select(outer).distinct().collect())
+    position = F.array_position(F.array(*[F.lit(v) for v in values]), F.col(outer).cast("int")) - 1
+    kept = list(dict.fromkeys([*keys, group, outer]))
+    assigned = inner_folds(df, group, outer, values, inner).select(group, F.col("inner").alias("__inner"))
+    stored = _stored(df.withColumn("__outer", position).join(small(assigned), group), kept, x, y, len(values), inner, feature_share)
+    seeds = {o: seed + 100 * v if candidates else seed for o, v in enumerate(values)}
+    chosen = {o: (depth, leaf) for o in range(len(values))}
+    if candidates:
+        tuned = _tuned(stored, candidates, tune_trees, seeds, node_rows)
+        chosen = {o: min(rows, key=lambda r: (r[3], r[4]))[1:3] for o, rows in tuned.items()}
+    cuts = tuple(dict.fromkeys(d for d, _ in chosen.values()))
+    forests = [fo.Forest(o, o, 0, size, trees, seeds[o]) for o, (_, size) in sorted(chosen.items())]
+    pick = F.coalesce(*[F.when(F.col("forest") == o, F.col(f"p{cuts.index(d)}")) for o, (d, _) in chosen.items()])
+    means = stored.means(forests, cuts, node_rows).select("id", (pick + F.lit(stored.mean)).alias("predicted"))
+    return stored.rows.join(means.withColumnRenamed("id", "__id"), "__id").select(*kept, (F.col("__y") + F.lit(stored.mean)).alias("observed"), "predicted")
 
 
 def tune_forest(
     df: DataFrame, group: str, x: str, y: str, candidates: list[tuple[int | None, int]], trees: int, inner: int = 4, seed: int = 42,
-    feature_share: str = "sqrt",
+    feature_share: str = "sqrt", keys: list[str] | None = None, node_rows: int = fo.NODE_ROWS,
 ) -> DataFrame:
     """Mean grouped inner MAE of each (depth, leaf) candidate; ties go to the sorted JSON of its parameters.
 
-    NULL features are filled with the medians of the inner training folds.
+    NULL features are filled with the medians of the inner training folds. Rows that ``keys`` (the
+    group, target and features by default) do not tell apart are drawn together.
     """
-    from .folds import group_kfold
-
-    splits = min(inner, df.select(group).distinct().limit(inner).count())
-    folds = group_kfold(df, group, splits, "__fold")
-    rows = df.select(group, F.col(x).alias("__x"), F.col(y).cast("double").alias("__y")).join(small(folds), group)
-    gaps = gap_columns(df, x)
-    errors = [[] for _ in candidates]
-    for fold in range(1, splits + 1):
-        train, held = _vectors(rows.where(F.col("__fold") != fold), rows.where(F.col("__fold") == fold), "__x", gaps)
-        for per_fold, (depth, leaf) in zip(errors, candidates):
-            scored = _forest(trees, depth, leaf, feature_share, seed).fit(train).transform(held)
-            per_fold.append(scored.agg(F.avg(F.abs(F.col("predicted") - F.col("__y")))).first()[0])
-    found = []
-    for position, ((depth, leaf), per_fold) in enumerate(zip(candidates, errors)):
-        text = '{"max_depth": %s, "min_samples_leaf": %d}' % ("null" if depth is None else depth, leaf)
-        found.append((position, depth, leaf, float(np.mean(per_fold)), text))
+    splits = min(inner, df.select(group).distinct().count())
+    folds = group_kfold(df, group, splits, "__fold").select(group, F.array("__fold").alias("__inner"))
+    joined = df.join(small(folds), group).withColumn("__outer", F.lit(-1))
+    stored = _stored(joined, keys or [group, y, x], x, y, 1, splits, feature_share)
+    found = _tuned(stored, candidates, trees, {0: seed}, node_rows)[0]
     table = df.sparkSession.createDataFrame(found, "candidate int, max_depth int, min_leaf int, mean_inner_mae double, parameters string")
-    order = Window.orderBy("mean_inner_mae", "parameters")
+    order = Window.orderBy("mean_inner_mae", "parameters")  # one row a candidate
     return table.withColumn("selected", F.row_number().over(order) == 1)

@@ -73,6 +73,25 @@ SELECT model, {sql_stable('1e6 + regr_intercept(o, p) - regr_slope(o, p) * 1e6',
   {sql_stable('1 - sum((p - o) * (p - o)) / (var_pop(o) * count(*))', 3)} AS r_squared FROM p GROUP BY model"""
 
 
+def metric_mixed_scale(spark, sf_dir):
+    """One signal around 0, a million and a billion: no group may cost another its digits."""
+    level = F.when(F.col("l_returnflag") == "A", 0.0).when(F.col("l_returnflag") == "N", 1e6).otherwise(1e9)
+    p = table(spark, sf_dir, "lineitem").select(
+        F.col("l_returnflag").alias("model"), F.col("l_linestatus").alias("visit"),
+        (level + F.col("l_quantity") * 2 + F.col("l_linenumber")).alias("observed"), (level + F.col("l_quantity")).alias("predicted"))
+    strata = ag.stratum_sums(p, ["model"], {"all": F.lit(True), "open": F.col("visit") == "O"})
+    names = ["mae", "rmse", "bias", "lower_loa", "calibration_slope", "r_squared"]
+    return rounded(ag.metrics_from_sums(strata), ["model", "stratum"], names, 3)
+
+
+METRIC_MIXED_SCALE_SQL = f"""WITH l AS (
+  SELECT l_returnflag AS model, l_linestatus AS visit, l_quantity * 2 + l_linenumber AS o, l_quantity AS p FROM lineitem),
+s AS (SELECT 'all' AS stratum, * FROM l UNION ALL SELECT 'open', * FROM l WHERE visit = 'O')
+SELECT model, stratum, {sql_stable('avg(abs(p - o))', 3)} AS mae, {sql_stable('sqrt(avg((p - o) * (p - o)))', 3)} AS rmse, {sql_stable('avg(p - o)', 3)} AS bias,
+  {sql_stable('avg(p - o) - 1.96 * stddev_samp(p - o)', 3)} AS lower_loa, {sql_stable('regr_slope(o, p)', 3)} AS calibration_slope,
+  {sql_stable('1 - sum((p - o) * (p - o)) / (var_pop(o) * count(*))', 3)} AS r_squared FROM s GROUP BY model, stratum"""
+
+
 def metric_strata(spark, sf_dir):
     sums = ag.stratum_sums(predictions(spark, sf_dir), ["model"], visit_strata())
     return rounded(ag.metrics_from_sums(sums), ["model", "stratum"], M)
@@ -144,6 +163,8 @@ def _bootstrap_sql(keys: list[str], source: str, final: str) -> str:
     values = metric_sql()
     select_metrics = ", ".join(f"{values[m]} AS {m}" for m in M)
     sums = ", ".join(f"sum({s}) AS {s}" for s in ("s_n", "s_a", "s_d", "s_dd", "s_o", "s_oo", "s_p", "s_pp", "s_op"))
+    sums += ", min(lo_o) AS lo_o, max(hi_o) AS hi_o, min(lo_p) AS lo_p, max(hi_p) AS hi_p"
+    mask, step = (1 << ag.DRAW_BITS) - 1, ag.DRAW_STEPS
     limits = ", ".join(
         f"quantile_cont({m}, {q}) AS {m}_ci95_{side}" for m in M for side, q in (("low", 0.025), ("high", 0.975))
     )
@@ -151,8 +172,11 @@ def _bootstrap_sql(keys: list[str], source: str, final: str) -> str:
 clusters AS (SELECT *, row_number() OVER (PARTITION BY {plain} ORDER BY participant) - 1 AS i
   FROM ({sums_sql('src', plain + ', participant')})),
 sizes AS (SELECT {plain}, count(*) AS p FROM clusters GROUP BY ALL),
-draws AS (SELECT {plain}, rep, ('0x' || substr(md5({label} || '|' || rep || '|' || k), 1, 15))::BIGINT % p AS i
+mixed AS (SELECT {plain}, p, rep, (('0x' || substr(md5({label}), 1, 15))::HUGEINT + rep * {step['replicate']}::HUGEINT + k * {step['draw']}::HUGEINT) & {mask}::HUGEINT AS z
   FROM (SELECT *, unnest(range(0, p)) AS k FROM (SELECT *, unnest(range(1, {REPLICATES + 1})) AS rep FROM sizes))),
+once AS (SELECT * REPLACE ((xor(z, z >> 31) * {step['first']}::HUGEINT) & {mask}::HUGEINT AS z) FROM mixed),
+twice AS (SELECT * REPLACE ((xor(z, z >> 29) * {step['second']}::HUGEINT) & {mask}::HUGEINT AS z) FROM once),
+draws AS (SELECT {plain}, rep, CAST(xor(z, z >> 32) % p AS BIGINT) AS i FROM twice),
 reps AS (SELECT {plain}, rep, {sums} FROM draws JOIN clusters USING ({plain}, i) GROUP BY {plain}, rep),
 limits AS (SELECT {plain}, {limits} FROM (SELECT {plain}, rep, {select_metrics} FROM reps) GROUP BY {plain}),
 points AS (SELECT {plain}, count(*) AS n_clusters, CAST(sum(s_n) AS BIGINT) AS n_points, {sums} FROM clusters GROUP BY {plain})
@@ -225,6 +249,7 @@ def circular_phase(spark, sf_dir):
 
 
 QUERIES = {
+    "metric_mixed_scale": (metric_mixed_scale, METRIC_MIXED_SCALE_SQL),
     "metric_low_spread": (metric_low_spread, METRIC_LOW_SPREAD_SQL),
     "metric_summary": (metric_summary, METRIC_SUMMARY_SQL),
     "metric_strata": (metric_strata, _strata_sql(VISIT_STRATA_SQL, False)),

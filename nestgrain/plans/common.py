@@ -52,12 +52,13 @@ def sums_sql(source: str, keys: str, weight: str = "1.0", where: str = "true", e
            sum({weight} * (predicted - observed)) AS s_d, sum({weight} * (predicted - observed) * (predicted - observed)) AS s_dd,
            sum({weight} * observed) AS s_o, sum({weight} * observed * observed) AS s_oo,
            sum({weight} * predicted) AS s_p, sum({weight} * predicted * predicted) AS s_pp,
-           sum({weight} * observed * predicted) AS s_op{extra}
+           sum({weight} * observed * predicted) AS s_op, min(observed) AS lo_o, max(observed) AS hi_o,
+           min(predicted) AS lo_p, max(predicted) AS hi_p{extra}
     FROM {source} WHERE {where} {group}"""
 
 
 _SD = "sqrt(greatest((s_dd - s_d * s_d / s_n) / greatest(s_n - 1, 1), 0))"
-_FLAT = "(s_pp - s_p * s_p / s_n) <= 1e-9 * greatest(s_pp, 1)"
+_FLAT = "lo_p = hi_p"
 _SHRINK = "(1 + (s_p / s_n) * (s_p / s_n))"
 _SLOPE = "(s_op - s_o * s_p / s_n) / nullif(s_pp - s_p * s_p / s_n, 0)"
 
@@ -69,7 +70,7 @@ def metric_sql(unweighted_sd: bool = False) -> dict[str, str]:
         "lower_loa": f"s_d / s_n - 1.96 * ({sd})", "upper_loa": f"s_d / s_n + 1.96 * ({sd})",
         "calibration_intercept": f"CASE WHEN {_FLAT} THEN (s_o / s_n) / {_SHRINK} ELSE s_o / s_n - ({_SLOPE}) * s_p / s_n END",
         "calibration_slope": f"CASE WHEN {_FLAT} THEN (s_p / s_n) * (s_o / s_n) / {_SHRINK} ELSE {_SLOPE} END",
-        "r_squared": "CASE WHEN s_oo - s_o * s_o / s_n > 1e-9 * greatest(s_oo, 1) THEN 1 - s_dd / (s_oo - s_o * s_o / s_n) END",
+        "r_squared": "CASE WHEN lo_o < hi_o THEN 1 - s_dd / (s_oo - s_o * s_o / s_n) END",
     }
 
 

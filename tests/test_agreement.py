@@ -75,6 +75,14 @@ def test_overlapping_strata(preds):
 def test_bootstrap_equals_direct_replicates(preds):
     import hashlib
 
+    mask = (1 << ag.DRAW_BITS) - 1
+
+    def drawn(model, r, k, n):
+        z = (int(hashlib.md5(model.encode()).hexdigest()[:15], 16) + r * ag.DRAW_STEPS["replicate"] + k * ag.DRAW_STEPS["draw"]) & mask
+        z = ((z ^ (z >> 31)) * ag.DRAW_STEPS["first"]) & mask
+        z = ((z ^ (z >> 29)) * ag.DRAW_STEPS["second"]) & mask
+        return (z ^ (z >> 32)) % n
+
     frame, df = preds
     reps = 60
     got = ag.cluster_bootstrap(df, ["model"], "who", reps).toPandas().set_index("model")
@@ -83,7 +91,7 @@ def test_bootstrap_equals_direct_replicates(preds):
         code = part.who.map({v: i for i, v in enumerate(ids)}).to_numpy()
         rows = []
         for r in range(1, reps + 1):
-            draw = [int(hashlib.md5(f"{model}|{r}|{k}".encode()).hexdigest()[:15], 16) % len(ids) for k in range(len(ids))]
+            draw = [drawn(model, r, k, len(ids)) for k in range(len(ids))]
             w = np.bincount(draw, minlength=len(ids)).astype(float)[code]
             keep = w > 0
             rows.append(direct(part.observed.to_numpy()[keep], part.predicted.to_numpy()[keep], w[keep]))
@@ -96,6 +104,37 @@ def test_bootstrap_equals_direct_replicates(preds):
     assert checks["finite_metrics"] and checks["limits_ordered"]
 
 
+def test_bootstrap_by_joined_draws(preds, spark):
+    """Blocks with more clusters than a task may hold give the same limits."""
+    _, df = preds
+    strata = {"low": F.col("observed") < 10, "all": F.lit(True)}
+    one = ag.cluster_bootstrap(df, ["model"], "who", 40, strata=strata).toPandas().sort_values(["model", "stratum"])
+    spark.conf.set("nestgrain.rowsPerTask", "5")
+    try:
+        two = ag.cluster_bootstrap(df, ["model"], "who", 40, strata=strata).toPandas().sort_values(["model", "stratum"])
+    finally:
+        spark.conf.unset("nestgrain.rowsPerTask")
+    assert len(one) == 6 and one.columns.tolist() == two.columns.tolist()
+    assert np.allclose(one.drop(columns=["model", "stratum"]).astype(float), two.drop(columns=["model", "stratum"]).astype(float), equal_nan=True)
+
+
+def test_draws_are_even():
+    seen = np.bincount(ag.drawn_clusters(12345, np.arange(1, 2001), 50).ravel(), minlength=50)
+    assert abs(seen / 2000 - 1).max() < 0.12
+    assert (ag.drawn_clusters(9, np.array([7]), 1000, 250, 260)[0] == ag.drawn_clusters(9, np.array([7]), 1000)[0][250:260]).all()
+
+
+def test_groups_of_other_magnitude_and_empty_groups(spark):
+    rows = [("a", 1e9 + 2.0 * i + i % 3, 1e9 + i) for i in range(50)] + [("b", 2.0 * i + i % 3, 1.0 * i) for i in range(50)] + [("n", None, 1.0), (None, 1.0, 2.0)]
+    df = spark.createDataFrame(rows, "model string, observed double, predicted double")
+    got = {r["model"]: r for r in ag.agreement_metrics(df, ["model"]).collect()}
+    weighted = {r["model"]: r for r in ag.agreement_metrics(df.withColumn("w", F.lit(2.0)), ["model"], weight="w").collect()}
+    for found in (got, weighted):
+        assert np.isclose(found["a"]["calibration_slope"], found["b"]["calibration_slope"], atol=1e-6)
+        assert found[None]["bias"] == 1.0
+    assert np.isclose(got["a"]["r_squared"], got["b"]["r_squared"], atol=1e-6) and got["n"]["mae"] is None
+
+
 def test_ranking(preds):
     _, df = preds
     ranked = ag.rank_models(ag.agreement_metrics(df, ["model"]), "model").toPandas().sort_values("mae_rank")
