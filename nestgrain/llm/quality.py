@@ -7,9 +7,10 @@ chunk (alone and times the mean, as a short text cannot fill its pools), go thro
 logistic unit. For scoring, embedding and filters fold into one table per byte pair and filter quarter, so a
 response is four table rows added up.
 
-The network is fitted on the driver from a bounded sample of labelled rows (``MAX_TRAIN_ROWS``
-rows of at most ``MAX_TRAIN_BYTES`` bytes each, smallest id hashes first); scoring runs in tasks over every byte of every
-text, in segments of fixed size.
+The network is fitted on the driver from a bounded sample of labelled rows: whole texts, smallest
+id hashes first, until ``MAX_TRAIN_ROWS`` rows or ``MAX_TRAIN_BYTES`` bytes in all are reached.
+No text is passed over for its own length, so long ones are in the sample as often as they are
+in the table. Fitting and scoring run over every byte, in segments of fixed size.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .hashing import text_chunks
 
@@ -28,7 +30,7 @@ WIDTH, DIM, FILTERS = 8, 6, 24
 POOL = 256  # positions (two bytes each) in half a chunk
 SEGMENT = 1 << 15  # positions convolved at once
 CHUNK = 1 << 16  # text bytes of whole short texts scored together
-MAX_TRAIN_ROWS, MAX_TRAIN_BYTES = 3000, 1 << 14
+MAX_TRAIN_ROWS, MAX_TRAIN_BYTES = 3000, 16 << 20
 FEATURES = 4 * FILTERS + 2
 EPOCHS, BATCH, RATE, SEED = 8, 32, 0.01, 11
 THRESHOLD = 0.3
@@ -141,19 +143,22 @@ def gradients(params: dict, texts: list[bytes], labels: np.ndarray, weight: np.n
     offsets = np.concatenate([[0], np.cumsum(sizes)])
     pairs, firsts, counts = padded(np.frombuffer(b"".join(texts), np.uint8), offsets)
     bytes_ = pairs.view(np.uint8)
-    embedded = params["embed"].astype(np.float32)[bytes_]
-    filters = params["filters"].astype(np.float32)
+    table, filters = params["embed"].astype(np.float32), params["filters"].astype(np.float32)
     grads = {k: np.zeros_like(v) for k, v in params.items()}
     features, routes = [], []
     for first, count in zip(firsts[:-1].tolist(), counts.tolist()):
-        windows = np.lib.stride_tricks.sliding_window_view(embedded[2 * first : 2 * (first + count - 1) + WIDTH].reshape(-1), WIDTH * DIM)[:: 2 * DIM]
-        out = windows @ filters
         halves = -(-count // POOL)
-        room = np.full((halves * POOL, FILTERS), -np.inf, np.float32)
-        room[:count] = out
-        room = room.reshape(halves, POOL, FILTERS)
-        where = room.argmax(axis=1) + (np.arange(halves) * POOL)[:, None]
-        pooled = room.max(axis=1) + params["bias"]
+        where, best = np.empty((halves, FILTERS), np.int64), np.empty((halves, FILTERS), np.float32)
+        for low in range(0, count, SEGMENT):
+            n = min(SEGMENT, count - low)
+            part = table[bytes_[2 * (first + low) : 2 * (first + low + n - 1) + WIDTH]].reshape(-1)
+            room = np.full((-(-n // POOL) * POOL, FILTERS), -np.inf, np.float32)
+            room[:n] = np.lib.stride_tricks.sliding_window_view(part, WIDTH * DIM)[:: 2 * DIM] @ filters
+            room = room.reshape(-1, POOL, FILTERS)
+            rows = slice(low // POOL, low // POOL + len(room))
+            where[rows] = room.argmax(axis=1) + (low + np.arange(len(room)) * POOL)[:, None]
+            best[rows] = room.max(axis=1)
+        pooled = best + params["bias"]
         features.append(combined(np.maximum(pooled, 0), count))
         if halves > 1:
             right = pooled[1:] > pooled[:-1]
@@ -184,32 +189,53 @@ def gradients(params: dict, texts: list[bytes], labels: np.ndarray, weight: np.n
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, usable, label: str = "quality") -> tuple[list[bytes], np.ndarray]:
-    """The bounded training sample: usable labelled ids by smallest hash, with their whole texts."""
+    """The bounded training sample: usable labelled ids by smallest hash, with their whole texts.
+
+    Ids that are null or have no label 0 or 1 do not count; of several labels of an id the largest
+    does. Rows with a null text are no examples. Repeated documents of a sampled id are several
+    examples. Only ids and sizes are looked at first; the sample ends before the row that would
+    take it past ``MAX_TRAIN_BYTES``. Other columns play no part.
+    """
     known = labels.select(F.col("doc_id").alias("__id"), F.col(label).cast("int").alias("__label")).where("__id IS NOT NULL AND __label IN (0, 1)")
     known = known.where(usable(F.col("__id"))).groupBy("__id").agg(F.max("__label").alias("__label"))
     order = F.xxhash64("__id", F.lit(SEED))
     known = known.orderBy(order, "__id").limit(MAX_TRAIN_ROWS)
-    rows = docs.join(F.broadcast(known), F.col("doc_id") == F.col("__id"))
-    rows = rows.where(F.octet_length("text") <= MAX_TRAIN_BYTES).select("__id", "text", "__label")
-    found = sorted((r["__id"], r["text"], r["__label"]) for r in rows.collect())
+    own = docs.select(F.col("doc_id").alias("__doc"), F.col("text").alias("__text"))
+    rows = own.join(F.broadcast(known), F.col("__doc") == F.col("__id")).where("__text IS NOT NULL")
+    sizes = rows.groupBy("__id").agg(F.sum(F.octet_length("__text")).alias("n"), F.min(order).alias("turn")).collect()
+    taken, total = [], 0
+    for row in sorted(sizes, key=lambda r: (r["turn"], r["__id"])):
+        total += row["n"]
+        if total > MAX_TRAIN_BYTES:
+            break
+        taken.append((row["__id"],))
+    if not taken:
+        return [], np.zeros(0)
+    chosen = docs.sparkSession.createDataFrame(taken, f"__taken {known.schema['__id'].dataType.simpleString()}")
+    found = rows.join(F.broadcast(chosen), F.col("__id") == F.col("__taken")).select("__id", "__text", "__label").collect()
+    found = sorted((r["__id"], r["__text"], r["__label"]) for r in found)
     return [t.encode() for _, t, _ in found], np.array([y for *_, y in found], float)
 
 
-def quality_scores(docs: DataFrame, net: Network | None, keep: list[str]) -> DataFrame:
-    """``keep`` columns of ``docs`` and ``score`` in 0..1 for every row.
+def quality_scores(docs: DataFrame, net: Network | None, keep: list[str], score: str = "score") -> DataFrame:
+    """``keep`` columns of ``docs`` and ``score`` (the column's name is free) in 0..1 for every row.
 
     A null text counts as empty; an empty text is scored as one window of zero bytes. Without
-    a network (no labels of both kinds) every score is 0.5.
+    a network (no labels of both kinds) every score is 0.5. Repeated rows are scored each; an
+    empty table gives an empty result; kept columns may have any names but that of the score.
     """
-    rows = docs.select(*keep, F.col("text").alias("__text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
+    if score in keep:
+        raise ValueError(f"column {score} is there already: name the score otherwise")
+    text = next(f"__text{n}" for n in range(len(keep) + 1) if f"__text{n}" not in keep)
+    rows = docs.select(*[F.col(f"`{k}`") for k in keep], F.col("text").alias(text))
+    fields = T.StructType([docs.schema[k] for k in keep] + [T.StructField(score, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = net.tables() if net else []
         for batch in batches:
-            text = batch.column(len(keep))
-            for low, high, data, offsets in text_chunks(text, CHUNK):
-                score = score_texts(data, offsets, net, tables) if net else np.full(high - low, 0.5)
-                yield pa.RecordBatch.from_arrays([batch.column(i)[low:high] for i in range(len(keep))] + [pa.array(score, pa.float64())], [*keep, "score"])
+            texts = batch.column(len(keep))
+            for low, high, data, offsets in text_chunks(texts, CHUNK):
+                found = score_texts(data, offsets, net, tables) if net else np.full(high - low, 0.5)
+                yield pa.RecordBatch.from_arrays([batch.column(i)[low:high] for i in range(len(keep))] + [pa.array(found, pa.float64())], [*keep, score])
 
-    return rows.mapInArrow(run, f"{fields}, score double")
+    return rows.mapInArrow(run, fields)

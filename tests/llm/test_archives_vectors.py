@@ -8,7 +8,6 @@ import uuid
 import numpy as np
 import pytest
 
-import corpus_pipeline
 from nestgrain.llm import vectors, warc
 from nestgrain.llm.warc_query import pages_through_warc
 
@@ -97,24 +96,3 @@ def test_passes_follow_from_the_bound():
         assert (1 - together) ** vectors.passes_for(bits, 0.95) <= vectors.MISS
 
 
-def test_pipeline_stages(spark, sf_dir):
-    """Every stage against its rule, on what the stage before kept."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    columns = docs.columns
-    kept = {}
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = stage(spark, docs, sf_dir).cache()
-        assert docs.columns == columns
-        kept[name] = {r.doc_id: r.text for r in docs.collect()}
-    sets = {}
-    for name in ("quality", "near_duplicates"):
-        sets[name] = set(kept[name])
-    assert sets["near_duplicates"] < sets["quality"]
-    assert set(kept["secrets"]) == set(kept["decontamination"]) <= sets["near_duplicates"]
-    assert not any("token = " in (t or "") for t in kept["secrets"].values())
-    changed = [i for i, t in kept["secrets"].items() if t != kept["decontamination"][i]]
-    assert all("[SECRET]" in kept["secrets"][i] for i in changed)
-    packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
-    assert {r.doc_id for r in packed.collect()} == set(kept["secrets"])
-    assert sorted(map(tuple, corpus_pipeline.run(spark, sf_dir).drop("sequence_id", "offset").collect())) == sorted(
-        map(tuple, packed.drop("sequence_id", "offset").collect()))
