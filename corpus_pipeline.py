@@ -18,35 +18,56 @@ from nestgrain.llm.credentials import redacted
 from nestgrain.session import ensure_checkpoint_dir, materialise
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """``name``, or it with a number, that ``docs`` has no column of."""
+    taken = {c.lower() for c in docs.columns}
+    return next(n for n in (name, *(f"{name}{k}" for k in range(len(taken) + 1))) if n not in taken)
+
+
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """``docs`` without the rows whose id is in ``ids``; rows with a null id stay."""
-    ids = materialise(ids.select(F.col("doc_id").alias("__gone")).where("__gone IS NOT NULL").distinct())
-    return docs.join(sent_if_small(ids, 16), F.col("doc_id") == F.col("__gone"), "left_anti").select(*docs.columns)
+    gone = _free(docs, "__gone")
+    ids = materialise(ids.select(F.col("doc_id").alias(gone)).where(F.col(gone).isNotNull()).distinct())
+    return docs.join(sent_if_small(ids, 16), docs["doc_id"] == ids[gone], "left_anti")
+
 
+# What holds for every stage: all columns of docs come back, whatever their names (doc_id and text are read); an
+# empty table gives an empty one; repeated rows are judged each and share their fate; a null id is never dropped.
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier of ``labels.quality`` does not reject; the score is worked out row by row, in place."""
+    """Documents that the classifier of ``labels.quality`` does not reject; the score is worked out row by row, in place.
+
+    A null text is scored as an empty one; a text of any length is read whole. A score equal to
+    the threshold stays. Without labels of both kinds nothing is rejected.
+    """
     net = trained(docs, table(spark, sf_dir, "labels"))
-    return quality_scores(docs, net, docs.columns).where(F.col("score") >= THRESHOLD).select(*docs.columns)
+    score = _free(docs, "score")
+    return quality_scores(docs, net, docs.columns, score).where(F.col(score) >= THRESHOLD).drop(score)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest id."""
+    """One document of each group of near duplicates, the one with the smallest id.
+
+    Null and empty texts are near nothing and stay. Rows that repeat an id share its fate.
+    """
     return _without(docs, near_duplicates(docs).where("NOT kept"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item; null and empty texts hold none, nor does anything without items."""
     return _without(docs, contained_items(docs, table(spark, sf_dir, "benchmark")))
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets replaced by a mark."""
+    """All documents, with secrets replaced by a mark; null texts stay null, texts without a secret stay as they are."""
     return redacted(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The place of every piece of every document in a sequence."""
+    """The place of every piece of every document in a sequence; a null or empty text is its end id alone.
+
+    Returns the columns of a piece, not those of documents.
+    """
     return pack_documents(docs)
 
 
@@ -55,7 +76,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("secrets", secret_stage), ("packing", packing_stage),
 ]
 
-#: A trained network, sketches and a tokenizer are not SQL; tests/llm holds a brute-force version of each stage.
+#: A trained network, sketches and a tokenizer are not SQL; tests/llm/test_pipeline.py holds a plain version of each stage.
 ORACLE_SQL = None
 
 
