@@ -3,38 +3,40 @@
 The fixed patterns label credentials. From a bounded sample of them (``MAX_TRAIN_VALUES``
 distinct values per kind, smallest hashes) one probabilistic automaton per kind is inferred:
 a prefix tree of the values is folded up by merging states whose outgoing and ending
-frequencies are statistically compatible (Hoeffding bound). The remaining candidates of every
-document, unbroken runs in the credential alphabet that mix letters and digits, are scored by
-how likely the automata emit them, per symbol and against the letter statistics of all texts.
-A candidate at least as likely as all but the weakest ``TAIL`` of an automaton's own training
-values, and likelier than the background, becomes a ``format`` span. Symbols are character
-classes, so a format is learned, not the values.
+frequencies are statistically compatible (Hoeffding bound). All other candidates of every
+document, the unbroken runs of eight or more characters of the credential alphabet and the parts
+of such runs beside fixed spans, are scored by how likely the automata emit them, per symbol and
+against the letter statistics (classes in threes) of all texts. A candidate at least as likely as all but the
+weakest ``TAIL`` of an automaton's own training values, and likelier than the background,
+becomes a ``format`` span. Symbols are character classes, so a format is learned, not the
+values. Texts are read twice, once to learn and once to judge; no candidate is stored.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialise
-
 # The patterns of the contract, in the order in which kinds are listed.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "format")
 
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{8,}")
+LEAST = 8
 MAX_TRAIN_VALUES, ALPHA, TAIL = 400, 0.05, 0.01
+CACHE_VALUES = 200_000  # verdicts that a task remembers
 # Symbol classes: digits, a-f, g-z, A-F, G-Z, the others of the credential alphabet, anything else.
 CLASS_SIZES = (10, 6, 20, 6, 20, 6, 188)
+OTHER, TRIPLES = 6, len(CLASS_SIZES) ** 3
 
 
 def _class_table() -> np.ndarray:
@@ -68,33 +70,46 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
 
 
 def candidate_spans(text: str, taken: list[tuple[int, int, int, str]]) -> list[tuple[int, int, str]]:
-    found = []
+    """(start, end, value) of every run, or of what fixed spans leave of it, of at least LEAST characters."""
+    found, spans = [], sorted((start, end) for start, _, end, _ in taken)
+    first = 0
     for m in CANDIDATE.finditer(text):
-        value = m.group()
-        if any("0" <= c <= "9" for c in value) and any(c.isalpha() for c in value):
-            if not any(start < m.end() and m.start() < end for start, _, end, _ in taken):
-                found.append((m.start(), m.end(), value))
+        at, stop = m.span()
+        while first < len(spans) and spans[first][1] <= at:
+            first += 1
+        for start, end in spans[first:]:
+            if start >= stop:
+                break
+            if start - at >= LEAST:
+                found.append((at, start, text[at:start]))
+            at = max(at, end)
+        if stop - at >= LEAST:
+            found.append((at, stop, text[at:stop]))
     return found
 
 
-SPAN = pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64()), ("value", pa.string())])
-CANDIDATES = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("value", pa.string())])
+def _labelled_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The least-hashed distinct credentials of each kind in this task, and the counts of its letter classes in threes."""
+    kept: list[dict[str, int]] = [{}, {}, {}]
+    classes = np.zeros(TRIPLES, np.int64)
 
+    def trim() -> None:
+        for kind, values in enumerate(kept):
+            if len(values) > MAX_TRAIN_VALUES:
+                kept[kind] = dict(sorted(values.items(), key=lambda v: (v[1], v[0]))[:MAX_TRAIN_VALUES])
 
-def _scan_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for low in range(0, batch.num_rows, 512):
-            spans, rest, counts = [], [], []
-            part = batch.slice(low, 512)
-            for value in part.column(1):
-                text = value.as_py() or ""
-                found = base_spans(text)
-                spans.append([{"start": s, "kind": k, "end": e, "value": v} for s, k, e, v in found])
-                rest.append([{"start": s, "end": e, "value": v} for s, e, v in candidate_spans(text, found)])
-                counts.append(np.bincount(CLASSES[np.frombuffer(text.encode(), np.uint8)], minlength=len(CLASS_SIZES)).tolist())
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(spans, pa.list_(SPAN)), pa.array(rest, pa.list_(CANDIDATES)), pa.array(counts, pa.list_(pa.int64()))],
-                ["doc_id", "base", "candidates", "classes"])
+        for value in batch.column(0):
+            text = value.as_py() or ""
+            for _, kind, _, secret in base_spans(text):
+                kept[kind][secret] = xxhash.xxh3_64_intdigest(secret) >> 1
+            seen = np.concatenate([[OTHER, OTHER], CLASSES[np.frombuffer(text.encode(), np.uint8)]]).astype(np.int64)
+            classes += np.bincount((seen[:-2] * len(CLASS_SIZES) + seen[1:-1]) * len(CLASS_SIZES) + seen[2:], minlength=TRIPLES)
+        trim()
+    rows = [(kind, value, turn, 0) for kind, values in enumerate(kept) for value, turn in values.items()]
+    rows += [(-1, str(k), 0, int(n)) for k, n in enumerate(classes) if n]
+    kinds = (pa.int32(), pa.string(), pa.int64(), pa.int64())
+    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * 4, kinds)], ["kind", "value", "turn", "n"])
 
 
 class Automaton:
@@ -189,32 +204,53 @@ class Formats:
             model = Automaton(coded)
             scores = sorted(model.score(v) for v in coded)
             self.models.append((model, scores[int(TAIL * len(scores))]))
-        total = sum(classes) + len(classes)
-        self.background = [math.log2((n + 1) / total / size) for n, size in zip(classes, CLASS_SIZES)]
+        table = np.array(classes, float).reshape(-1, len(CLASS_SIZES)) + 1
+        self.background = np.log2(table / table.sum(axis=1, keepdims=True) / np.array(CLASS_SIZES)).tolist()
+
+    def plain(self, coded: list[int]) -> float:
+        """Mean log2 likelihood of a symbol in ordinary text, given the two before it; a run begins after other characters."""
+        before = [OTHER, OTHER, *coded]
+        return sum(self.background[a * len(CLASS_SIZES) + b][c] for a, b, c in zip(before, before[1:], coded)) / len(coded)
 
     def accepts(self, value: str) -> bool:
         coded = symbols(value)
-        plain = sum(self.background[s] for s in coded) / len(coded)
-        return any(floor <= (score := model.score(coded)) and score > plain for model, floor in self.models)
-
-
-def _scanned(docs: DataFrame) -> DataFrame:
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return materialise(rows.mapInArrow(
-        _scan_rows,
-        "doc_id long, base array<struct<start: long, kind: int, end: long, value: string>>, "
-        "candidates array<struct<start: long, end: long, value: string>>, classes array<long>"))
-
-
-def _learned(found: DataFrame) -> Formats:
-    labelled = found.select(F.explode("base").alias("b")).select(F.col("b.kind").alias("kind"), F.col("b.value").alias("value")).distinct()
+        scores = [score for model, floor in self.models if (score := model.score(coded)) >= floor]
+        return bool(scores) and max(scores) > self.plain(coded)
+
+
+class Judge:
+    """Format verdicts of one task, each distinct value judged once while there is room."""
+
+    def __init__(self, formats: Formats):
+        self.formats, self.known = formats, {}
+
+    def spans(self, text: str, base: list[tuple[int, int, int, str]]) -> list[tuple[int, int]]:
+        found = []
+        for start, end, value in candidate_spans(text, base):
+            good = self.known.get(value)
+            if good is None:
+                good = self.formats.accepts(value)
+                if len(self.known) < CACHE_VALUES:
+                    self.known[value] = good
+            if good:
+                found.append((start, end))
+        return found
+
+
+def _learned(docs: DataFrame) -> Formats:
+    """Automata and background of all texts: one pass, of which a bounded sample and a row of counts reach the driver."""
+    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_labelled_rows, "kind int, value string, turn long, n long")
+    distinct = rows.groupBy("kind", "turn", "value").agg(F.sum("n").alias("n"))
+    order = Window.partitionBy("kind").orderBy("turn", "value")
+    sample = distinct.withColumn("__n", F.row_number().over(order)).where((F.col("__n") <= MAX_TRAIN_VALUES) | (F.col("kind") < 0)).collect()
     values: dict[int, list[str]] = {}
-    for kind in range(3):
-        sample = labelled.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(MAX_TRAIN_VALUES)
-        if picked := [r["value"] for r in sample.collect()]:
-            values[kind] = picked
-    sums = found.agg(*[F.sum(F.col("classes")[i]).alias(f"c{i}") for i in range(len(CLASS_SIZES))]).first()
-    return Formats(values, [int(x or 0) for x in sums])
+    classes = [0] * TRIPLES
+    for row in sorted(sample, key=lambda r: (r["kind"], r["turn"], r["value"])):
+        if row["kind"] < 0:
+            classes[int(row["value"])] = row["n"]
+        else:
+            values.setdefault(row["kind"], []).append(row["value"])
+    return Formats(values, classes)
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -224,27 +260,28 @@ def scan(docs: DataFrame) -> DataFrame:
     text has none; an empty table gives an empty result. Repeated rows are scanned each; a null
     id is returned as null; other columns are ignored.
     """
-    found = _scanned(docs)
-    formats = _learned(found)
+    formats = _learned(docs)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Judge(formats)
+        kind = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))
         for batch in batches:
             spans = []
-            for base, candidates in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                own = [(b["start"], b["kind"], b["end"]) for b in base]
-                own += [(c["start"], 3, c["end"]) for c in candidates if formats.accepts(c["value"])]
-                spans.append([{"start": s, "kind": k, "end": e} for s, k, e in sorted(own)])
-            kind = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))
+            for value in batch.column(1):
+                text = value.as_py() or ""
+                base = base_spans(text)
+                found = [(s, k, e) for s, k, e, _ in base] + [(s, 3, e) for s, e in own.spans(text, base)]
+                spans.append([{"start": s, "kind": k, "end": e} for s, k, e in sorted(found)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, kind)], ["doc_id", "spans"])
 
-    span = "array<struct<start: long, kind: int, end: long>>"
-    judged = found.select("doc_id", "base", "candidates").mapInArrow(judge, f"doc_id long, spans {span}")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    judged = rows.mapInArrow(judge, "doc_id long, spans array<struct<start: long, kind: int, end: long>>")
     return judged.select("doc_id", F.filter("spans", lambda x: x["kind"] < 3).alias("base"), "spans")
 
 
-def redact(text: str, formats: Formats, mark: str) -> str:
+def redact(text: str, judge: Judge, mark: str) -> str:
     base = base_spans(text)
-    spans = [(s, e) for s, _, e, _ in base] + [(s, e) for s, e, v in candidate_spans(text, base) if formats.accepts(v)]
+    spans = [(s, e) for s, _, e, _ in base] + judge.spans(text, base)
     out, at = [], 0
     for start, end in sorted(spans):
         if start >= at:
@@ -260,16 +297,17 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     text. The formats are learned from ``docs``; each text is then scanned where it stands, so
     no text is moved and repeated or null ids make no difference. Null texts stay null.
     """
-    formats = _learned(_scanned(docs))
+    formats = _learned(docs)
     names = docs.columns
     at, size = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = Judge(formats)
         for batch in batches:
             for low in range(0, batch.num_rows, 512):
                 part = batch.slice(low, 512)
                 texts = part.column(at).to_pylist()
-                clean = [None if t is None else redact(t, formats, mark) for t in texts]
+                clean = [None if t is None else redact(t, judge, mark) for t in texts]
                 columns = list(part.columns)
                 columns[at] = pa.array(clean, columns[at].type)
                 if size is not None:
@@ -289,11 +327,3 @@ def digest(rows: DataFrame) -> DataFrame:
 
     counts = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)]
     return rows.select("doc_id", *counts, F.sha2(joined("base").cast("binary"), 256).alias("base_sha256"), joined("spans").alias("spans"))
-
-
-def brute_force(text: str | None) -> str:
-    """Base spans read off the contract word by word, for tests."""
-    text, found = text or "", []
-    for k, (pattern, least, group) in enumerate(((ASSIGN, 8, 2), (re.compile("AKIA[A-Z0-9]+"), 16, 0), (re.compile("[0-9a-f]+"), 32, 0))):
-        found += [(m.start(), k, m.end()) for m in pattern.finditer(text) if len(m.group(group)) >= least]
-    return hashlib.sha256(",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(found)).encode()).hexdigest()

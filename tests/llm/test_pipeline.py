@@ -105,9 +105,9 @@ def test_stages_one_after_the_other(spark, sf_dir, docs):
     assert got.columns == columns and rows_of(got) == plain_decontaminated(rows, items)
 
     now, rows = got, rows_of(got)
-    formats = credentials._learned(credentials._scanned(now))
+    judge = credentials.Judge(credentials._learned(now))
     got = stages["secrets"](spark, now, sf_dir).cache()
-    assert got.columns == columns and rows_of(got) == sorted(((i, None if t is None else credentials.redact(t, formats, "[SECRET]")) for i, t in rows), key=repr)
+    assert got.columns == columns and rows_of(got) == sorted(((i, None if t is None else credentials.redact(t, judge, "[SECRET]")) for i, t in rows), key=repr)
     assert all(r["n_chars"] == len(r["text"]) for r in got.collect() if r["text"] is not None and "[SECRET]" in r["text"])
 
     from tokenizers import Tokenizer
