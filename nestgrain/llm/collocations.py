@@ -29,7 +29,7 @@ from .common import sent_if_small, with_rank
 from .hashing import mix
 
 FILTER_BITS = 27  # 16 MB, whatever the corpus holds
-FLUSH_WORDS = 4 << 20  # words that a task gathers before it counts them
+FLUSH_WORDS = 2 << 20  # words that a task gathers before it counts them
 CHUNK_BYTES = 1 << 20
 BREAK, EMPTY = 0, 1  # numbers of the end of a piece and of the nothing between two spaces
 BREAKS = b".,;:!?\n\x0b\x0c\r"
