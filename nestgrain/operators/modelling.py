@@ -5,13 +5,13 @@ of a training set's cross-product matrix, so the data are read a fixed number of
 times whatever the number of models, candidates and folds:
 
 1. feature sums, which give a common shift and the columns with gaps;
-2. one cross-product matrix per (outer fold, inner fold) cell: every training set,
-   inner or outer, is a sum of cells;
+2. one cross-product matrix per (outer fold, inner fold) cell, as rows of blocks of its upper
+   triangle: every training set, inner or outer, is a sum of cells, added up block by block;
 3. absolute errors of all candidates on all inner folds at once;
 4. out-of-fold predictions of the selected candidates.
 
-Between the passes only matrices of feature size are solved on the driver.
-Features are one array<double> column; NULL elements are missing values.
+A training set is solved by the task that its blocks meet in; only coefficients reach the
+driver. Features are one array<double> column; NULL elements are missing values.
 """
 
 from __future__ import annotations
@@ -32,7 +32,6 @@ from .contracts import GateError, require_empty, split_groups
 from .folds import group_kfold, inner_folds
 from .ordered import exact_percentiles
 
-MAX_FEATURES = 4096
 FAN_IN = 256
 BLOCK_VALUES = 65536
 
@@ -148,38 +147,86 @@ def feature_sums(df: DataFrame, x: str, y: str, features: int, few: bool = False
     return total[:features] / seen, total[-2] / rows, np.flatnonzero(total[features:2 * features]).tolist()
 
 
-def cell_moments(
+def cell_blocks(
     df: DataFrame, x: str, y: str, features: int, outer: list[int], shift: np.ndarray, y_shift: float, gaps: list[int],
     few: bool = False,
-) -> dict[tuple[int, int], Moments]:
-    """Moments for each (outer position, inner fold) cell; ``inner`` holds a row's fold for every outer fold."""
+) -> DataFrame:
+    """(o, i, b, values): the upper triangle of every (outer position, inner fold) cell's cross products, in blocks of rows.
+
+    ``inner`` holds a row's fold for every outer fold. A task multiplies its own rows a cell and a
+    block at a time and keeps none of the products. Stored, because several steps read it.
+    """
     width = features + len(gaps) + 2
     step = max(1, BLOCK_VALUES // width)  # matrix rows per shuffled record
 
     def run(batches):
-        sums: dict[tuple[int, int], np.ndarray] = {}
-        for batch in batches:
-            m = _dense(batch.column(0), features) - shift
-            holes = np.isnan(m[:, gaps]).astype(float)
-            z = np.column_stack([np.ones(len(m)), np.nan_to_num(m), holes, _numbers(batch.column(1)) - y_shift])
-            inner = _inner(batch.column(2), len(outer))
-            for o in range(len(outer)):
-                for i in np.unique(inner[:, o]):
-                    if i > 0:
-                        part = z[inner[:, o] == i]
-                        cell = sums.setdefault((o, int(i)), np.zeros((width, width)))
-                        cell += part.T @ part
-        for (o, i), cell in sums.items():
-            blocks = [cell[at:at + step].ravel() for at in range(0, width, step)]
-            yield _sums_batch({"o": [o] * len(blocks), "i": [i] * len(blocks), "b": list(range(len(blocks)))}, blocks)
+        parts = [b for b in batches if b.num_rows]
+        if not parts:
+            return
+        rows = pa.Table.from_batches(parts).combine_chunks()
+        m = _dense(rows.column(0).chunk(0), features) - shift
+        holes = np.isnan(m[:, gaps]).astype(float)
+        z = np.column_stack([np.ones(len(m)), np.nan_to_num(m), holes, _numbers(rows.column(1).chunk(0)) - y_shift])
+        inner = _inner(rows.column(2).chunk(0), len(outer))
+        for o in range(len(outer)):
+            for i in np.unique(inner[:, o]):
+                if i > 0:
+                    part = z[inner[:, o] == i]
+                    for b, at in enumerate(range(0, width, step)):
+                        block = part[:, at:at + step].T @ part[:, at:]
+                        yield _sums_batch({"o": [o], "i": [int(i)], "b": [b]}, [block.ravel()])
 
     partial = df.select(x, y, "inner").mapInArrow(run, "o int, i int, b int, part int, values array<double>")
-    cells: dict[tuple[int, int], np.ndarray] = {}
-    for row in _sum_arrays(partial, ["o", "i", "b"], few).collect():
-        block = np.asarray(row["values"]).reshape(-1, width)
-        at = row["b"] * step
-        cells.setdefault((row["o"], row["i"]), np.zeros((width, width)))[at:at + len(block)] = block
-    return {key: Moments(value, features, gaps) for key, value in cells.items()}
+    return materialise(_sum_arrays(partial, ["o", "i", "b"], few))
+
+
+def assembled(blocks: list[tuple[int, np.ndarray]], features: int, gaps: list[int]) -> Moments:
+    """The whole symmetric matrix from its upper blocks."""
+    width = features + len(gaps) + 2
+    step = max(1, BLOCK_VALUES // width)
+    matrix = np.zeros((width, width))
+    for b, values in blocks:
+        at = b * step
+        block = values.reshape(-1, width - at)
+        matrix[at:at + len(block), at:] = block
+        matrix[at:, at:at + len(block)] = block.T
+    return Moments(matrix, features, gaps)
+
+
+def fitted_sets(
+    cells: DataFrame, folds: dict[int, list[int]], features: int, gaps: list[int], fills: dict, models: list[Ladder],
+    shift: np.ndarray, y_shift: float, few: bool,
+) -> DataFrame:
+    """(o, j, position, candidate, n, values): coefficients of every candidate on every training set, left-out fold j or 0 for none.
+
+    Models with one candidate are fitted on whole training sets only. A row with candidate -1 holds
+    the variance ratios of the components of the first represented model of a whole set.
+    """
+    sets = F.array(*[F.array(*[F.lit(j) for j in (0, *folds[o])]) for o in sorted(folds)])
+    left_out = F.filter(F.get(sets, F.col("o")), lambda j: j != F.col("i"))
+    dealt = cells.withColumn("j", F.explode(left_out)).withColumnRenamed("i", "part").select("o", "j", "b", "part", "values")
+    summed = _sum_arrays(dealt, ["o", "j", "b"], few)  # a cell a row: at most as many as inner folds
+    first = next((p for p, m in enumerate(models) if m.represented), None)
+
+    def solve(key: tuple, table: pa.Table) -> pa.Table:
+        o, j = (k.as_py() for k in key)
+        blocks = zip(table.column("b").to_pylist(), table.column("values"))
+        moments = assembled([(b, v.values.to_numpy(zero_copy_only=False)) for b, v in blocks], features, gaps)
+        fill = {c: v - shift[c] for c, v in fills[(o, j)].items()}
+        out = []
+        for position, model in enumerate(models):
+            if j == 0 or len(model.candidates()) > 1:
+                for candidate, row in enumerate(fit_candidates(model, moments, fill, shift, y_shift)):
+                    out.append((o, j, position, candidate, moments.n, row.tolist()))
+        if j == 0 and first is not None:
+            rep = list(models[first].represented)
+            _, _, sxx, _ = moments.completed(fill)
+            _, ratios = principal_axes(sxx[np.ix_(rep, rep)], moments.n, max(models[first].components), models[first].whiten)
+            out.append((o, j, first, -1, moments.n, ratios.tolist()))
+        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.list_(pa.float64()))
+        return pa.table({n: pa.array(c, k) for n, c, k in zip(("o", "j", "position", "candidate", "n", "values"), zip(*out), kinds)})
+
+    return summed.groupBy("o", "j").applyInArrow(solve, "o int, j int, position int, candidate int, n double, values array<double>")
 
 
 def training_medians(df: DataFrame, x: str, gaps: list[int], outer: list[int], inner: int) -> dict[tuple[int, int, int], float]:
@@ -290,8 +337,6 @@ def nested_ladder(
 
     The candidate with the smallest mean inner MAE wins, earlier candidates first.
     """
-    if features > MAX_FEATURES:
-        raise GateError(f"{features} features exceed the {MAX_FEATURES} whose cross products fit the driver")
     spark = df.sparkSession
     require_empty(split_groups(df, group, outer), "group split across outer folds")
     outer_values = sorted(int(r[0]) for r in df.select(outer).distinct().collect())
@@ -300,33 +345,25 @@ def nested_ladder(
     rows, tasks = spread(rows.join(small(assigned), group))
     few = tasks <= 256  # partial sums that one task can add up
     shift, y_shift, gaps = feature_sums(rows, "__x", "__y", features, few)
-    cells = cell_moments(rows, "__x", "__y", features, outer_values, shift, y_shift, gaps, few)
+    cells = cell_blocks(rows, "__x", "__y", features, outer_values, shift, y_shift, gaps, few)
     medians = training_medians(rows, "__x", gaps, outer_values, inner)
-
-    def training(o: int, left_out: int) -> Moments:
-        parts = [m for (oo, i), m in sorted(cells.items()) if oo == o and i != left_out]
-        total = parts[0]
-        for part in parts[1:]:
-            total = total + part
-        return total
-
-    def fills(o: int, left_out: int) -> tuple[dict[int, float], dict[int, float]]:
-        raw = {c: medians[(o, left_out, c)] for c in gaps}
-        return raw, {c: v - shift[c] for c, v in raw.items()}
+    inner_of: dict[int, list[int]] = {}
+    for row in cells.select("o", "i").distinct().collect():
+        inner_of.setdefault(row["o"], []).append(row["i"])
+    inner_of = {o: sorted(found) for o, found in sorted(inner_of.items())}
+    fills = {(o, j): {c: medians[(o, j, c)] for c in gaps} for o in inner_of for j in (0, *inner_of[o])}
+    fitted, sizes = {}, {}
+    for row in fitted_sets(cells, inner_of, features, gaps, fills, models, shift, y_shift, few).collect():
+        fitted.setdefault((row["o"], row["j"], row["position"]), {})[row["candidate"]] = np.asarray(row["values"])
+        sizes[row["o"], row["j"]] = row["n"]
 
     # every candidate of every tuned model on every inner fold
     tuned = [(p, m) for p, m in enumerate(models) if len(m.candidates()) > 1]
     labels = [(p, c) for p, m in tuned for c in range(len(m.candidates()))]
-    inner_of = {o: sorted(i for oo, i in cells if oo == o) for o in range(len(outer_values))}
     scores: dict[tuple[int, int], dict[int, float]] = {}
     if labels:
-        weights, raw_fill = {}, {}
-        for o, folds in inner_of.items():
-            for i in folds:
-                raw, shifted = fills(o, i)
-                moments = training(o, i)
-                weights[(o, i)] = np.vstack([fit_candidates(m, moments, shifted, shift, y_shift) for _, m in tuned])
-                raw_fill[(o, i)] = raw
+        weights = {(o, i): np.vstack([fitted[o, i, p][c] for p, c in labels]) for o, folds in inner_of.items() for i in folds}
+        raw_fill = {key: fills[key] for key in weights}
         shared = spark.sparkContext.broadcast((weights, raw_fill))
 
         def errors(batches):
@@ -352,8 +389,6 @@ def nested_ladder(
 
     tuning_rows, configuration_rows, component_rows, final = [], [], [], {}
     for o, fold in enumerate(outer_values):
-        moments = training(o, 0)
-        raw, shifted = fills(o, 0)
         picked = []
         for position, model in enumerate(models):
             choice, best = 0, None
@@ -367,19 +402,15 @@ def nested_ladder(
                     choice, best = c, mean
                 tuning_rows.append([model.name, position + 1, fold, c, k, alpha, per_fold, mean, float(np.std(per_fold))])
             k, alpha = model.candidates()[choice]
-            coefficients = fit_candidates(model, moments, shifted, shift, y_shift)[choice]
+            coefficients = fitted[o, 0, position][choice]
             picked.append(coefficients)
-            configuration_rows.append((model.name, position + 1, fold, choice, k, alpha, best, int(moments.n), float(coefficients[0])))
+            configuration_rows.append((model.name, position + 1, fold, choice, k, alpha, best, int(sizes[o, 0]), float(coefficients[0])))
             for row in tuning_rows:
                 if row[0] == model.name and row[2] == fold and len(row) == 9:
                     row.append(row[3] == choice)
-        final[fold] = (np.stack(picked), raw)
-        for model in models:
-            if model.represented and not any(r[0] == fold for r in component_rows):
-                rep = list(model.represented)
-                _, _, sxx, _ = moments.completed(shifted)
-                _, ratios = principal_axes(sxx[np.ix_(rep, rep)], moments.n, max(model.components), model.whiten)
-                component_rows += [(fold, c + 1, float(r), float(t)) for c, (r, t) in enumerate(zip(ratios, np.cumsum(ratios)))]
+        final[fold] = (np.stack(picked), fills[o, 0])
+        ratios = next((fitted[o, 0, p][-1] for p, m in enumerate(models) if m.represented), [])
+        component_rows += [(fold, c + 1, float(r), float(t)) for c, (r, t) in enumerate(zip(ratios, np.cumsum(ratios)))]
 
     chosen = spark.sparkContext.broadcast(final)
 

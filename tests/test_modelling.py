@@ -238,6 +238,45 @@ def test_two_level_sums_agree(spark, data):
     for few in (True, False):
         shift, y_shift, gaps = mo.feature_sums(rows, "x", "y", FEATURES, few)
         assert np.allclose(shift, np.nanmean(x, axis=0)) and np.isclose(y_shift, frame.y.mean()) and gaps == [2]
-        cells = mo.cell_moments(rows, "x", "y", FEATURES, [1, 2, 3, 4, 5], shift, y_shift, gaps, few)
+        stored = mo.cell_blocks(rows, "x", "y", FEATURES, [1, 2, 3, 4, 5], shift, y_shift, gaps, few)
+        cells = {}
+        for r in stored.collect():
+            cells.setdefault((r["o"], r["i"]), []).append((r["b"], np.asarray(r["values"])))
+        cells = {k: mo.assembled(v, FEATURES, gaps) for k, v in cells.items()}
         train = sum(c.n for (o, _), c in cells.items() if o == 0)
         assert train == (frame.outer != 1).sum() and len(cells) == 20
+        z = np.column_stack([np.ones(len(x)), np.nan_to_num(x - shift), np.isnan(x[:, 2]), frame.y - y_shift])
+        own = (frame.outer != 1).to_numpy()
+        assert np.allclose(sum(c.matrix for (o, _), c in cells.items() if o == 0), z[own].T @ z[own])
+
+
+def test_blocks_of_a_wide_matrix(spark, data, monkeypatch):
+    """A matrix in many small blocks gives the same ladder."""
+    _, _, df = data
+    one = mo.nested_ladder(df, ["id"], "who", "outer", "x", "y", FEATURES, MODELS).predictions.toPandas().sort_values(["model", "id"])
+    monkeypatch.setattr(mo, "BLOCK_VALUES", 30)
+    many = mo.nested_ladder(df, ["id"], "who", "outer", "x", "y", FEATURES, MODELS).predictions.toPandas().sort_values(["model", "id"])
+    assert np.allclose(one.predicted, many.predicted)
+
+
+def test_reference_width(spark):
+    """3,072 features: no matrix reaches the driver, whose results stay far below its limit."""
+    features, n = 3072, 60
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(n, features))
+    y = x[:, :5].sum(axis=1)
+    rows = [(i, i % 12, i % 12 % 3 + 1, float(y[i]), x[i].tolist()) for i in range(n)]
+    df = spark.createDataFrame(rows, "id int, who int, outer int, y double, x array<double>").repartition(3)
+    models = [mo.Ladder("null", "mean"), mo.Ladder("wide", "ridge", tuple(range(features)), alphas=(10.0, 1000.0))]
+    shift, y_shift, gaps = mo.feature_sums(df, "x", "y", features, True)
+    inner = folds.inner_folds(df, "who", "outer", [1, 2, 3], 2)
+    cells = mo.cell_blocks(df.join(inner.select("who", "inner"), "who"), "x", "y", features, [1, 2, 3], shift, y_shift, gaps, True)
+    fits = mo.fitted_sets(cells, {0: [1, 2], 1: [1, 2], 2: [1, 2]}, features, [], {(o, j): {} for o in range(3) for j in range(3)}, models, shift, y_shift, True)
+    found = {(r["o"], r["j"], r["position"], r["candidate"]): np.asarray(r["values"]) for r in fits.where("o = 0 AND j = 0").collect()}
+    train = np.array([i % 12 % 3 + 1 != 1 for i in range(n)])
+    z = (x - x[train].mean(0)) / x[train].std(0)
+    for c, alpha in enumerate((10.0, 1000.0)):
+        gram = z[train] @ z[train].T + alpha * np.eye(train.sum())
+        want = y[train].mean() + z @ (z[train].T @ np.linalg.solve(gram, y[train] - y[train].mean()))
+        row = found[0, 0, 1, c]
+        assert np.allclose(row[0] + x @ row[1:], want)
