@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import largest_group, materialise, rows_per_task, small
-from .ordered import rank_within
+from .ordered import beside, rank_within
 
 METRICS = (
     "mae", "rmse", "bias", "lower_loa", "upper_loa", "calibration_intercept", "calibration_slope", "r_squared",
@@ -52,25 +52,17 @@ def agreement_sums(
         return kept.groupBy(*keys).agg(*aggs)
     kept = kept.where("d IS NOT NULL")
     means = kept.groupBy(*keys).agg(*[(F.sum(F.col("w") * F.col(k)) / F.sum("w")).alias(f"m_{k}") for k in MEANS])
-    joined = _beside(kept, means, keys)
+    joined = beside(kept, means, keys)
     part = {k: F.col(k) - F.col(f"m_{k}") for k in MEANS}
     squares = [F.sum(F.col("w") * part[k[0]] * part[k[1]]).alias(f"c_{k}") for k in SQUARES]
     return joined.groupBy(*keys).agg(
         F.sum("w").alias("s_n"), F.sum(F.col("w") * F.abs("d")).alias("s_abs_d"), *[F.first(f"m_{k}").alias(f"m_{k}") for k in MEANS], *squares, *bounds)
 
 
-def _beside(rows: DataFrame, per_key: DataFrame, keys: list[str]) -> DataFrame:
-    """``rows`` with the other columns of ``per_key``; NULL keys meet, and no key means one row for all."""
-    if not keys:
-        return rows.join(F.broadcast(per_key))
-    named = per_key.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in per_key.columns if c not in keys])
-    return rows.join(named, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])).drop(*[f"__{k}" for k in keys])
-
-
 def add_up(sums: DataFrame, keys: list[str], extra: list[Column] | None = None) -> DataFrame:
     """Moments of the unions of groups: means first, then central sums around them."""
     means = sums.groupBy(*keys).agg(*[(F.sum(F.col("s_n") * F.col(f"m_{k}")) / F.sum("s_n")).alias(f"__m_{k}") for k in MEANS])
-    joined = _beside(sums, means, keys)
+    joined = beside(sums, means, keys)
     away = {k: F.col(f"m_{k}") - F.col(f"__m_{k}") for k in MEANS}
     aggs = [F.sum(name).alias(name) for name in ("s_n", "s_abs_d")]
     aggs += [F.first(f"__m_{k}").alias(f"m_{k}") for k in MEANS]

@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import math
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,6 +113,14 @@ def previous_value(
     return out if group else out.drop("__all")
 
 
+def beside(rows: DataFrame, per_key: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with the other columns of ``per_key`` (a row a key); NULL keys meet, and no key means one row for all."""
+    if not keys:
+        return rows.join(F.broadcast(per_key))
+    named = per_key.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in per_key.columns if c not in keys])
+    return rows.join(named, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])).drop(*[f"__{k}" for k in keys])
+
+
 def exact_percentiles(
     df: DataFrame, group: list[str], value: str, quantiles: dict[str, float], largest: int | None = None,
     weight: str | None = None,
@@ -135,7 +145,7 @@ def exact_percentiles(
     counts = present.groupBy(*keys, "__v").agg(F.sum("__w").alias("__c"))
     cumulative = running_sum(counts, keys, ["__v"], "__c", "__cum")
     totals = counts.groupBy(*keys).agg(F.sum("__c").alias("__n"))
-    joined = cumulative.join(small(totals), keys)
+    joined = beside(cumulative, small(totals), keys)
     aggs, finals = [], []
     for name, q in quantiles.items():
         position = F.lit(q) * (F.col("__n") - 1)

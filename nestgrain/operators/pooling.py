@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.numeric import is_finite
+from ..session import largest_group, materialise, rows_per_task
 from .contracts import contract_join, non_finite_rows, numeric_features, require_empty, require_label_blind, wrong_cardinality
-from .ordered import exact_percentiles
+from .ordered import beside, exact_percentiles
+
+VECTOR_PARTS = 64  # groups that the tasks' states of a key meet in first
+STATE_BYTES = 64 << 20  # states that a task keeps
 
 
 def two_level_pool(df: DataFrame, unit: list[str], middle: str, features: list[str]) -> DataFrame:
@@ -43,41 +55,88 @@ def pool_features(
     return two_level_pool(joined, unit, middle, names)
 
 
+def value_counts(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """(keys, __column, __v, __n): how often each finite value of each column occurs per key; __v is NULL for all others.
+
+    The one pass over ``df`` that a summary needs. Equal values combine before the shuffle, and the
+    result is stored, so that moments and percentiles of all columns read it instead of ``df``.
+    """
+    values = F.array(*[F.when(is_finite(F.col(c)), F.col(c).cast("double")) for c in columns])
+    cells = df.select(*keys, F.posexplode(values).alias("__column", "__v"))
+    return materialise(cells.groupBy(*keys, "__column", "__v").agg(F.count(F.lit(1)).alias("__n")))
+
+
+def count_summaries(counts: DataFrame, group: list[str], marks: dict[str, float], largest: int | None = None) -> DataFrame:
+    """Per group and column of ``value_counts``: valid and total counts, mean, population SD, minimum, maximum, zeros and ``marks``.
+
+    Percentiles are exact; a NULL group is a group. ``largest`` bounds the counted values of one
+    group and column; it is measured on the stored counts where it is not given.
+    """
+    keys, n, v = [*group, "__column"], F.col("__n"), F.col("__v")
+    present = F.when(v.isNotNull(), n)
+    if largest is None:
+        largest = largest_group(counts, keys)
+    alone = largest <= rows_per_task(counts.sparkSession)
+    percentiles = [F.percentile("__v", F.lit(q), n).alias(name) for name, q in marks.items()] if alone else []
+    out = counts.groupBy(*keys).agg(
+        F.coalesce(F.sum(present), F.lit(0)).alias("valid"), F.sum(n).alias("total"), F.try_divide(F.sum(v * n), F.sum(present)).alias("mean"),
+        F.min(v).alias("minimum"), F.max(v).alias("maximum"), F.coalesce(F.sum(F.when(v == 0, n)), F.lit(0)).alias("zeros"), *percentiles)
+    away = v - F.col("__mean")
+    spread = beside(counts, out.select(*keys, F.col("mean").alias("__mean")), keys)
+    spread = spread.groupBy(*keys).agg(F.sqrt(F.try_divide(F.sum(n * away * away), F.sum(present))).alias("sd"))
+    out = beside(out, spread, keys)
+    if alone:
+        return out
+    found = exact_percentiles(counts, keys, "__v", marks, largest, weight="__n")
+    named = found.select(*[F.col(k).alias(f"__k_{k}") for k in keys], *marks)
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys])
+    return out.join(named, same, "left").drop(*[f"__k_{k}" for k in keys])
+
+
 def masked_summary(df: DataFrame, group: list[str], value: str, prefix: str, largest: int | None = None) -> DataFrame:
     """Counts, valid share, mean, population SD, median, p10 and p90 over finite values; NULL, NaN and infinity are not valid."""
-    df = df.withColumn(value, F.when(is_finite(F.col(value)), F.col(value)))
-    basic = df.groupBy(*group).agg(
-        F.count(value).alias(f"{prefix}_valid_count"),
-        F.count(F.lit(1)).alias(f"{prefix}_total_count"),
-        (F.count(value) / F.count(F.lit(1))).alias(f"{prefix}_valid_fraction"),
-        F.avg(value).alias(f"{prefix}_mean"),
-        F.stddev_pop(value).alias(f"{prefix}_sd"),
-    )
-    marks = {f"{prefix}_median": 0.5, f"{prefix}_p10": 0.1, f"{prefix}_p90": 0.9}
-    return basic.join(exact_percentiles(df, group, value, marks, largest), group, "left")
+    found = count_summaries(value_counts(df, group, [value]), group, MASKED_MARKS, largest)
+    return found.select(*group, *_masked(prefix))
+
+
+MASKED_MARKS = {"median": 0.5, "p10": 0.1, "p90": 0.9}
+
+
+def _masked(prefix: str) -> list[Column]:
+    fraction = (F.col("valid") / F.col("total")).alias(f"{prefix}_valid_fraction")
+    return [F.col("valid").alias(f"{prefix}_valid_count"), F.col("total").alias(f"{prefix}_total_count"), fraction,
+            *[F.col(c).alias(f"{prefix}_{c}") for c in ("mean", "sd", *MASKED_MARKS)]]
 
 
 def distribution_summary(df: DataFrame, group: list[str], value: str, largest: int | None = None) -> DataFrame:
     """Minimum, p05, median, mean, p95, maximum and zero share of finite values, and their share of all."""
-    df = df.withColumn(value, F.when(is_finite(F.col(value)), F.col(value)))
-    basic = df.groupBy(*group).agg(
-        F.min(value).alias("minimum"), F.avg(value).alias("mean"), F.max(value).alias("maximum"),
-        F.try_divide(F.count_if(F.col(value) == 0), F.count(value)).alias("zero_fraction"),
-        (F.count(value) / F.count(F.lit(1))).alias("finite_fraction"),
-    )
     marks = {"p05": 0.05, "median": 0.5, "p95": 0.95}
-    return basic.join(exact_percentiles(df, group, value, marks, largest), group, "left")
+    found = count_summaries(value_counts(df, group, [value]), group, marks, largest)
+    return found.select(
+        *group, "minimum", "mean", "maximum", F.try_divide(F.col("zeros"), F.col("valid")).alias("zero_fraction"),
+        (F.col("valid") / F.col("total")).alias("finite_fraction"), *marks)
 
 
 def boundary_points(samples: DataFrame, unit: list[str], middle: str, intervals: list[str], largest: int | None = None) -> DataFrame:
-    """Masked summaries per unit for each interval, plus the SD of its scan means."""
-    out = samples.groupBy(*unit).agg(F.countDistinct(middle).alias("scans"), F.count(F.lit(1)).alias("samples"))
-    scan_means = samples.groupBy(*unit, middle).agg(*[F.avg(i).alias(i) for i in intervals])
-    between = scan_means.groupBy(*unit).agg(*[F.stddev_pop(i).alias(f"{i}_between_scan_mean_sd") for i in intervals])
-    out = out.join(between, unit)
-    for interval in intervals:
-        out = out.join(masked_summary(samples, unit, interval, interval, largest), unit)
-    return out
+    """Masked summaries per unit for each interval, plus the SD of its scan means; units with NULL keys stay.
+
+    Everything follows from one set of stored counts per scan, for all intervals together.
+    """
+    counts = value_counts(samples, [*unit, middle], intervals)
+    n, v = F.col("__n"), F.col("__v")
+    means = counts.groupBy(*unit, middle, "__column").agg(
+        F.try_divide(F.sum(v * n), F.sum(F.when(v.isNotNull(), n))).alias("m"), F.sum(n).alias("rows"))
+    scans = means.groupBy(*unit, "__column").agg(F.stddev_pop("m").alias("between"), F.countDistinct(middle).alias("scans"), F.sum("rows").alias("samples"))
+    found = beside(count_summaries(counts, unit, MASKED_MARKS, largest), scans, [*unit, "__column"])
+    cells = []
+    for position, interval in enumerate(intervals):
+        own = F.struct(F.col("between").alias(f"{interval}_between_scan_mean_sd"), *_masked(interval))
+        cells.append(F.max(F.when(F.col("__column") == position, own)).alias(f"__{position}"))  # one row a unit and interval
+    wide = found.groupBy(*unit).agg(F.max("scans").alias("scans"), F.max("samples").alias("samples"), *cells)
+    between = [F.col(f"__{k}.{i}_between_scan_mean_sd") for k, i in enumerate(intervals)]
+    return wide.select(*unit, "scans", "samples", *between, *[
+        F.col(f"__{k}.{c}") for k, i in enumerate(intervals) for c in (
+            f"{i}_valid_count", f"{i}_total_count", f"{i}_valid_fraction", *[f"{i}_{x}" for x in ("mean", "sd", *MASKED_MARKS)])])
 
 
 def interval_thickness(values: Column, scale_um: Column, height: Column) -> tuple[Column, Column]:
@@ -102,38 +161,104 @@ def interval_thickness(values: Column, scale_um: Column, height: Column) -> tupl
     return thickness, reason
 
 
-def vector_pool(df: DataFrame, unit: list[str], vector: str, dimension: int) -> DataFrame:
-    """Elementwise mean and population SD over a unit's vectors, concatenated (2 x dimension).
-
-    One aggregate pair per element keeps the combine map-side; nothing is collected
-    per group and no per-element rows are produced.
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    chunks = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
+    flat = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in chunks] or [np.zeros(0)]).astype(float)
+    return flat.reshape(len(column), -1)
+
+
+def _task_states(keys: int, kinds: list[pa.DataType]):
+    """One state a key of this task's vectors; handed on early when the states fill ``STATE_BYTES``."""
+
+    def rows(states: dict) -> pa.RecordBatch:
+        part = TaskContext.get().partitionId() % VECTOR_PARTS
+        columns = [pa.array([key[k] for key in states], kind) for k, kind in zip(range(keys), kinds)]
+        values = list(states.values())
+        lists = [pa.array([v[i].tolist() for v in values], pa.list_(pa.float64())) for i in (1, 2)]
+        return pa.RecordBatch.from_arrays(
+            [*columns, pa.array([part] * len(values), pa.int32()), pa.array([float(v[0]) for v in values]), *lists],
+            [*[f"k{k}" for k in range(keys)], "part", "n", "means", "squares"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        states: dict[tuple, tuple] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            m = _matrix(batch.column(keys))
+            found: dict[tuple, int] = {}
+            ids = zip(*[batch.column(k).to_pylist() for k in range(keys)]) if keys else [()] * len(m)
+            own = np.array([found.setdefault(key, len(found)) for key in ids])
+            order = np.argsort(own, kind="stable")
+            cuts, n = np.searchsorted(own[order], np.arange(len(found))), np.bincount(own)
+            means = np.add.reduceat(m[order], cuts, axis=0) / n[:, None]
+            squares = np.add.reduceat((m - means[own])[order] ** 2, cuts, axis=0)
+            for key, k in found.items():
+                states[key] = _merged(states.get(key), (n[k], means[k], squares[k]))
+            if len(states) * m.shape[1] * 16 > STATE_BYTES:
+                yield rows(states)
+                states = {}
+        if states:
+            yield rows(states)
+
+    return run
+
+
+def _merged(a: tuple | None, b: tuple) -> tuple:
+    if a is None:
+        return b
+    n = a[0] + b[0]
+    away = b[1] - a[1]
+    return n, a[1] + away * (b[0] / n), a[2] + b[2] + away * away * (a[0] * b[0] / n)
+
+
+def _merged_states(keys: list[str]):
+    def run(table: pa.Table) -> pa.Table:
+        n, means, squares = table.column("n").to_numpy(), _matrix(table.column("means")), _matrix(table.column("squares"))
+        centre = n @ means / n.sum()
+        spread = squares.sum(axis=0) + n @ (means - centre) ** 2
+        first = {k: table.column(k).slice(0, 1) for k in keys}
+        return pa.table({**first, "n": pa.array([n.sum()]), "means": pa.array([centre.tolist()]), "squares": pa.array([spread.tolist()])})
+
+    return run
+
+
+def vector_states(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
+    """(keys, n, means, squares): count, elementwise means and central sums of squares of each key's vectors.
+
+    The state is one row of arrays a key, whatever the dimension. Tasks add up their own vectors
+    before anything is shuffled; their states merge in two steps, so that no key meets more rows
+    than a share of the tasks. Vectors are as long as one another and whole; a NULL one does not count.
     """
-    aggs = [F.avg(F.get(F.col(vector), F.lit(i))).alias(f"__m{i}") for i in range(dimension)]
-    aggs += [F.stddev_pop(F.get(F.col(vector), F.lit(i))).alias(f"__s{i}") for i in range(dimension)]
-    pooled = df.groupBy(*unit).agg(*aggs, F.count(F.lit(1)).alias("n_vectors"))
-    joined = F.array(*[F.col(f"__m{i}") for i in range(dimension)], *[F.col(f"__s{i}") for i in range(dimension)])
-    return pooled.select(*unit, "n_vectors", joined.alias("representation"))
-
-
-def long_vector_pool(df: DataFrame, unit: list[str], middle: str | None, vector: str) -> DataFrame:
-    """Vector pooling for wide vectors via element rows: mean, between SD and, with ``middle``, mean within SD."""
-    elements = df.select(*unit, *([middle] if middle else []), F.posexplode(vector).alias("__pos", "__v"))
-    if middle is None:
-        pooled = elements.groupBy(*unit, "__pos").agg(F.avg("__v").alias("__a"), F.stddev_pop("__v").alias("__b"))
-        parts = ["__a", "__b"]
-    else:
-        scans = elements.groupBy(*unit, middle, "__pos").agg(F.avg("__v").alias("__m"), F.stddev_pop("__v").alias("__s"))
-        pooled = scans.groupBy(*unit, "__pos").agg(
-            F.avg("__m").alias("__a"), F.stddev_pop("__m").alias("__b"), F.avg("__s").alias("__c"))
-        parts = ["__a", "__b", "__c"]
-    # one entry per vector position: bounded by the vector length, not by the data
-    ordered = F.array_sort(F.collect_list(F.struct("__pos", *parts)))
-
-    def block(part: str) -> Column:
-        return F.transform(F.col("__o"), lambda entry: entry[part])
-
-    blocks = [block(part) for part in parts]
-    return pooled.groupBy(*unit).agg(ordered.alias("__o")).select(*unit, F.concat(*blocks).alias("representation"))
+    kept = [df.schema[k] for k in keys]
+    state = [T.StructField("n", T.DoubleType()), T.StructField("means", T.ArrayType(T.DoubleType())), T.StructField("squares", T.ArrayType(T.DoubleType()))]
+    rows = df.select(*keys, F.col(vector).cast("array<double>").alias("__vector")).where("__vector IS NOT NULL")
+    names = [f"k{k}" for k in range(len(keys))]
+    plain = [T.StructField(n, f.dataType) for n, f in zip(names, kept)]
+    part = T.StructField("part", T.IntegerType())
+    kinds = [to_arrow_type(f.dataType) for f in kept]
+    own = rows.mapInArrow(_task_states(len(keys), kinds), T.StructType([*plain, part, *state]))
+    once = own.groupBy(*names, "part").applyInArrow(_merged_states([*names, "part"]), T.StructType([*plain, part, *state]))
+    out = once.groupBy(*names).applyInArrow(_merged_states(names), T.StructType([*plain, *state]))
+    return out.select(*[F.col(n).alias(k) for n, k in zip(names, keys)], "n", "means", "squares")
+
+
+def _sd(squares: str, n: str = "n") -> Column:
+    return F.transform(squares, lambda x: F.sqrt(F.greatest(x, F.lit(0.0)) / F.col(n)))
+
+
+def vector_pool(df: DataFrame, unit: list[str], vector: str) -> DataFrame:
+    """Elementwise mean and population SD over a unit's vectors, concatenated (2 x dimension)."""
+    states = vector_states(df, unit, vector)
+    return states.select(*unit, F.col("n").cast("bigint").alias("n_vectors"), F.concat("means", _sd("squares")).alias("representation"))
+
+
+def three_level_vector_pool(df: DataFrame, unit: list[str], middle: str, vector: str) -> DataFrame:
+    """Mean of scan means, their population SD and the mean of within-scan SDs, elementwise, concatenated (3 x dimension)."""
+    scans = vector_states(df, [*unit, middle], vector).select(*unit, F.concat("means", _sd("squares")).alias("__both"))
+    units = vector_states(scans, unit, "__both")
+    half = (F.size("means") / 2).cast("int")
+    between = F.slice(_sd("squares"), F.lit(1), half)
+    return units.select(*unit, F.concat(F.slice("means", F.lit(1), half), between, F.slice("means", half + 1, half)).alias("representation"))
 
 
 def wide_by_rank(df: DataFrame, unit: list[str], rank: str, ranks: list[int], columns: list[str], prefix: str = "scan") -> DataFrame:

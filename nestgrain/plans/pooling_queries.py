@@ -10,8 +10,6 @@ from ..operators import ordered as od
 from ..operators import pooling as po
 from .common import rounded, sql_stable, table
 
-DIMENSION = 64  # length of embeddings.embedding
-
 
 def _samples(spark, sf_dir):
     """customer (unit) -> order (scan) -> line item (sample)."""
@@ -44,6 +42,12 @@ def masked_summary(spark, sf_dir):
     return rounded(out, ["l_suppkey", "x_valid_count", "x_total_count"], [f"x_{s}" for s in _SUMMARY])
 
 
+def masked_null_group(spark, sf_dir):
+    """The summary where some rows have no unit: they are one group, percentiles included."""
+    rows = _masked(spark, sf_dir).withColumn("unit", F.when(F.col("l_suppkey") > 3, F.col("l_suppkey")))
+    return rounded(po.masked_summary(rows, ["unit"], "x", "x"), ["unit", "x_valid_count", "x_total_count"], [f"x_{s}" for s in _SUMMARY])
+
+
 def distribution_summary(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").select(
         "l_returnflag", F.when(F.col("l_tax") < 0.07, F.col("l_discount")).alias("x"))
@@ -138,7 +142,7 @@ def label_map(spark, sf_dir):
 
 def vector_pool(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings").select("label", ar.as_doubles(F.col("embedding")).alias("embedding"))
-    pooled = po.vector_pool(vectors, ["label"], "embedding", DIMENSION)
+    pooled = po.vector_pool(vectors, ["label"], "embedding")
     return pooled.select("label", "n_vectors", F.posexplode("representation").alias("pos", "v")).select(
         "label", "n_vectors", "pos", stable(F.col("v"), 5).alias("v"))
 
@@ -146,7 +150,7 @@ def vector_pool(spark, sf_dir):
 def three_level_vector_pool(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings").select(
         "label", (F.col("vec_id") % 3).alias("scan"), ar.as_doubles(F.col("embedding")).alias("embedding"))
-    pooled = po.long_vector_pool(vectors, ["label"], "scan", "embedding")
+    pooled = po.three_level_vector_pool(vectors, ["label"], "scan", "embedding")
     return pooled.select("label", F.posexplode("representation").alias("pos", "v")).select("label", "pos", stable(F.col("v"), 5).alias("v"))
 
 
@@ -189,6 +193,10 @@ QUERIES = {
         {sql_stable('count(x) / count(*)')} AS x_valid_fraction, {sql_stable('avg(x)')} AS x_mean, {sql_stable('stddev_pop(x)')} AS x_sd,
         {sql_stable('quantile_cont(x, 0.5)')} AS x_median, {sql_stable('quantile_cont(x, 0.1)')} AS x_p10, {sql_stable('quantile_cont(x, 0.9)')} AS x_p90
         FROM (SELECT l_suppkey, {_MASK} AS x FROM lineitem) GROUP BY 1"""),
+    "masked_null_group": (masked_null_group, f"""SELECT unit, count(x) AS x_valid_count, count(*) AS x_total_count,
+        {sql_stable('count(x) / count(*)')} AS x_valid_fraction, {sql_stable('avg(x)')} AS x_mean, {sql_stable('stddev_pop(x)')} AS x_sd,
+        {sql_stable('quantile_cont(x, 0.5)')} AS x_median, {sql_stable('quantile_cont(x, 0.1)')} AS x_p10, {sql_stable('quantile_cont(x, 0.9)')} AS x_p90
+        FROM (SELECT CASE WHEN l_suppkey > 3 THEN l_suppkey END AS unit, {_MASK} AS x FROM lineitem) GROUP BY 1"""),
     "distribution_summary": (distribution_summary, f"""SELECT l_returnflag, {sql_stable('min(x)')} AS minimum, {sql_stable('quantile_cont(x, 0.05)')} AS p05,
         {sql_stable('quantile_cont(x, 0.5)')} AS median, {sql_stable('avg(x)')} AS mean, {sql_stable('quantile_cont(x, 0.95)')} AS p95, {sql_stable('max(x)')} AS maximum,
         {sql_stable('count(*) FILTER (x = 0) / count(x)')} AS zero_fraction, {sql_stable('count(x) / count(*)')} AS finite_fraction

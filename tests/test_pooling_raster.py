@@ -64,18 +64,65 @@ def test_vector_pools(spark):
     v = rng.normal(size=(2, 3, 5, 4))
     rows = [(u, s, [float(x) for x in v[u, s, k]]) for u in range(2) for s in range(3) for k in range(5)]
     df = spark.createDataFrame(rows, "u int, s int, e array<double>")
-    got = po.long_vector_pool(df, ["u"], "s", "e").orderBy("u").toPandas().representation
+    got = po.three_level_vector_pool(df, ["u"], "s", "e").orderBy("u").toPandas().representation
     scan = v.mean(2)
     want = np.concatenate([scan.mean(1), scan.std(1), v.std(2).mean(1)], axis=1)
     assert np.allclose(np.vstack(got), want)
     flat = v.reshape(2, 15, 4)
-    got = po.vector_pool(df, ["u"], "e", 4).orderBy("u").toPandas().representation
+    got = po.vector_pool(df, ["u"], "e").orderBy("u").toPandas().representation
     assert np.allclose(np.vstack(got), np.concatenate([flat.mean(1), flat.std(1)], axis=1))
-    assert np.allclose(np.vstack(po.long_vector_pool(df, ["u"], None, "e").orderBy("u").toPandas().representation), np.vstack(got))
     row = po.reproduces(df.where("s = 0 and u = 0").limit(1), df.where("s = 0 and u = 0").limit(1), ["u", "s"], "e").first()
     assert row["within_tolerance"] and row["max_abs_difference"] == 0
 
 
+def test_wide_vectors_and_null_units(spark, monkeypatch):
+    """3,072 elements as one state a unit, early hand-on included; a NULL unit is a unit."""
+    monkeypatch.setattr(po, "STATE_BYTES", 1)
+    v = np.random.default_rng(1).normal(1e6, 1, size=(20, 3072))
+    df = spark.createDataFrame([(None if k % 3 == 0 else "b", k, v[k].tolist()) for k in range(20)] + [("b", 99, None)], "u string, k int, e array<double>").repartition(7)
+    got = {r["u"]: r for r in po.vector_pool(df, ["u"], "e").collect()}
+    for unit, rows in ((None, v[::3]), ("b", v[[k for k in range(20) if k % 3]])):
+        assert got[unit]["n_vectors"] == len(rows)
+        assert np.allclose(got[unit]["representation"], np.concatenate([rows.mean(0), rows.std(0)]), rtol=1e-9)
+    plan = po.vector_pool(df, ["u"], "e")._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "MapInArrow" in plan
+
+
+def test_summaries_read_their_rows_once(spark, tmp_path):
+    """NULL groups keep their percentiles, all columns and marks come from one pass, and large groups give the same."""
+    rng = np.random.default_rng(2)
+    rows = [(None if k % 4 == 0 else k % 3, k % 7, float(rng.normal()) if k % 5 else None, float(rng.integers(0, 9))) for k in range(400)]
+    frame = pd.DataFrame(rows, columns=["u", "s", "x", "z"])
+    spark.createDataFrame(rows, "u int, s int, x double, z double").write.parquet(str(tmp_path / "t"))
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def looked_at(value):
+        seen.add(1)
+        return value
+
+    def run():
+        df = spark.read.parquet(str(tmp_path / "t")).withColumn("x", looked_at("x"))
+        return {r["u"]: r for r in po.boundary_points(df, ["u"], "s", ["x", "z"]).collect()}
+
+    got = run()
+    assert seen.value == 400
+    spark.conf.set("nestgrain.rowsPerTask", "20")
+    try:
+        large = run()
+    finally:
+        spark.conf.unset("nestgrain.rowsPerTask")
+    assert seen.value == 800 and set(got) == {None, 0, 1, 2}
+    for unit, own in got.items():
+        part = frame[frame.u.isna() if unit is None else frame.u == unit]
+        assert own["samples"] == len(part) and own["scans"] == 7 and own["x_valid_count"] == part.x.notna().sum()
+        assert np.isclose(own["z_between_scan_mean_sd"], part.groupby("s").z.mean().std(ddof=0))
+        for c in ("x", "z"):
+            want = [part[c].mean(), part[c].std(ddof=0), *np.percentile(part[c].dropna(), [50, 10, 90])]
+            for found in (own, large[unit]):
+                assert np.allclose([found[f"{c}_{k}"] for k in ("mean", "sd", "median", "p10", "p90")], want)
+
+
 def test_array_functions(spark):
     x = np.array([3.0, -1.0, 4.0, 1.5, 9.0, 2.0])
     df = spark.createDataFrame([(x.tolist(), [2.0] * 4)], "x array<double>, flat array<double>")
