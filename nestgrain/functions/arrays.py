@@ -109,3 +109,60 @@ def percentile_scale(values: Column, low_q: float, high_q: float, floor: float =
         return let(limits, scaled)
 
     return let(values, with_limits)
+
+
+def reflected(index: Column, width: Column) -> Column:
+    """A column index mirrored at both borders as often as needed; the border columns are not repeated."""
+    period = F.greatest(2 * (width - 1), F.lit(1))
+    inside = F.pmod(index, period)
+    return F.when(inside < width, inside).otherwise(period - inside)
+
+
+def _resize_weights(source: Column, target: int) -> Column:
+    """For every target column: the first source column it reads and the weights from there on (triangle filter, sum 1)."""
+    scale = source / F.lit(float(target))
+    reach = F.greatest(scale, F.lit(1.0))
+
+    def of(bound: Column) -> Column:
+        def weights(x: Column) -> Column:
+            centre = (x + F.lit(0.5)) * bound["scale"]
+            first = F.greatest(F.floor(centre - bound["reach"] + 0.5), F.lit(0)).cast("int")
+            last = F.least(F.floor(centre + bound["reach"] + 0.5), bound["source"]).cast("int")
+
+            def raw(place: Column) -> Column:
+                return F.transform(F.sequence(place["first"], place["last"] - 1), lambda k: F.greatest(
+                    1 - F.abs((k - place["centre"] + 0.5) / bound["reach"]), F.lit(0.0)))
+
+            def scaled(place: Column) -> Column:
+                return let(raw(place), lambda w: let(total(w), lambda t: F.struct(
+                    place["first"].alias("first"), F.transform(w, lambda v: v / t).alias("w"))))
+
+            return let(F.struct(centre.alias("centre"), first.alias("first"), last.alias("last")), scaled)
+
+        return F.transform(F.sequence(F.lit(0), F.lit(target - 1)), weights)
+
+    return let(F.struct(scale.alias("scale"), reach.alias("reach"), source.cast("int").alias("source")), of)
+
+
+def reflected_crop(flat: Column, width: int, crop_x0: Column, crop_width: Column, target: int) -> Column:
+    """Columns crop_x0 .. crop_x0 + crop_width - 1 of a row-major raster, full height, resized to ``target`` columns.
+
+    Columns beyond the borders are reflections. Resizing is linear with a triangle filter that
+    widens when it shrinks; values stay real numbers. A raster of another shape gives NULL.
+    """
+    whole = F.size(flat) % F.lit(width) == 0
+
+    def crop(bound: Column) -> Column:
+        def row(r: Column) -> Column:
+            def cell(place: Column) -> Column:
+                weighted = F.transform(place["w"], lambda w, k: w * F.get(
+                    bound["v"], (r * F.lit(width) + reflected(bound["x0"] + place["first"] + k, F.lit(width))).cast("int")))
+                return total(weighted)
+
+            return F.transform(bound["weights"], cell)
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), bound["rows"] - 1), row))
+
+    rows = (F.size(flat) / width).cast("int")
+    parts = F.struct(as_doubles(flat).alias("v"), crop_x0.cast("int").alias("x0"), rows.alias("rows"), _resize_weights(crop_width, target).alias("weights"))
+    return F.when(whole & (F.size(flat) > 0), let(parts, crop))

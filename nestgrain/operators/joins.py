@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import small
+from ..session import fits_broadcast, largest_group, materialise, rows_per_task, small
 from .contracts import require_unique
 
+CROWDED = 1000  # right tuples of one tolerance cell before one more field cuts it
+
 
 def tolerance_join(
     left: DataFrame, right: DataFrame, exact: list[str], near: list[str], left_id: str, right_id: str,
-    tolerance: float = 1e-10, bands: int = 2,
+    tolerance: float = 1e-10, bands: int = 2, crowded: int = CROWDED,
 ) -> DataFrame:
     """Match rows equal on ``exact`` and within ``tolerance`` on every ``near`` field.
 
@@ -20,24 +24,45 @@ def tolerance_join(
     costs one row per side instead of all its pairs. Each near field is cut into
     cells a few tolerances wide and joined on cell equality; the left tuple also
     probes a neighbouring cell when it lies within reach of the edge. Narrow cells
-    keep the candidates close to the true matches however the values cluster. Only the
-    first ``bands`` near fields are cut into cells, so name the most selective ones
-    first; the others are compared on the candidates, as each cell field can double them.
+    keep the candidates close to the true matches however the values cluster. At first
+    only the first ``bands`` near fields are cut into cells, as each can double the probes;
+    a cell that holds more than ``crowded`` right tuples is cut by one more field, again
+    until it is not crowded or no field is left.
     """
     width = max(tolerance * 8, 1e-9)
     lookup = right.groupBy(*exact, *near).agg(F.count(F.lit(1)).alias("__rn"), F.min(right_id).alias("__rid"))
     probes = left.select(*exact, *near).distinct()
-    for field in near[:bands]:
+
+    def cut(probed: DataFrame, filed: DataFrame, field: str) -> tuple[DataFrame, DataFrame]:
         low = F.floor((F.col(field) - tolerance) / width)
         high = F.floor((F.col(field) + tolerance) / width)
-        probes = probes.withColumn(f"__c_{field}", F.explode(F.array_distinct(F.array(low, high))))
-        lookup = lookup.withColumn(f"__c_{field}", F.floor(F.col(field) / width))
+        probed = probed.withColumn(f"__c_{field}", F.explode(F.array_distinct(F.array(low, high))))
+        return probed, filed.withColumn(f"__c_{field}", F.floor(F.col(field) / width))
+
+    def hits(probed: DataFrame, filed: DataFrame, cells: list[str]) -> DataFrame:
+        renamed = filed.select(*exact, *cells, "__rn", "__rid", *[F.col(f).alias(f"__r_{f}") for f in near])
+        found = probed.join(renamed, exact + cells)
+        for field in near:
+            found = found.where(F.abs(F.col(field) - F.col(f"__r_{field}")) <= tolerance)
+        return found.groupBy(*exact, *near).agg(F.sum("__rn").alias("__n"), F.min("__rid").alias("__best"))
+
+    for field in near[:bands]:
+        probes, lookup = cut(probes, lookup, field)
     cells = [f"__c_{field}" for field in near[:bands]]
-    renamed = lookup.select(*exact, *cells, "__rn", "__rid", *[F.col(f).alias(f"__r_{f}") for f in near])
-    hits = probes.join(renamed, exact + cells)
-    for field in near:
-        hits = hits.where(F.abs(F.col(field) - F.col(f"__r_{field}")) <= tolerance)
-    summed = hits.groupBy(*exact, *near).agg(F.sum("__rn").alias("match_count"), F.min("__rid").alias("__best"))
+    parts: list[DataFrame] = []
+    for field in near[bands:]:
+        lookup = materialise(lookup)  # counted and joined
+        if largest_group(lookup, exact + cells) <= crowded:
+            break
+        sizes = lookup.groupBy(*exact, *cells).agg(F.count(F.lit(1)).alias("__size"))
+        full = materialise(sizes.where(F.col("__size") > crowded).drop("__size"))
+        full, probes = small(full), materialise(probes)
+        parts.append(hits(probes.join(full, exact + cells, "left_anti"), lookup.join(full, exact + cells, "left_anti"), cells))
+        probes, lookup = cut(probes.join(full, exact + cells, "left_semi"), lookup.join(full, exact + cells, "left_semi"), field)
+        cells = [*cells, f"__c_{field}"]
+    parts.append(hits(probes, lookup, cells))
+    summed = reduce(lambda a, b: a.unionByName(b), parts)
+    summed = summed.groupBy(*exact, *near).agg(F.sum("__n").alias("match_count"), F.min("__best").alias("__best"))
     out = left.join(summed, exact + near, "left")
     return out.select(
         left_id, *exact, *near,
@@ -53,7 +78,9 @@ def range_join(
 
     Ranges are filed under the power of two at or above their span, so every range
     covers at most two blocks of its own level whatever the mix of spans. Points
-    probe the levels that occur (at most 63), giving a pure equi-join.
+    probe the levels that occur (at most 63), giving a pure equi-join. Ranges too many to
+    broadcast are shuffled; there a block that holds more points than a task should
+    has them dealt over salts by a hash of the whole point, and its ranges copied to each.
     """
     span = F.col(stop) - F.col(start)
     level = F.greatest(F.ceil(F.log2(span.cast("double"))), F.lit(0)).cast("int")
@@ -69,11 +96,29 @@ def range_join(
     probe = F.explode(F.array(*[
         F.struct(F.lit(lv).alias("lv"), F.floor(F.col(position) / F.lit(2 ** lv)).alias("blk")) for lv in levels
     ]))
-    probed = points.withColumn("__p", probe).withColumn("__level", F.col("__p.lv")).withColumn("__block", F.col("__p.blk"))
-    joined = probed.drop("__p").join(small(filed), [*on, "__level", "__block"])
+    probed = points.withColumn("__p", probe).withColumn("__level", F.col("__p.lv")).withColumn("__block", F.col("__p.blk")).drop("__p")
+    keys = [*on, "__level", "__block"]
+    if fits_broadcast(filed):
+        joined = probed.join(F.broadcast(filed), keys)
+    else:
+        probed, filed = salted(probed, filed, keys, points.columns, rows_per_task(points.sparkSession))
+        joined = probed.join(filed, [*keys, "__salt"]).drop("__salt")
     return joined.where((F.col(position) >= F.col(start)) & (F.col(position) < F.col(stop))).drop("__level", "__block")
 
 
+def salted(many: DataFrame, few: DataFrame, keys: list[str], own: list[str], per_task: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with ``__salt``: keys with more than ``per_task`` rows in ``many`` are dealt over several, ``few`` copied to each.
+
+    Rows are dealt by a hash of columns ``own``, so a retried task deals them alike; rows equal in all of them stay together.
+    """
+    counts = many.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / per_task).cast("int").alias("__salts"))
+    hot = small(materialise(counts.where("__salts > 1")))
+    salts = F.coalesce("__salts", F.lit(1))
+    dealt = many.join(hot, keys, "left").withColumn("__salt", F.pmod(F.xxhash64(*own), salts).cast("int")).drop("__salts")
+    copied = few.join(hot, keys, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("__salts")
+    return dealt, copied
+
+
 def enumerate_range(df: DataFrame, start: str, stop_inclusive: str, name: str) -> DataFrame:
     """One row per integer in [start, stop]; an empty range yields no row (``sequence`` would count down)."""
     whole = F.when(F.col(start) <= F.col(stop_inclusive), F.sequence(F.col(start), F.col(stop_inclusive)))

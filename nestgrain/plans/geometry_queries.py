@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import arrays as ar
 from ..functions.numeric import polar, stable
 from ..operators import geometry as ge
 from ..operators import nearest as ne
@@ -120,6 +121,33 @@ SELECT p_partkey, x0 AS crop_x0, x1 AS crop_x1, w AS crop_width, pl AS pad_left,
 (pl + pr) / w > 0.25 AS excessive_padding FROM p"""
 
 
+CROP_TARGET = 5
+
+
+def reflected_crop(spark, sf_dir):
+    """Every 8 x 8 raster cropped around a moving centre to a width of its own, reflected at the borders, resized to five columns."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    scale = (F.col("vec_id") % 5 + 2) / 20.0
+    bounds = ge.crop_columns((F.col("vec_id") % 9).cast("double") + 0.3, scale, F.lit(8), 0.8)
+    cropped = e.select("vec_id", *[bounds[k].alias(k) for k in ("crop_x0", "crop_width", "padded_fraction", "excessive_padding")], ar.reflected_crop(
+        F.col("embedding"), 8, bounds["crop_x0"], bounds["crop_width"], CROP_TARGET).alias("v"))
+    return cropped.select("vec_id", "crop_width", stable(F.col("padded_fraction"), 6).alias("padded_fraction"), "excessive_padding", F.posexplode("v").alias("pos", "x")).select(
+        "vec_id", "crop_width", "padded_fraction", "excessive_padding", "pos", stable(F.col("x"), 5).alias("x"))
+
+
+REFLECTED_SQL = f"""WITH g AS (SELECT vec_id, greatest(round_even(0.8 / ((vec_id % 5 + 2) / 20.0::DOUBLE), 0)::BIGINT, 3) AS w, round_even(vec_id % 9 + 0.3::DOUBLE, 0)::BIGINT AS m FROM embeddings),
+c AS (SELECT vec_id, w, m - w // 2 AS x0, greatest(w / {CROP_TARGET}.0, 1.0)::DOUBLE AS reach, (greatest(-(m - w // 2), 0) + greatest(m - w // 2 + w - 8, 0)) / w AS share FROM g),
+t AS (SELECT *, unnest(range(0, {CROP_TARGET})) AS tx FROM c),
+k AS (SELECT *, (tx + 0.5) * w / {CROP_TARGET}.0 AS centre, unnest(range(0, w)) AS k FROM t),
+r AS (SELECT *, greatest(1 - abs((k - centre + 0.5) / reach), 0) AS raw FROM k
+  WHERE k >= greatest(floor(centre - reach + 0.5), 0) AND k < least(floor(centre + reach + 0.5), w)),
+n AS (SELECT *, raw / sum(raw) OVER (PARTITION BY vec_id, tx) AS weight, (x0 + k) - 14 * floor((x0 + k) / 14.0) AS inside FROM r),
+v AS (SELECT vec_id, unnest(range(0, 64)) AS i, unnest(embedding)::DOUBLE AS e FROM embeddings)
+SELECT vec_id, w AS crop_width, {sql_stable('any_value(share)', 6)} AS padded_fraction, any_value(share) > 0.25 AS excessive_padding,
+  CAST(i // 8 * {CROP_TARGET} + tx AS INT) AS pos, {sql_stable('sum(weight * e)', 5)} AS x
+FROM n JOIN v USING (vec_id) WHERE i % 8 = CASE WHEN inside < 8 THEN inside ELSE 14 - inside END GROUP BY vec_id, w, i // 8, tx"""
+
+
 # ---- landmarks ------------------------------------------------------------------------
 
 def _landmarks(spark, sf_dir):
@@ -246,6 +274,7 @@ QUERIES = {
     "footprint_samples": (footprint_samples, f"""WITH {FOOTPRINT_SQL}, r AS (SELECT *, unnest(range(first_x, last_x + 1)) AS sample_x FROM prints)
         SELECT p_partkey, sample_x - first_x + 1 AS sample_rank, sample_x, {sql_stable('(sample_x - c) * s', 6)} AS "offset", abs((sample_x - c) * s) <= 0.05 + 1e-10 AS inside FROM r"""),
     "crop_geometry": (crop_geometry, CROP_SQL),
+    "reflected_crop": (reflected_crop, REFLECTED_SQL),
     "similarity_fit": (similarity_fit, f"WITH {LANDMARKS_SQL}, {SIMILARITY_SQL} SELECT case_id, n, {_COEF_SQL} FROM sim"),
     "affine_fit": (affine_fit, f"WITH {LANDMARKS_SQL}, {AFFINE_SQL} SELECT case_id, n, {_COEF_SQL} FROM aff"),
     "registration_error": (registration_error, REGISTRATION_SQL),

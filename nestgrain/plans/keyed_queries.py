@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 from ..functions import arrays as ar
 from ..functions.numeric import stable
 from ..operators import contracts as ct
+from ..operators import geometry as ge
 from ..operators import joins as jn
+from ..operators import ordered as od
 from ..operators import pooling as po
 from ..operators import similarity as si
+from ..sources import binary as bn
 from .common import sql_stable, table
 
 FIVE = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag"]
@@ -105,7 +108,67 @@ def _pool_sql(feature: str) -> str:
         {sql_stable(f'avg({feature}_s)', 5)} AS {feature}__within_sd"""
 
 
+def content_key_join(spark, sf_dir):
+    """Documents with a manifest row each, found by id and content hash together: a row of another content is no partner."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))
+    content = F.sha2(F.col("text").cast("binary"), 256)
+    manifest = docs.select("doc_id", content.alias("sha256"), F.octet_length("text").cast("bigint").alias("bytes"))
+    joined = ct.contract_join(docs.select("doc_id", "lang", content.alias("sha256")), manifest, ["doc_id", "sha256"], "one_to_one", complete=True)
+    return joined.groupBy("lang").agg(F.count("bytes").alias("matched"), F.sum("bytes").alias("bytes"), F.min("sha256").alias("first_hash"))
+
+
+def domain_gates(spark, sf_dir):
+    """Row count and value domains proven before the counts are handed on."""
+    lines = table(spark, sf_dir, "lineitem")
+    per_order = lines.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n")).first()[0]
+    ct.require_rows(lines, per_order, "lineitem")
+    ct.require_domain(lines, "l_returnflag", ["A", "N", "R"], "lineitem")
+    ct.require_domain(lines, "l_linestatus", ["F", "O"], "lineitem")
+    return lines.groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"))
+
+
+def curve_semantics(spark, sf_dir):
+    """Curve rules on the rasters' rows as curves: whole numbers, inside the image, in order, missing or negative."""
+    e = table(spark, sf_dir, "embeddings")
+    row = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda c: F.struct(c.alias("curve"), F.transform(
+        F.slice("embedding", c * 8 + 1, 8), lambda x: F.when(x > -0.25, F.rint(x.cast("double") * 20 + c * 6) + F.when(x > 0.3, 0.5).otherwise(0.0))).alias("values")))
+    curves = e.select(F.col("label").cast("string").alias("path"), F.col("vec_id").alias("scan"), F.explode(row).alias("r"))
+    return bn.curve_checks(curves.select("path", "scan", "r.curve", F.col("r.values").alias("values")), 30)
+
+
+CURVE_SQL = """WITH e AS (SELECT label, vec_id, unnest(range(0, 40)) AS k, unnest(embedding[1:40]) AS x FROM embeddings),
+s AS (SELECT CAST(label AS VARCHAR) AS path, vec_id, CAST(k // 8 AS INT) AS curve, k % 8 AS col,
+  CASE WHEN x > -0.25 THEN round_even(x::DOUBLE * 20 + k // 8 * 6, 0) + CASE WHEN x > 0.3 THEN 0.5 ELSE 0 END END AS v FROM e),
+m AS (SELECT *, coalesce(v >= 0 AND v < 30, false) AS ok FROM s)
+SELECT a.path, a.curve, count(*) AS n, count(*) FILTER (a.v IS NULL) AS missing, count(*) FILTER (a.v < 0) AS negative,
+  count(*) FILTER (a.v >= 0 AND a.v <> round_even(a.v, 0)) AS non_integer, count(*) FILTER (a.v >= 30) AS outside,
+  count(*) FILTER (a.ok AND b.ok AND b.v < a.v) AS order_violations
+FROM m a LEFT JOIN m b ON a.vec_id = b.vec_id AND a.path = b.path AND b.curve = a.curve + 1 AND a.col = b.col GROUP BY 1, 2"""
+
+
+def best_and_second(spark, sf_dir):
+    """Every customer's dearest order and its margin over the next one."""
+    return od.best_and_second(table(spark, sf_dir, "orders"), ["o_custkey"], ["o_orderkey"], "o_totalprice").select(
+        "o_custkey", "o_orderkey", "best_score", stable(F.col("score_margin"), 3).alias("score_margin"))
+
+
+def boxed_points(spark, sf_dir):
+    """Points inside a closed box and inside half-open image bounds, by group."""
+    p = table(spark, sf_dir, "lineitem").select("l_returnflag", F.col("l_quantity").alias("x"), (F.col("l_discount") * 100).alias("y"))
+    box = ge.inside_box(F.col("x"), F.col("y"), F.lit(10.0), F.lit(2.0), F.lit(30.0), F.lit(6.0))
+    image = ge.inside_image(F.col("x"), F.col("y"), F.lit(30), F.lit(6))
+    return p.groupBy("l_returnflag").agg(F.count_if(box).alias("in_box"), F.count_if(image).alias("in_image"), F.count(F.lit(1)).alias("n"))
+
+
 QUERIES = {
+    "content_key_join": (content_key_join, """WITH d AS (SELECT lang, sha256(coalesce(text, '')) AS h, octet_length(encode(coalesce(text, ''))) AS b FROM documents)
+        SELECT lang, count(*) AS matched, CAST(sum(b) AS BIGINT) AS bytes, min(h) AS first_hash FROM d GROUP BY 1"""),
+    "domain_gates": (domain_gates, "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY 1, 2"),
+    "curve_semantics": (curve_semantics, CURVE_SQL),
+    "best_and_second": (best_and_second, f"""WITH r AS (SELECT *, row_number() OVER w AS k, lead(o_totalprice) OVER w AS next FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey))
+        SELECT o_custkey, o_orderkey, o_totalprice AS best_score, {sql_stable('o_totalprice - next', 3)} AS score_margin FROM r WHERE k = 1"""),
+    "boxed_points": (boxed_points, """SELECT l_returnflag, count(*) FILTER (l_quantity BETWEEN 10 AND 30 AND l_discount * 100 BETWEEN 2 AND 6) AS in_box,
+        count(*) FILTER (l_quantity >= 0 AND l_quantity < 30 AND l_discount * 100 >= 0 AND l_discount * 100 < 6) AS in_image, count(*) AS n FROM lineitem GROUP BY 1"""),
     "five_key_join": (five_key_join, f"""
         WITH l AS (SELECT {', '.join(FIVE)}, sum(l_quantity) AS quantity FROM lineitem GROUP BY ALL),
         r AS (SELECT {', '.join(FIVE)}, sum(l_extendedprice) AS price FROM lineitem WHERE l_tax > 0 GROUP BY ALL)

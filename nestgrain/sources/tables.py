@@ -71,10 +71,14 @@ def list_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
 
 
 def file_manifest(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """(name, bytes, sha256) of every file, named by its path below ``root`` and hashed by the tasks that read them."""
+    """(name, bytes, sha256) of every file, named by its path below ``root`` and hashed by the tasks that read them.
+
+    Spark's file reader passes over files without a byte; they are not listed.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(root)
     below = root.split("://")[-1].rstrip("/") + "/"
-    name = F.expr(f"substring(path, instr(path, '{below}') + {len(below)})")
+    start = F.instr("path", below) + F.lit(len(below))
+    name = F.col("path").substr(start, F.length("path"))
     return files.select(
         name.alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
@@ -151,6 +155,14 @@ def release_scan(texts: DataFrame, key: str, text: str, patterns: dict[str, str]
     return texts.select(key, F.explode(hits).alias("pattern"))
 
 
+def forbidden_files(files: DataFrame, path: str, suffixes: list[str], names: list[str]) -> DataFrame:
+    """(path, rule) of files that a release may not hold: ``suffix`` by their last suffix, whatever its case, ``name`` by their whole name."""
+    last = F.element_at(F.split(F.col(path), "/"), -1)
+    suffix = F.lower(F.regexp_extract(last, r".(\.[^.]*)$", 1))
+    rules = F.array_compact(F.array(F.when(suffix.isin(*suffixes), F.lit("suffix")), F.when(last.isin(*names), F.lit("name"))))
+    return files.select(F.col(path).alias("path"), F.explode(rules).alias("rule"))
+
+
 def safe_extract(archive: str | Path, destination: str | Path) -> list[str]:
     """Unpack a small control archive on the driver; members may not leave the destination."""
     with zipfile.ZipFile(archive) as handle:

@@ -177,3 +177,25 @@ def test_crop_columns(spark):
     assert got[0] == (-3, 7, 3, 0, True)
     assert got[1][:2] == (-450, 550) and got[1][4]
     assert got[2][1] - got[2][0] == 3
+
+
+def test_reflected_crop(spark):
+    """Against numpy's reflection; unresized it is exact, resized columns are the triangle filter's weighted means."""
+    raster = np.arange(24.0).reshape(3, 8) ** 2
+    cases = [(-3, 6, 6), (5, 9, 9), (-20, 5, 5), (0, 8, 3), (2, 4, 7), (-2, 12, 4), (30, 3, 3)]
+    for x0, width, target in cases:
+        df = spark.createDataFrame([(raster.ravel().tolist(), x0, width)], "v array<double>, x0 int, w int")
+        got = np.array(df.select(ar.reflected_crop(F.col("v"), 8, F.col("x0"), F.col("w"), target)).first()[0]).reshape(3, target)
+        wide = np.pad(raster, ((0, 0), (40, 40)), mode="reflect")[:, 40 + x0 : 40 + x0 + width]
+        reach = max(width / target, 1.0)
+        want = np.empty((3, target))
+        for t in range(target):
+            centre = (t + 0.5) * width / target
+            k = np.arange(max(0, int(np.floor(centre - reach + 0.5))), min(width, int(np.floor(centre + reach + 0.5))))
+            w = np.maximum(1 - np.abs((k - centre + 0.5) / reach), 0)
+            want[:, t] = wide[:, k] @ (w / w.sum())
+        assert np.allclose(got, want)
+        if width == target:
+            assert np.allclose(got, wide)
+    odd = spark.createDataFrame([([1.0, 2.0, 3.0], 0, 3), ([], 0, 3), (None, 0, 3)], "v array<double>, x0 int, w int")
+    assert [r[0] for r in odd.select(ar.reflected_crop(F.col("v"), 8, F.col("x0"), F.col("w"), 3)).collect()] == [None] * 3

@@ -249,3 +249,17 @@ def test_content_digest_sees_values_not_order(spark):
     assert stage.content_digest(a) == stage.content_digest(a.orderBy("k", ascending=False))
     assert stage.content_digest(a) != stage.content_digest(a.withColumn("k", F.col("k") + 1))
     assert stage.content_digest(a) != stage.content_digest(a.union(a))
+
+
+def test_manifest_of_odd_folders_and_forbidden_files(spark, tmp_path):
+    import hashlib
+
+    folder = tmp_path / "o'k \" %20" / "in"
+    folder.mkdir(parents=True)
+    (folder / "a.txt").write_bytes(b"one")
+    (folder / "b'c.TXT").write_bytes(b"2")
+    got = {r["name"]: (r["bytes"], r["sha256"]) for r in tables.file_manifest(spark, str(tmp_path / "o'k \" %20")).collect()}
+    assert got == {"in/a.txt": (3, hashlib.sha256(b"one").hexdigest()), "in/b'c.TXT": (1, hashlib.sha256(b"2").hexdigest())}
+    files = spark.createDataFrame([("x/a.PT",), ("x.pt/readme",), (".pt",), ("y/panel.png",), ("z/a.tar.pt",), ("plain",)], "f string")
+    found = {tuple(r) for r in tables.forbidden_files(files, "f", [".pt"], ["panel.png"]).collect()}
+    assert found == {("x/a.PT", "suffix"), ("y/panel.png", "name"), ("z/a.tar.pt", "suffix")}
