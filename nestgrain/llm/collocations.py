@@ -193,7 +193,9 @@ def frequent_phrases(texts: DataFrame, max_words: int, min_count: int) -> tuple[
     """(lang, phrase, f) of all phrases with f >= min_count, and (lang, n) with all words; ``texts`` has lang and text, no nulls."""
     streams, totals, bits = [], None, None
     for length in range(1, max_words + 1):
-        counted = texts.mapInArrow(_counted(length, bits), "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
+        # tasks hand on each phrase once or twice, so a hash table before the shuffle would only fill memory
+        counted = texts.mapInArrow(_counted(length, bits), "lang string, phrase string, n long").repartition("lang", "phrase")
+        counted = counted.groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
         counted = materialise(counted.where((F.col("f") >= min_count) | F.col("phrase").isNull()))
         if totals is None:
             totals = counted.where("phrase IS NULL").select("lang", F.col("f").alias("n"))
