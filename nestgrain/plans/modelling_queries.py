@@ -73,6 +73,13 @@ def component_diagnostics(spark, sf_dir):
     return _run(spark, sf_dir, PRIMARY).components
 
 
+def component_trace(spark, sf_dir):
+    """All components of a standardised training set share out its whole variance."""
+    model = mo.Ladder("image_ridge", "ridge", (), IMAGE, (len(IMAGE),), (1.0, 10.0))
+    parts = _run(spark, sf_dir, [model]).components
+    return parts.groupBy("outer_fold").agg(F.count(F.lit(1)).alias("components"), stable(F.sum("explained_ratio"), 6).alias("total"), stable(F.max("cumulative_ratio"), 6).alias("last"))
+
+
 def _forest(rows):
     return mo.forest_predictions(
         rows, ["vec_id"], "participant", "fold", "x", "y", trees=FOREST_TREES, feature_share="sqrt",
@@ -129,20 +136,24 @@ SELECT model, fold, {sql_stable(_VALUES['mae'])} AS mae, {sql_stable(_VALUES['rm
 
 
 def standardised_by_fold(spark, sf_dir):
-    """Train-fold means and population SDs for each held-out fold, from per-fold sums."""
+    """Train-fold means and population SDs for each held-out fold, from the folds' own central moments."""
     l = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 5 + 1).cast("int").alias("fold"), F.col("l_extendedprice").alias("x"))
-    per = l.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"))
-    from pyspark.sql import Window
-
-    every = Window.partitionBy(F.lit(0))  # five rows
-    n, s, q = (F.sum(c).over(every) - F.col(c) for c in ("n", "s", "q"))
-    out = per.select("fold", n.alias("n_train"), (s / n).alias("mean"), F.sqrt(q / n - (s / n) * (s / n)).alias("sd"))
+    per = l.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("m"), (F.count("x") * F.var_pop("x")).alias("q"))
+    # pairs of folds: five times four rows
+    other = per.select(F.col("fold").alias("held"))
+    pairs = per.join(other, F.col("fold") != F.col("held"))
+    means = pairs.groupBy("held").agg(F.sum("n").alias("n_train"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("mean"))
+    away = F.col("m") - F.col("mean")
+    spread = pairs.join(means, "held").groupBy("held", "n_train", "mean").agg(F.sqrt(F.sum(F.col("q") + F.col("n") * away * away) / F.col("n_train")).alias("sd"))
+    out = spread.withColumnRenamed("held", "fold")
     return out.select("fold", "n_train", stable(F.col("mean"), 4).alias("mean"), stable(F.col("sd"), 4).alias("sd"))
 
 
 QUERIES = {
     "primary_ladder": (primary_ladder, None),
     "primary_tuning": (primary_tuning, None),
+    "component_trace": (component_trace, f"""SELECT DISTINCT CAST(vec_id % 22 % 5 + 1 AS INT) AS outer_fold, 64::BIGINT AS components,
+        {sql_stable('1.0::DOUBLE', 6)} AS total, {sql_stable('1.0::DOUBLE', 6)} AS last FROM embeddings"""),
     "component_diagnostics": (component_diagnostics, None),
     "secondary_ladder": (secondary_ladder, None),
     "forest_ladder": (forest_ladder, None),

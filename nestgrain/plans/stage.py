@@ -16,7 +16,7 @@ from pathlib import Path
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.contracts import GateError
@@ -48,13 +48,24 @@ def listing_digest(spark: SparkSession, path: str) -> str:
     return f"{total['n']}:{total['s']}"
 
 
+def _row_sums(df: DataFrame) -> list[Column]:
+    columns = [F.to_json(f"`{name}`") if "map<" in kind else F.col(f"`{name}`") for name, kind in df.dtypes]
+    return [F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*columns).cast("decimal(38,0)")).alias("s")]
+
+
 def content_digest(df: DataFrame) -> str:
     """Order-free digest of all rows: their number and the exact sum of their 64-bit hashes."""
-    columns = [F.to_json(f"`{name}`") if "map<" in kind else F.col(f"`{name}`") for name, kind in df.dtypes]
-    found = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*columns).cast("decimal(38,0)")).alias("s")).first()
+    found = df.agg(*_row_sums(df)).first()
     return f"{found['n']}:{found['s']}"
 
 
+def write_observed(df: DataFrame, path: str) -> str:
+    """Writes ``df`` and returns its content digest, taken from the rows as they pass: nothing is read a second time."""
+    seen = Observation()
+    df.observe(seen, *_row_sums(df)).write.mode("overwrite").parquet(path)
+    return f"{seen.get['n']}:{seen.get['s']}"
+
+
 class StageStore:
     """Run a stage once per fingerprint: ``auto`` reuses or builds, ``reuse`` must find it, ``rebuild`` always builds.
 
@@ -117,7 +128,7 @@ class StageStore:
                 raise GateError(f"stage {stage} has no reusable output for this fingerprint")
         # a folder per fingerprint: readers of an older version are never disturbed
         folder = f"{stage}-{mark[:16]}"
-        build().write.mode("overwrite").parquet(f"{self.root}/{folder}")
+        content = write_observed(build(), f"{self.root}/{folder}")
         df = self.spark.read.parquet(f"{self.root}/{folder}")
         checks = gate(df) if gate else {}
         failed = [name for name, passed in checks.items() if not passed]
@@ -125,7 +136,7 @@ class StageStore:
             raise GateError(f"{stage} failed: {failed}")
         self._write_control(f"{stage}.json", {
             "stage": stage, "fingerprint": mark, "folder": folder, "listing": listing_digest(self.spark, f"{self.root}/{folder}"),
-            "content": content_digest(df), "checks": checks})
+            "content": content, "checks": checks})
         self.records.append({"stage": stage, "action": "built", "fingerprint": mark, "checks": checks})
         return df
 

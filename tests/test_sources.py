@@ -263,3 +263,21 @@ def test_manifest_of_odd_folders_and_forbidden_files(spark, tmp_path):
     files = spark.createDataFrame([("x/a.PT",), ("x.pt/readme",), (".pt",), ("y/panel.png",), ("z/a.tar.pt",), ("plain",)], "f string")
     found = {tuple(r) for r in tables.forbidden_files(files, "f", [".pt"], ["panel.png"]).collect()}
     assert found == {("x/a.PT", "suffix"), ("y/panel.png", "name"), ("z/a.tar.pt", "suffix")}
+
+
+def test_a_stage_reads_its_source_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def looked_at(value):
+        seen.add(1)
+        return value
+
+    store = stage.StageStore(spark, tmp_path / "store")
+    rows = spark.createDataFrame([(k, {"a": k}) for k in range(50)] + [(None, None)], "v long, m map<string,int>").repartition(4)
+    build = lambda: rows.withColumn("v", looked_at("v"))
+    built = store.run("one", "mark", build)
+    assert seen.value == 51 and built.count() == 51
+    again = stage.StageStore(spark, tmp_path / "store").run("one", "mark", build)
+    assert seen.value == 51 and again.count() == 51
+    assert stage.content_digest(again) == stage.content_digest(rows)
