@@ -25,6 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialise
+
 # Field names of the ARC header lines by version.
 ARC_FIELDS = {
     b"1": ("url", "ip", "date", "mime", "length"),
@@ -37,7 +39,7 @@ ARC_TITLES = {
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 CONTAINER_BYTES = 2 << 20
-FILE_RECORDS = 20_000
+FILE_RECORDS, FILE_BYTES = 20_000, 256 << 20  # records and payload bytes of one WARC file
 CRAWLED = "20000101000000"
 
 CONVERTED = "page_id long, url string, ip string, date string, head binary, payload binary, payload_bytes long, payload_digest string, record_id string"
@@ -97,6 +99,15 @@ def arc_containers(pages: DataFrame, date: str = CRAWLED) -> DataFrame:
     return rows.mapInArrow(_arc_rows(date), "name string, content binary")
 
 
+# Header lines as found in old archives: the address and the type may hold spaces, so fields are taken by their form,
+# the later ones from the right.
+_FRONT = rb"(?P<url>.*) (?P<ip>[0-9A-Fa-f.:]+) (?P<date>\d{4,14}) (?P<mime>.*)"
+ARC_LINES = {
+    b"1": re.compile(_FRONT + rb" (?P<length>\d+)", re.S),
+    b"2": re.compile(_FRONT + rb" (?P<status>\d{1,3}|-) (?P<checksum>\S+) (?P<location>.*) (?P<offset>\d+|-) (?P<filename>\S+) (?P<length>\d+)", re.S),
+}
+
+
 def parse_arc(content: bytes) -> Iterator[tuple[dict[str, bytes], bytes]]:
     """(header fields, body) of every record but the leading file description, by declared lengths."""
     at, version = 0, None
@@ -104,12 +115,11 @@ def parse_arc(content: bytes) -> Iterator[tuple[dict[str, bytes], bytes]]:
         end = content.find(b"\n", at)
         if end < 0:
             raise ValueError(f"ARC header line at byte {at} is not closed")
-        values = content[at:end].rstrip(b"\r").split(b" ")
-        names = ARC_FIELDS[version or b"1"]
-        if len(values) != len(names) or not values[-1].isdigit():
-            raise ValueError(f"ARC header line at byte {at} does not have the {len(names)} fields of its version")
-        fields = dict(zip(names, values))
-        start, length = end + 1, int(values[-1])
+        found = ARC_LINES[version or b"1"].fullmatch(content[at:end].rstrip(b"\r"))
+        if not found:
+            raise ValueError(f"ARC header line at byte {at} does not have the fields of its version")
+        fields = found.groupdict()
+        start, length = end + 1, int(fields["length"])
         if start + length > len(content):
             raise ValueError(f"ARC record at byte {at} declares more bytes than there are")
         body = content[start : start + length]
@@ -124,6 +134,12 @@ def parse_arc(content: bytes) -> Iterator[tuple[dict[str, bytes], bytes]]:
             at += 1
 
 
+def warc_date(date: str) -> str:
+    """A WARC time stamp of the digits of an ARC date; what a short one leaves out is the earliest it can be."""
+    full = date + "00000101000000"[len(date) :]
+    return f"{full[:4]}-{full[4:6]}-{full[6:8]}T{full[8:10]}:{full[10:12]}:{full[12:14]}Z"
+
+
 def header(head: bytes, name: bytes) -> bytes | None:
     found = re.search(rb"(?im)^" + re.escape(name) + rb":[ \t]*(.*?)[ \t]*\r?$", head)
     return found.group(1) if found else None
@@ -137,8 +153,7 @@ def _converted_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 cut = body.find(b"\r\n\r\n") + 4 if body.startswith(b"HTTP/") and b"\r\n\r\n" in body else 0
                 head, payload = body[:cut], body[cut:]
                 page = header(head, b"X-Page-Id")
-                date = fields["date"].decode()
-                stamp = f"{date[:4]}-{date[4:6]}-{date[6:8]}T{date[8:10]}:{date[10:12]}:{date[12:14]}Z"
+                stamp = warc_date(fields["date"].decode())
                 record = uuid.uuid5(uuid.NAMESPACE_URL, f"{name}#{number}")
                 rows.append((int(page) if page else None, fields["url"].decode("utf-8", "replace"), fields["ip"].decode(), stamp, head, payload,
                              len(payload), base32_sha1(payload), f"<urn:uuid:{record}>"))
@@ -150,7 +165,11 @@ def _converted_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def convert_arc(containers: DataFrame) -> DataFrame:
-    """One row per ARC record with the synthesised WARC fields. Damaged containers raise an error."""
+    """One row per ARC record with the synthesised WARC fields. Damaged containers raise an error.
+
+    Containers without records, and no containers, give no rows; equal containers of one name
+    give records with equal ids; columns beside name and content play no part.
+    """
     return containers.select("name", "content").mapInArrow(_converted_rows, CONVERTED)
 
 
@@ -159,10 +178,16 @@ def write_warc(records: DataFrame, path: str, least_bytes: int = 0) -> None:
 
     Payloads below ``least_bytes`` are all responses. Records without a page id count as
     smallest. Equal records with the winning id are all responses; only ids tell records apart.
+    A file holds ``FILE_BYTES`` of payload on average, and at most ``FILE_RECORDS`` records.
     """
-    won = records.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest", "payload_bytes").agg(
+    narrow = materialise(records.select("record_id", "page_id", "payload_bytes", "payload_digest"))
+    won = narrow.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest", "payload_bytes").agg(
         F.max("page_id").alias("best"), F.max_by("record_id", F.coalesce("page_id", F.lit(-(1 << 63)))).alias("best_record"))
-    both = records.join(won, ["payload_digest", "payload_bytes"], "left")
+    # payloads meet their verdicts by record, never by a digest that many pages share
+    verdicts = narrow.join(won, ["payload_digest", "payload_bytes"]).select("record_id", "best", "best_record").distinct()
+    both = records.join(verdicts, "record_id", "left")
+    mean = narrow.agg(F.avg("payload_bytes")).first()[0] or 0
+    per_file = int(min(FILE_RECORDS, max(1, FILE_BYTES // max(mean, 1))))
     revisit = F.col("best").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("best"))
     block = F.concat("head", F.when(revisit, F.lit(b"")).otherwise(F.col("payload")))
     sha1 = F.sha1(block)  # hex; WARC wants base 32, five characters of hex are four of base 32
@@ -181,7 +206,7 @@ def write_warc(records: DataFrame, path: str, least_bytes: int = 0) -> None:
     top = F.concat_ws("\r\n", *lines)
     record = F.concat(top.cast("binary"), block).cast("string")  # a cast keeps the bytes as they are
     (both.select(record.alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip")
-     .option("maxRecordsPerFile", FILE_RECORDS).text(path))
+     .option("maxRecordsPerFile", per_file).text(path))
 
 
 def parse_warc(chunks: Iterator[bytes]) -> Iterator[tuple[bytes, bytes]]:
@@ -249,7 +274,7 @@ def _warc_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_warc(spark, path: str) -> DataFrame:
-    """One row per record of the files under ``path``; digests of responses are checked while reading."""
+    """One row per record of the files under ``path``; digests of responses are checked while reading. No files, no rows."""
     files = spark.read.format("binaryFile").load(path).select("content")
     rows = files.mapInArrow(_warc_rows, "page_id long, payload_bytes long, payload_digest string, record_type string, record_id string, refers_to_record string")
     return rows

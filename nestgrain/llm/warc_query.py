@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, materialise
 from .common import table
 from .warc import arc_containers, convert_arc, read_warc, write_warc
 
@@ -30,8 +30,12 @@ def pages_through_warc(spark: SparkSession, pages: DataFrame) -> DataFrame:
     path = f"{spark.sparkContext.getCheckpointDir()}/warc-{uuid.uuid4().hex}"
     write_warc(convert_arc(arc_containers(pages)), path)
     rows = read_warc(spark, path)
-    responses = rows.where("record_type = 'response'").select(F.col("record_id").alias("refers_to_record"), F.col("page_id").alias("refers_to"))
-    return rows.join(responses, "refers_to_record", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    rows = materialise(rows)  # inflated once, read as responses, as revisits and as what those refer to
+    responses = rows.where("record_type = 'response'")
+    known = responses.select(F.col("record_id").alias("refers_to_record"), F.col("page_id").alias("refers_to")).distinct()
+    revisits = rows.where("record_type <> 'response'").join(known, "refers_to_record", "left")
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    return responses.withColumn("refers_to", F.lit(None).cast("long")).select(*columns).unionByName(revisits.select(*columns))
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,11 +35,24 @@ def test_arc_versions_and_damage():
         content = warc.arc_record(b"1", b"filedesc://x", b"text/plain", about, warc.CRAWLED, b"x") + warc.arc_record(version, b"http://u", b"text/html", body, "19990203040506", b"x")
         ((fields, got),) = warc.parse_arc(content)
         assert got == body and fields["date"] == b"19990203040506" and len(fields) == len(warc.ARC_FIELDS[version])
-        for bad in (content[:-4], content.replace(b"text/html", b"text html"), content[50:]):
+        for bad in (content[:-4], content.replace(b" 19990203040506 ", b" 1999x "), content[50:]):
             with pytest.raises(ValueError):
                 list(warc.parse_arc(bad))
 
 
+def test_arc_lines_as_found():
+    """Spaces in addresses and types, and short dates."""
+    line = b"http://a/b c 1.2.3.4 d 127.0.0.1 199902030405 text/html; charset=utf-8 2"
+    for version, tail in ((b"1", b""), (b"2", b" 200 AB= - 77 x.arc")):
+        about = version + b" 0 x\n" + warc.ARC_TITLES[version] + b"\n"
+        top = warc.arc_record(b"1", b"filedesc://x", b"text/plain", about, warc.CRAWLED, b"x")
+        body = line[: -2] + tail + b" 2\r\nhi\n" if tail else line + b"\nhi\n"
+        ((fields, got),) = warc.parse_arc(top + body)
+        assert got == b"hi" and fields["url"] == b"http://a/b c 1.2.3.4 d" and fields["mime"] == b"text/html; charset=utf-8"
+        assert warc.warc_date(fields["date"].decode()) == "1999-02-03T04:05:00Z"
+    assert warc.warc_date("1999") == "1999-01-01T00:00:00Z" and warc.warc_date("19990203040506") == "1999-02-03T04:05:06Z"
+
+
 def test_warc_files_are_valid(spark, tmp_path):
     pages = spark.createDataFrame([(1, "http://a", "one"), (2, "http://b", "one")], "page_id long, url string, html string")
     path = str(tmp_path / uuid.uuid4().hex)
