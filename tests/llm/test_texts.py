@@ -306,10 +306,69 @@ def test_licenses(docs_of):
     assert got[6].labels == "copyright,reserved" and got[0].labels == "cc-by,cc-by-nc"
 
 
+def read(text):
+    data = text.lower().encode()
+    return licenses.TextWords(data, np.array([m.start() for m in licenses.WORDS.finditer(data)], np.int64))
+
+
+NOTICES = [
+    ("Copyright (c) 2019 The Regents of the University of California. All rights reserved.", {"copyright"}),
+    ("Copyright notice here.\n\nIn another paragraph: all rights reserved", set()),
+    ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
+     "the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", {"gpl"}),
+    ("under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; version 2.1.", {"lgpl"}),
+    ("the GNU Affero General Public License as published by the Free Software Foundation, either version 3", {"agpl"}),
+    ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the "
+     "above copyright notice and this permission notice appear in all copies.", {"isc"}),
+    ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", {"mpl-2.0"}),
+    ("licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", {"cc-by-sa"}),
+    ("a Creative Commons Attribution 4.0 International License.", {"cc-by"}),
+    ("Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License", {"cc-by-nc-nd"}),
+    ("Eclipse Public License v. 2.0; this is free and unencumbered software released into the public domain", {"epl-2.0", "unlicense"}),
+    ("Boost Software License - Version 1.0", {"bsl-1.0"}),
+    ("Permission is hereby granted, free of charge, to any body obtaining", set()),
+]
+
+
+def test_notices_get_their_own_labels():
+    library = licenses.Library()
+    for text, want in NOTICES:
+        data = text.lower().encode()
+        _, matches = library.find(data, read(text).starts)
+        assert {label for *_, label in matches} == want, text
+    assert len({label for label, _ in licenses.TEMPLATES}) >= 20
+
+
+def test_whole_licenses_are_told_apart():
+    bsd = ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n"
+           "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n\n"
+           "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+           "documentation and/or other materials provided with the distribution.\n\n")
+    third = "3. Neither the name of the Big Acme Holding Company of Somewhere nor its makers may be used to endorse or promote products derived from this software without specific prior written permission."
+    library = licenses.Library()
+    for text, want in ((bsd, {"bsd", "bsd-2-clause"}), (bsd + third, {"bsd", "bsd-2-clause", "bsd-3-clause"}), (bsd.replace("retain", "keep"), {"bsd"})):
+        assert {x for *_, x in library.find(text.lower().encode(), read(text).starts)[1]} == want
+
+
+def test_automata_against_a_naive_matcher():
+    """Every accepted end on random texts, against a regular expression made of the template."""
+    rng = random.Random(4)
+    template = "start <<opt>> a <<num>> <</opt>> <<var>> end <<opt>> <<any>> b <</opt>> stop"
+    pattern = re.compile(r"start( a \d+)?( [a-z0-9]+)+ end( [a-z0-9]+ b)? stop")
+    automaton = licenses.compiled("x", template)
+    seen = 0
+    for _ in range(4000):
+        w = ["start"] + rng.choices(["a", "b", "7", "end", "stop", "q"], k=rng.randint(1, 9))
+        ends = [k for k in range(1, len(w) + 1) if pattern.fullmatch(" ".join(w[:k]))]
+        assert automaton.longest(read(" ".join(w)), 0) == (max(ends) if ends else None), w
+        seen += bool(ends)
+    assert seen > 100
+
+
 def test_template_regions():
-    a = licenses.compiled("x", "start <<opt>> a <<opt>> b <</opt>> <</opt>> <<var 2>> end")
+    a = licenses.compiled("x", "start <<opt>> a <<opt>> b <</opt>> <</opt>> <<var:2>> end")
     for text, want in (("start q end", 3), ("start a b q r end", 6), ("start end", None), ("start a b q r s end", None), ("start a end", 3)):
-        assert a.longest(text.encode().split(), 0) == want, text
+        assert a.longest(read(text), 0) == want, text
     with pytest.raises(ValueError):
         licenses.compiled("x", "<<opt>> a <</opt>> b")
 
