@@ -17,6 +17,7 @@ from ..session import broadcast_rows, is_at_most, largest_group, materialise, sp
 from .geometry import project_to_segment
 
 ARRAY_SEGMENTS = 512
+CELL_SEGMENTS, MOST_QUARTERINGS = 64, 16  # middles in a cell before it is quartered, and how often
 
 
 def _ranked(hits: Column, k: int) -> Column:
@@ -84,7 +85,13 @@ def _by_array(points, segments, case, xy, index, ends, k) -> DataFrame:
     return points.join(lines, case).withColumn("__best", _ranked(hits, k)).drop("__lines")
 
 
-def _by_grid(points, segments, case, point_id, xy, index, ends, k) -> DataFrame:
+def grid_frame(points: DataFrame, segments: DataFrame, case: list[str], xy: tuple[str, str], ends: tuple[str, str, str, str]) -> DataFrame:
+    """(case, __cell, __ox, __oy, __levels): the finest grid of each case and how many coarser ones span it.
+
+    The cell starts at the case's width over the root of its segments. Clumps and far outliers crowd
+    such cells, so where a cell holds more than ``CELL_SEGMENTS`` middles, by count, the case's cells
+    are quartered, again until none does or cells are a sixteenth of a segment.
+    """
     ax, ay, bx, by = (F.col(e) for e in ends)
     boxes = segments.groupBy(*case).agg(
         F.count(F.lit(1)).alias("__n"),
@@ -97,12 +104,27 @@ def _by_grid(points, segments, case, point_id, xy, index, ends, k) -> DataFrame:
     )
     frame = boxes.join(reach, case)
     width = F.greatest(F.greatest("__x1", "__px1") - F.least("__x0", "__px0"), F.greatest("__y1", "__py1") - F.least("__y0", "__py0"))
-    cell = F.greatest(width / F.sqrt("__n"), F.col("__len") / 16, F.lit(1e-9))
-    frame = frame.select(
-        *case, cell.alias("__cell"), F.least("__x0", "__px0").alias("__ox"), F.least("__y0", "__py0").alias("__oy"),
-        (F.ceil(F.log2(F.greatest(width / cell, F.lit(1.0))) / 2) + 1).alias("__levels"),
-    )
-    frame = materialise(frame)
+    least = F.greatest(F.col("__len") / 16, F.lit(1e-9))
+    frame = materialise(frame.select(
+        *case, width.alias("__width"), least.alias("__least"), F.greatest(width / F.sqrt("__n"), least).alias("__cell"),
+        F.least("__x0", "__px0").alias("__ox"), F.least("__y0", "__py0").alias("__oy")))
+    middles = segments.select(*case, ((ax + bx) / 2).alias("__mx"), ((ay + by) / 2).alias("__my"))
+    for _ in range(MOST_QUARTERINGS):
+        at = middles.join(frame, case).where(F.col("__cell") > F.col("__least"))
+        cells = at.groupBy(*case, F.floor((F.col("__mx") - F.col("__ox")) / F.col("__cell")), F.floor((F.col("__my") - F.col("__oy")) / F.col("__cell"))).count()
+        full = cells.where(F.col("count") > CELL_SEGMENTS).select(*case).distinct().withColumn("__full", F.lit(True))
+        finer = materialise(frame.join(full, case, "left"))
+        if finer.where("__full").isEmpty():
+            break
+        cell = F.when(F.col("__full"), F.greatest(F.col("__cell") / 4, F.col("__least"))).otherwise(F.col("__cell"))
+        frame = finer.withColumn("__cell", cell).drop("__full")
+    levels = F.ceil(F.log2(F.greatest(F.col("__width") / F.col("__cell"), F.lit(1.0))) / 2) + 1
+    return materialise(frame.select(*case, "__cell", "__ox", "__oy", levels.alias("__levels")))
+
+
+def _by_grid(points, segments, case, point_id, xy, index, ends, k) -> DataFrame:
+    ax, ay, bx, by = (F.col(e) for e in ends)
+    frame = grid_frame(points, segments, case, xy, ends)
     top = int(frame.agg(F.max("__levels")).first()[0] or 0)
     pending = materialise(points.join(frame, case))
     lines = segments.join(frame.select(*case, "__cell", "__ox", "__oy"), case)

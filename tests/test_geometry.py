@@ -115,3 +115,26 @@ def test_spacing(spark):
                                "case int, scan int, ax double, ay double, bx double, by double")
     row = ge.scan_spacing(df, ["case"], "scan", ("ax", "ay", "bx", "by")).first()
     assert (row["min_spacing"], row["median_spacing"], row["max_spacing"], row["area_y1"]) == (1.0, 2.0, 3.0, 6.0)
+
+
+def test_clumps_and_far_points_do_not_crowd_a_cell(spark):
+    """One far segment and point beside a dense clump: cells stay small, answers are those of brute force."""
+    rng = np.random.default_rng(7)
+    n = 4000
+    a = rng.uniform(0, 1, (n, 2))
+    b = a + rng.normal(0, 0.002, (n, 2))
+    a[0], b[0] = (1e6, 1e6), (1e6, 1e6 + 1)
+    p = rng.uniform(0, 1, (300, 2))
+    p[0] = (1e6, 0)
+    segments = spark.createDataFrame([(1, k, *map(float, (*a[k], *b[k]))) for k in range(n)], "c int, s int, ax double, ay double, bx double, by double")
+    points = spark.createDataFrame([(1, k, *map(float, p[k])) for k in range(300)], "c int, p int, x double, y double")
+    frame = nearest.grid_frame(points, segments, ["c"], ("x", "y"), ("ax", "ay", "bx", "by")).first()
+    middle = np.floor(((a + b) / 2 - [frame["__ox"], frame["__oy"]]) / frame["__cell"])
+    assert np.unique(middle, axis=0, return_counts=True)[1].max() <= nearest.CELL_SEGMENTS
+    got = nearest.nearest_segments(points, segments, ["c"], ["p"], ("x", "y"), "s", ("ax", "ay", "bx", "by"), 3, array_limit=10).toPandas()
+    d = b - a
+    t = np.clip(((p[:, None] - a) * d).sum(2) / (d * d).sum(1), 0, 1)
+    distance = np.linalg.norm(p[:, None] - (a + t[..., None] * d), axis=2)
+    for k, part in got.groupby("p"):
+        assert part.sort_values("rank").s.tolist() == np.lexsort((np.arange(n), distance[k]))[:3].tolist()
+    assert len(got) == 900
