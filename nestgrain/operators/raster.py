@@ -1,37 +1,20 @@
-"""Raster rules: palette ranges and marker grids.
-
-Spark partitions the rasters; each row's pixels are handled by small numpy helpers
-inside ``mapInPandas``. Rasters travel as (height, width, array<double>) rows.
-"""
+"""Raster rules: palette ranges and the positions of a fitted test grid."""
 
 from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from ..session import largest_group
-from .contracts import GateError
 
-# Three-ring test grid, marker thresholds.
+# The three rings of the test grid.
 RING_SCALES = (0.2, 0.6, 1.0)
 MARKERS_PER_RING = 12
-OUTER_RADIUS_RANGE = (132.0, 148.0)
-RESIDUAL_CAP = 12.0
-RETAINED_SHARE = 0.9
-RETAINED_MINIMUM = 20
-MARKER_DIFFERENCE = 40
-MARKER_AREA = (8, 25)
-MARKER_BOX = 5
 
 
 def palette_range(red: Column, green: Column, blue: Column) -> tuple[Column, Column]:
     """Lowest and highest label value a marker colour allows."""
-    rules = [
+    rules = [  # fixed values
         (F.greatest(red, green, blue) <= 12, -1, -1), ((blue >= 40) & (blue > green), 0, 4),
         ((red >= 220) & (green < 50), 5, 9), ((red >= 200) & (green >= 50), 10, 25), ((green >= 180) & (red < 200), 24, 36),
     ]
@@ -41,143 +24,6 @@ def palette_range(red: Column, green: Column, blue: Column) -> tuple[Column, Col
     return low, high
 
 
-# ---- numpy helpers -----------------------------------------------------------------
-
-def disk_offsets(radius: int) -> np.ndarray:
-    """Integer (dx, dy) with dx^2 + dy^2 <= radius^2."""
-    span = np.arange(-radius, radius + 1)
-    dx, dy = np.meshgrid(span, span)
-    inside = dx * dx + dy * dy <= radius * radius
-    return np.column_stack([dx[inside], dy[inside]])
-
-
-def _shifted(mask: np.ndarray, dx: int, dy: int) -> np.ndarray:
-    """mask moved so that entry (y, x) shows mask[y + dy, x + dx]; outside counts as False."""
-    out = np.zeros_like(mask)
-    h, w = mask.shape
-    ys, xs = slice(max(0, -dy), min(h, h - dy)), slice(max(0, -dx), min(w, w - dx))
-    yt, xt = slice(max(0, dy), min(h, h + dy)), slice(max(0, dx), min(w, w + dx))
-    out[ys, xs] = mask[yt, xt]
-    return out
-
-
-def erode(mask: np.ndarray, radius: int) -> np.ndarray:
-    out = mask.copy()
-    for dx, dy in disk_offsets(radius):
-        out &= _shifted(mask, int(dx), int(dy))
-    return out
-
-
-def components(mask: np.ndarray) -> np.ndarray:
-    """Label image of 4-connected components: minimum-label spreading until stable."""
-    labels = np.where(mask, np.arange(1, mask.size + 1).reshape(mask.shape), 0)
-    while True:
-        big = np.where(labels > 0, labels, np.iinfo(labels.dtype).max)
-        best = big.copy()
-        best[1:] = np.minimum(best[1:], big[:-1])
-        best[:-1] = np.minimum(best[:-1], big[1:])
-        best[:, 1:] = np.minimum(best[:, 1:], big[:, :-1])
-        best[:, :-1] = np.minimum(best[:, :-1], big[:, 1:])
-        updated = np.where(mask, best, 0)
-        if (updated == labels).all():
-            return labels
-        labels = updated
-
-
-def marker_centres(difference: np.ndarray) -> np.ndarray:
-    """Centroids (x, y) of small round components of a thresholded, eroded difference image."""
-    labels = components(erode(difference >= MARKER_DIFFERENCE, 4))
-    found = []
-    for label in np.unique(labels[labels > 0]):
-        y, x = np.nonzero(labels == label)
-        box = max(np.ptp(x), np.ptp(y)) + 1
-        if MARKER_AREA[0] <= len(x) <= MARKER_AREA[1] and box <= MARKER_BOX:
-            found.append((x.mean(), y.mean()))
-    return np.asarray(found, dtype=float).reshape(-1, 2)
-
-
-def _grid_losses(points: np.ndarray, cx: np.ndarray, cy: np.ndarray, radius: np.ndarray) -> np.ndarray:
-    """Trimmed squared ring residual for every (cx, cy, radius) combination."""
-    distance = np.hypot(points[:, 0] - cx[:, None, None], points[:, 1] - cy[None, :, None])
-    rings = radius[:, None] * np.asarray(RING_SCALES)
-    gap = np.abs(distance[:, :, None, :, None] - rings[None, None, :, None, :]).min(axis=-1)
-    keep = max(RETAINED_MINIMUM, int(points.shape[0] * RETAINED_SHARE))
-    kept = np.sort(np.minimum(gap, RESIDUAL_CAP), axis=-1)[..., :keep]
-    return (kept**2).mean(axis=-1)
-
-
-def fit_grid(points: np.ndarray) -> tuple[float, float, float, float]:
-    """(loss, centre x, centre y, outer radius): coarse search around the median, then a fine one.
-
-    Equal losses go to the smallest (x, y, radius).
-    """
-    x0, y0 = np.median(points, axis=0)
-    best = (math.inf, float(x0), float(y0), 140.0)
-
-    def search(cx: np.ndarray, cy: np.ndarray, radius: np.ndarray, best: tuple) -> tuple:
-        loss = _grid_losses(points, cx, cy, radius)
-        i, j, k = np.unravel_index(loss.argmin(), loss.shape)  # C order visits x, then y, then radius
-        return min(best, (float(loss[i, j, k]), float(cx[i]), float(cy[j]), float(radius[k])))
-
-    low, high = OUTER_RADIUS_RANGE
-    best = search(np.arange(x0 - 30.0, x0 + 30.1, 2.0), np.arange(y0 - 30.0, y0 + 30.1, 2.0), np.arange(low, high + 0.1, 1.0), best)
-    _, x, y, r = best
-    return search(np.arange(x - 2.0, x + 2.01, 0.5), np.arange(y - 2.0, y + 2.01, 0.5), np.arange(r - 1.0, r + 1.01, 0.25), best)
-
-
-def grid_phase(points: np.ndarray, cx: float, cy: float, radius: float) -> float:
-    """Angle of the grid spoke nearest to straight up, from the 12-fold mean direction of on-ring points."""
-    away = np.hypot(points[:, 0] - cx, points[:, 1] - cy)
-    on_ring = np.abs(away[:, None] - radius * np.asarray(RING_SCALES)).min(axis=1) <= 7.0
-    if on_ring.sum() < 8:
-        return math.nan
-    angle = np.arctan2(points[on_ring, 1] - cy, points[on_ring, 0] - cx)
-    phase = math.atan2(np.sin(MARKERS_PER_RING * angle).mean(), np.cos(MARKERS_PER_RING * angle).mean()) / MARKERS_PER_RING
-    spokes = phase + np.arange(MARKERS_PER_RING) * 2 * math.pi / MARKERS_PER_RING
-    offset = np.abs(np.arctan2(np.sin(spokes + math.pi / 2), np.cos(spokes + math.pi / 2)))
-    return float(spokes[offset.argmin()])
-
-
-# ---- Spark operators -----------------------------------------------------------------
-
-def _image(row_pixels, height: int, width: int) -> np.ndarray:
-    return np.asarray(row_pixels, dtype=float).reshape(int(height), int(width))
-
-
-def detect_markers(df: DataFrame, keys: list[str], clean: str = "clean", overlay: str = "overlay") -> DataFrame:
-    """One row per marker candidate (x, y) found in the clean/overlay difference of each raster pair."""
-    schema = T.StructType([df.schema[k] for k in keys] + [T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
-
-    def run(batches):
-        for pdf in batches:
-            for row in pdf.to_dict("records"):
-                gap = np.abs(_image(row[overlay], row["height"], row["width"]) - _image(row[clean], row["height"], row["width"]))
-                found = marker_centres(gap)
-                yield pd.DataFrame({**{k: [row[k]] * len(found) for k in keys}, "x": found[:, 0], "y": found[:, 1]})
-
-    return df.select(*dict.fromkeys([*keys, "height", "width", clean, overlay])).mapInPandas(run, schema)
-
-
-def fit_marker_grids(markers: DataFrame, case: list[str], limit: int = 2000) -> DataFrame:
-    """Centre, outer radius and base angle of the three-ring grid per case.
-
-    A case is one examination's markers, so its size is a contract and is checked.
-    """
-    if largest_group(markers, case) > limit:
-        raise GateError(f"more than {limit} marker candidates in one case")
-    fields = [markers.schema[k] for k in case] + [
-        T.StructField(n, T.DoubleType()) for n in ("loss", "centre_x", "centre_y", "outer_radius", "base_angle")]
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        points = pdf.sort_values(["x", "y"])[["x", "y"]].to_numpy(float)
-        middle = np.median(points, axis=0)
-        near = points[np.hypot(*(points - middle).T) <= 190.0]
-        loss, x, y, r = fit_grid(near)
-        return pd.DataFrame([[*(pdf[k].iloc[0] for k in case), loss, x, y, r, grid_phase(near, x, y, r)]], columns=[f.name for f in fields])
-
-    return markers.groupBy(*case).applyInPandas(fit, T.StructType(fields))
-
-
 def grid_locations(fits: DataFrame, case: list[str]) -> DataFrame:
     """The 37 expected positions of each fitted grid: three rings of twelve and the centre."""
     rings = F.array(*[

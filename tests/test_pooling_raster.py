@@ -137,31 +137,14 @@ def test_array_functions(spark):
     assert row["k"] == [3.0, 4.0] and row["dot"] == x @ x
 
 
-def test_markers(spark):
-    clean = np.zeros((80, 90))
-    overlay = clean.copy()
-    yy, xx = np.mgrid[:80, :90]
-    for cx, cy in ((20, 30), (60, 50)):
-        overlay[(xx - cx) ** 2 + (yy - cy) ** 2 <= 36] = 255
-    overlay[5:9, 70:74] = 255  # too small to survive erosion
-    overlay[60:79, 5:40] = 255  # too large
-    df = spark.createDataFrame([("c", 80, 90, clean.ravel().tolist(), overlay.ravel().tolist())], "case_id string, height int, width int, clean array<double>, overlay array<double>")
-    got = ra.detect_markers(df, ["case_id"]).toPandas()
-    assert sorted(zip(got.x, got.y)) == [(20.0, 30.0), (60.0, 50.0)]
-    assert len(ra.disk_offsets(5)) == 81
-
-
-def test_grid_fit(spark):
-    cx, cy, r = 401.0, 377.5, 141.25
-    spots = [(cx + r * s * math.cos(0.2 + i * math.pi / 6), cy + r * s * math.sin(0.2 + i * math.pi / 6)) for s in ra.RING_SCALES for i in range(12)]
-    noisy = spots[:-3] + [(cx + 60, cy + 90), (cx + 500, cy)]
-    df = spark.createDataFrame([("c", float(x), float(y)) for x, y in noisy], "case_id string, x double, y double")
-    fit = ra.fit_marker_grids(df, ["case_id"]).first()
-    assert abs(fit["centre_x"] - cx) <= 0.5 and abs(fit["centre_y"] - cy) <= 0.5 and abs(fit["outer_radius"] - r) <= 0.5
-    assert abs(math.remainder(fit["base_angle"] - 0.2, math.pi / 6)) < 0.02 and abs(math.remainder(fit["base_angle"] + math.pi / 2, 2 * math.pi)) <= math.pi / 12 + 1e-9
-    assert ra.grid_locations(ra.fit_marker_grids(df, ["case_id"]), ["case_id"]).count() == 37
-    with pytest.raises(ct.GateError):
-        ra.fit_marker_grids(df, ["case_id"], limit=5)
+def test_grid_locations(spark):
+    fits = spark.createDataFrame([("c", 401.0, 377.5, 141.25, 0.2)], "case_id string, centre_x double, centre_y double, outer_radius double, base_angle double")
+    got = ra.grid_locations(fits, ["case_id"]).collect()
+    assert len(got) == 37
+    for r in got:
+        scale = {"inner": 0.2, "middle": 0.6, "outer": 1.0, "centre": 0.0}[r["ring"]]
+        angle = 0.2 + r["angle_index"] * math.pi / 6
+        assert np.isclose(r["x"], 401 + 141.25 * scale * math.cos(angle)) and np.isclose(r["y"], 377.5 + 141.25 * scale * math.sin(angle))
 
 
 def test_summaries_take_finite_values_only(spark):
