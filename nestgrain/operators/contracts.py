@@ -120,7 +120,7 @@ def non_finite_rows(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def border_audit(borders: DataFrame, index: str, start: str, stop: str) -> DataFrame:
-    """Half-open borders: zero start, positive spans, each stop equal to the next start."""
+    """Half-open borders: zero start, positive spans, each stop equal to the next start. The result's names are fixed values."""
     nxt = borders.select((F.col(index) - 1).alias("__i"), F.col(start).alias("__next"))
     paired = borders.join(nxt, borders[index] == nxt["__i"], "left")
     return paired.agg(

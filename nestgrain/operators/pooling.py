@@ -153,7 +153,7 @@ def interval_thickness(values: Column, scale_um: Column, height: Column) -> tupl
 
     thickness = F.transform(
         pairs(values), lambda p: F.when(in_image(p["a"]) & in_image(p["b"]) & (p["b"] >= p["a"]), (p["b"] - p["a"]) * scale_um))
-    reason = (
+    reason = (  # fixed values: the reason texts
         F.when(~F.forall(values, in_image), F.lit("negative_or_missing_boundary_sentinel"))
         .when(F.exists(pairs(values), lambda p: p["b"] < p["a"]), F.lit("locally_crossed_boundary_pair"))
         .otherwise(F.lit(""))

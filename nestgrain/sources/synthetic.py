@@ -62,7 +62,7 @@ def synthetic_cohort(spark: SparkSession, config: CohortConfig = CohortConfig())
 
     points = points.withColumns({
         "retinal_thickness": layer("thickness", THICKNESS), "reflectivity": layer("reflectivity", REFLECTIVITY), "roughness": layer("roughness", ROUGHNESS)})
-    latent = (
+    latent = (  # fixed values: the coefficients of the response
         8.0 + 0.13 * F.col("retinal_thickness") + 11.0 * F.col("reflectivity") - 0.75 * F.col("roughness") - 5.0 * F.col("eccentricity")
         + PARTICIPANT_SD * normal(s, "participant", p) + EYE_SD * normal(s, "eye", p, v, e) - F.col("progression")
         + NOISE_SD * normal(s, "noise", p, v, e, F.col("k")))
