@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +29,7 @@ from ..session import ensure_checkpoint_dir
 MARKER = "▁"
 BLOCK_BYTES = 16 << 20  # text numbered together; a longer text is a block of its own
 OWNED_BYTES = 64 << 20  # text bytes for each task that segments chunks
-PARTS = "block long, owner int, doc_id long, codes binary, chunks string"
+PARTS = "block long, owner int, doc_ids array<long>, codes binary, chunks binary"
 
 
 def load_model(model_path: str):
@@ -91,6 +92,17 @@ def _long(short: bytes) -> np.ndarray:
     return np.frombuffer(plain, "<u4")
 
 
+def _squeezed(data: bytes, width: int = 1) -> bytes:
+    """Compressed, with the bytes of ``width``-byte numbers apart by place."""
+    planes = np.frombuffer(data, np.uint8).reshape(-1, width).T.tobytes()
+    return zstandard.ZstdCompressor(level=3).compress(planes)
+
+
+def _opened(data: bytes, width: int = 1) -> bytes:
+    planes = zstandard.ZstdDecompressor().decompress(data)
+    return np.frombuffer(planes, np.uint8).reshape(width, -1).T.tobytes()
+
+
 class _Numbered(dict):
     """Chunk to its number, in order of first sight."""
 
@@ -100,7 +112,7 @@ class _Numbered(dict):
 
 
 def _split(owners: int):
-    """Rows of two kinds: a document as chunk numbers (owner null), and the chunks of a block that one owner segments."""
+    """Rows of two kinds: a block's documents as chunk numbers (owner null), and the chunks of it that one owner segments."""
 
     def block_rows(block: int, ids: list, coded: list, known: _Numbered) -> pa.RecordBatch:
         codes = np.concatenate(coded).astype(np.int64)
@@ -113,13 +125,14 @@ def _split(owners: int):
             numbers, chunks = shares.setdefault(xxhash.xxh3_64_intdigest(names[at]) % owners, ([], []))
             numbers.append(number)
             chunks.append(names[at])
-        short = [_short(rank[c]) for c in coded] + [_short(np.diff(n, prepend=0)) for n, _ in shares.values()]
-        rows = len(short)
+        lengths = np.array([len(c) for c in coded], "<u4")
+        docs = np.concatenate([lengths, rank[codes].astype("<u4")])
+        rows = 1 + len(shares)
         return pa.RecordBatch.from_arrays([
-            pa.array([block] * rows, pa.int64()), pa.array([None] * len(ids) + list(shares), pa.int32()),
-            pa.array(ids + [None] * len(shares), pa.int64()), pa.array(short, pa.binary()),
-            pa.array([None] * len(ids) + [" ".join(c) for _, c in shares.values()], pa.string())],
-            ["block", "owner", "doc_id", "codes", "chunks"])
+            pa.array([block] * rows, pa.int64()), pa.array([None, *shares], pa.int32()), pa.array([ids] + [None] * len(shares), pa.list_(pa.int64())),
+            pa.array([_squeezed(docs.tobytes(), 4)] + [_short(np.diff(n, prepend=0)) for n, _ in shares.values()], pa.binary()),
+            pa.array([None] + [_squeezed(" ".join(c).encode()) for _, c in shares.values()], pa.binary())],
+            ["block", "owner", "doc_ids", "codes", "chunks"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
@@ -151,7 +164,7 @@ def _segmented(model_path: str):
             for block, own, codes, chunks in zip(*(batch.column(c).to_pylist() for c in ("block", "owner", "codes", "chunks"))):
                 if own != owner:
                     owner, known = own, {"": _packed([model.piece_to_id(MARKER)], top)}
-                keys = chunks.split(" ")
+                keys = _opened(chunks).decode().split(" ")
                 new = [k for k in keys if k not in known]
                 for key, ids in zip(new, model.encode(new, num_threads=1)):
                     known[key] = _packed(ids, top)
@@ -159,7 +172,7 @@ def _segmented(model_path: str):
                 out["block"].append(block)
                 out["codes"].append(codes)
                 out["lengths"].append(_short(np.array([len(f) for f in found])))
-                out["ids"].append(b"".join(found))
+                out["ids"].append(_squeezed(b"".join(found), 2 if top <= 65535 else 4))
             yield pa.RecordBatch.from_arrays([pa.array(out["block"], pa.int64())] + [pa.array(out[c], pa.binary()) for c in ("codes", "lengths", "ids")], list(out))
 
     return run
@@ -174,7 +187,7 @@ def _joined(model_path: str, keep: bool):
         wide = 2 if top <= 65535 else 4
         ids_of: dict[int, bytes] = {}
         for codes, lengths, ids in zip(*(table.column(c).to_pylist() for c in ("codes", "lengths", "ids"))):
-            at = 0
+            at, ids = 0, _opened(ids, 2 if top <= 65535 else 4)
             for code, length in zip(np.cumsum(_long(codes)).tolist(), _long(lengths).tolist()):
                 ids_of[code] = ids[at : at + length]
                 at += length
@@ -184,8 +197,11 @@ def _joined(model_path: str, keep: bool):
         text_of = {c: t[1:] for c, t in zip(order, texts)}
         first, last = _packed([model.bos_id()], top), _packed([model.eos_id()], top)
         out = {k: [] for k in ("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded")}
-        for doc_id, codes in zip(docs.column("doc_id").to_pylist(), docs.column("codes").to_pylist()):
-            numbers = _long(codes).tolist()
+        doc_ids = docs.column("doc_ids")[0].as_py()
+        both = np.frombuffer(_opened(docs.column("codes")[0].as_py(), 4), "<u4")
+        ends = len(doc_ids) + np.cumsum(both[: len(doc_ids)], dtype=np.int64)
+        for doc_id, low, high in zip(doc_ids, [len(doc_ids), *ends[:-1].tolist()], ends.tolist()):
+            numbers = both[low:high].tolist()
             ids = first + b"".join(map(ids_of.__getitem__, numbers)) + last
             full = np.frombuffer(ids, np.uint16 if wide == 2 else np.uint32).astype("<u4").tobytes()
             decoded = "".join(map(text_of.__getitem__, numbers))[1:]
@@ -222,6 +238,6 @@ def encoded(docs: DataFrame, model_path: str, keep: bool = False) -> DataFrame:
     chunks = parts.where("owner IS NOT NULL").select("block", "owner", "codes", "chunks")
     table = chunks.repartition(owners, "owner").sortWithinPartitions("owner").mapInArrow(
         _segmented(model_path), "block long, codes binary, lengths binary, ids binary")
-    texts = parts.where("owner IS NULL").select("block", "doc_id", "codes")
+    texts = parts.where("owner IS NULL").select("block", "doc_ids", "codes")
     return texts.groupBy("block").cogroup(table.groupBy("block")).applyInArrow(
         _joined(model_path, keep), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids binary, decoded string")
