@@ -281,6 +281,15 @@ def test_secret_scan(docs_of):
     assert clean[91].text == texts[91] and clean[900].text is None and docs.columns == list(clean[90].asDict())
 
 
+def test_secret_counts(docs_of):
+    """Counts are by kind, not by place among a text's spans."""
+    both, other = "AKIA" + "B7" * 8 + " ", "0f" * 20 + " "
+    texts = [other, both, "token=abcdefgh ", other + both + other, "token=abcdefgh " * 3 + other + both * 2, "", None]
+    got = {r.doc_id: (r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in credentials.digest(credentials.scan(docs_of(list(enumerate(texts))))).collect()}
+    counts = [(0, 0, 1), (0, 1, 0), (1, 0, 0), (0, 1, 2), (3, 2, 1), (0, 0, 0), (0, 0, 0)]
+    assert got == {i: (*n, base_by_contract(t or "")) for i, (t, n) in enumerate(zip(texts, counts))}
+
+
 def test_automaton_learns_a_format():
     rng = random.Random(2)
     values = ["".join(rng.choices("0123456789abcdef", k=40)) for _ in range(80)]
