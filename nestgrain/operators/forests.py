@@ -3,7 +3,8 @@
 Features are binned once into bytes. A level of every tree of every forest (outer fold, inner
 fold, leaf size) that has nodes above ``NODE_ROWS`` rows is one keyed aggregation of histograms,
 and only the chosen splits come back. A node at or below that size is grown to its leaves by one
-task, a block of trees at once when the whole table is that small. Depth limits cost nothing: a
+task. A table at or below it goes whole to a fixed number of tasks, which share out all trees, so
+what is shuffled grows with the table and not with the trees. Depth limits cost nothing: a
 shallow forest is the deep one cut at its depth, because every node's features and every tree's
 rows follow from hashes of (seed, tree, node) and (seed, tree, row) alone.
 
@@ -24,9 +25,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BINS, MISSING = 64, 255
-NODE_ROWS = 100_000  # rows of a node that one task grows alone
-TREE_BLOCK = 125  # trees of a block
-SAMPLES = 100_000  # (tree, row) pairs held at once within a block
+NODE_ROWS, NODE_BYTES, ROW_BYTES = 100_000, 128 << 20, 64  # a node that one task grows alone: these rows, or as many as fit these bytes
+SHARES = 4  # tasks a core that share out the trees of a table that fits one
+SAMPLES = 100_000  # (tree, row) pairs held at once
+NODES = 512  # nodes whose histograms are held at once
+CHUNK_ROWS = 10_000  # rows of a table packed into one record
 U64 = np.uint64
 BAG = np.cumsum([0.36787944117144233 / f for f in (1, 1, 2, 6, 24, 120, 720, 5040, 40320)])  # Poisson with mean 1
 
@@ -99,6 +102,22 @@ def best_splits(hist: np.ndarray, leaf: int) -> tuple[np.ndarray, np.ndarray, np
     return best // (BINS - 1), best % (BINS - 1), worth
 
 
+def node_splits(node: np.ndarray, rows: np.ndarray, bins: np.ndarray, w: np.ndarray, y: np.ndarray, tried: np.ndarray, leaf: int) -> tuple:
+    """``best_splits`` of all nodes from the drawn (node, row) pairs, some nodes at a time."""
+    if len(tried) <= NODES:
+        return best_splits(histograms(node, bins[rows[:, None], tried[node]], w, y[rows], len(tried)), leaf)
+    order = np.argsort(node, kind="stable")
+    firsts = np.arange(0, len(tried), NODES)
+    ends = np.append(np.searchsorted(node[order], firsts), len(node))
+    found = []
+    for first, low, high in zip(firsts.tolist(), ends[:-1], ends[1:]):
+        at = order[low:high]
+        some = tried[first : first + NODES]
+        own = node[at] - first
+        found.append(best_splits(histograms(own, bins[rows[at][:, None], some[own]], w[at], y[rows[at]], len(some)), leaf))
+    return tuple(np.concatenate(part) for part in zip(*found))
+
+
 def grow(data: dict, forest: Forest, shape: Shape, roots: np.ndarray, weights: np.ndarray, depth: int) -> np.ndarray:
     """(held-out rows, cuts): sums of leaf values over these trees, grown level by level from nodes at ``depth``.
 
@@ -116,9 +135,7 @@ def grow(data: dict, forest: Forest, shape: Shape, roots: np.ndarray, weights: n
         mass = np.bincount(node[drawn], w[drawn], len(nodes))
         value = np.bincount(node[drawn], w[drawn] * y[rows[drawn]], len(nodes)) / np.maximum(mass, 1)
         tried = node_features(nodes, shape.features, shape.tried)
-        own = rows[drawn]
-        hist = histograms(node[drawn], bins[own[:, None], tried[node[drawn]]], w[drawn], y[own], len(nodes))
-        slot, last, splits = best_splits(hist, forest.leaf)
+        slot, last, splits = node_splits(node[drawn], rows[drawn], bins, w[drawn], y, tried, forest.leaf)
         splits &= depth < max(limits)
         at = place[rows[out]]
         for c, limit in enumerate(limits):
@@ -280,20 +297,76 @@ def grow_tops(rows: DataFrame, forests: list[Forest], shape: Shape, node_rows: i
     return tops
 
 
+# ---- tables that one task holds ----------------------------------------------------------------
+
+PACKED = {"id": np.int64, "turn": U64, "y": np.float64, "outer": np.int32, "inner": np.int32, "bins": np.uint8}
+
+
+def _shared_out(rows: DataFrame, forests: list[Forest], shape: Shape, names: list[str]) -> DataFrame:
+    """(forest, id, sums): every task gets the whole table, packed, and an even run of all trees in order."""
+    trees = [(f, t) for f in forests for t in range(f.trees)]
+    tasks = min(len(trees), SHARES * rows.sparkSession.sparkContext.defaultParallelism)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        data = _partition(batches, shape.features)
+        for low in range(0, len(data["id"]) if data else 0, CHUNK_ROWS):
+            parts = [np.ascontiguousarray(data[name][low : low + CHUNK_ROWS], kind).tobytes() for name, kind in PACKED.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.binary()) for part in parts], list(PACKED))
+
+    def grown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[str, list] = {name: [] for name in PACKED}
+        for batch in batches:
+            task = batch.column("task")[0].as_py()
+            for name, kind in PACKED.items():
+                parts[name] += [np.frombuffer(v.as_buffer(), kind) for v in batch.column(name)]
+        if not parts["id"]:
+            return
+        data = {name: np.concatenate(part) for name, part in parts.items()}
+        data |= {"inner": data["inner"].reshape(len(data["id"]), -1), "bins": data["bins"].reshape(-1, shape.features)}
+        order = np.lexsort((data["id"], data["turn"]))  # sums in one order, however rows arrive
+        data = {name: part[order] for name, part in data.items()}
+        own: dict[int, list[int]] = {}
+        for f, t in trees[len(trees) * task // tasks : len(trees) * (task + 1) // tasks]:
+            own.setdefault(f.number, []).append(t)
+        for f in forests:
+            train, held = _roles(data, f)
+            part = np.flatnonzero(train | held)
+            if f.number not in own or not held.any():
+                continue
+            mine = {"bins": _filled(data["bins"][part], shape.fills.get((f.outer, f.left_out), {})), "y": data["y"][part], "held": held[part]}
+            sums, step = np.zeros((int(held.sum()), len(shape.cuts))), max(1, SAMPLES // len(part))
+            for low in range(0, len(own[f.number]), step):
+                roots = tree_roots(f, np.array(own[f.number][low : low + step]))
+                weights = np.where(mine["held"][None, :], 0, bag(data["turn"][part], roots))
+                sums += grow(mine, f, shape, roots, weights, 0)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([f.number] * len(sums), pa.int32()), pa.array(data["id"][held]), *[pa.array(sums[:, c].copy()) for c in range(len(names))]],
+                ["forest", "id", *names])
+
+    packed = rows.select("__id", "__turn", "__y", "__outer", "__inner", "__bins").mapInArrow(pack, ", ".join(f"{name} binary" for name in PACKED))
+    every = packed.withColumn("task", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1)))).repartitionById(tasks, F.col("task"))
+    return every.mapInArrow(grown, "forest int, id long, " + ", ".join(f"{p} double" for p in names))
+
+
 # ---- nodes that one task grows ---------------------------------------------------------------
 
-def held_out_means(rows: DataFrame, forests: list[Forest], shape: Shape, add_up, node_rows: int = NODE_ROWS) -> DataFrame:
+def held_out_means(rows: DataFrame, forests: list[Forest], shape: Shape, add_up, node_rows: int | None = None) -> DataFrame:
     """(forest, id, p0, p1, ...): forest means of every row held out of a forest, one column a cut.
 
     ``rows`` is stored and has __id, __turn, __y (around the overall mean), __outer (position), __inner and __bins.
     """
     n = rows.count()
-    tops = grow_tops(rows, forests, shape, node_rows, n, add_up)
-    context = rows.sparkSession.sparkContext
-    shared = context.broadcast(tops)
-    block = 1 if tops else TREE_BLOCK
-    limits = [np.inf if c is None else c for c in shape.cuts]
+    node_rows = node_rows or max(NODE_ROWS, NODE_BYTES // (shape.features + ROW_BYTES))
     names = [f"p{c}" for c in range(len(shape.cuts))]
+    out = _shared_out(rows, forests, shape, names) if n <= node_rows else _dealt(rows, forests, shape, names, grow_tops(rows, forests, shape, node_rows, n, add_up))
+    count = F.create_map(*[F.lit(v) for f in forests for v in (f.number, float(f.trees))])
+    return out.groupBy("forest", "id").agg(*[F.sum(p).alias(p) for p in names]).select("forest", "id", *[(F.col(p) / F.element_at(count, F.col("forest"))).alias(p) for p in names])
+
+
+def _dealt(rows: DataFrame, forests: list[Forest], shape: Shape, names: list[str], tops: dict) -> DataFrame:
+    """(forest, id, sums) of a table beyond one task: every tree's rows are dealt by the node of its known top they reach."""
+    shared = rows.sparkSession.sparkContext.broadcast(tops)
+    limits = [np.inf if c is None else c for c in shape.cuts]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, known = _partition(batches, shape.features), shared.value
@@ -305,19 +378,17 @@ def held_out_means(rows: DataFrame, forests: list[Forest], shape: Shape, add_up,
             bins = _filled(data["bins"][part], shape.fills.get((f.outer, f.left_out), {}))
             packed = [r.tobytes() for r in bins]
             roots = tree_roots(f, np.arange(f.trees))
-            for first in range(0, f.trees, block):
-                keep, node, depth, early = np.arange(len(part)), np.zeros(len(part), U64), np.zeros(len(part), int), None
-                if known:
-                    top = known[f.number, first]
-                    node, depth, met = _reached(top, int(roots[first]), bins, len(part))
-                    ended = np.isin(node, np.array([k for k, v in top.items() if v[0] < 0], U64))
-                    keep = np.flatnonzero(held[part] | ((bag(data["turn"][part], roots[first : first + 1])[0] > 0) & ~ended))
-                    early = np.full((len(part), len(limits)), np.nan)
-                    for c, limit in enumerate(limits):
-                        for d, value in enumerate(met):
-                            due = (depth > d) & (limit == d) | ended & (depth == d) & (limit >= d)
-                            early[due, c] = value[due]
-                lists = pa.array([None] * len(keep), pa.list_(pa.float64())) if early is None else pa.array(early[keep].tolist(), pa.list_(pa.float64()))
+            for first in range(f.trees):
+                top = known[f.number, first]
+                node, depth, met = _reached(top, int(roots[first]), bins, len(part))
+                ended = np.isin(node, np.array([k for k, v in top.items() if v[0] < 0], U64))
+                keep = np.flatnonzero(held[part] | ((bag(data["turn"][part], roots[first : first + 1])[0] > 0) & ~ended))
+                early = np.full((len(part), len(limits)), np.nan)
+                for c, limit in enumerate(limits):
+                    for d, value in enumerate(met):
+                        due = (depth > d) & (limit == d) | ended & (depth == d) & (limit >= d)
+                        early[due, c] = value[due]
+                lists = pa.array(early[keep].tolist(), pa.list_(pa.float64()))
                 for low in range(0, len(keep), 10_000):
                     some = keep[low : low + 10_000]
                     rows_ = part[some]
@@ -334,21 +405,14 @@ def held_out_means(rows: DataFrame, forests: list[Forest], shape: Shape, add_up,
         held = table.column("held").to_numpy()
         data = {"bins": np.frombuffer(b"".join(table.column("bins").to_pylist()), np.uint8).reshape(-1, shape.features), "y": table.column("y").to_numpy(), "held": held}
         turns = table.column("turn").to_numpy().view(U64)
-        sums = np.zeros((int(held.sum()), len(limits)))
-        trees = np.arange(first, min(first + block, f.trees))
-        step = max(1, SAMPLES // max(len(held), 1))
-        for low in range(0, len(trees) if len(sums) else 0, step):
-            roots = tree_roots(f, trees[low : low + step])
-            weights = np.where(held[None, :], 0, bag(turns, roots))
-            sums += grow(data, f, shape, roots if block > 1 else np.array([node], np.int64).view(U64) if node else roots, weights, depth)
-        if block == 1:
-            early = np.array([e if e is not None else [np.nan] * len(limits) for e, h in zip(table.column("early").to_pylist(), held) if h]).reshape(-1, len(limits))
-            sums = np.where(np.isnan(early), sums, early)
+        root = np.array([node], np.int64).view(U64)
+        weights = np.where(held[None, :], 0, bag(turns, tree_roots(f, np.array([first]))))
+        sums = grow(data, f, shape, root, weights, depth) if held.any() else np.zeros((0, len(limits)))
+        early = np.array([e if e is not None else [np.nan] * len(limits) for e, h in zip(table.column("early").to_pylist(), held) if h]).reshape(-1, len(limits))
+        sums = np.where(np.isnan(early), sums, early)
         return pa.table({"forest": pa.array([f.number] * len(sums), pa.int32()), "id": table.column("id").filter(pa.array(held)),
                          **{name: pa.array(sums[:, c]) for c, name in enumerate(names)}})
 
     own = ["__id", "__turn", "__y", "__outer", "__inner", "__bins"]
     dealt = rows.select(*own).mapInArrow(deal, "forest int, first int, node long, depth int, id long, turn long, y double, held boolean, bins binary, early array<double>")
-    out = dealt.groupBy("forest", "first", "node", "depth").applyInArrow(grown, "forest int, id long, " + ", ".join(f"{p} double" for p in names))
-    count = F.create_map(*[F.lit(v) for f in forests for v in (f.number, float(f.trees))])
-    return out.groupBy("forest", "id").agg(*[F.sum(p).alias(p) for p in names]).select("forest", "id", *[(F.col(p) / F.element_at(count, F.col("forest"))).alias(p) for p in names])
+    return dealt.groupBy("forest", "first", "node", "depth").applyInArrow(grown, "forest int, id long, " + ", ".join(f"{p} double" for p in names))

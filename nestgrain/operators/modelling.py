@@ -469,7 +469,7 @@ class _Stored:
     folds: dict[int, list[int]]
     few: bool
 
-    def means(self, forests: list[fo.Forest], cuts: tuple, node_rows: int) -> DataFrame:
+    def means(self, forests: list[fo.Forest], cuts: tuple, node_rows: int | None) -> DataFrame:
         shape = fo.Shape(self.features, self.tried, cuts, self.fills)
         return fo.held_out_means(self.rows, forests, shape, lambda df, keys: _sum_arrays(df, keys, self.few), node_rows)
 
@@ -496,7 +496,7 @@ def _stored(df: DataFrame, keys: list[str], x: str, y: str, n_outer: int, inner:
     return _Stored(numbered, features, min(features, max(1, tried)), fills, found["m"], folds, tasks <= FAN_IN)
 
 
-def _tuned(stored: _Stored, candidates: list[tuple[int | None, int]], trees: int, seeds: dict[int, int], node_rows: int) -> dict[int, list]:
+def _tuned(stored: _Stored, candidates: list[tuple[int | None, int]], trees: int, seeds: dict[int, int], node_rows: int | None) -> dict[int, list]:
     """outer position -> (candidate, depth, leaf, mean inner MAE, parameters as JSON) with all limits of depth read off one forest."""
     cuts = tuple(dict.fromkeys(depth for depth, _ in candidates))
     leaves = list(dict.fromkeys(leaf for _, leaf in candidates))
@@ -517,7 +517,7 @@ def _tuned(stored: _Stored, candidates: list[tuple[int | None, int]], trees: int
 def forest_predictions(
     df: DataFrame, keys: list[str], group: str, outer: str, x: str, y: str, trees: int = 250, leaf: int = 8,
     feature_share: str = "0.8", depth: int | None = None, seed: int = 42,
-    candidates: list[tuple[int | None, int]] | None = None, tune_trees: int = 500, inner: int = 4, node_rows: int = fo.NODE_ROWS,
+    candidates: list[tuple[int | None, int]] | None = None, tune_trees: int = 500, inner: int = 4, node_rows: int | None = None,
 ) -> DataFrame:
     """Outer-fold predictions of one random forest; groups never straddle train and test.
 
@@ -546,7 +546,7 @@ def forest_predictions(
 
 def tune_forest(
     df: DataFrame, group: str, x: str, y: str, candidates: list[tuple[int | None, int]], trees: int, inner: int = 4, seed: int = 42,
-    feature_share: str = "sqrt", keys: list[str] | None = None, node_rows: int = fo.NODE_ROWS,
+    feature_share: str = "sqrt", keys: list[str] | None = None, node_rows: int | None = None,
 ) -> DataFrame:
     """Mean grouped inner MAE of each (depth, leaf) candidate; ties go to the sorted JSON of its parameters.
 

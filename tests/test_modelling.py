@@ -280,3 +280,20 @@ def test_reference_width(spark):
         want = y[train].mean() + z @ (z[train].T @ np.linalg.solve(gram, y[train] - y[train].mean()))
         row = found[0, 0, 1, c]
         assert np.allclose(row[0] + x @ row[1:], want)
+
+
+def test_forest_shuffle_does_not_grow_with_trees(spark, data):
+    """A table that fits one task is sent to a fixed number of tasks, however many trees they grow."""
+    stored = stored_rows(data[2])
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def shuffled(trees):
+        before = max(s.stageId() for s in list_of(store))
+        stored.means([fo.Forest(0, 1, 0, 40, trees, 7), fo.Forest(1, 0, 2, 40, trees, 8)], (2,), fo.NODE_ROWS).write.format("noop").mode("overwrite").save()
+        return sum(s.shuffleWriteBytes() for s in list_of(store) if s.stageId() > before)
+
+    def list_of(store):
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+        return [stages.apply(k) for k in range(stages.size())]
+
+    assert shuffled(800) < 2 * shuffled(40)
