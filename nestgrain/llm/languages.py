@@ -8,7 +8,8 @@ training, so the tree can be laid out as one table of exact code lengths for eve
 and symbol, and a text's code length under a language is a sum of table entries.
 
 Symbols are bytes with A-Z folded: the ``ALPHABET - 1`` most frequent bytes of the training
-texts each, all others together (which adds the same length to every language).
+texts each, all others together. Which of the others it is is coded after that symbol, by a
+second tree over all 256 bytes with one byte of context, so every byte counts in every language.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 from .hashing import text_chunks
 
 ORDER, ALPHABET = 3, 36
+REST_ORDER, BYTES = 1, 256
+FIRST_REST = ALPHABET ** (ORDER + 1)  # numbers from here on are (byte before, byte) of the other bytes
 CHUNK = 1 << 19
 
 
@@ -55,18 +58,29 @@ def context_codes(data: np.ndarray, offsets: np.ndarray, symbol: np.ndarray) ->
     return code
 
 
+def rest_codes(data: np.ndarray, offsets: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the bytes without a symbol of their own, and (byte before, byte) of each as one number; before a text comes byte 0."""
+    at = np.flatnonzero(symbol[data] == 0)
+    before = _folded(data[at - 1]).astype(np.int32) if len(at) else np.zeros(0, np.int32)
+    before[np.isin(at, offsets)] = 0
+    return at, before * BYTES + _folded(data[at])
+
+
 def _context_counts(symbol: np.ndarray, languages: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = {name: i for i, name in enumerate(languages)}
-        totals = [np.zeros(ALPHABET ** (ORDER + 1), np.int32) for _ in languages]
+        totals = [np.zeros(FIRST_REST + BYTES**2, np.int64) for _ in languages]
         for batch in batches:
             for low, high, data, offsets in text_chunks(batch.column(1), CHUNK):
                 codes = context_codes(data, offsets, symbol)
                 owner = np.array([number[x] for x in batch.column(0)[low:high].to_pylist()])
                 owner = np.repeat(owner, np.diff(offsets))
+                at, rest = rest_codes(data, offsets, symbol)
                 for i in np.unique(owner):
                     values, n = np.unique(codes[owner == i], return_counts=True)
-                    totals[i][values] += n.astype(np.int32)
+                    totals[i][values] += n
+                    values, n = np.unique(rest[owner[at] == i], return_counts=True)
+                    totals[i][FIRST_REST + values] += n
         for i, name in enumerate(languages):
             at = np.flatnonzero(totals[i])
             for low in range(0, len(at), 100_000):
@@ -77,13 +91,12 @@ def _context_counts(symbol: np.ndarray, languages: list[str]):
     return run
 
 
-def code_lengths(counts: np.ndarray) -> np.ndarray:
+def code_lengths(counts: np.ndarray, a: int = ALPHABET, longest: int = ORDER) -> np.ndarray:
     """Code length in bits of every (context, symbol) from the counts of the longest contexts."""
-    a = ALPHABET
     lower = np.full((1, a), 1.0 / a)
-    for order in range(ORDER + 1):
+    for order in range(longest + 1):
         # Counts of contexts of this order: shorter contexts sum over the further symbols, which lead in the number.
-        c = counts.reshape(a ** (ORDER - order), a**order, a).sum(axis=0).astype(float)
+        c = counts.reshape(a ** (longest - order), a**order, a).sum(axis=0).astype(float)
         below = np.tile(lower, (c.shape[0] // lower.shape[0], 1))
         total, distinct = c.sum(1, keepdims=True), (c > 0).sum(1, keepdims=True)
         rest = 1 - np.where(c > 0, below, 0).sum(1, keepdims=True)
@@ -105,7 +118,7 @@ def learn(docs: DataFrame, usable) -> Trees | None:
     """Trees of all languages in ``lang`` from every usable text: two passes, both summed before the shuffle.
 
     What reaches the driver is bounded by the tables: 256 byte counts, and per language at most
-    ALPHABET ** (ORDER + 1) contexts.
+    ALPHABET ** (ORDER + 1) contexts and 256 ** 2 pairs of bytes.
     """
     known = docs.select(F.col("doc_id").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     known = known.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).where(usable(F.col("doc_id")))
@@ -120,12 +133,13 @@ def learn(docs: DataFrame, usable) -> Trees | None:
     symbol[65:91] = symbol[97:123]
     counted = known.select("lang", "text").mapInArrow(_context_counts(symbol, languages), "lang string, code long, n long")
     counted = counted.groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
-    lengths = np.empty((len(languages), ALPHABET ** (ORDER + 1)), np.float32)
+    lengths = np.empty((len(languages), FIRST_REST + BYTES**2), np.float32)
     for i, name in enumerate(languages):
         own = counted[counted["lang"] == name]
-        counts = np.zeros(ALPHABET ** (ORDER + 1))
+        counts = np.zeros(FIRST_REST + BYTES**2)
         counts[own["code"].to_numpy()] = own["n"].to_numpy()
-        lengths[i] = code_lengths(counts)
+        lengths[i, :FIRST_REST] = code_lengths(counts[:FIRST_REST])
+        lengths[i, FIRST_REST:] = code_lengths(counts[FIRST_REST:], BYTES, REST_ORDER)
     return Trees(symbol, languages, lengths)
 
 
@@ -154,10 +168,12 @@ def identify(docs: DataFrame, trees: Trees | None) -> DataFrame:
                 names, scores = ["und"] * (high - low), [0.0] * (high - low)
                 if languages and len(data):
                     codes = context_codes(data, offsets, symbol)
+                    rest_at, rest = rest_codes(data, offsets, symbol)
                     total = np.zeros((high - low, len(languages)))
                     filled = np.flatnonzero(np.diff(offsets))
                     for at in range(len(languages)):
                         column = np.take(lengths[at], codes)
+                        column[rest_at] += np.take(lengths[at], FIRST_REST + rest)
                         total[filled, at] = np.add.reduceat(column, offsets[filled], dtype=np.float64)
                     plain = np.logical_or.reduceat(letters[data], offsets[filled])
                     for k, ok in zip(filled.tolist(), plain.tolist()):

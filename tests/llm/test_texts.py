@@ -290,6 +290,21 @@ def test_secret_counts(docs_of):
     assert got == {i: (*n, base_by_contract(t or "")) for i, (t, n) in enumerate(zip(texts, counts))}
 
 
+def test_rare_bytes_tell_languages_apart(docs_of):
+    """Bytes beyond the commonest ones count each for itself, also after the byte before."""
+    base = "abcdefghijklmnopqrstuvwxyz0123456789 .,-_" * 3
+    marks = {"en": "Ω", "fr": "Ψ", "de": "Φ"}
+    rows = [(k, base + mark, lang) for k, (lang, mark) in enumerate(marks.items())]
+    spark = docs_of([]).sparkSession
+    trees = languages.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), lambda c: F.lit(True))
+    asked = docs_of([(k, f"{base}{mark}{mark} {mark}") for k, mark in enumerate(marks.values())])
+    got = {r.doc_id: r.lang_pred for r in languages.identify(asked, trees).collect()}
+    assert got == dict(enumerate(marks))
+    data = np.frombuffer("Ωa".encode() + "Ω".encode(), np.uint8)
+    at, codes = languages.rest_codes(data, np.array([0, 3, 5]), np.where(np.arange(256) < 128, 1, 0))
+    assert at.tolist() == [0, 1, 3, 4] and codes.tolist() == [0xCE, 0xCE * 256 + 0xA9, 0xCE, 0xCE * 256 + 0xA9]
+
+
 def test_automaton_learns_a_format():
     rng = random.Random(2)
     values = ["".join(rng.choices("0123456789abcdef", k=40)) for _ in range(80)]
