@@ -138,3 +138,22 @@ def test_clumps_and_far_points_do_not_crowd_a_cell(spark):
     for k, part in got.groupby("p"):
         assert part.sort_values("rank").s.tolist() == np.lexsort((np.arange(n), distance[k]))[:3].tolist()
     assert len(got) == 900
+
+
+def test_grid_shuffles_no_pairs(spark):
+    """Candidates of a point are read from its cell's lists, so no pairs of points and segments are shuffled."""
+    n = 1500
+    points = spark.range(n).selectExpr("0 AS case_id", "id AS point", "id % 90 + 0.5D AS x", "double(id * 7 % 1500) AS y")
+    segments = spark.range(n).selectExpr("0 AS case_id", "id AS scan", "0.0D AS ax", "double(id) AS ay", "90.0D AS bx", "double(id) AS by")
+    store, new = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+
+    def stages():
+        found = store.stageList(None, False, False, new, None)
+        return [found.apply(k) for k in range(found.size())]
+
+    before = max([s.stageId() for s in stages()], default=-1)
+    got = nearest.nearest_segments(points, segments, ["case_id"], ["point"], ("x", "y"), "scan", ("ax", "ay", "bx", "by"), 3, 2).collect()
+    assert len(got) == 3 * n and all(r["distance"] < 1e-9 for r in got if r["rank"] == 1)
+    records = sum(s.shuffleWriteRecords() for s in stages() if s.stageId() > before)
+    print("records", records)
+    assert records < 60 * n
