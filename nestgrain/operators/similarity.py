@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,7 +13,9 @@ from ..session import largest_group, materialise, small
 from .contracts import GateError
 from .ordered import running_sum, top_within
 
-TILE = 2048
+TILE = 8192
+PROBE_TILES, DATA_TILES = 2, 4  # tiles of probes and of data that meet in one task: larger ones are copied less often
+FIRST_COLUMNS, COLUMNS, ROWS = 256, 4096, 512  # scores worked out at once
 MAX_PIVOTS = 1024
 SCORE_DIGITS = 10
 
@@ -32,8 +35,8 @@ def top_k_similar(
     at most ``MAX_PIVOTS``). A left vector
     first searches its nearest pivot's cell; then only cells whose best conceivable
     score (pivot score plus cell radius) still reaches its k-th score are searched.
-    Cells of any size are cut into tiles, so no task holds more than about two
-    tiles, and each tile pair yields only its top k, never its score matrix.
+    Cells of any size are cut into tiles, so no task holds more than about six
+    tiles, and each pair of cuts yields only its top k, never its score matrix.
     """
     keys = block or []
     spark = left.sparkSession
@@ -100,13 +103,59 @@ def _rank(hits: DataFrame, keys: list[str], k: int) -> DataFrame:
     return ranked.select(*keys, "qid", "sid", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
+def _array(column: pa.ChunkedArray) -> np.ndarray:
+    flat = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in column.chunks]).astype(np.float64, copy=False)
+    return flat.reshape(len(column), -1)
+
+
+def _top_scores(
+    q: np.ndarray, s: np.ndarray, k: int, own: tuple[np.ndarray, np.ndarray] | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, score) of each row's k largest rounded products, ties to the lower column; columns own[0] to own[1] of a row do not count.
+
+    Scores are worked out a block at a time, and only those above a row's k-th so far are looked at
+    again: columns come in order, so a later one that ties does not count.
+    """
+    out = []
+    for low in range(0, len(q), ROWS):
+        some = q[low : low + ROWS]
+        n = len(some)
+        value, place = np.full((n, k), -np.inf), np.full((n, k), -1)
+        first = 0
+        while first < len(s):
+            last = min(len(s), first + (COLUMNS if first else FIRST_COLUMNS))
+            score = some @ s[first:last].T
+            if own is not None:
+                start, stop = (np.clip(o[low : low + ROWS], first, last) - first for o in own)
+                times = stop - start
+                score[np.repeat(np.arange(n), times), np.repeat(start + times - np.cumsum(times), times) + np.arange(times.sum())] = -np.inf
+            kth = value[:, -1]
+            # a little low, as rounding may lift a score over the k-th one
+            row, col = np.nonzero(score >= (kth + 0.4 * 10.0 ** -SCORE_DIGITS - 4e-13 * np.abs(kth))[:, None])
+            new = np.round(score[row, col], SCORE_DIGITS) + 0.0
+            better = (new > kth[row]) & np.isfinite(new)
+            if better.any():
+                rows = np.concatenate([np.repeat(np.arange(n), k), row[better]])
+                values = np.concatenate([value.ravel(), new[better]])
+                places = np.concatenate([place.ravel(), col[better] + first])
+                order = np.lexsort((places, -values, rows))
+                rows = rows[order]
+                rank = np.arange(len(rows)) - np.searchsorted(rows, rows)
+                kept = rank < k
+                value[rows[kept], rank[kept]], place[rows[kept], rank[kept]] = values[order][kept], places[order][kept]
+            first = last
+        row, rank = np.nonzero(place >= 0)
+        out.append((row + low, place[row, rank], value[row, rank]))
+    return tuple(np.concatenate(part) for part in zip(*out))
+
+
 def _search(a: DataFrame, data: DataFrame, probes: DataFrame, keys: list[str], k: int, exclude_same: bool, tile: int) -> DataFrame:
     """Top k per probe over its cell: replicate probes over data tiles and data over probe tiles."""
     cell = [*keys, "__cell"]
     sizes = data.groupBy(*cell).agg(F.count(F.lit(1)).alias("__nd")).join(
         probes.groupBy(*cell).agg(F.count(F.lit(1)).alias("__nq")), cell)
     sizes = sizes.select(
-        *cell, F.ceil(F.col("__nd") / tile).cast("int").alias("__td"), F.ceil(F.col("__nq") / tile).cast("int").alias("__tq"))
+        *cell, F.ceil(F.col("__nd") / (DATA_TILES * tile)).cast("int").alias("__td"), F.ceil(F.col("__nq") / (PROBE_TILES * tile)).cast("int").alias("__tq"))
     sizes = small(materialise(sizes))
     mine, every = F.pmod(F.xxhash64("qid"), F.col("__tq")), F.sequence(F.lit(0), F.col("__td") - 1)
     q = probes.join(sizes, cell).withColumn("__a", mine.cast("int")).withColumn("__b", F.explode(every)).drop("__td", "__tq")
@@ -117,29 +166,23 @@ def _search(a: DataFrame, data: DataFrame, probes: DataFrame, keys: list[str], k
         T.StructField("score", T.DoubleType())]
     schema = T.StructType(fields)
 
-    def best(qs: pd.DataFrame, ss: pd.DataFrame) -> pd.DataFrame:
-        if not len(qs) or not len(ss):
-            return pd.DataFrame({f.name: [] for f in fields})
-        ss = ss.sort_values("sid", kind="stable")
-        ids = ss["sid"].to_numpy()
-        score = np.round(_matrix(qs["qv"]) @ _matrix(ss["sv"]).T, SCORE_DIGITS) + 0.0
+    def best(qs: pa.Table, ss: pa.Table) -> pa.Table:
+        if not qs.num_rows or not ss.num_rows:
+            return pa.table({name: pa.array([], (qs if name in keys or name == "qid" else ss).schema.field(name).type)
+                             if name != "score" else pa.array([], pa.float64()) for name in schema.names})
+        ss = ss.sort_by("sid")
+        own = None
         if exclude_same:
-            score[qs["qid"].to_numpy()[:, None] == ids[None, :]] = -np.inf
-        take = min(k, score.shape[1])
-        # columns are in id order and the sort is stable, so ties keep the lower id
-        order = np.argsort(-score, axis=1, kind="stable")[:, :take]
-        row = np.repeat(np.arange(len(qs)), take)
-        col = order.ravel()
-        value = score[row, col]
-        keep = np.isfinite(value)
-        out = {name: np.repeat(qs[name].to_numpy(), take)[keep] for name in keys}
-        out |= {"qid": qs["qid"].to_numpy()[row][keep], "sid": ids[col][keep], "score": value[keep]}
-        return pd.DataFrame(out)
+            ids, mine = (t.to_numpy() for t in (ss.column("sid"), qs.column("qid")))
+            own = np.searchsorted(ids, mine), np.searchsorted(ids, mine, side="right")
+        row, col, value = _top_scores(_array(qs.column("qv")), _array(ss.column("sv")), k, own)
+        taken, found = qs.select([*keys, "qid"]).take(pa.array(row)), ss.column("sid").take(pa.array(col))
+        return taken.append_column("sid", found).append_column("score", pa.array(value))
 
     tiles = [*cell, "__a", "__b"]
     # fresh column ids: both sides may stem from one table, which cogroup cannot tell apart
     s = s.select(*[F.col(name).alias(name) for name in s.columns])
-    hits = q.groupBy(*tiles).cogroup(s.groupBy(*tiles)).applyInPandas(best, schema)
+    hits = q.groupBy(*tiles).cogroup(s.groupBy(*tiles)).applyInArrow(best, schema)
     return _rank(hits, keys, k)
 
 

@@ -85,3 +85,22 @@ def test_point_numbering(spark):
     costs = si.value_mismatches(spark.createDataFrame(seen.assign(eye="R")), spark.createDataFrame(labels.assign(eye="R")), ["eye"], "case", "location", "point", "value")
     got = si.assign_scores(costs, ["eye"], "location", "point", "mismatches", 9.0).toPandas()
     assert {r.location: r.point for r in got.itertuples()} == dict(enumerate(perm)) and got.mismatches.sum() == 0
+
+
+def test_top_scores_looks_again_only_at_better_ones():
+    """Ties, copies, own columns and blocks that do not divide the sizes: as a sort of all scores gives."""
+    rng = np.random.default_rng(5)
+    q, s = rng.normal(size=(700, 4)), rng.normal(size=(9000, 4))
+    s[5000:6500] = s[3]
+    s[6500:6600] = 0
+    q[0], q[1] = s[3], 0
+    start = rng.integers(0, 8990, 700)
+    stop = start + rng.integers(0, 9, 700)
+    score = np.round(q @ s.T, 10) + 0.0
+    for r in range(700):
+        score[r, start[r] : stop[r]] = -np.inf
+    want = np.argsort(-score, axis=1, kind="stable")[:, :3]
+    row, col, value = si._top_scores(q, s, 3, (start, stop))
+    assert (row.reshape(-1, 3) == np.arange(700)[:, None]).all() and (col.reshape(-1, 3) == want).all()
+    assert (value.reshape(-1, 3) == np.take_along_axis(score, want, axis=1)).all()
+    assert [p.tolist() for p in si._top_scores(q[:1], s[:2], 3, (np.array([0]), np.array([1])))[:2]] == [[0], [1]]
