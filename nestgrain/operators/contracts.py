@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import is_finite
-from ..session import small
+from ..session import dealt, parts_for, small
 
 OUTCOME_TERMS = ("sensitivity", "outcome", "prediction", "residual")
 
@@ -272,7 +273,21 @@ def exclude(df: DataFrame, ledger: DataFrame, key: str, decision: str | None = "
     return df.join(small(ledger.select(key).distinct()), key, "left_anti")
 
 
+def _batch_distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each batch's distinct rows, so that a frequent key is a row a batch and not all its rows."""
+    for batch in batches:
+        if batch.num_rows:
+            yield from pa.Table.from_batches([batch]).group_by(batch.schema.names).aggregate([]).to_batches()
+
+
 def keep_mapped(df: DataFrame, mapping: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(rows with a mapping, distinct keys without one)."""
-    known = small(mapping.select(*keys).distinct())
-    return df.join(known, keys, "left_semi"), df.select(*keys).distinct().join(known, keys, "left_anti")
+    """(rows with a mapping, distinct keys without one).
+
+    Distinct keys are found in parts of bounded size, after each batch has dropped its own repeats; a mapping
+    too large to broadcast is joined in those parts.
+    """
+    mapped, asked = mapping.select(*keys), df.select(*keys)
+    parts = parts_for(df.sparkSession, df.count() + mapping.count())
+    known = small(dealt(mapped.mapInArrow(_batch_distinct, mapped.schema), keys, parts).distinct())
+    asked = dealt(asked.mapInArrow(_batch_distinct, asked.schema), keys, parts).distinct()
+    return df.join(known, keys, "left_semi"), asked.join(known, keys, "left_anti")

@@ -166,3 +166,22 @@ def test_tolerance_join_bands(spark):
     got = [jn.tolerance_join(left, right, [], fields, "id", "other", bands=b).toPandas().set_index("id")["match_count"].to_dict() for b in (1, 2, 7)]
     want = {i: sum(values == other for _, *other in rows) for i, *values in rows}
     assert got == [want] * 3
+
+
+def test_keep_mapped_parts_follow_the_rows(spark):
+    """Sides too large to broadcast meet in as many parts as their rows need, not in the session's fixed number of them."""
+    rows = spark.range(4000).select((F.col("id") % 1000).alias("k"), F.when(F.col("id") % 7 > 0, F.col("id") % 1000).alias("n"))
+    mapping = spark.range(3000).select((F.col("id") % 600).alias("k"), (F.col("id") % 600).alias("n"))
+    spark.conf.set("nestgrain.rowsPerPart", "100")
+    spark.conf.set("nestgrain.broadcastRows", "10")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept, missing = ct.keep_mapped(rows, mapping, ["k", "n"])
+        want = [r for r in rows.collect() if r["n"] is not None and r["k"] < 600]
+        assert sorted(kept.collect()) == sorted(want)
+        alone = {(r["k"], r["n"]) for r in rows.collect()} - {(r["k"], r["n"]) for r in want}
+        assert len(missing.collect()) == len(alone) and {tuple(r) for r in missing.collect()} == alone
+        assert kept.rdd.getNumPartitions() == missing.rdd.getNumPartitions() == 70
+    finally:
+        for name in ("nestgrain.rowsPerPart", "nestgrain.broadcastRows", "spark.sql.autoBroadcastJoinThreshold"):
+            spark.conf.unset(name)
