@@ -139,3 +139,10 @@ def test_ranking(preds):
     _, df = preds
     ranked = ag.rank_models(ag.agreement_metrics(df, ["model"]), "model").toPandas().sort_values("mae_rank")
     assert ranked.mae.is_monotonic_increasing and ranked.mae_rank.tolist() == [1, 2, 3]
+
+
+def test_weighted_means_do_not_shuffle_rows(spark):
+    """The means are sent to the rows; the rows of a key do not meet in one task."""
+    rows = spark.range(1000).selectExpr("id % 3 AS k", "id * 1.0D AS observed", "id * 1.5D AS predicted", "id % 4 * 1.0D AS w")
+    plan = ag.agreement_sums(rows, ["k"], weight="w")._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan
