@@ -213,18 +213,16 @@ def require_domain(df: DataFrame, column: str, expected: Iterable, what: str = "
 # ---- joins under a declared contract -------------------------------------------
 
 def key_proof(left: DataFrame, right: DataFrame, keys: list[str]) -> dict[str, int]:
-    """Most rows of one key on each side, and distinct keys without a partner, from one shuffle of the keys of both.
+    """Most rows of one key on each side, and distinct keys without a partner, from the keys of both.
 
-    A key with a NULL never finds a partner, as in the join itself.
+    A key with a NULL never finds a partner, as in the join itself. Sides already dealt on their keys are not shuffled again.
     """
-    sides = left.select(*keys, F.lit(1).alias("__l"), F.lit(0).alias("__r")).unionByName(
-        right.select(*keys, F.lit(0).alias("__l"), F.lit(1).alias("__r")))
-    seen = sides.groupBy(*keys).agg(F.sum("__l").alias("__l"), F.sum("__r").alias("__r"))
-    whole = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
-    met = whole & (F.col("__l") > 0) & (F.col("__r") > 0)
+    seen = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("__l")).join(
+        right.groupBy(*keys).agg(F.count(F.lit(1)).alias("__r")), keys, "full_outer")
+    met = F.col("__l").isNotNull() & F.col("__r").isNotNull()
     row = seen.agg(
         F.max("__l").alias("left_most"), F.max("__r").alias("right_most"),
-        F.count_if((F.col("__l") > 0) & ~met).alias("left_alone"), F.count_if((F.col("__r") > 0) & ~met).alias("right_alone")).first()
+        F.count_if(F.col("__l").isNotNull() & ~met).alias("left_alone"), F.count_if(F.col("__r").isNotNull() & ~met).alias("right_alone")).first()
     return {name: row[name] or 0 for name in ("left_most", "right_most", "left_alone", "right_alone")}
 
 

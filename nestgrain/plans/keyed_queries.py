@@ -12,6 +12,7 @@ from ..operators import joins as jn
 from ..operators import ordered as od
 from ..operators import pooling as po
 from ..operators import similarity as si
+from ..session import dealt
 from ..sources import binary as bn
 from .common import sql_stable, table
 
@@ -21,7 +22,7 @@ THREE = ["l_orderkey", "l_partkey", "l_suppkey"]
 
 def five_key_join(spark, sf_dir):
     """Left one-to-one join on five columns; taxed lines have a partner, the others none."""
-    lines = table(spark, sf_dir, "lineitem")
+    lines = dealt(table(spark, sf_dir, "lineitem"), FIVE)
     left = lines.groupBy(*FIVE).agg(F.sum("l_quantity").alias("quantity"))
     right = lines.where(F.col("l_tax") > 0).groupBy(*FIVE).agg(F.sum("l_extendedprice").alias("price"))
     joined = ct.contract_join(left, right, FIVE, "one_to_one")
@@ -32,7 +33,7 @@ def five_key_join(spark, sf_dir):
 
 def three_key_join(spark, sf_dir):
     """Complete one-to-one join on three columns: every left key must have its partner."""
-    lines = table(spark, sf_dir, "lineitem")
+    lines = dealt(table(spark, sf_dir, "lineitem"), THREE)
     left = lines.groupBy(*THREE).agg(F.count(F.lit(1)).alias("n_lines"))
     right = lines.groupBy(*THREE).agg(F.max("l_discount").alias("discount"))
     joined = ct.contract_join(left, right, THREE, "one_to_one", complete=True)
@@ -46,7 +47,7 @@ SAMPLE = [*UNIT, "l_suppkey", "l_orderkey", "l_partkey", "l_linenumber"]
 
 def pooled_features(spark, sf_dir):
     """Samples and their features joined one to one, then pooled over scans (suppliers) to units."""
-    lines = table(spark, sf_dir, "lineitem")
+    lines = dealt(table(spark, sf_dir, "lineitem"), SAMPLE)
     samples = lines.select(*SAMPLE).distinct()
     features = lines.groupBy(*SAMPLE).agg(F.sum("l_quantity").alias("quantity"), F.avg("l_tax").alias("tax"))
     pooled = po.pool_features(samples, features, SAMPLE, UNIT, "l_suppkey", SAMPLE)

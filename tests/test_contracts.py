@@ -185,3 +185,21 @@ def test_keep_mapped_parts_follow_the_rows(spark):
     finally:
         for name in ("nestgrain.rowsPerPart", "nestgrain.broadcastRows", "spark.sql.autoBroadcastJoinThreshold"):
             spark.conf.unset(name)
+
+
+def test_dealt_sides_meet_in_parts_that_follow_the_rows(spark):
+    """Grouped and joined in the parts they were dealt to: no shuffle into the session's fixed number of parts."""
+    from nestgrain.session import dealt
+    spark.conf.set("nestgrain.rowsPerPart", "50")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = dealt(spark.range(1000).select((F.col("id") % 500).alias("a"), (F.col("id") % 250).alias("b")), ["a", "b"])
+        left = rows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+        joined = ct.contract_join(left, rows.where("b > 9").groupBy("a", "b").agg(F.max("a").alias("m")), ["a", "b"])
+        assert joined.rdd.getNumPartitions() == 20 and joined.count() == 500 and joined.where("m IS NULL").count() == 20
+        assert ct.key_proof(left, rows.where("b > 9"), ["a", "b"]) == {"left_most": 1, "right_most": 2, "left_alone": 20, "right_alone": 0}
+    finally:
+        spark.conf.unset("nestgrain.rowsPerPart")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    gaps = spark.createDataFrame([(1,), (None,)], "k int")
+    assert ct.key_proof(gaps, gaps, ["k"]) == {"left_most": 1, "right_most": 1, "left_alone": 1, "right_alone": 1}
