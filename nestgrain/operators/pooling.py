@@ -8,7 +8,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -44,15 +44,22 @@ def pool_features(
     samples: DataFrame, features: DataFrame, sample_key: list[str], unit: list[str], middle: str,
     reserved: list[str], scans_per_unit: int | None = None,
 ) -> DataFrame:
-    """Join a label-blind feature table one-to-one to the sample manifest, require completeness, pool."""
+    """Join a label-blind feature table one-to-one to the sample manifest, require completeness, pool.
+
+    Completeness is counted as the rows pass on their way to the pools, which are stored: the join runs once.
+    """
     require_label_blind(features)
     names = numeric_features(features, reserved)
     joined = contract_join(samples, features.select(*sample_key, *names), sample_key, "one_to_one")
-    require_empty(non_finite_rows(joined, names), "samples without complete finite features")
     if scans_per_unit is not None:
         scans = joined.select(*unit, middle).distinct()
         require_empty(wrong_cardinality(scans, unit, scans_per_unit), f"units without {scans_per_unit} scans")
-    return two_level_pool(joined, unit, middle, names)
+    seen = Observation()
+    finite = reduce(lambda a, b: a & b, [is_finite(F.col(c)) for c in names])
+    pooled = materialise(two_level_pool(joined.observe(seen, F.count_if(~finite).alias("spoiled")), unit, middle, names))
+    if seen.get["spoiled"]:
+        require_empty(non_finite_rows(joined, names), "samples without complete finite features")
+    return pooled
 
 
 def value_counts(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:

@@ -182,3 +182,14 @@ def test_reflected_crop(spark):
             assert np.allclose(got, wide)
     odd = spark.createDataFrame([([1.0, 2.0, 3.0], 0, 3), ([], 0, 3), (None, 0, 3)], "v array<double>, x0 int, w int")
     assert [r[0] for r in odd.select(ar.reflected_crop(F.col("v"), 8, F.col("x0"), F.col("w"), 3)).collect()] == [None] * 3
+
+
+def test_pool_features_joins_once(spark):
+    """The result is stored with the check made on the way: using it runs no join again, and a spoiled sample is still refused."""
+    rows = spark.range(40).selectExpr("id", "id % 2 AS u", "id % 4 AS s", "id * 1.0D AS x")
+    pooled = po.pool_features(rows.select("u", "s", "id"), rows, ["u", "s", "id"], ["u"], "s", ["u", "s", "id"])
+    assert "Join" not in pooled._jdf.queryExecution().optimizedPlan().toString() and pooled.count() == 2
+    spoiled = rows.withColumn("x", F.when(F.col("id") == 7, float("nan")).otherwise(F.col("x")))
+    for features in (spoiled, rows.where("id <> 7")):
+        with pytest.raises(ct.GateError, match="complete finite"):
+            po.pool_features(rows.select("u", "s", "id"), features, ["u", "s", "id"], ["u"], "s", ["u", "s", "id"])
