@@ -6,8 +6,8 @@ follows up to the next marker, and the library's segmentation of the text is tha
 one after the other. Splitting tasks number the distinct chunks of every block of texts and keep
 a text as numbers; each block sends its distinct chunks, packed, to the task that owns their
 hash, where every distinct chunk of the corpus is segmented once, and gets their ids back by
-number. Ids are joined by position; texts never travel, and a word that is everywhere travels
-once a block. Decoding works on the same chunks, each decoded by the library.
+number. Ids are joined by position; texts never travel, numbered or not: blocks are stored in
+buckets, and the ids come to them. A word that is everywhere travels once a block. Decoding works on the same chunks, each decoded by the library.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ from ..session import ensure_checkpoint_dir
 MARKER = "▁"
 BLOCK_BYTES = 16 << 20  # text numbered together; a longer text is a block of its own
 OWNED_BYTES = 64 << 20  # text bytes for each task that segments chunks
+BUCKETS = (16, 10_000)  # least and most buckets of the stored blocks; between, one for each block
 PARTS = "block long, owner int, doc_ids array<long>, codes binary, chunks binary"
 
 
@@ -217,6 +218,15 @@ def _joined(model_path: str, keep: bool):
     return run
 
 
+def _bucketed(df: DataFrame, key: str, buckets: int, folder: str) -> DataFrame:
+    """``df`` stored in ``folder`` in buckets of ``key``; grouping what is read back by ``key`` needs no shuffle."""
+    name = "nestgrain_" + uuid.uuid4().hex
+    df.write.bucketBy(buckets, key).option("compression", "zstd").option("path", folder).format("parquet").saveAsTable(name)
+    stored = df.sparkSession.table(name)
+    df.sparkSession.sql(f"DROP TABLE {name}")  # the name alone: a table with its own path leaves the files where they are
+    return stored
+
+
 def encoded(docs: DataFrame, model_path: str, keep: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids, decoded) of every row of ``docs``.
 
@@ -233,8 +243,7 @@ def encoded(docs: DataFrame, model_path: str, keep: bool = False) -> DataFrame:
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     owners = max(32, -(-size // OWNED_BYTES))
     folder = f"{spark.sparkContext.getCheckpointDir()}/chunks-{uuid.uuid4().hex}"
-    rows.mapInArrow(_split(owners), PARTS).write.option("compression", "zstd").parquet(folder)
-    parts = spark.read.schema(PARTS).parquet(folder)
+    parts = _bucketed(rows.mapInArrow(_split(owners), PARTS), "block", min(max(BUCKETS[0], size // BLOCK_BYTES), BUCKETS[1]), folder)
     chunks = parts.where("owner IS NOT NULL").select("block", "owner", "codes", "chunks")
     table = chunks.repartition(owners, "owner").sortWithinPartitions("owner").mapInArrow(
         _segmented(model_path), "block long, codes binary, lengths binary, ids binary")

@@ -49,6 +49,14 @@ def test_empty_table_and_equal_ids(spark, docs_of):
     assert pieces.encoded(docs_of([(1, "a"), (1, "a"), (None, None)]), pieces_query.model_path()).count() == 3
 
 
+def test_stored_blocks_are_not_shuffled(spark, docs_of):
+    out = pieces.encoded(docs_of([(1, "a b"), (2, "b c")]), pieces_query.model_path())
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(block") == 1  # the ids; the numbered texts stay in their buckets
+    assert {r["doc_id"] for r in out.collect()} == {1, 2}
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("nestgrain_")]
+
+
 def test_chunks_cover_the_text():
     for text in ODD + fuzz(200):
         assert "".join(pieces.MARKER + k for k in pieces.chunk_keys(text)) == ((pieces.MARKER + text).replace(" ", pieces.MARKER) if text else "")
