@@ -13,6 +13,15 @@ from .contracts import require_unique
 CROWDED = 1000  # right tuples of one tolerance cell before one more field cuts it
 
 
+def _cell(value: Column, width: float) -> Column:
+    return F.floor(value / width + 0.5)
+
+
+def cells_reached(value: Column, tolerance: float, width: float) -> Column:
+    """The one or two cells that hold everything within ``tolerance`` of ``value``."""
+    return F.array_distinct(F.array(_cell(value - tolerance, width), _cell(value + tolerance, width)))
+
+
 def tolerance_join(
     left: DataFrame, right: DataFrame, exact: list[str], near: list[str], left_id: str, right_id: str,
     tolerance: float = 1e-10, bands: int = 2, crowded: int = CROWDED,
@@ -23,7 +32,8 @@ def tolerance_join(
     match. Equal tuples are collapsed on both sides before the join, so a hot tuple
     costs one row per side instead of all its pairs. Each near field is cut into
     cells a few tolerances wide and joined on cell equality; the left tuple also
-    probes a neighbouring cell when it lies within reach of the edge. Narrow cells
+    probes a neighbouring cell when it lies within reach of the edge. Edges lie halfway between
+    whole numbers of widths, so values of few decimals are mid-cell and probe once. Narrow cells
     keep the candidates close to the true matches however the values cluster. At first
     only the first ``bands`` near fields are cut into cells, as each can double the probes;
     a cell that holds more than ``crowded`` right tuples is cut by one more field, again
@@ -34,10 +44,8 @@ def tolerance_join(
     probes = left.select(*exact, *near).distinct()
 
     def cut(probed: DataFrame, filed: DataFrame, field: str) -> tuple[DataFrame, DataFrame]:
-        low = F.floor((F.col(field) - tolerance) / width)
-        high = F.floor((F.col(field) + tolerance) / width)
-        probed = probed.withColumn(f"__c_{field}", F.explode(F.array_distinct(F.array(low, high))))
-        return probed, filed.withColumn(f"__c_{field}", F.floor(F.col(field) / width))
+        probed = probed.withColumn(f"__c_{field}", F.explode(cells_reached(F.col(field), tolerance, width)))
+        return probed, filed.withColumn(f"__c_{field}", _cell(F.col(field), width))
 
     def hits(probed: DataFrame, filed: DataFrame, cells: list[str]) -> DataFrame:
         renamed = filed.select(*exact, *cells, "__rn", "__rid", *[F.col(f).alias(f"__r_{f}") for f in near])

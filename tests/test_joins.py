@@ -42,3 +42,18 @@ def test_range_blocks_with_most_points_are_dealt(spark, monkeypatch):
         assert sum(sizes) == 1000 and max(sizes) <= 100
     finally:
         spark.conf.unset("nestgrain.rowsPerTask")
+
+
+def test_tolerance_join_probes_plain_values_once(spark):
+    """Values of few decimals lie mid-cell; with edges on whole numbers of widths each probed two cells."""
+    values = [(round(k * 0.37, 2),) for k in range(2000)]
+    cells = F.size(jn.cells_reached(F.col("a"), 1e-10, 1e-9))
+    assert spark.createDataFrame(values, "a double").where(cells > 1).count() == 0
+
+
+def test_tolerance_join_at_cell_edges(spark):
+    edges = [(k + 0.5) * 1e-9 + e for k in range(-3, 4) for e in (-1.5e-10, -5e-11, 0.0, 5e-11, 1.5e-10)]
+    rows = spark.createDataFrame(list(enumerate(edges)), "id long, a double")
+    got = jn.tolerance_join(rows, rows.withColumnRenamed("id", "rid"), [], ["a"], "id", "rid").collect()
+    want = {i: sum(abs(v - w) <= 1e-10 for w in edges) for i, v in enumerate(edges)}
+    assert {r["id"]: r["match_count"] for r in got} == want
