@@ -6,12 +6,15 @@ import json
 import zipfile
 from pathlib import Path, PurePosixPath
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numeric import nan_to_null, parse_flag
 from ..operators.contracts import GateError, require_columns, require_label_blind, require_single_row
+from ..session import materialise
+from . import digests
 
 ByteOrderMark = "﻿"
 
@@ -70,17 +73,37 @@ def list_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     return files.select("path", "length", F.col("modificationTime").alias("modified"))
 
 
+def _behind_mount(spark: SparkSession, root: str) -> str:
+    """``root`` by the name of the file system behind a mount, which tasks can open; itself where there is none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    try:
+        return path.getFileSystem(spark._jsc.hadoopConfiguration()).resolvePath(path).toString()
+    except Py4JJavaError:  # a pattern or several mounts
+        return root
+
+
 def file_manifest(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     """(name, bytes, sha256) of every file, named by its path below ``root`` and hashed by the tasks that read them.
 
-    Spark's file reader passes over files without a byte; they are not listed.
+    A hash takes a file's bytes in order, so a long file is hashed range by range, each by a task of its
+    own that gets the state of the one before. Where tasks cannot open files themselves Spark reads them
+    whole. Spark's file reader passes over files without a byte; they are not listed.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(root)
-    below = root.split("://")[-1].rstrip("/") + "/"
-    start = F.instr("path", below) + F.lit(len(below))
-    name = F.col("path").substr(start, F.length("path"))
-    return files.select(
-        name.alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    target = _behind_mount(spark, root)
+    ranged = digests.can_hash_ranges(target)
+    below = (target if ranged else root).split("://")[-1].rstrip("/") + "/"
+    name = F.col("path").substr(F.instr("path", below) + F.lit(len(below)), F.length("path")).alias("name")
+    if not ranged:
+        files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(root)
+        return files.select(name, F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    files = list_files(spark, target, pattern)
+    rows = files.select("path", name, F.col("length").alias("bytes"), F.lit(None).cast("binary").alias("state"), F.lit(None).cast("string").alias("sha256"))
+    longest = files.agg(F.max("length")).first()[0] or 0
+    for start in range(0, longest, digests.RANGE_BYTES):
+        rows = rows.mapInArrow(digests.hash_ranges(start, digests.RANGE_BYTES), digests.SCHEMA)
+        if start + digests.RANGE_BYTES < longest:
+            rows = materialise(rows)  # keeps its partitions: one long file in each
+    return rows.select("name", "bytes", "sha256")
 
 
 def verify_manifest(found: DataFrame, expected: DataFrame) -> DataFrame:
