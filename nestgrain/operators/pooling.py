@@ -8,13 +8,13 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.numeric import is_finite
-from ..session import largest_group, materialise, rows_per_task
+from ..session import dealt, largest_group, materialise, rows_per_task
 from .contracts import contract_join, non_finite_rows, numeric_features, require_empty, require_label_blind, wrong_cardinality
 from .ordered import beside, exact_percentiles
 
@@ -77,23 +77,26 @@ def count_summaries(counts: DataFrame, group: list[str], marks: dict[str, float]
     """Per group and column of ``value_counts``: valid and total counts, mean, population SD, minimum, maximum, zeros and ``marks``.
 
     Percentiles are exact; a NULL group is a group. ``largest`` bounds the counted values of one
-    group and column; it is measured on the stored counts where it is not given.
+    group and column; it is measured on the stored counts where it is not given. Groups that fit a
+    task are dealt into parts whose number follows the counts, and everything is worked out there.
     """
     keys, n, v = [*group, "__column"], F.col("__n"), F.col("__v")
     present = F.when(v.isNotNull(), n)
     if largest is None:
         largest = largest_group(counts, keys)
-    alone = largest <= rows_per_task(counts.sparkSession)
-    percentiles = [F.percentile("__v", F.lit(q), n).alias(name) for name, q in marks.items()] if alone else []
-    out = counts.groupBy(*keys).agg(
+    summaries = [
         F.coalesce(F.sum(present), F.lit(0)).alias("valid"), F.sum(n).alias("total"), F.try_divide(F.sum(v * n), F.sum(present)).alias("mean"),
-        F.min(v).alias("minimum"), F.max(v).alias("maximum"), F.coalesce(F.sum(F.when(v == 0, n)), F.lit(0)).alias("zeros"), *percentiles)
+        F.min(v).alias("minimum"), F.max(v).alias("maximum"), F.coalesce(F.sum(F.when(v == 0, n)), F.lit(0)).alias("zeros")]
     away = v - F.col("__mean")
+    sd = F.sqrt(F.try_divide(F.sum(n * away * away), F.sum(present))).alias("sd")
+    if largest <= rows_per_task(counts.sparkSession):
+        percentiles = [F.percentile("__v", F.lit(q), n).alias(name) for name, q in marks.items()]
+        own = Window.partitionBy(*keys)
+        centred = dealt(counts, keys).withColumn("__mean", F.try_divide(F.sum(v * n).over(own), F.sum(present).over(own)))
+        return centred.groupBy(*keys).agg(*summaries, *percentiles, sd)
+    out = counts.groupBy(*keys).agg(*summaries)
     spread = beside(counts, out.select(*keys, F.col("mean").alias("__mean")), keys)
-    spread = spread.groupBy(*keys).agg(F.sqrt(F.try_divide(F.sum(n * away * away), F.sum(present))).alias("sd"))
-    out = beside(out, spread, keys)
-    if alone:
-        return out
+    out = beside(out, spread.groupBy(*keys).agg(sd), keys)
     found = exact_percentiles(counts, keys, "__v", marks, largest, weight="__n")
     named = found.select(*[F.col(k).alias(f"__k_{k}") for k in keys], *marks)
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys])
@@ -133,7 +136,7 @@ def boundary_points(samples: DataFrame, unit: list[str], middle: str, intervals:
     n, v = F.col("__n"), F.col("__v")
     means = counts.groupBy(*unit, middle, "__column").agg(
         F.try_divide(F.sum(v * n), F.sum(F.when(v.isNotNull(), n))).alias("m"), F.sum(n).alias("rows"))
-    scans = means.groupBy(*unit, "__column").agg(F.stddev_pop("m").alias("between"), F.countDistinct(middle).alias("scans"), F.sum("rows").alias("samples"))
+    scans = means.groupBy(*unit, "__column").agg(F.stddev_pop("m").alias("between"), F.count(middle).alias("scans"), F.sum("rows").alias("samples"))
     found = beside(count_summaries(counts, unit, MASKED_MARKS, largest), scans, [*unit, "__column"])
     cells = []
     for position, interval in enumerate(intervals):

@@ -8,12 +8,17 @@ from ..functions import arrays as ar
 from ..functions.numeric import nan_to_null, stable
 from ..operators import ordered as od
 from ..operators import pooling as po
+from ..session import dealt, parts_for
 from .common import rounded, sql_stable, table
 
 
 def _samples(spark, sf_dir):
-    """customer (unit) -> order (scan) -> line item (sample)."""
-    lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    """customer (unit) -> order (scan) -> line item (sample); large tables meet in parts whose number follows their rows."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity", "l_extendedprice")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    parts = parts_for(spark, lines.count())
+    if parts > parts_for(spark, 0):
+        lines, orders = dealt(lines, ["l_orderkey"], parts), dealt(orders, ["o_orderkey"], parts)
     return lines.join(orders, lines.l_orderkey == orders.o_orderkey).select(
         F.col("o_custkey").alias("unit"), F.col("o_orderkey").alias("scan"),
         F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("price"))
