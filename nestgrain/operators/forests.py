@@ -6,7 +6,8 @@ and only the chosen splits come back. A node at or below that size is grown to i
 task. A table at or below it goes whole to a fixed number of tasks, which share out all trees, so
 what is shuffled grows with the table and not with the trees. Depth limits cost nothing: a
 shallow forest is the deep one cut at its depth, because every node's features and every tree's
-rows follow from hashes of (seed, tree, node) and (seed, tree, row) alone.
+rows follow from hashes of (seed, tree, node) and (seed, tree, row) alone. For the same reason
+forests that differ only in their leaf size share every node down to the first split that differs.
 
 Held-out rows travel with the rows they are judged by, so trees never leave the tasks: what comes
 out is each held-out row's sum of leaf values.
@@ -27,8 +28,10 @@ from pyspark.sql import types as T
 BINS, MISSING = 64, 255
 NODE_ROWS, NODE_BYTES, ROW_BYTES = 100_000, 128 << 20, 64  # a node that one task grows alone: these rows, or as many as fit these bytes
 SHARES = 4  # tasks a core that share out the trees of a table that fits one
-SAMPLES = 100_000  # (tree, row) pairs held at once
-NODES = 512  # nodes whose histograms are held at once
+SAMPLES = 250_000  # (tree, row) pairs held at once
+COLUMNS, CELLS = 2048, 1 << 16  # (node, feature) histograms and (row, feature) cells worked on at once
+PACK, APART = 2.0**26, 1.5 * 2.0**78  # rows * PACK + drawn rows is one exact number; adding and taking off APART leaves rows * PACK
+SHIFT = BINS.bit_length() - 1  # a split is feature << SHIFT | last bin on the left
 CHUNK_ROWS = 10_000  # rows of a table packed into one record
 U64 = np.uint64
 BAG = np.cumsum([0.36787944117144233 / f for f in (1, 1, 2, 6, 24, 120, 720, 5040, 40320)])  # Poisson with mean 1
@@ -102,55 +105,194 @@ def best_splits(hist: np.ndarray, leaf: int) -> tuple[np.ndarray, np.ndarray, np
     return best // (BINS - 1), best % (BINS - 1), worth
 
 
-def node_splits(node: np.ndarray, rows: np.ndarray, bins: np.ndarray, w: np.ndarray, y: np.ndarray, tried: np.ndarray, leaf: int) -> tuple:
-    """``best_splits`` of all nodes from the drawn (node, row) pairs, some nodes at a time."""
-    if len(tried) <= NODES:
-        return best_splits(histograms(node, bins[rows[:, None], tried[node]], w, y[rows], len(tried)), leaf)
-    order = np.argsort(node, kind="stable")
-    firsts = np.arange(0, len(tried), NODES)
-    ends = np.append(np.searchsorted(node[order], firsts), len(node))
-    found = []
-    for first, low, high in zip(firsts.tolist(), ends[:-1], ends[1:]):
-        at = order[low:high]
-        some = tried[first : first + NODES]
-        own = node[at] - first
-        found.append(best_splits(histograms(own, bins[rows[at][:, None], some[own]], w[at], y[rows[at]], len(some)), leaf))
-    return tuple(np.concatenate(part) for part in zip(*found))
+def _apart(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    high = packed + APART
+    high -= APART
+    return high * (1 / PACK), packed - high
 
 
-def grow(data: dict, forest: Forest, shape: Shape, roots: np.ndarray, weights: np.ndarray, depth: int) -> np.ndarray:
-    """(held-out rows, cuts): sums of leaf values over these trees, grown level by level from nodes at ``depth``.
+def _falls(packed: np.ndarray, s: np.ndarray, all_drawn: np.ndarray, all_s: np.ndarray, base: np.ndarray) -> np.ndarray:
+    """Fall of the squared error from the rows on the left and their sum of y; in few passes, as it takes most of the time."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        drawn = packed + APART
+        drawn -= APART
+        np.subtract(packed, drawn, drawn)
+        fall = s * s
+        fall /= drawn
+        np.subtract(all_drawn, drawn, drawn)
+        right = all_s - s
+        right *= right
+        right /= drawn
+        fall += right
+        fall -= base
+    return fall
+
+
+def _best(cells: np.ndarray, off: np.ndarray, packed: np.ndarray, wy: np.ndarray, count: np.ndarray, tried: np.ndarray, leaves: list[int]) -> list[tuple]:
+    """What ``best_splits`` finds, for every leaf size: rows come node by node, bins in lines of all (feature, node)."""
+    n, width = tried.shape
+    step = max(1, min(width, CELLS // len(off)))
+    found: list = [None] * len(leaves)
+    node = np.arange(n)
+    for first in range(0, width, step):
+        some = tried.T[first : first + step]
+        size = len(some) * n
+        line = size + 9  # lines a power of two apart would share cache sets
+        key = np.repeat(some, count, axis=1)
+        key += off
+        np.multiply(cells.take(key, mode="wrap"), line, out=key, dtype=np.int64)
+        key += np.repeat(np.arange(size).reshape(-1, n), count, axis=1)
+        p, s = (np.bincount(key.ravel(), np.tile(v, len(some)), BINS * line).reshape(BINS, line) for v in (packed, wy))
+        for hist in (p, s):
+            left = hist[0]
+            for row in hist[1:]:
+                left = np.add(row, left, row)
+        all_p, all_s, p, s = p[-1], s[-1], p[:-1], s[:-1]
+        all_drawn = _apart(all_p)[1]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            base = all_s * all_s / all_drawn
+        if not first:
+            least = 1e-12 * (1.0 + base[:n])
+        fewer = np.minimum(p, all_p - p)  # of the two sides
+        allowed = fewer >= leaves[0] * PACK
+        sparse = 4 * np.count_nonzero(allowed) < allowed.size
+        if sparse:
+            at = np.flatnonzero(allowed)
+            column = at % line
+            fall = np.full(p.shape, -np.inf)
+            fall.ravel()[at] = _falls(p.ravel().take(at), s.ravel().take(at), all_drawn.take(column), all_s.take(column), base.take(column))
+        else:
+            fall = _falls(p, s, all_drawn, all_s, base)
+        for k, leaf in enumerate(leaves):
+            if k or not sparse:
+                bound = fewer - (leaf * PACK - 0.5)
+                bound *= np.inf  # by its sign; faster than a mask
+                np.fmin(fall, bound, fall)
+            top = fall.max(axis=0)[:size].reshape(-1, n)
+            slot = top.argmax(axis=0)
+            new = slot + first, fall.take(slot * n + node, axis=1).argmax(axis=0), top[slot, node]
+            found[k] = new if found[k] is None else [np.where(new[2] > found[k][2], a, b) for a, b in zip(new, found[k])]
+    return [(slot, last, fall > least) for slot, last, fall in found]
+
+
+class _Front(NamedTuple):
+    """Nodes that may split and, node by node, their drawn rows: offset into the cells, rows and drawn rows packed, sum of y."""
+
+    ids: np.ndarray
+    nodes: np.ndarray
+    live: np.ndarray  # (leaf sizes, nodes) that may split
+    count: np.ndarray
+    off: np.ndarray
+    packed: np.ndarray
+    wy: np.ndarray
+
+
+def _front(first: int, nodes, own: np.ndarray, owner: np.ndarray, size: np.ndarray, leaves: list[int], off: np.ndarray, packed: np.ndarray, wy: np.ndarray) -> _Front:
+    """Of the nodes numbered from ``first`` those that may split, with their rows; left and right ones apart, so that only bytes are sorted."""
+    live = own & (size >= 2 * np.array(leaves)[:, None])
+    kind = (2 * (len(leaves) - live.sum(axis=0)) + (np.arange(len(size)) & 1)).astype(np.uint8)
+    node = np.argsort(kind, kind="stable")[: np.count_nonzero(live.any(axis=0))]
+    count = size[node].astype(np.int64)
+    rows = np.argsort(kind.take(owner), kind="stable")[: count.sum()]
+    return _Front(first + node, nodes(node), live[:, node], count, off.take(rows), packed.take(rows), wy.take(rows))
+
+
+def _chosen(cells: np.ndarray, front: _Front, tried: np.ndarray, leaves: list[int]) -> np.ndarray:
+    """(leaf sizes, nodes) splits, -1 for none, some nodes at a time."""
+    n, width = tried.shape
+    out = np.full((len(leaves), n), -1)
+    ends = np.cumsum(front.count)
+    first = 0
+    while first < n:
+        low = ends[first] - front.count[first]
+        full = int(np.searchsorted(ends, low + CELLS // width, "right"))
+        stop = min(n, first + max(1, COLUMNS // width), max(first + 1, full))
+        rows, some, live = slice(low, ends[stop - 1]), tried[first:stop], front.live[:, first:stop]
+        own = np.flatnonzero(live.any(axis=1))
+        found = _best(cells, front.off[rows], front.packed[rows], front.wy[rows], front.count[first:stop], some, [leaves[k] for k in own])
+        for k, (slot, last, worth) in zip(own, found):
+            out[k, first:stop] = np.where(worth & live[k], (some[np.arange(len(some)), slot] << SHIFT) + last, -1)
+        first = stop
+    return out
+
+
+def _right(cells: np.ndarray, off: np.ndarray, split: np.ndarray) -> np.ndarray:
+    return cells.take(off + (split >> SHIFT), mode="wrap") > (split & (BINS - 1))
 
-    ``data`` has bins, y (around the overall mean) and held; ``weights`` is (trees, rows), 0 for held-out rows.
+
+def grow(data: dict, leaves: list[int], shape: Shape, roots: np.ndarray, draws: np.ndarray, depth: int) -> np.ndarray:
+    """(leaf sizes, held-out rows, cuts): sums of leaf values over these trees, grown level by level from nodes at ``depth``.
+
+    ``data`` has bins, y (around the overall mean) and held; ``draws`` is (trees, rows that are not held out); ``leaves`` ascend.
     """
-    bins, y, held = data["bins"], data["y"], data["held"]
-    place = np.cumsum(held) - 1
-    sums = np.zeros((int(held.sum()), len(shape.cuts)))
+    cells, width = np.ascontiguousarray(data["bins"]).ravel(), data["bins"].shape[1]
     limits = [np.inf if c is None else c for c in shape.cuts]
-    trees, rows = np.nonzero((weights > 0) | held[None, :])
-    w, out = weights[trees, rows].astype(float), held[rows]
-    node, nodes = trees.copy(), roots
-    while len(rows):
-        drawn = w > 0
-        mass = np.bincount(node[drawn], w[drawn], len(nodes))
-        value = np.bincount(node[drawn], w[drawn] * y[rows[drawn]], len(nodes)) / np.maximum(mass, 1)
-        tried = node_features(nodes, shape.features, shape.tried)
-        slot, last, splits = node_splits(node[drawn], rows[drawn], bins, w[drawn], y, tried, forest.leaf)
-        splits &= depth < max(limits)
-        at = place[rows[out]]
+    trees, at = np.nonzero(draws)
+    w, rows = draws[trees, at].astype(float), np.flatnonzero(~data["held"])[at]
+    packed, wy = w + PACK, w * data["y"][rows]
+    room = len(roots) + sum(2 * (len(rows) // leaf + 1) for leaf in leaves)
+    splits, below, value = np.full((len(leaves), room), -1), np.zeros((len(leaves), room), np.int64), np.zeros(room)
+    size, mass = _apart(np.bincount(trees, packed, len(roots)))
+    made, level = len(roots), depth
+    value[:made] = np.bincount(trees, wy, made) / np.maximum(mass, 1)
+    fronts = [_front(0, lambda node: roots[node], np.full((len(leaves), made), level < max(limits)), trees, size, leaves, rows * width, packed, wy)]
+    while fronts:
+        front = _Front(*[np.concatenate(part, axis=-1) if len(part) > 1 else part[0] for part in zip(*fronts)])
+        fronts = []
+        if not len(front.ids):
+            break
+        chosen = _chosen(cells, front, node_features(front.nodes, shape.features, shape.tried), leaves)
+        splits[:, front.ids] = chosen
+        level += 1
+        for k in range(len(leaves)):  # leaf sizes that split a node alike share what is below
+            new = (chosen[k] >= 0) & (chosen[:k] != chosen[k]).all(axis=0)
+            n = np.count_nonzero(new)
+            if not n:
+                continue
+            off, packed, wy, split, own, nodes = front.off, front.packed, front.wy, chosen[k][new], (chosen == chosen[k])[:, new], front.nodes[new]
+            if n < len(new):
+                rows = np.flatnonzero(np.repeat(new, front.count))
+                off, packed, wy = off.take(rows), packed.take(rows), wy.take(rows)
+            owner = np.repeat(np.arange(0, 2 * n, 2), front.count[new])
+            owner += _right(cells, off, np.repeat(split, front.count[new]))
+            size, mass = _apart(np.bincount(owner, packed, 2 * n))
+            value[made : made + 2 * n] = np.bincount(owner, wy, 2 * n) / mass
+            for j in range(k, len(leaves)):
+                below[j, front.ids[new][own[j]]] = made + 2 * np.flatnonzero(own[j])
+            deeper = np.repeat(own & (level < max(limits)), 2, axis=1)
+            fronts.append(_front(made, lambda node: children(nodes[node >> 1], node & 1), deeper, owner, size, leaves, off, packed, wy))
+            made += 2 * n
+    return _routed(cells, np.flatnonzero(data["held"]) * width, len(roots), splits, below, value, limits, depth)
+
+
+def _routed(cells: np.ndarray, offs: np.ndarray, trees: int, splits: np.ndarray, below: np.ndarray, value: np.ndarray, limits: list, level: int) -> np.ndarray:
+    """Sums of the values held-out rows end with; a row goes down once for all leaf sizes until their trees part."""
+    n = len(offs)
+    sums = np.zeros((len(splits), n, len(limits)))
+
+    def down(own: slice, rows: list) -> list:
+        """Adds the values that are final at this level; the rows that go on."""
+        here, place, off = rows
+        split = splits[own.start].take(here)
+        on, end = np.flatnonzero(split >= 0), np.flatnonzero(split < 0)
+        ended = np.bincount(place.take(end), value.take(here.take(end)), n)
+        cut = np.bincount(place, value.take(here), n) if level in limits else ended
         for c, limit in enumerate(limits):
-            if limit >= depth:  # the value is final where the node ends here, by itself or by the limit
-                final = ~splits[node[out]] if limit > depth else np.ones(len(at), bool)
-                sums[:, c] += np.bincount(at[final], value[node[out]][final], len(sums))
-        stay = splits[node]
-        node, rows, w, out = node[stay], rows[stay], w[stay], out[stay]
-        feature = tried[np.arange(len(nodes)), slot]
-        side = bins[rows, feature[node]] > last[node]
-        number = np.cumsum(splits) - 1
-        kept = np.flatnonzero(splits)
-        nodes = np.stack([children(nodes[kept], np.zeros(len(kept))), children(nodes[kept], np.ones(len(kept)))], axis=1).ravel()
-        node = 2 * number[node] + side
-        depth += 1
+            if limit >= level:  # the value is final where the node ends here, by itself or by the limit
+                sums[own, :, c] += ended if limit > level else cut
+        here, place, off, split = here.take(on), place.take(on), off.take(on), split.take(on)
+        return [below[own.start].take(here) + _right(cells, off, split), place, off]
+
+    together = [np.repeat(np.arange(trees), n), np.tile(np.arange(n), trees), np.tile(offs, trees)]
+    alone = [[part[:0] for part in together] for _ in splits]
+    while any(len(rows[0]) for rows in (together, *alone)):
+        same = (splits[1:].take(together[0], axis=1) == splits[0].take(together[0])).all(axis=0)
+        if not same.all():
+            alone = [[np.concatenate([part, more[~same]]) for part, more in zip(rows, together)] for rows in alone]
+            together = [part[same] for part in together]
+        together = down(slice(0, len(splits)), together)
+        alone = [down(slice(k, k + 1), rows) for k, rows in enumerate(alone)]
+        level += 1
     return sums
 
 
@@ -304,7 +446,11 @@ PACKED = {"id": np.int64, "turn": U64, "y": np.float64, "outer": np.int32, "inne
 
 def _shared_out(rows: DataFrame, forests: list[Forest], shape: Shape, names: list[str]) -> DataFrame:
     """(forest, id, sums): every task gets the whole table, packed, and an even run of all trees in order."""
-    trees = [(f, t) for f in forests for t in range(f.trees)]
+    alike: dict[tuple, list[Forest]] = {}
+    for f in sorted(forests, key=lambda f: f.leaf):
+        alike.setdefault((f.outer, f.left_out, f.trees, f.seed), []).append(f)
+    together = list(alike.values())  # forests that differ in their leaf size only
+    trees = [(g, t) for g, some in enumerate(together) for t in range(some[0].trees)]
     tasks = min(len(trees), SHARES * rows.sparkSession.sparkContext.defaultParallelism)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,22 +472,23 @@ def _shared_out(rows: DataFrame, forests: list[Forest], shape: Shape, names: lis
         order = np.lexsort((data["id"], data["turn"]))  # sums in one order, however rows arrive
         data = {name: part[order] for name, part in data.items()}
         own: dict[int, list[int]] = {}
-        for f, t in trees[len(trees) * task // tasks : len(trees) * (task + 1) // tasks]:
-            own.setdefault(f.number, []).append(t)
-        for f in forests:
+        for g, t in trees[len(trees) * task // tasks : len(trees) * (task + 1) // tasks]:
+            own.setdefault(g, []).append(t)
+        for g, numbers in own.items():
+            f = together[g][0]
             train, held = _roles(data, f)
             part = np.flatnonzero(train | held)
-            if f.number not in own or not held.any():
+            if not held.any():
                 continue
             mine = {"bins": _filled(data["bins"][part], shape.fills.get((f.outer, f.left_out), {})), "y": data["y"][part], "held": held[part]}
-            sums, step = np.zeros((int(held.sum()), len(shape.cuts))), max(1, SAMPLES // len(part))
-            for low in range(0, len(own[f.number]), step):
-                roots = tree_roots(f, np.array(own[f.number][low : low + step]))
-                weights = np.where(mine["held"][None, :], 0, bag(data["turn"][part], roots))
-                sums += grow(mine, f, shape, roots, weights, 0)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([f.number] * len(sums), pa.int32()), pa.array(data["id"][held]), *[pa.array(sums[:, c].copy()) for c in range(len(names))]],
-                ["forest", "id", *names])
+            sums, step = 0.0, max(1, SAMPLES // len(part))
+            for low in range(0, len(numbers), step):
+                roots = tree_roots(f, np.array(numbers[low : low + step]))
+                sums = sums + grow(mine, [f.leaf for f in together[g]], shape, roots, bag(data["turn"][train], roots), 0)
+            for f, found in zip(together[g], sums):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([f.number] * len(found), pa.int32()), pa.array(data["id"][held]), *[pa.array(found[:, c].copy()) for c in range(len(names))]],
+                    ["forest", "id", *names])
 
     packed = rows.select("__id", "__turn", "__y", "__outer", "__inner", "__bins").mapInArrow(pack, ", ".join(f"{name} binary" for name in PACKED))
     every = packed.withColumn("task", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1)))).repartitionById(tasks, F.col("task"))
@@ -406,8 +553,8 @@ def _dealt(rows: DataFrame, forests: list[Forest], shape: Shape, names: list[str
         data = {"bins": np.frombuffer(b"".join(table.column("bins").to_pylist()), np.uint8).reshape(-1, shape.features), "y": table.column("y").to_numpy(), "held": held}
         turns = table.column("turn").to_numpy().view(U64)
         root = np.array([node], np.int64).view(U64)
-        weights = np.where(held[None, :], 0, bag(turns, tree_roots(f, np.array([first]))))
-        sums = grow(data, f, shape, root, weights, depth) if held.any() else np.zeros((0, len(limits)))
+        draws = bag(turns[~held], tree_roots(f, np.array([first])))
+        sums = grow(data, [f.leaf], shape, root, draws, depth)[0] if held.any() else np.zeros((0, len(limits)))
         early = np.array([e if e is not None else [np.nan] * len(limits) for e, h in zip(table.column("early").to_pylist(), held) if h]).reshape(-1, len(limits))
         sums = np.where(np.isnan(early), sums, early)
         return pa.table({"forest": pa.array([f.number] * len(sums), pa.int32()), "id": table.column("id").filter(pa.array(held)),

@@ -297,3 +297,32 @@ def test_forest_shuffle_does_not_grow_with_trees(spark, data):
         return [stages.apply(k) for k in range(stages.size())]
 
     assert shuffled(800) < 2 * shuffled(40)
+
+
+def test_leaf_sizes_share_nodes(spark, data, monkeypatch):
+    """Leaf sizes grown together give each its own trees, and the nodes they have in common are worked on once."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(3000, 12))
+    y = x[:, 0] + np.sin(2 * x[:, 1]) + rng.normal(0, 0.5, 3000)
+    rows = {"bins": (np.argsort(np.argsort(x, axis=0), axis=0) * fo.BINS // 3000).astype(np.uint8), "y": y - y.mean(), "held": rng.random(3000) < 0.2}
+    shape = fo.Shape(12, 4, (2, 5, None), {})
+    roots = fo.tree_roots(fo.Forest(0, 0, 0, 5, 4, 9), np.arange(4))
+    draws = fo.bag(rng.integers(0, 2**63, (~rows["held"]).sum()).astype(np.uint64), roots)
+    seen, chosen = [], fo._chosen
+    monkeypatch.setattr(fo, "_chosen", lambda cells, front, tried, leaves: (seen.append(front.count), chosen(cells, front, tried, leaves))[1])
+
+    def nodes(leaves):
+        seen.clear()
+        sums = fo.grow(rows, leaves, shape, roots, draws, 0)
+        assert min(c.min() for c in seen) >= 2 * min(leaves)  # smaller nodes cannot split
+        return sums, sum(len(c) for c in seen)
+
+    (both, shared), (few, n_few), (many, n_many) = nodes([5, 15]), nodes([5]), nodes([15])
+    assert np.allclose(both, np.concatenate([few, many]), atol=1e-9) and not np.allclose(few, many)
+    assert max(n_few, n_many) < shared < 0.9 * (n_few + n_many)
+    stored = stored_rows(data[2])
+    forests = [fo.Forest(0, 1, 0, 5, 3, 7), fo.Forest(1, 1, 0, 9, 3, 7), fo.Forest(2, 1, 2, 9, 3, 7), fo.Forest(3, 1, 0, 9, 3, 8)]
+    got = {(r["forest"], r["id"]): tuple(r)[2:] for r in stored.means(forests, (2, None), fo.NODE_ROWS).collect()}
+    for f in forests:
+        alone = {(r["forest"], r["id"]): tuple(r)[2:] for r in stored.means([f], (2, None), fo.NODE_ROWS).collect()}
+        assert all(np.allclose(got[k], v) for k, v in alone.items()) and len(alone) == sum(k[0] == f.number for k in got)
