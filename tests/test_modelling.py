@@ -326,3 +326,24 @@ def test_leaf_sizes_share_nodes(spark, data, monkeypatch):
     for f in forests:
         alone = {(r["forest"], r["id"]): tuple(r)[2:] for r in stored.means([f], (2, None), fo.NODE_ROWS).collect()}
         assert all(np.allclose(got[k], v) for k, v in alone.items()) and len(alone) == sum(k[0] == f.number for k in got)
+
+
+def test_histograms_in_parts(monkeypatch):
+    """A few nodes and features at a time, as large tables need, give the very same trees."""
+    rng = np.random.default_rng(4)
+    k = rng.integers(0, 37, 2000)
+    x = np.column_stack([k, np.sin(k * 0.17), np.cos(k * 0.17), rng.normal(size=2000), rng.normal(size=2000)])
+    y = x[:, 1] + x[:, 3] + rng.normal(0, 0.5, 2000)
+    bins = np.column_stack([np.searchsorted(np.unique(np.quantile(c, np.arange(1, 64) / 64)), c) for c in x.T]).astype(np.uint8)
+    rows = {"bins": bins, "y": y - y.mean(), "held": rng.random(2000) < 0.2}
+    shape = fo.Shape(5, 3, (4, 8, None), {})
+    roots = fo.tree_roots(fo.Forest(0, 0, 0, 5, 6, 9), np.arange(6))
+    draws = fo.bag(rng.integers(0, 2**63, (~rows["held"]).sum()).astype(np.uint64), roots)
+    whole = fo.grow(rows, [5, 15], shape, roots, draws, 0)
+    parts, best = [], fo._best
+    monkeypatch.setattr(fo, "_best", lambda cells, off, *more: (parts.append(len(off)), best(cells, off, *more))[1])
+    for fo_cells, fo_columns in ((64, 7), (3000, 3), (1, 1)):
+        monkeypatch.setattr(fo, "CELLS", fo_cells)
+        monkeypatch.setattr(fo, "COLUMNS", fo_columns)
+        parts.clear()
+        assert np.array_equal(fo.grow(rows, [5, 15], shape, roots, draws, 0), whole) and len(parts) > 20
